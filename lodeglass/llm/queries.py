@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeglass.llm import chat, decontamination, packing, token_file
+from lodeglass.llm import chat, decontamination, packing, pii, secret_scan, token_file
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,6 +20,20 @@ def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digests(chat.format_conversations(turns, public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def _listed(spans: str) -> Column:
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+
+def _count(spans: str, kind: str) -> Column:
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: fixed shapes and what boosted trees add."""
+    found = pii.with_personal_data(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", *(_count("personal.base", k) for k in pii.KINDS), F.sha2(_listed("personal.base"), 256).alias("base_sha256"), _listed("personal.spans").alias("spans"))
+
+
 def op4_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 4096 tokens: a row per piece."""
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
@@ -34,12 +48,19 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every document: fixed shapes and linked parts of credentials."""
+    found = secret_scan.with_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    base = F.filter("secrets", lambda s: s["kind"].isin(*secret_scan.BASE))
+    return found.withColumn("base", base).select("doc_id", *(_count("base", k) for k in secret_scan.BASE), F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("secrets").alias("spans"))
+
+
 def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, read back: a row per document."""
     return token_file.token_index(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op4_cost_balanced_packing, op5_benchmark_decontamination, op8_token_files)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_personal_data, op4_cost_balanced_packing, op5_benchmark_decontamination, op7_secret_scan, op8_token_files)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
