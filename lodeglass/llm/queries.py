@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeglass.llm import chat, decontamination, packing, pii, secret_scan, token_file, toxicity
+from lodeglass.llm import chat, cover_tree, decontamination, packing, pii, secret_scan, token_file, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,7 +66,12 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.token_index(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_personal_data, op3_toxicity, op4_cost_balanced_packing, op5_benchmark_decontamination, op7_secret_scan, op8_token_files)}
+def op10_cover_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best candidates for every vector whose id is divisible by 20."""
+    return cover_tree.top_k(_table(spark, sf_dir, "embeddings"), lambda c: c % 20 == 0)
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_personal_data, op3_toxicity, op4_cost_balanced_packing, op5_benchmark_decontamination, op7_secret_scan, op8_token_files, op10_cover_tree_search)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -96,4 +101,14 @@ ORACLE_SQL: dict[str, str] = {
         hi AS (SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM h GROUP BY doc_id)
         SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
         FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN hi USING (doc_id)""",
+    "op10_cover_tree_search": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), r AS (
+            SELECT q.vec_id AS query_id, d.vec_id, list_inner_product(q.e, d.e)::BIGINT AS score,
+                row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.e, d.e) DESC, d.vec_id)::INTEGER AS rank
+            FROM v q JOIN v d ON q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id
+        )
+        SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20""",
 }
