@@ -62,22 +62,23 @@ def mix(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(31))
 
 
-class WordHasher:
-    """Words to 64-bit hashes, remembering the last ones seen; memory is bounded by `most` words twice."""
+class WordHasher(dict):
+    """Words to 64-bit hashes, remembering the last ones seen; memory is bounded by `most` words."""
 
-    def __init__(self, most: int = 300_000) -> None:
-        self.most, self.young, self.old = most, {}, {}
-
-    def __call__(self, found: list[bytes]) -> np.ndarray:
+    def __init__(self, most: int = 600_000) -> None:
         import xxhash
 
-        young = self.young
-        for w in set(found).difference(young):
-            young[w] = self.old.get(w) or xxhash.xxh3_64_intdigest(w)
-        out = np.fromiter(map(young.__getitem__, found), np.uint64, len(found))
-        if len(young) > self.most:
-            self.young, self.old = {}, young
-        return out
+        super().__init__()
+        self.most, self.digest = most, xxhash.xxh3_64_intdigest
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = self.digest(word)
+        return h
+
+    def __call__(self, found: list[bytes]) -> np.ndarray:
+        if len(self) > self.most:
+            self.clear()
+        return np.fromiter(map(self.__getitem__, found), np.uint64, len(found))
 
 
 #: Byte to character of byte-level vocabularies: printable Latin-1 as it is, the rest from U+0100 on, in order.
