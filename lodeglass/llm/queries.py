@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeglass.llm import chat, cover_tree, decontamination, packing, pii, secret_scan, token_file, toxicity
+from lodeglass.llm import chat, cover_tree, decontamination, near_duplicates, packing, pii, secret_scan, token_file, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,12 +66,17 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.token_index(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document: five-word shingles, similarity 0.8 or more."""
+    return near_duplicates.classes(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "class_rows")
+
+
 def op10_cover_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 best candidates for every vector whose id is divisible by 20."""
     return cover_tree.top_k(_table(spark, sf_dir, "embeddings"), lambda c: c % 20 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_personal_data, op3_toxicity, op4_cost_balanced_packing, op5_benchmark_decontamination, op7_secret_scan, op8_token_files, op10_cover_tree_search)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_personal_data, op3_toxicity, op4_cost_balanced_packing, op5_benchmark_decontamination, op7_secret_scan, op8_token_files, op9_near_duplicates, op10_cover_tree_search)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
