@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeglass.llm import chat, cover_tree, decontamination, near_duplicates, packing, pii, secret_scan, token_file, toxicity
+from lodeglass.llm import chat, cover_tree, decontamination, near_duplicates, packing, pii, quality, secret_scan, token_file, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,13 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document; its host is its source, and its path there its language."""
+    scored = quality.with_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+    held = F.coalesce(~toxicity.in_training(), F.lit(False)).alias("held_out")
+    return scored.select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), (F.col("score") >= 0.5).alias("keep"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: fixed shapes and linked parts of credentials."""
     found = secret_scan.with_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -76,7 +83,7 @@ def op10_cover_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.top_k(_table(spark, sf_dir, "embeddings"), lambda c: c % 20 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_personal_data, op3_toxicity, op4_cost_balanced_packing, op5_benchmark_decontamination, op7_secret_scan, op8_token_files, op9_near_duplicates, op10_cover_tree_search)}
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_personal_data, op3_toxicity, op4_cost_balanced_packing, op5_benchmark_decontamination, op6_quality, op7_secret_scan, op8_token_files, op9_near_duplicates, op10_cover_tree_search)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
