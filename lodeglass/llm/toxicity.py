@@ -198,6 +198,15 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     return b
 
 
+def _likely(docs: DataFrame, known: DataFrame, bits: int = 24) -> DataFrame:
+    """Documents without most of those that `known` lacks, so that few texts are shuffled in vain: its doc_ids set bits of a map
+    of fixed size (2 ** (bits - 6) numbers of 64 bits at most, so it is broadcast), and documents whose bit is not set go."""
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
+    slot, bit = F.shiftright(at, 6).cast("int").alias("_slot"), F.expr(f"shiftleft(1L, int(pmod(xxhash64(doc_id), {1 << bits}L) % 64))").alias("_bit")
+    filled = known.select(slot, bit).groupBy("_slot").agg(F.bit_or("_bit").alias("_bits"))
+    return docs.withColumns({"_slot": slot, "_bit": bit}).join(F.broadcast(filled), "_slot").filter("_bits & _bit <> 0").drop("_slot", "_bit", "_bits")
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> Model:
     """Fits the two models on all labelled documents that may be learnt from, and their calibration on a bounded sample.
 
@@ -212,7 +221,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> Model:
     """
     known = labels.filter(F.col("toxic").isin(0, 1) & in_training()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     pool = docs.filter(in_training()).select("doc_id", "text")
-    counted = cut(pool.join(known, "doc_id").select("text", "toxic").mapInArrow(_count_words, "word binary, n0 bigint, n1 bigint").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+    counted = cut(_likely(pool, known).join(known.hint("merge"), "doc_id").select("text", "toxic").mapInArrow(_count_words, "word binary, n0 bigint, n1 bigint").groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
     grams = counted.mapInArrow(_count_grams, _GRAM_ROWS)
     grams = cut(grams.groupBy("kind", "a", "b", "c").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
     top, low = grams.filter("kind = 0"), grams.filter("kind = 1").groupBy("b", "c").agg(F.count("*").alias("n"))
