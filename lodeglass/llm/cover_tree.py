@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from lodeglass.llm.shared import cut
 
 #: A node of at most so many vectors isn't split; so many of them, drawn by a hash, give the first level's centres.
-LEAF, PIVOT_SAMPLE = 64, 4096
+LEAF, PIVOT_SAMPLE = 256, 4096
+#: A score below and an id above all others.
+NOTHING, NOBODY = np.iinfo(np.int64).min + 1, np.iinfo(np.int64).max
 
 
 @dataclass
@@ -25,6 +27,9 @@ class Node:
     rows: np.ndarray
     children: list[Node]
 
+    def __post_init__(self) -> None:
+        self.centres, self.radii = np.array([c.centre for c in self.children]), np.array([c.radius for c in self.children])
+
 
 def net(x: np.ndarray, cover: float, most: int) -> np.ndarray:
     """Places of vectors chosen farthest-first, until all lie within `cover` of one or `most` are chosen."""
@@ -59,7 +64,7 @@ class Best:
 
     def __init__(self, queries: int, k: int) -> None:
         self.k = k
-        self.scores, self.ids = np.full((queries, k), np.iinfo(np.int64).min + 1), np.full((queries, k), np.iinfo(np.int64).max)
+        self.scores, self.ids = np.full((queries, k), NOTHING), np.full((queries, k), NOBODY)
 
     @property
     def worst(self) -> np.ndarray:
@@ -67,32 +72,42 @@ class Best:
 
     def offer(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, own: np.ndarray) -> None:
         """Candidates `ids` with a row of scores for each query in `rows`; a query's own id doesn't count."""
-        for i in np.flatnonzero((scores >= self.worst[rows][:, None]).any(1)):
-            q = rows[i]
-            good = (scores[i] >= self.scores[q, -1]) & (ids != own[q])
-            s, d = np.concatenate([self.scores[q], scores[i][good]]), np.concatenate([self.ids[q], ids[good]])
-            order = np.lexsort((d, -s))[: self.k]
-            self.scores[q], self.ids[q] = s[order], d[order]
-
-
-def bound(a: np.ndarray, ra: float, b: np.ndarray, rb: float) -> float:
-    """No inner product of a vector within `ra` of `a` and one within `rb` of `b` is higher."""
-    return float(a @ b + ra * np.sqrt(b @ b) + rb * np.sqrt(a @ a) + ra * rb) + 1e-6 * (1 + abs(float(a @ b)))
+        good = scores >= self.worst[rows][:, None]
+        some, which = good.any(1), good.any(0)
+        if not some.any():
+            return
+        rows, scores, ids = rows[some], scores[some][:, which].astype(np.int64), np.broadcast_to(ids[which], (int(some.sum()), int(which.sum())))
+        mine = ids == own[rows][:, None]
+        s = np.concatenate([self.scores[rows], np.where(mine, self.scores.dtype.type(NOTHING), scores)], 1)
+        d = np.concatenate([self.ids[rows], np.where(mine, NOBODY, ids)], 1)
+        if s.shape[1] > 4 * self.k:
+            least = -np.partition(-s, self.k - 1, axis=1)[:, self.k - 1 : self.k]
+            near = (s >= least).any(0)
+            s, d = s[:, near], d[:, near]
+        order = np.lexsort((d, -s), axis=1)[:, : self.k]
+        self.scores[rows], self.ids[rows] = np.take_along_axis(s, order, 1), np.take_along_axis(d, order, 1)
+
+
+def bound(a: np.ndarray, ra, b: np.ndarray, rb):
+    """No inner product of a vector within `ra` of `a` and one within `rb` of `b` is higher; for one pair, or a row of centres `a` or `b` and their radii."""
+    dot = a @ b if a.ndim >= b.ndim else b @ a
+    return dot + ra * np.sqrt((b * b).sum(-1)) + rb * np.sqrt((a * a).sum(-1)) + ra * rb + 1e-6 * (1 + np.abs(dot))
 
 
 def dual(q: np.ndarray, own: np.ndarray, qtree: Node, x: np.ndarray, ids: np.ndarray, xtree: Node, best: Best) -> None:
     """Offers to every query all data that may belong to its best; node pairs that can't beat the group's worst kth score are pruned."""
-    stack = [(bound(qtree.centre, qtree.radius, xtree.centre, xtree.radius), qtree, xtree)]
+    stack = [(float(bound(qtree.centre, qtree.radius, xtree.centre, xtree.radius)), qtree, xtree)]
     while stack:
         top, a, b = stack.pop()
         if top < best.worst[a.rows].min():
             continue
         if not a.children and not b.children:
-            best.offer(a.rows, (q[a.rows] @ x[b.rows].T).astype(np.int64), ids[b.rows], own)
-        else:
-            down_a = bool(a.children) and (not b.children or a.radius >= b.radius)
-            pairs = [(c, b) for c in a.children] if down_a else [(a, c) for c in b.children]
-            stack += sorted(((bound(c.centre, c.radius, d.centre, d.radius), c, d) for c, d in pairs), key=lambda p: p[0])
+            best.offer(a.rows, q[a.rows] @ x[b.rows].T, ids[b.rows], own)
+            continue
+        down_a = bool(a.children) and (not b.children or a.radius >= b.radius)
+        node, other = (a, b) if down_a else (b, a)
+        tops = bound(node.centres, node.radii, other.centre, other.radius)
+        stack += [(float(tops[i]), c, b) if down_a else (float(tops[i]), a, c) for i in np.argsort(tops, kind="stable") for c in [node.children[i]]]
 
 
 def quantised(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
@@ -167,6 +182,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, id_column: str = "vec_id",
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(PIVOT_SAMPLE).select("v").toArrow()
     repeats = rows.groupBy("id").count().agg(F.max("count")).first()[0]
     width, dtype = max(width, 1), next((d for d, top in (("<i1", 127), ("<i2", 32767)) if (most or 0) <= top), "<f8")
+    exact = next((t for t, top in (("<f4", 2**24), ("<f8", 2**53)) if (most or 0) ** 2 * width < top), "<i8")
     drawn = _matrix(sample["v"].combine_chunks(), width)
     centres = drawn[net(drawn, 0.0, pivots)]
     data, asked = blocks(rows, centres, block, dtype), blocks(rows.filter(is_query(F.col("id"))), centres, query_block, dtype)
@@ -189,10 +205,10 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, id_column: str = "vec_id",
     best_first = Window.partitionBy("q").orderBy(F.desc("floor"), "d").rowsBetween(Window.unboundedPreceding, 0)
     sure = pairs.withColumn("held", F.sum("n").over(best_first)).withColumn("sure", F.max(F.when(F.col("held") >= k + repeats, F.col("floor"))).over(Window.partitionBy("q")))
     wanted = sure.filter(F.col("sure").isNull() | (F.col("top") >= F.col("sure"))).select("q", "d", "top")
-    return _search(wanted, data, asked, width, dtype, k, schema)
+    return _search(wanted, data, asked, width, dtype, exact, k, schema)
 
 
-def _search(wanted: DataFrame, data: DataFrame, asked: DataFrame, width: int, dtype: str, k: int, schema: str) -> DataFrame:
+def _search(wanted: DataFrame, data: DataFrame, asked: DataFrame, width: int, dtype: str, exact: str, k: int, schema: str) -> DataFrame:
     """The pairs searched: each query block meets its data blocks in one task, one after another."""
     names = ["q", "d", "top", "id", "v"]
     sent = wanted.join(data.select(F.col("block").alias("d"), "id", "v"), "d").select(names)
@@ -203,7 +219,7 @@ def _search(wanted: DataFrame, data: DataFrame, asked: DataFrame, width: int, dt
 
         def close() -> pa.RecordBatch:
             _, ids, _, best = state
-            found = best.ids != np.iinfo(np.int64).max
+            found = best.ids != NOBODY
             q, r = np.nonzero(found)
             return pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array((r + 1).astype(np.int32)), pa.array(best.ids[found]), pa.array(best.scores[found])], names=["query_id", "rank", "vec_id", "score"])
 
@@ -212,7 +228,7 @@ def _search(wanted: DataFrame, data: DataFrame, asked: DataFrame, width: int, dt
                 q, d, ids = batch["q"][i].as_py(), batch["d"][i].as_py(), batch["id"][i].values.to_numpy()
                 if q == now and batch["top"][i].as_py() < state[3].worst.min():
                     continue
-                x = np.frombuffer(batch["v"][i].as_py(), dtype).reshape(-1, width).astype(np.float64)
+                x = np.frombuffer(batch["v"][i].as_py(), dtype).reshape(-1, width).astype(exact)
                 if q != now:
                     if state:
                         yield close()
