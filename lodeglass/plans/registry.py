@@ -4,14 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lodeglass.plans import queries_relational, queries_text
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return queries()["source_counts"](spark, sf_dir)
+_MODULES = (queries_text, queries_relational)
+
+
+def flagship(spark: SparkSession, folder: str) -> DataFrame:
+    """Combined scores of all analyses from their articles' claims."""
+    return queries()["p4_p7_combined_scores"](spark, folder)
 
 
 def queries() -> dict:
-    return {"source_counts": lambda spark, d: spark.read.parquet(f"{d}/documents.parquet").groupBy("source").count().withColumnRenamed("count", "n")}
+    return {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"source_counts": "SELECT source, count(*) AS n FROM documents GROUP BY source"}
+    return {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
