@@ -53,7 +53,8 @@ def first_of_each(found: DataFrame, order: str, rounds: int = 50) -> DataFrame:
     left, kept = found, None
     for _ in range(rounds):
         least = lambda c: F.min(order).over(Window.partitionBy(c))
-        now = left.filter((F.col(order) == least("url")) & (F.col(order) == least("content_hash"))).checkpoint()
+        ranked = left.withColumns({"_u": least("url"), "_h": least("content_hash")})
+        now = ranked.filter((F.col(order) == F.col("_u")) & (F.col(order) == F.col("_h"))).drop("_u", "_h").checkpoint()
         kept = now if kept is None else kept.unionByName(now)
         left = left.join(now.select(order), order, "left_anti")
         left = left.join(now.select("url").distinct(), "url", "left_anti").join(now.select("content_hash").distinct(), "content_hash", "left_anti").select(*found.columns).checkpoint()

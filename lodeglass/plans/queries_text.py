@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lodeglass.functions import lexicons, scoring, text
+from lodeglass.functions import assessment, lexicons, scoring, text
 from lodeglass.operators import evidence, secrecy
+from lodeglass.plans import article_scoring
 from lodeglass.sources.adapters import SEVERITY_SQL, Tables, with_tables
 
 QUERIES: dict = {}
@@ -339,3 +340,44 @@ def p17_severity_backfill(t):
 def p18_progress(t):
     """How far each team is from the baseline."""
     return t.leaderboard(True).select("team", F.round(scoring.progress(F.col("score")), 6).alias("progress"), scoring.progress_status(F.col("score")).alias("status"))
+
+
+@query("SELECT 1", "articles")
+def p13_article_scoring(t):
+    """The whole scoring plan, with terms that occur in the test tables and a model's scores made from ids."""
+    models = t.articles().select("id", ((F.col("id") % 101) / 100).alias("model_score"), F.lit(0.5).alias("confidence"))
+    return article_scoring.scored(t.articles(), models, CAPABILITY, NOISE, MARKS, METRICS, SECRET)
+
+
+_P13 = "round(greatest(0, least(1, greatest(m, m * 0.85 + coalesce(h, 0) * 0.15) + coalesce(b, 0))), 6)::DOUBLE"
+ORACLE_SQL["p13_article_scoring"] = (
+    with_tables("", "articles")
+    + f""", tr AS (SELECT *, NOT capable AND (words < 120 OR noisy) AS skip FROM (SELECT *, len({_in(_TEXT, CAPABILITY)}) > 0 AS capable, len({_in(_TEXT, NOISE)}) > 0 AS noisy, len(list_filter(string_split_regex(content, '\\s+'), lambda w: w <> '')) AS words FROM articles)),
+{_SENTENCES}, {_CLAIMS},
+hh AS (SELECT id, round(least(0.4, sum(CASE WHEN benchmark IS NOT NULL THEN 0.03 ELSE 0 END + CASE WHEN benchmark = 'ARC' AND coalesce(pct, plain) >= 25 THEN 0.15 WHEN benchmark = 'ARC' AND coalesce(pct, plain) >= 10 THEN 0.1 ELSE 0 END) + CASE WHEN (SELECT count(*) FROM sn WHERE sn.id = cl.id) >= 3 THEN 0.03 ELSE 0 END), 6)::DOUBLE AS h FROM cl GROUP BY id),
+bb AS (SELECT id, CASE WHEN contains(lower(content), 'nda') THEN 0.1 ELSE 0.0 END::DOUBLE AS b FROM tr WHERE NOT skip),
+aa AS (SELECT tr.id, skip, (tr.id % 101) / 100.0::DOUBLE AS m, h, b FROM tr LEFT JOIN hh ON hh.id = tr.id AND NOT skip LEFT JOIN bb ON bb.id = tr.id)
+SELECT id, skip AS filtered, CASE WHEN skip THEN 0.05 ELSE {_P13} END AS score, CASE WHEN skip THEN 0.9 ELSE 0.5 END::DOUBLE AS confidence, CASE WHEN skip THEN 'low' WHEN {_P13} >= 0.6 THEN 'high' WHEN {_P13} >= 0.3 THEN 'medium' WHEN {_P13} > 0 THEN 'low' ELSE 'none' END AS severity FROM aa"""
+)
+
+_TYPES = "list_filter([CASE WHEN id % 2 = 0 THEN 'benchmark' END, CASE WHEN regexp_matches(content, '(?i)nda|classified|silent|briefing|undisclosed|compute spike') THEN 'secrecy' END, CASE WHEN regexp_matches(content, '(?i)superintelligence|\\basi\\b|superhuman across|beyond human') THEN 'asi' END], lambda x: x IS NOT NULL)"
+
+
+@query(
+    f"""SELECT id, CASE WHEN w >= 0.75 THEN 'critical' WHEN w >= 0.5 THEN 'high' WHEN w >= 0.25 THEN 'medium' ELSE 'low' END AS priority, CASE WHEN e >= 0.65 THEN 'strong' WHEN e >= 0.4 THEN 'moderate' WHEN e > 0 THEN 'weak' ELSE 'none' END AS confidence, array_to_string(CASE WHEN len(ty) > 0 THEN ty ELSE ['benchmark'] END, ',') AS types FROM (
+SELECT id, ty, round(least(1, greatest(0, m * 0.35 + 0.05 + least(0.2, greatest(0, len(ty) - 1) * 0.04) + 0.15 + 0.07 - CASE WHEN len(ty) = 1 AND ty[1] = 'benchmark' THEN 0.15 ELSE 0 END)), 9) AS e, round(least(1, greatest(0, m * 0.35 + 0.05 + 0.1 + least(0.2, greatest(0, len(ty) - 1) * 0.04) + CASE WHEN list_contains(ty, 'asi') THEN 0.1 ELSE 0 END)), 9) AS w FROM (SELECT id, {_TYPES} AS ty, (id % 101) / 100.0::DOUBLE AS m FROM articles))""",
+    "articles",
+)
+def p10_assessments(t):
+    """Priority, confidence and claim types of every article."""
+    c, m = F.col("content"), (F.col("id") % 101) / 100
+    a = assessment.assess(c, c, m, F.lit(0.2), F.lit(0.1), F.lit("live"), F.lit("same_source"), F.col("id") % 2 == 0, F.lit(False))
+    rows = t.articles().select("id", a.alias("a"))
+    return rows.select("id", "a.priority", "a.confidence", F.array_join("a.types", ",").alias("types"))
+
+
+@query("SELECT team, CASE WHEN score >= 0.75 THEN 'critical' WHEN score >= 0.25 THEN 'high' WHEN score >= 0.1 THEN 'medium' ELSE 'low' END AS priority, CASE WHEN team % 2 = 0 THEN 'strong' ELSE 'weak' END AS confidence, CASE WHEN team % 2 = 0 THEN 2 ELSE 3 END::INTEGER AS limits FROM leaderboard_curr", "leaderboard_curr")
+def p19_benchmark_evidence(t):
+    """How much each team's result shows, by whether it is live."""
+    e = assessment.benchmark_evidence(F.col("score"), F.when(F.col("team") % 2 == 0, "live").otherwise("manual_snapshot"))
+    return t.leaderboard(True).select("team", e.alias("e")).select("team", "e.priority", "e.confidence", "e.limits")

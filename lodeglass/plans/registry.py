@@ -10,8 +10,8 @@ _MODULES = (queries_text, queries_relational)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
-    """Combined scores of all analyses from their articles' claims."""
-    return queries()["p4_p7_combined_scores"](spark, folder)
+    """All articles scored by the whole plan."""
+    return queries()["p13_article_scoring"](spark, folder)
 
 
 def queries() -> dict:
