@@ -50,3 +50,21 @@ def percentile(rows: DataFrame, column: str = "distance") -> DataFrame:
     """Each row's place from 0 to 100, ties having the highest place; 100 for a single row. For small results: it ranks over all rows."""
     n, upto = F.count("*").over(Window.partitionBy()), F.count("*").over(Window.orderBy(column).rangeBetween(Window.unboundedPreceding, 0))
     return rows.withColumn("percentile", F.when(n <= 1, 100).otherwise(F.round((upto - 1) / (n - 1) * 100)).cast("int"))
+
+
+def nearest_to_each(vectors: DataFrame, queries: DataFrame, k: int, most: int = 256) -> DataFrame:
+    """query_id, id, similarity: the k nearest by cosine to each of a small set of vectors, at most `most` of them.
+
+    The queries go into the plan as one literal array of unit vectors, so every vector is read once and meets each of
+    them in place; each task keeps the k best of its rows before they are shuffled.
+    """
+    asked = queries.filter(F.col("embedding").isNotNull()).select("id", unit(F.col("embedding")).alias("u")).limit(most + 1).collect()
+    if len(asked) > most:
+        raise ValueError(f"more than {most} query vectors")
+    if not asked:
+        return vectors.sparkSession.createDataFrame([], "query_id bigint, id bigint, similarity double")
+    listed = F.array(*(F.struct(F.lit(r.id).alias("query_id"), F.array(*map(F.lit, r.u)).alias("q")) for r in asked))
+    rows = vectors.filter(F.col("embedding").isNotNull()).select("id", unit(F.col("embedding")).alias("u"), F.explode(listed).alias("l"))
+    scored = rows.filter(F.col("l.query_id") != F.col("id")).select("l.query_id", "id", dot(F.col("u"), F.col("l.q")).alias("similarity"))
+    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+    return scored.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k).drop("n")
