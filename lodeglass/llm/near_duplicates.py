@@ -80,7 +80,11 @@ def sketches(taken: np.ndarray) -> np.ndarray:
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Probability Jaccard similarity of two documents' shingle counts, exactly: the sum over common elements i of
     1 / sum over j of max(a_j / a_i, b_j / b_i)."""
-    (ua, na), (ub, nb) = (np.unique(x, return_counts=True) for x in (a, b))
+    return similarity_of(*np.unique(a, return_counts=True), *np.unique(b, return_counts=True))
+
+
+def similarity_of(ua: np.ndarray, na: np.ndarray, ub: np.ndarray, nb: np.ndarray) -> float:
+    """The same of distinct elements and their counts."""
     if not len(ua) or not len(ub):
         return 0.0
     _, ia, ib = np.intersect1d(ua, ub, assume_unique=True, return_indices=True)
@@ -178,11 +182,11 @@ def links(nodes: DataFrame, texts_of, least: float) -> DataFrame:
 
     Nodes that share a band are candidates. In each band's bucket the node that meets most others over all bands is the
     centre, and every other node is compared with it alone; copies of one text make one component that way, at a cost in
-    proportion to their number. Then only pairs of one bucket whose components still differ are left. Of these, those
-    are compared whose sketches (four bits of each component) aren't farther apart than a similarity under `least` by
-    more than four deviations makes them.
+    proportion to their number. Then only pairs of one bucket whose components still differ are left. Of these, all are
+    compared but those whose sketches (four bits of each component) lie farther apart than four deviations allow for a
+    similarity of `least`.
     """
-    spread = nodes.select("node", F.explode("bands").alias("bucket")).repartition("bucket")
+    spread = nodes.select("node", F.posexplode("bands").alias("band", "bucket")).repartition("bucket")
     shared = spread.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     members = cut(spread.join(shared, "bucket"))
     texts = cut(texts_of(members.select("node").distinct()))
@@ -192,15 +196,58 @@ def links(nodes: DataFrame, texts_of, least: float) -> DataFrame:
     stars = members.join(centres, "bucket").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
     edges = cut(_verified(stars, texts, least))
 
-    split = _components_of(members.select("node", "bucket"), edges)
+    split = _components_of(members, edges)
     mixed = split.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("bucket")
     main = split.join(mixed, "bucket").groupBy("bucket", "comp").agg(F.count("*").alias("size")).groupBy("bucket").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"))
-    open_ = cut(split.join(main, "bucket").join(nodes.select("node", "sketch"), "node"))
-    rest = open_.filter("comp <> main").selectExpr("bucket", "node as a", "comp as ca", "sketch as sa")
-    apart = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sketch")[i])) for i in range(SKETCH // 64)), F.lit(0))
-    pairs = rest.join(open_, (rest.bucket == open_.bucket) & (rest.ca != open_.comp) & ((open_.comp == open_.main) | (rest.a < open_.node)) & (apart <= _farthest(least)))
-    more = pairs.select("a", F.col("node").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
-    return edges.union(_verified(more, texts, least))
+    open_ = split.join(main, "bucket").join(nodes.select("node", "bands", "sketch"), "node").join(texts, "node")
+    return edges.union(_rest(open_, least))
+
+
+def _rest(open_: DataFrame, least: float, most: int = 1024) -> DataFrame:
+    """Links (a, b) between members of one bucket whose components differ: bucket, band, n, node, comp, main, bands, sketch, text.
+
+    Members outside the bucket's largest component meet all members, in blocks of about `most` on either side, each pair
+    of blocks a group of its own. A pair is compared in the first band that it shares, once its sketches allow it, and
+    unless links found before in the group connect it.
+    """
+    blocks, own = F.ceil(F.col("n") / F.lit(most)), F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / F.lit(most)))
+    each = F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))
+    rows = open_.withColumn("own", own)
+    left = rows.filter("comp <> main").withColumn("side", F.lit(0)).withColumn("other", each).withColumnsRenamed({"own": "lb", "other": "mb"})
+    right = rows.withColumn("side", F.lit(1)).withColumn("other", each).withColumnsRenamed({"own": "mb", "other": "lb"})
+    limit = _farthest(least)
+
+    def compare(table: pa.Table) -> pa.Table:
+        hasher, known, low = WordHasher(), {}, {}
+
+        def counts(i: int) -> tuple[np.ndarray, np.ndarray]:
+            if i not in known:
+                known[i] = np.unique(shingles(hasher(words(text[i].as_py()))), return_counts=True)
+            return known[i]
+
+        def root(c: bytes) -> bytes:
+            while low.get(c, c) != c:
+                c = low[c]
+            return c
+
+        table = table.combine_chunks()
+        node, comp, main, text = table["node"].to_pylist(), table["comp"].to_pylist(), table["main"][0].as_py(), table["text"]
+        matrix = lambda c, n: table[c].combine_chunks().flatten().to_numpy().reshape(-1, n)
+        sketch, band, side = matrix("sketch", SKETCH // 64), matrix("bands", BANDS), table["side"].to_numpy()
+        number, out = table["band"][0].as_py(), []
+        right = np.flatnonzero(side == 1)
+        for i in np.flatnonzero(side == 0):
+            near = right[np.bitwise_count((sketch[right] ^ sketch[i]).view(np.uint64)).sum(1, dtype=np.int64) <= limit]
+            near = near[(band[near, :number] != band[i, :number]).all(1)]
+            for j in near.tolist():
+                a, b = root(comp[i]), root(comp[j])
+                if a != b and (comp[j] == main or node[i] < node[j]) and similarity_of(*counts(i), *counts(j)) >= least:
+                    low[max(a, b)] = min(a, b)
+                    out.append((node[i], node[j]))
+        return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([x for _, x in out], pa.binary())})
+
+    names = ["bucket", "band", "lb", "mb", "side", "node", "comp", "main", "bands", "sketch", "text"]
+    return left.select(names).unionByName(right.select(names)).groupBy("bucket", "lb", "mb").applyInArrow(compare, "a binary, b binary")
 
 
 def _farthest(least: float) -> int:
