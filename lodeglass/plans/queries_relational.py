@@ -207,7 +207,7 @@ def j15_guarded_insert(t):
     """Trajectories accepted and rejected by whether their result exists."""
     known, rows = t.articles().filter("id < 100").select(F.col("id").alias("result_id")), t.trajectories()
     sides = [rows.join(known, "result_id", kind).agg(F.count("*").alias("n")).select(F.lit(ok).alias("accepted"), "n") for kind, ok in (("left_semi", True), ("left_anti", False))]
-    return sides[0].unionByName(sides[1])
+    return sides[0].unionByName(sides[1]).filter("n > 0")
 
 
 @query("""WITH n AS (SELECT row_number() OVER (ORDER BY score DESC, id) AS n, id, 'k' || (id % 3) AS source FROM analyses ORDER BY score DESC, id LIMIT 20), f AS (SELECT 1 AS finding, [1, 5, 9, 99] AS ix UNION ALL SELECT 2, [3, 70] UNION ALL SELECT 3, [20, 2])
