@@ -161,3 +161,27 @@ def p2_signals(t):
     parts = F.filter(F.array(F.lit("benchmark"), F.when(F.col("delta") >= 5, "benchmark_delta")), lambda x: x.isNotNull())
     rows = t.claims().select(F.when(F.col("value") >= 25, "high").otherwise("low").alias("severity"), F.array_join(parts, ",").alias("signals"))
     return rows.groupBy("severity", "signals").agg(F.count("*").alias("n"))
+
+
+_ANCHOR, _BARE = """'(?is)<a\\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>'""", "trim(regexp_replace(regexp_replace({0}, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))"
+_CHROME = "regexp_replace(html, '(?is)<nav\\b.*?</nav>|<footer\\b.*?</footer>|<header\\b.*?</header>', ' ', 'g')"
+_LINKS = f"SELECT page_id, url AS page, unnest(regexp_extract_all({{0}}, {_ANCHOR}, 1)) AS href, unnest(list_transform(regexp_extract_all({{0}}, {_ANCHOR}, 2), lambda x: {_BARE.format('x')})) AS title, unnest(range(len(regexp_extract_all({{0}}, {_ANCHOR}, 1)))) AS pos FROM pages"
+
+
+@query(
+    f"""WITH a AS ({_LINKS.format(_CHROME)}), b AS ({_LINKS.format('html')}),
+c AS (SELECT page_id, url AS page, unnest(regexp_extract_all(html, '(?is)<(?:article|li)\\b[^>]*>(.*?)</(?:article|li)>', 1)) AS blk, unnest(range(len(regexp_extract_all(html, '(?is)<(?:article|li)\\b[^>]*>(.*?)</(?:article|li)>', 1)))) AS pos FROM pages),
+r AS (SELECT 1 AS p, page_id, page, regexp_extract(blk, {_ANCHOR}, 1) AS href, {_BARE.format(f'regexp_extract(blk, {_ANCHOR}, 2)')} AS title, pos, {_BARE.format('blk')} AS txt FROM c
+UNION ALL SELECT 2, page_id, page, href, title, pos, NULL FROM a UNION ALL SELECT 3, page_id, page, href, title, pos, NULL FROM b UNION ALL SELECT 4, page_id, page, href, title, pos, NULL FROM a),
+u AS (SELECT *, CASE WHEN starts_with(href, 'http') THEN href WHEN starts_with(href, '/') THEN regexp_extract(page, '^([a-z]+://[^/?#]+)', 1) || href ELSE regexp_extract(page, '^([a-z]+://[^/?#]+)', 1) || '/' || href END AS link FROM r WHERE href <> '' AND NOT regexp_matches(href, '^(#|javascript:|mailto:)')),
+v AS (SELECT *, regexp_extract(link, '^[a-z]+://([^/?#]+)', 1) = regexp_extract(page, '^[a-z]+://([^/?#]+)', 1) AS mine, regexp_matches(lower(title || ' ' || link), 'th') AS named, regexp_extract(link, '^[a-z]+://[^/?#]+/*([^?#]*)', 1) <> '' AS deep FROM u),
+w AS (SELECT * FROM v WHERE (p = 1 AND length(txt) >= 40 AND length(title) >= 6) OR (p IN (2, 3) AND mine AND named) OR (p = 4 AND mine AND deep) QUALIFY row_number() OVER (PARTITION BY page_id, p, link ORDER BY pos) = 1),
+x AS (SELECT * FROM w QUALIFY p = min(p) OVER (PARTITION BY page_id)),
+y AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY pos, link) AS n FROM x)
+SELECT page_id, p::INTEGER AS pass, pos::INTEGER AS pos, link AS url FROM y WHERE n <= CASE WHEN p = 4 THEN 10 ELSE 20 END"""
+)
+def s6_discovered_links(t):
+    """Links that look like articles, by the first pass that finds any."""
+    from lodeglass.sources.landed import discovered
+
+    return discovered(t.raw("pages"), "th").drop("title")

@@ -81,3 +81,40 @@ def search_results(raw: DataFrame) -> DataFrame:
     """title, url, snippet of search replies that have title and URL."""
     reply = "web struct<results:array<struct<title:string,url:string,description:string>>>"
     return raw.select(F.inline(F.from_json("raw", reply)["web"]["results"])).filter("title <> '' and url <> ''").select("title", "url", F.coalesce("description", F.lit("")).alias("snippet"))
+
+
+ANCHOR, BLOCK, CHROME = r'(?is)<a\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>', r"(?is)<(?:article|li)\b[^>]*>(.*?)</(?:article|li)>", r"(?is)<nav\b.*?</nav>|<footer\b.*?</footer>|<header\b.*?</header>"
+
+
+def discovered(pages: DataFrame, keywords: str, most: int = 20, most_last: int = 10) -> DataFrame:
+    """page_id, pass, pos, url, title: the links of a page that look like articles, by the first of four passes that finds any.
+
+    1: blocks (article, li) of 40 characters or more whose first link has a text of six or more; 2: links on the page's
+    own host outside nav, footer and header that meet the pattern `keywords`; 3: all such links; 4: any link on the host
+    outside those with a path. Of equal URLs the first counts; a page gives `most` at most, in pass 4 `most_last`.
+    """
+    host = F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1)
+    base = F.regexp_extract("url", r"^([a-z]+://[^/?#]+)", 1)
+    bare = F.regexp_replace("html", CHROME, " ")
+
+    def links(html: Column) -> DataFrame:
+        both = F.arrays_zip(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1)).alias("href"), F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(2)).alias("label"))
+        return pages.select("page_id", host.alias("host"), base.alias("base"), F.posexplode(both).alias("pos", "a")).select("page_id", "host", "base", "pos", "a.href", _bare(F.col("a.label")).alias("title"), F.lit(None).cast("string").alias("text"))
+
+    found = pages.select("page_id", host.alias("host"), base.alias("base"), F.posexplode(F.regexp_extract_all("html", F.lit(BLOCK), F.lit(1))).alias("pos", "b"))
+    found = found.select("page_id", "host", "base", "pos", F.regexp_extract("b", ANCHOR, 1).alias("href"), _bare(F.regexp_extract("b", ANCHOR, 2)).alias("title"), _bare(F.col("b")).alias("text"))
+    absolute = F.when(F.col("href").startswith("http"), F.col("href")).when(F.col("href").startswith("/"), F.concat("base", "href")).otherwise(F.concat("base", F.lit("/"), "href"))
+    good = (F.col("href") != "") & ~F.col("href").rlike("^(#|javascript:|mailto:)")
+
+    def ready(rows: DataFrame, number: int) -> DataFrame:
+        rows = rows.filter(good).withColumn("link", absolute).withColumn("pass", F.lit(number))
+        mine = F.regexp_extract("link", r"^[a-z]+://([^/?#]+)", 1) == F.col("host")
+        named = F.lower(F.concat_ws(" ", "title", "link")).rlike(keywords)
+        deep = F.regexp_extract("link", r"^[a-z]+://[^/?#]+/*([^?#]*)", 1) != ""
+        wanted = {1: (F.length("text") >= 40) & (F.length("title") >= 6), 2: mine & named, 3: mine & named, 4: mine & deep}[number]
+        return rows.filter(wanted).groupBy("page_id", "pass", F.col("link").alias("url")).agg(F.min(F.struct("pos", "title")).alias("first"))
+
+    every = ready(found, 1).unionByName(ready(links(bare), 2)).unionByName(ready(links(F.col("html")), 3)).unionByName(ready(links(bare), 4))
+    page = Window.partitionBy("page_id")
+    best = every.withColumn("_m", F.min("pass").over(page)).filter("pass = _m").withColumn("_n", F.row_number().over(page.orderBy("first.pos", "url")))
+    return best.filter(F.col("_n") <= F.when(F.col("pass") == 4, most_last).otherwise(most)).select("page_id", "pass", "first.pos", "url", "first.title")
