@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -52,6 +53,13 @@ class Model:
     scale: np.ndarray | None = None
     prior: float = 0.0
 
+    def __getstate__(self) -> dict:
+        """Tables compressed, as most slots of a small corpus are empty and copies go to every executor."""
+        return {k: (zlib.compress(v.tobytes(), 1), v.dtype.str, v.shape) if isinstance(v, np.ndarray) else v for k, v in vars(self).items()}
+
+    def __setstate__(self, state: dict) -> None:
+        vars(self).update({k: np.frombuffer(zlib.decompress(v[0]), v[1]).reshape(v[2]) if isinstance(v, tuple) else v for k, v in state.items()})
+
     def word_ratios(self, found: list[bytes], of: int | None = None) -> np.ndarray:
         """Log-likelihood of each word as a toxic one less that as an ordinary one.
 
@@ -246,6 +254,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> Model:
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64()))], names=["row"])
 
     got = pool.join(F.broadcast(chosen), "doc_id").select("text", "toxic").mapInArrow(rate, "row array<double>").toArrow()
+    shared.destroy()
     rows = np.array(got["row"].to_pylist(), float).reshape(-1, 11)
     rows = rows[np.lexsort(rows.T)]
     y, x = rows[:, 0], rows[:, 1:]
