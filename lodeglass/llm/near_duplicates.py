@@ -289,5 +289,5 @@ def one_of_each(docs: DataFrame, least: float = 0.8) -> DataFrame:
     winners = classes(docs, least).filter("doc_id <=> class_id and text_hash <=> class_text_hash").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
     keyed = docs.withColumn("_own", F.xxhash64("text"))
     kept = keyed.join(winners, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_own").eqNullSafe(F.col("_hash")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id", "_own").orderBy(*([F.col("n_chars")] if "n_chars" in docs.columns else [F.lit(1)])))
+    first = F.row_number().over(Window.partitionBy("doc_id", "_own").orderBy(F.xxhash64(*(F.col(c).cast("string") for c in docs.columns))))
     return kept.withColumn("_nth", first).filter(F.col("_nth") == 1).drop("_nth", "_own")
