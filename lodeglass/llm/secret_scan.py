@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -17,9 +17,9 @@ BASE = KINDS[:3]
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_IDENTIFIER = re.compile(r"\b(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)[\"']?\x20{0,8}[:=]\x20{0,8}[\"']?[A-Za-z0-9._@+-]{3,64}", re.IGNORECASE | re.ASCII)
-_SECRET = re.compile(r"\b(?:pwd|pass|key|auth|bearer|credentials?|private_?key|client_?secret)[\"']?\x20{0,8}[:=]\x20{0,8}[\"']?[^\s\"']{6,128}", re.IGNORECASE | re.ASCII)
-_ENDPOINT = re.compile(r"\b(?:https?|ftps?|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]{3,200}|\b(?:host|server|endpoint)[\"']?\x20{0,8}[:=]\x20{0,8}[\"']?[A-Za-z0-9.-]{3,200}(?::[0-9]{1,5})?", re.IGNORECASE | re.ASCII)
+_IDENTIFIER = re.compile(r"\b(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._@+-]{3,}", re.IGNORECASE | re.ASCII)
+_SECRET = re.compile(r"\b(?:pwd|pass|key|auth|bearer|credentials?|private_?key|client_?secret)[\"']?\x20*[:=]\x20*[\"']?[^\s\"']{6,}", re.IGNORECASE | re.ASCII)
+_ENDPOINT = re.compile(r"\b(?:https?|ftps?|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]{3,}|\b(?:host|server|endpoint)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]{3,}(?::[0-9]+)?", re.IGNORECASE | re.ASCII)
 _ASSIGN_CUES = ("passw", "secret", "token", "apikey", "api_key")
 _CUES = ("user", "login", "account", "client", "access", "pwd", "pass", "key", "auth", "bearer", "credential", "://", "host", "server", "endpoint")
 
@@ -27,20 +27,24 @@ FOUND = "array<struct<kind:string,start:int,end:int>>"
 _FOUND = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
 
-def link(parts: list[tuple[str, int, int, bool]], reach: int) -> list[tuple[str, int, int]]:
+def link(parts: list[tuple[str, int, int, bool]], reach: int, overlap: bool = False) -> list[tuple[str, int, int]]:
     """The weak parts, of (role, start, end, weak), that have a complement: a secret an identifier or endpoint, these a secret.
 
-    A part's scope is its own interval and `reach` characters around it; a complement must begin in it. Parts are
-    sorted by their starts once, and each looks up its scope by binary search, so that no pairs are formed.
+    A part's scope is its own interval and `reach` characters around it. A complement must begin in it or, with
+    `overlap`, meet it with any of its own interval, however long that is. Parts are sorted by their starts once, and
+    each looks up its scope by binary search (with `overlap`, then the furthest end so far), so that no pairs are formed.
     """
     starts: dict[bool, list[int]] = {True: [], False: []}
-    for role, a, _, _ in sorted(parts, key=lambda p: p[1]):
-        starts[role == "secret"].append(a)
+    ends: dict[bool, list[int]] = {True: [], False: []}
+    for role, a, b, _ in sorted(parts, key=lambda p: p[1]):
+        secret = role == "secret"
+        starts[secret].append(a)
+        ends[secret].append(max(b, ends[secret][-1]) if ends[secret] else b)
     out = []
     for role, a, b, weak in parts:
-        other = starts[role != "secret"]
-        k = bisect_left(other, a - reach)
-        if weak and k < len(other) and other[k] <= b + reach:
+        other, last = starts[role != "secret"], ends[role != "secret"]
+        k = bisect_right(other, b + reach)
+        if weak and k and (last if overlap else other)[k - 1] >= a - reach:
             out.append((role, a, b))
     return out
 
@@ -65,7 +69,7 @@ def find_secrets(text: str | None, reach: int = 200) -> list[tuple[str, int, int
     if (":" in text or "=" in text) and any(c in low for c in _CUES):
         for role, pattern in (("identifier", _IDENTIFIER), ("secret", _SECRET), ("endpoint", _ENDPOINT)):
             parts += [(role, *m.span(), True) for m in pattern.finditer(text)]
-        found += link(parts, reach)
+        found += link(parts, reach, overlap=True)
     return sorted(set(found), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
@@ -74,7 +78,8 @@ def secrets(text: Column | str, reach: int = 200) -> Column:
 
     Fixed shapes: `assign`, a named value of 12 characters or more; `access`, an access key id of 18 or more; `hex`, a
     run of 16 hexadecimal digits or more. Weak parts (account names, short or loosely named secrets, endpoints) are
-    reported as `identifier`, `secret` and `endpoint` only where complementary parts lie within `reach` characters.
+    reported as `identifier`, `secret` and `endpoint` only where some of a complementary part lies within `reach`
+    characters. Spans are whole, however long a value is and however many spaces stand around its sign.
     Null and empty texts have none.
     """
     @arrow_udf(FOUND)

@@ -82,6 +82,27 @@ def test_links_equal_brute_force():
         assert secret_scan.link(parts, 30) == want
 
 
+def test_overlapping_links_equal_brute_force():
+    rng = random.Random(5)
+    for _ in range(300):
+        parts = [(rng.choice(["identifier", "secret", "endpoint"]), a, a + rng.choice([5, 20, 150]), rng.random() < 0.7) for a in (rng.randrange(600) for _ in range(8))]
+        want = [(r, a, b) for r, a, b, weak in parts if weak and any((q == "secret") != (r == "secret") and c <= b + 30 and d >= a - 30 for q, c, d, _ in parts)]
+        assert secret_scan.link(parts, 30, overlap=True) == want
+
+
+def test_weak_parts_are_whole():
+    long = "".join(random.Random(6).choice("GHIJKLMNghijklmn+/_-") for _ in range(400))
+    for t in [f"user = bob, bearer: {long}", f"private_key={long} login: bob", f"login: {long} pwd = hunter2x", f"https://db.example.org/{long} pwd=hunter2x", f"host: {long.replace('+', '-').replace('/', '-').replace('_', '-')} pwd=hunter2x", "user" + " " * 20 + "=" + " " * 20 + "bobby, pwd" + " " * 20 + ": hunter2x"]:
+        got = secret_scan.find_secrets(t)
+        assert len(got) == 2, t
+        assert not re.search(r"[G-Ng-n]{4}|bob|hunter2x", secret_scan.redact(t, got).replace("[REDACTED]", "")), t
+
+
+def test_long_weak_parts_stay_linear():
+    for t in ["user" + " " * 300_000, "key=" * 80_000, "user = bob key" + " " * 300_000 + "= x", "pwd: " * 60_000, "jdbc:" + "a" * 300_000, "host:" * 60_000, "https://" * 40_000, "user=bob pwd=hunter2x " * 15_000]:
+        secret_scan.find_secrets(t)
+
+
 def test_redaction(spark, docs_of):
     texts = ["a token = abcdefghijkl0123 b deadbeefdeadbeefdd", None, "", "clean"]
     got = {r.doc_id: r for r in docs_of(texts).withColumn("text", secret_scan.redacted("text")).withColumn("left", secret_scan.secrets("text")).collect()}
