@@ -120,6 +120,20 @@ def test_operators_over_odd_tables(spark, docs_of):
     assert all(not r.personal.spans for r in pii.with_personal_data(docs_of([None, "", "plain words"])).collect())
 
 
+def test_spans_without_a_fixed_shape_are_added(docs_of):
+    rng = random.Random(7)
+    number = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    card = lambda: next(c for c in (f"4{number(15)}" for _ in range(1000)) if pii.luhn(c))
+    fixed = [f"write to {rng.choice(['ann', 'bo', 'cy'])}{i}@site{i % 7}.org or call +1 (2{number(2)}) 555-{number(4)} and pay by {card()} from 10.0.{i % 200}.7 on 2024-05-1{i % 9} for 1,{number(3)},{number(3)} in all" for i in range(150)]
+    odd = ["mail bob [at] example [dot] org now", "phone (212) 555-0123 now", "card 378282246310005 now", "card 30569309025904 now", "card 4222222222222 now"]
+    none = ["we met (at) home. Then left", "card 378282246310006 now", "a total of 1,234,567,890 now", "host 300.1.1.1 now"]
+    got = {r.doc_id: r for r in pii.with_personal_data(docs_of([*fixed, *odd, *none])).collect()}
+    text_of = lambda i: [(s.kind, got[i].text[s.start : s.end]) for s in got[i].personal.spans]
+    n = len(fixed)
+    assert [text_of(n + i) for i in range(5)] == [[("email", "bob [at] example [dot] org")], [("phone", "(212) 555-0123")], [("card", "378282246310005")], [("card", "30569309025904")], [("card", "4222222222222")]]
+    assert not any(text_of(n + 5 + i) for i in range(4))
+
+
 def test_trees_learn_and_thresholds_hold():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 4))
