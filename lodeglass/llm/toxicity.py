@@ -16,8 +16,8 @@ from pyspark.sql.functions import arrow_udf
 
 from lodeglass.llm.shared import cut, mix, words
 
-#: Characters of the longest n-gram; two to the power of BITS slots a table; Kneser-Ney's discount.
-ORDER, BITS, DISCOUNT = 5, 20, 0.75
+#: Characters of the longest n-gram; Kneser-Ney's discount.
+ORDER, DISCOUNT = 5, 0.75
 #: Words to a window.
 WINDOW = 8
 
@@ -39,47 +39,71 @@ def _grams(found: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]
     return spaces, word, hashes, most
 
 
+class Table:
+    """Counts by key: sorted 64-bit hashes, each with its row of counts, as many as the corpus has. A last row of zeros is for all other keys."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray) -> None:
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.counts = np.concatenate([counts[order], np.zeros((1, counts.shape[1]), counts.dtype)])
+        self.find()
+
+    def find(self) -> None:
+        """Where the keys of each first bits begin, so that a look-up compares few of them: about one key to a beginning."""
+        self.bits = max(1, min(26, len(self.keys).bit_length()))
+        self.begins = np.searchsorted(self.keys, np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """The counts of each key."""
+        at, n = self.begins[(keys >> np.uint64(64 - self.bits)).astype(np.int64)], len(self.keys)
+        left = np.flatnonzero(at < n)
+        while len(left := left[self.keys[at[left]] < keys[left]]):
+            at[left] += 1
+            left = left[at[left] < n]
+        at[at < n] = np.where(self.keys[at[at < n]] == keys[at < n], at[at < n], n)
+        return self.counts[at]
+
+    def __getstate__(self) -> tuple:
+        return tuple((zlib.compress(v.tobytes(), 1), v.dtype.str, v.shape) for v in (self.keys, self.counts))
+
+    def __setstate__(self, state: tuple) -> None:
+        self.keys, self.counts = (np.frombuffer(zlib.decompress(v), kind).reshape(shape) for v, kind, shape in state)
+        self.find()
+
+
 @dataclass
 class Model:
-    """Counts by slot of a hash: of whole n-grams and their contexts for either class, and the continuation counts of
-    shorter n-grams and their contexts, which both classes share. All tables have 2 ** BITS slots, whatever the corpus."""
+    """Counts by key: of whole n-grams and their contexts for either class, and the continuation counts of shorter
+    n-grams and their contexts, which both classes share. The tables grow with the distinct n-grams of the corpus."""
 
-    top: np.ndarray
-    context: np.ndarray
-    low: np.ndarray
-    low_context: np.ndarray
+    top: Table
+    context: Table
+    low: Table
+    low_context: Table
     weights: np.ndarray | None = None
     centre: np.ndarray | None = None
     scale: np.ndarray | None = None
     prior: float = 0.0
 
-    def __getstate__(self) -> dict:
-        """Tables compressed, as most slots of a small corpus are empty and copies go to every executor."""
-        return {k: (zlib.compress(v.tobytes(), 1), v.dtype.str, v.shape) if isinstance(v, np.ndarray) else v for k, v in vars(self).items()}
-
-    def __setstate__(self, state: dict) -> None:
-        vars(self).update({k: np.frombuffer(zlib.decompress(v[0]), v[1]).reshape(v[2]) if isinstance(v, tuple) else v for k, v in state.items()})
-
     def word_ratios(self, found: list[bytes], of: int | None = None) -> np.ndarray:
         """Log-likelihood of each word as a toxic one less that as an ordinary one.
 
         With `of`, the words are all those of one text that was counted in that class, and its own counts are left out.
         """
         spaces, word, hashes, most = _grams(found)
-        slots = [(h >> np.uint64(64 - BITS)).astype(np.int64) for h in hashes]
-        total = max(self.low_context[0, 0], 1.0)
-        shared = 0.99 * self.low[slots[0][1:]] / total + 0.01 / 256
+        total = max(self.low_context(np.zeros(1, np.uint64))[0, 0], 1.0)
+        shared = 0.99 * self.low(hashes[0][1:])[:, 0] / total + 0.01 / 256
         p = shared
         for k in range(1, ORDER - 1):
-            c = self.low_context[slots[k - 1][:-1]]
+            c = self.low_context(hashes[k - 1][:-1])
             seen = c[:, 0] > 0
             t = np.where(seen, c[:, 0], 1)
-            q = np.maximum(self.low[slots[k][1:]] - DISCOUNT, 0) / t + np.clip(DISCOUNT * c[:, 1] / t, 1e-3, 1) * p
+            q = np.maximum(self.low(hashes[k][1:])[:, 0] - DISCOUNT, 0) / t + np.clip(DISCOUNT * c[:, 1] / t, 1e-3, 1) * p
             p = np.where((most > k + 1) & seen, q, p)
         row = np.arange(len(most))
-        at = np.stack(slots)[most - 1, row + 1]
-        before = np.stack(slots)[most - 2, row]
-        n, c = self.top[at].astype(np.float64), self.context[before].astype(np.float64)
+        at = np.stack(hashes)[most - 1, row + 1]
+        before = np.stack(hashes)[most - 2, row]
+        n, c = self.top(at).astype(np.float64), self.context(before).astype(np.float64)
         if of is not None:
             own = lambda x: (lambda u: u[2][u[1]])(np.unique(x, return_inverse=True, return_counts=True))
             n[:, of] = np.maximum(n[:, of] - own(at), 0)
@@ -188,13 +212,10 @@ def _gram_rows(kind: int, *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, np.int32)), *(pa.array(c.view(np.int64)) for c in columns)], names=["kind", "a", "b", "c", "n0", "n1"])
 
 
-def _table(rows: DataFrame, key: str, *sums: str) -> np.ndarray:
-    """Sums by slot, at most 2 ** BITS rows of them, as one array."""
-    slot = F.shiftrightunsigned(key, 64 - BITS).cast("int").alias("slot")
-    got = rows.groupBy(slot).agg(*(F.sum(s).cast("float").alias(s) for s in sums)).toArrow()
-    out = np.zeros((1 << BITS, len(sums)), np.float32)
-    out[got["slot"].to_numpy()] = np.stack([got[s].to_numpy() for s in sums], 1)
-    return out
+def _table(rows: DataFrame, key: str, *sums: str) -> Table:
+    """Sums by key."""
+    got = rows.groupBy(F.col(key).alias("key")).agg(*(F.sum(s).cast("double").alias(s) for s in sums)).toArrow()
+    return Table(got["key"].to_numpy().view(np.uint64), np.stack([got[s].to_numpy() for s in sums], 1))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
@@ -221,7 +242,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> Model:
     Words of all these documents are counted by class; character n-grams of the counted words, up to ORDER and within
     words, give either class its own counts of the longest ones, discounted, and both one set of continuation counts
     (Kneser-Ney: in how many contexts an n-gram occurs) to fall back on for rare ones. All counts are Spark
-    aggregations over all of the corpus; what comes to the driver has 2 ** BITS slots at most.
+    aggregations over all of the corpus; the driver and each worker hold one row of them per distinct n-gram and context.
 
     The calibration is a logistic regression over `features` of the `sample` labelled documents of smallest hash, whose
     own counts are left out. Labels other than 0 and 1 are ignored; of several for a document the highest holds. Without
@@ -233,11 +254,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> Model:
     grams = counted.mapInArrow(_count_grams, _GRAM_ROWS)
     grams = cut(grams.groupBy("kind", "a", "b", "c").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
     top, low = grams.filter("kind = 0"), grams.filter("kind = 1").groupBy("b", "c").agg(F.count("*").alias("n"))
-    empty = np.zeros((1, 1), np.float32)
-    model = Model(empty, empty, empty, empty)
+    model = Model(*[None] * 4)
     model.top = _table(top, "a", "n0", "n1")
     model.context = _table(top.selectExpr("b", "n0", "n1", "int(n0 > 0) as y0", "int(n1 > 0) as y1"), "b", "n0", "n1", "y0", "y1")
-    model.low = _table(low, "b", "n")[:, 0]
+    model.low = _table(low, "b", "n")
     model.low_context = _table(low.selectExpr("c", "n", "1 as y"), "c", "n", "y")
 
     top_hash = F.xxhash64("doc_id")

@@ -1,3 +1,4 @@
+import pickle
 import zlib
 from collections import Counter, defaultdict
 
@@ -86,6 +87,28 @@ def test_ratios_equal_brute_force(spark, docs_of):
         assert np.isclose(model.word_ratios([w.encode()])[0], brute(labelled, w), atol=1e-3), w
 
 
+def test_tables_keep_every_key():
+    rng = np.random.default_rng(3)
+    keys = np.unique(rng.integers(0, 1 << 63, 1_500_000).astype(np.uint64) * np.uint64(2))
+    table = toxicity.Table(keys[::-1], np.arange(1, len(keys) + 1, dtype=float)[::-1, None])
+    assert (table(keys)[:, 0] == np.arange(1, len(keys) + 1)).all() and not table(keys + np.uint64(1)).any()
+    again = pickle.loads(pickle.dumps(table))
+    assert (again(keys[:1000]) == table(keys[:1000])).all() and again.begins.size >= len(keys)
+    none = toxicity.Table(np.zeros(0, np.uint64), np.zeros((0, 2)))
+    assert none(keys[:5]).shape == (5, 2) and not none(keys[:5]).any()
+    few = toxicity.Table(np.array([5, 1, 3], np.uint64), np.array([[5.0], [1.0], [3.0]]))
+    assert few(np.arange(8, dtype=np.uint64))[:, 0].tolist() == [0, 1, 0, 3, 0, 5, 0, 0]
+
+
+def test_counts_of_large_corpora_are_exact(spark, docs_of):
+    rng = np.random.default_rng(2)
+    texts = [" ".join("".join(chr(0x4E00 + c) for c in rng.integers(0, 3000, 6)) for _ in range(4000)) for _ in range(24)]
+    model = toxicity.train(docs_of(texts), spark.createDataFrame([(i, 1, i % 2) for i in range(24)], "doc_id bigint, quality int, toxic int"))
+    labelled = [(t, i % 2) for i, t in enumerate(texts) if zlib.crc32(str(i).encode()) % 3 != 1]
+    for w in [labelled[0][0].split()[0], labelled[1][0].split()[9]]:
+        assert np.isclose(model.word_ratios([w.encode()])[0], brute(labelled, w), atol=1e-3), w
+
+
 def test_odd_tables(spark, docs_of):
     texts, labels = corpus(60)
     many = [*texts, None, "", "?!", "clod " * 20_000]
