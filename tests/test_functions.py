@@ -1,5 +1,6 @@
 from datetime import datetime
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -121,3 +122,15 @@ def test_assessments(spark):
 def test_percentiles_give_ties_the_highest_place(spark):
     rows = spark.createDataFrame([(0.1,), (0.2,), (0.2,), (0.9,)], "distance double")
     assert sorted(r.percentile for r in vectors.percentile(rows).collect()) == [0, 67, 67, 100]
+
+
+def test_neighbours_of_more_vectors_than_a_block(spark):
+    rng = np.random.default_rng(1)
+    e = rng.normal(size=(700, 6))
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(e.tolist())] + [(700, None)], "id bigint, embedding array<double>").repartition(3)
+    u = e / np.linalg.norm(e, axis=1)[:, None]
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    got = vectors.nearest_to_each(rows, rows.filter("id >= 100"), 3).collect()
+    assert {(r.query_id, r.id) for r in got} == {(q, int(i)) for q in range(100, 700) for i in np.argsort(-s[q])[:3]} and len(got) == 1800
+    assert vectors.nearest_to_each(rows, rows.filter("id < 0"), 3).collect() == []
