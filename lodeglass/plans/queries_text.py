@@ -141,7 +141,15 @@ def n15_reviewer_lines(t):
     from pyspark.sql import Window
 
     rows = t.analyses().filter("score >= 0.9").alias("a").join(t.articles().select(F.col("id").alias("crawl_id"), "source", "title", F.substring("content", 1, 200).alias("start")), "crawl_id")
-    n = F.row_number().over(Window.orderBy("id"))
+    parts = int(t.spark.conf.get("spark.sql.shuffle.partitions"))
+    bounds = sorted(set(t.analyses().filter("score >= 0.9").approxQuantile("id", [i / parts for i in range(1, parts)], 0.002))) if parts > 1 else []
+    rows = rows.withColumn("part", F.size(F.filter(F.array(*map(F.lit, bounds)).cast("array<double>"), lambda b: b < F.col("id"))))
+    counts, before, at = dict(rows.groupBy("part").count().collect()), [], 0
+    for part in sorted(counts):
+        before.append((part, at))
+        at += counts[part]
+    rows = rows.join(F.broadcast(t.spark.createDataFrame(before, "part int, before bigint")), "part")
+    n = F.row_number().over(Window.partitionBy("part").orderBy("id")) + F.col("before")
     return rows.select("id", F.format_string("[%d] %s | %s | %d | %s | %s", n, "source", "title", F.round(F.col("score") * 100).cast("int"), F.array_join(F.slice("indicators", 1, 3), ", "), "start").alias("line"))
 
 

@@ -134,3 +134,11 @@ def test_neighbours_of_more_vectors_than_a_block(spark):
     got = vectors.nearest_to_each(rows, rows.filter("id >= 100"), 3).collect()
     assert {(r.query_id, r.id) for r in got} == {(q, int(i)) for q in range(100, 700) for i in np.argsort(-s[q])[:3]} and len(got) == 1800
     assert vectors.nearest_to_each(rows, rows.filter("id < 0"), 3).collect() == []
+
+
+def test_reviewer_lines_are_numbered_in_parallel(spark):
+    from lodeglass.plans import registry
+
+    df = registry.queries()["n15_reviewer_lines"](spark, "/root/testdata/sf0.01")
+    assert "SinglePartition" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [r.line.split("]")[0] for r in df.orderBy("id").collect()] == [f"[{i}" for i in range(1, df.count() + 1)]
