@@ -20,7 +20,7 @@ def query(sql: str, keys: tuple[str, ...] = ()):
     def add(f):
         def run(spark, folder: str) -> DataFrame:
             schema = spark.read.parquet(f"{folder}/events.parquet").schema
-            rows = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
+            rows = spark.readStream.schema(schema).parquet(f"{folder}/events.parque[t]")  # a pattern, as the table may be one file or a folder of them
             score = F.least(F.lit(1.0), F.col("value") / 100)
             return finished(f(rows.select(F.col("event_id").alias("id"), score.alias("score"), severity(score).alias("severity"), F.col("event_type").alias("source"), F.col("ts").cast("timestamp").alias("ts"))), bool(keys))
 
@@ -38,11 +38,14 @@ def finished(stream: DataFrame, complete: bool) -> DataFrame:
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     folder = f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
 
+    written = []
+
     def keep(batch: DataFrame, number: int) -> None:
+        written.append(number)
         batch.write.mode("overwrite").parquet(f"{folder}/out" if complete else f"{folder}/out/batch={number}")
 
     stream.writeStream.foreachBatch(keep).outputMode("complete" if complete else "append").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{folder}/out").select(*stream.columns)
+    return spark.read.schema(stream.schema).parquet(f"{folder}/out").select(*stream.columns) if written else spark.createDataFrame([], stream.schema)
 
 
 _ROWS = f"SELECT event_id AS id, least(1.0::DOUBLE, value / 100) AS score, {SEVERITY_SQL.format('least(1.0::DOUBLE, value / 100)')} AS severity, event_type AS source, ts::TIMESTAMP AS ts FROM events"

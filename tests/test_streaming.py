@@ -78,3 +78,12 @@ def test_groups_and_reviews(spark, streamed):
     a = build("id int, score double, ts timestamp", [(1, 0.5, at(0)), (2, 0.6, at(0))])
     f = build("analysis_id int, feedback_type string, ts timestamp", [(1, "noise", at(10)), (2, "noise", at(40))])
     assert [(r[0], r[4]) for r in finish(jobs.reviewed(a, f))] == [(1, "noise")]
+
+
+def test_events_in_a_folder_of_files(spark, tmp_path):
+    from lodeglass.plans import queries_streaming
+
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    for name in ("x7_grouped", "x3_daily_windows"):
+        whole, parts = (queries_streaming.QUERIES[name](spark, f).collect() for f in ("/root/testdata/sf0.001", str(tmp_path)))
+        assert sorted(whole) == sorted(parts) != []
