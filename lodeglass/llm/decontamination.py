@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
@@ -71,9 +71,28 @@ def scan(text: str | None, a) -> dict:
         edge[i] += 1
         edge[i + n] -= 1
     hit = np.cumsum(edge[:-1]) > 0
+    return {"n_words": len(w), "n_hit": int(hit.sum()), "items": sorted(items), "spans": _spans(text, hit)}
+
+
+def _spans(text: str, hit: np.ndarray) -> list[dict]:
+    """The runs of hit words (a flag for each word) in code points of the text."""
     turns = np.flatnonzero(np.diff(np.concatenate([[False], hit, [False]]).astype(np.int8)))
     where = [m.span() for m in _ORIGINAL.finditer(text)]
-    return {"n_words": len(w), "n_hit": int(hit.sum()), "items": sorted(items), "spans": [{"first": where[i][0], "after": where[j - 1][1]} for i, j in zip(turns[::2], turns[1::2], strict=True)]}
+    return [{"first": where[i][0], "after": where[j - 1][1]} for i, j in zip(turns[::2], turns[1::2], strict=True)]
+
+
+def _spans_of(text: str, hits: str) -> Column:
+    """The same by the numbers of the hit words; null or no numbers give no spans."""
+    @arrow_udf("array<struct<first:int,after:int>>")
+    def find(texts: pa.Array, hits: pa.Array) -> pa.Array:
+        out = []
+        for text, numbers in zip(texts.to_pylist(), hits.to_pylist(), strict=True):
+            hit = np.zeros(len(words(text)), bool)
+            hit[numbers or []] = True
+            out.append(_spans(text, hit) if numbers else [])
+        return pa.array(out, _FOUND.field("spans").type)
+
+    return find(text, hits)
 
 
 def with_passages(docs: DataFrame, benchmark: DataFrame, column: str = "passages", width: int = 10, most_chars: int = 50_000_000) -> DataFrame:
@@ -104,7 +123,7 @@ def with_passages(docs: DataFrame, benchmark: DataFrame, column: str = "passages
 
 
 def _by_join(docs: DataFrame, benchmark: DataFrame, column: str, width: int) -> DataFrame:
-    """The same by a join of windows: for benchmarks that no worker should hold. Spans are left null."""
+    """The same by a join of windows: for benchmarks that no worker should hold."""
     split = lambda c: F.regexp_extract_all(F.translate(F.coalesce(c, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
     item = benchmark.filter("item_id is not null").select(F.col("item_id").cast("string").alias("item"), split("text").alias("w")).filter("size(w) > 0").withColumn("n", F.least(F.size("w"), F.lit(width)))
     item = item.select("item", "n", F.explode(F.expr("transform(sequence(0, size(w) - n), i -> array_join(slice(w, i + 1, n), ' '))")).alias("window")).distinct()
@@ -113,8 +132,9 @@ def _by_join(docs: DataFrame, benchmark: DataFrame, column: str, width: int) ->
     at = keyed.select("key", "w", F.explode(F.sequence(F.lit(1), F.lit(width))).alias("n")).filter("size(w) >= n").join(F.broadcast(item.select("n").distinct()), "n", "left_semi")
     at = at.select("key", "n", F.posexplode(F.expr("transform(sequence(0, size(w) - n), i -> array_join(slice(w, i + 1, n), ' '))")).alias("pos", "window"))
     hits = at.join(item, ["n", "window"])
-    by_word = hits.select("key", F.explode(F.expr("sequence(pos, pos + n - 1)")).alias("word")).groupBy("key").agg(F.countDistinct("word").alias("n_hit"))
+    by_word = hits.select("key", F.explode(F.expr("sequence(pos, pos + n - 1)")).alias("word")).groupBy("key").agg(F.collect_set("word").alias("hit"))
     by_item = hits.groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
     counted = keyed.select("key", F.size("w").cast("bigint").alias("n_words")).join(by_word, "key", "left").join(by_item, "key", "left")
-    found = counted.select("key", F.struct("n_words", F.coalesce("n_hit", F.lit(0)).cast("bigint").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.lit(None).cast("array<struct<first:int,after:int>>").alias("spans")).alias(column))
-    return docs.drop(column).withColumn("_text_key", F.sha2(F.coalesce("text", F.lit("")), 256)).join(found.withColumnRenamed("key", "_text_key"), "_text_key", "left").drop("_text_key")
+    found = counted.select(F.col("key").alias("_text_key"), F.struct("n_words", F.size(F.coalesce("hit", F.array().cast("array<int>"))).cast("bigint").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")).alias("_found"), F.col("hit").alias("_hit"))
+    met = docs.drop(column).withColumn("_text_key", F.sha2(F.coalesce("text", F.lit("")), 256)).join(found, "_text_key", "left")
+    return met.withColumn(column, F.struct("_found.n_words", "_found.n_hit", "_found.items", _spans_of("text", "_hit").alias("spans"))).drop("_text_key", "_found", "_hit")

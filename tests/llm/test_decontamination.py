@@ -48,6 +48,14 @@ def test_hits_equal_brute_force(spark, docs_of, cases, most):
                 assert sum(len(split(t[s.first : s.after])) for s in p.spans) == p.n_hit
 
 
+def test_both_ways_give_the_same_spans(spark, docs_of, cases):
+    items, texts = cases
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    a, b = ({r.doc_id: r.passages for r in decontamination.with_passages(docs_of(texts), benchmark, width=4, most_chars=most).collect()} for most in (10**6, 0))
+    assert a == b and any(len(p.spans) > 1 for p in a.values())
+
+
+
 def test_empty_tables(spark, docs_of):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert [r.passages.n_hit for r in decontamination.with_passages(docs_of(["a b", None]), none).collect()] == [0, 0]
