@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lodeglass.llm.shared import WordHasher, cut, mix, words
+from lodeglass.llm.shared import WordHasher, cut, mix, quoted, spare, words
 
 #: Words to a shingle; a signature's components, and how they are dealt out to bands: 25 of 5, so that a pair of
 #: similarity 0.8 shares a band with probability 1 - (1 - 0.8 ** 5) ** 25 = 0.99999, and one of 0.4 with 0.23.
@@ -172,9 +172,19 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
-def _components_of(members: DataFrame, edges: DataFrame) -> DataFrame:
-    """The members with the component of each node, its own if it has no edge."""
-    return members.join(components(edges), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+def _split(members: DataFrame, edges: DataFrame) -> DataFrame:
+    """The members of buckets in which components differ, each with its own (comp) and its bucket's largest one (main)."""
+    split = members.join(components(edges), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    sizes = split.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
+    mixed = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
+    return cut(split.join(mixed.select("bucket", "main"), "bucket"))
+
+
+def _stars(members: DataFrame, outside: str = "true") -> DataFrame:
+    """Pairs (a, b): in each bucket the member that meets most others over all bands, of those for which `outside` holds, with every other member of another component."""
+    met = members.groupBy("node").agg(F.sum("n").alias("met"))
+    centres = members.filter(outside).join(met, "node").groupBy("bucket").agg(F.max_by(F.struct("node", "comp"), F.struct("met", "node")).alias("centre"))
+    return members.join(centres, "bucket").filter("comp <> centre.comp").select(F.col("centre.node").alias("a"), F.col("node").alias("b")).distinct()
 
 
 def links(nodes: DataFrame, texts_of, least: float) -> DataFrame:
@@ -182,72 +192,116 @@ def links(nodes: DataFrame, texts_of, least: float) -> DataFrame:
 
     Nodes that share a band are candidates. In each band's bucket the node that meets most others over all bands is the
     centre, and every other node is compared with it alone; copies of one text make one component that way, at a cost in
-    proportion to their number. Then only pairs of one bucket whose components still differ are left. Of these, all are
-    compared but those whose sketches (four bits of each component) lie farther apart than four deviations allow for a
-    similarity of `least`.
+    proportion to their number. In buckets whose components differ then, a node outside the largest one is a second
+    centre for all others. Only then pairs of one bucket whose components still differ are left (`_open_pairs`), and all
+    of them are compared but those whose sketches (four bits of each component) lie farther apart than four deviations
+    allow for a similarity of `least`.
     """
     spread = nodes.select("node", F.posexplode("bands").alias("band", "bucket")).repartition("bucket")
     shared = spread.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     members = cut(spread.join(shared, "bucket"))
     texts = cut(texts_of(members.select("node").distinct()))
 
-    met = members.groupBy("node").agg(F.sum("n").alias("met"))
-    centres = members.join(met, "node").groupBy("bucket").agg(F.max_by("node", F.struct("met", "node")).alias("a"))
-    stars = members.join(centres, "bucket").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
-    edges = cut(_verified(stars, texts, least))
-
-    split = _components_of(members, edges)
-    mixed = split.groupBy("bucket").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("bucket")
-    main = split.join(mixed, "bucket").groupBy("bucket", "comp").agg(F.count("*").alias("size")).groupBy("bucket").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"))
-    open_ = split.join(main, "bucket").join(nodes.select("node", "bands", "sketch"), "node").join(texts, "node")
-    return edges.union(_rest(open_, least))
-
-
-def _rest(open_: DataFrame, least: float, most: int = 1024) -> DataFrame:
-    """Links (a, b) between members of one bucket whose components differ: bucket, band, n, node, comp, main, bands, sketch, text.
+    first = cut(_verified(_stars(members.withColumn("comp", F.col("node"))), texts, least))
+    second = cut(_verified(_stars(_split(members, first), "comp <> main"), texts, least))
+    found = first.union(second)
+    pairs = cut(_open_pairs(_split(members, found).join(nodes.select("node", "bands", "sketch"), "node"), least))
+    return found.union(_tiled(pairs, texts, least))
+
+
+def _groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
+    """The rows of each key, of batches that are sorted by it; keys are 64-bit integers."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = np.stack([batch[k].to_numpy(zero_copy_only=False) for k in keys], 1)
+        if held and any(held[0][k][0].as_py() != v for k, v in zip(keys, now[0].tolist(), strict=True)):
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+        edges = [0, *(np.flatnonzero((now[1:] != now[:-1]).any(1)) + 1).tolist(), len(now)]
+        for low, high in zip(edges[:-1], edges[1:], strict=True):
+            held.append(batch.slice(low, high - low))
+            if high < len(now):
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def _open_pairs(open_: DataFrame, least: float, most: int = 512) -> DataFrame:
+    """Pairs (main, a, b) of members of one bucket whose components differ and whose sketches allow it: bucket, band, n, node, comp, main, bands, sketch.
 
     Members outside the bucket's largest component meet all members, in blocks of about `most` on either side, each pair
-    of blocks a group of its own. A pair is compared in the first band that it shares, once its sketches allow it, and
-    unless links found before in the group connect it.
+    of blocks a group of its own, without texts. A pair comes out of the first band that it shares, so once.
     """
     blocks, own = F.ceil(F.col("n") / F.lit(most)), F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / F.lit(most)))
     each = F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))
-    rows = open_.withColumn("own", own)
+    rows = open_.withColumn("own", own).withColumn("bands", F.slice("bands", 1, F.col("band")))
     left = rows.filter("comp <> main").withColumn("side", F.lit(0)).withColumn("other", each).withColumnsRenamed({"own": "lb", "other": "mb"})
     right = rows.withColumn("side", F.lit(1)).withColumn("other", each).withColumnsRenamed({"own": "mb", "other": "lb"})
     limit = _farthest(least)
 
-    def compare(table: pa.Table) -> pa.Table:
-        hasher, known, low = WordHasher(), {}, {}
-
-        def counts(i: int) -> tuple[np.ndarray, np.ndarray]:
-            if i not in known:
-                known[i] = np.unique(shingles(hasher(words(text[i].as_py()))), return_counts=True)
-            return known[i]
-
-        def root(c: bytes) -> bytes:
-            while low.get(c, c) != c:
-                c = low[c]
-            return c
-
-        table = table.combine_chunks()
-        node, comp, main, text = table["node"].to_pylist(), table["comp"].to_pylist(), table["main"][0].as_py(), table["text"]
-        matrix = lambda c, n: table[c].combine_chunks().flatten().to_numpy().reshape(-1, n)
-        sketch, band, side = matrix("sketch", SKETCH // 64), matrix("bands", BANDS), table["side"].to_numpy()
-        number, out = table["band"][0].as_py(), []
-        right = np.flatnonzero(side == 1)
+    def pairs_of(table: pa.Table) -> pa.RecordBatch:
+        side, number = table["side"].to_numpy(), table["band"][0].as_py()
+        sketch = table["sketch"].chunk(0).flatten().to_numpy().reshape(-1, SKETCH // 64)
+        band = table["bands"].chunk(0).flatten().to_numpy().reshape(len(side), number)
+        comp, node = (np.unique(np.array(table[c].to_pylist(), object), return_inverse=True) for c in ("comp", "node"))
+        main = int(np.flatnonzero(comp[0] == table["main"][0].as_py())[0]) if table["main"][0].as_py() in comp[0] else -1
+        comp, node, right, out = comp[1], node[1], np.flatnonzero(side == 1), []
         for i in np.flatnonzero(side == 0):
-            near = right[np.bitwise_count((sketch[right] ^ sketch[i]).view(np.uint64)).sum(1, dtype=np.int64) <= limit]
-            near = near[(band[near, :number] != band[i, :number]).all(1)]
-            for j in near.tolist():
-                a, b = root(comp[i]), root(comp[j])
-                if a != b and (comp[j] == main or node[i] < node[j]) and similarity_of(*counts(i), *counts(j)) >= least:
-                    low[max(a, b)] = min(a, b)
-                    out.append((node[i], node[j]))
-        return pa.table({"a": pa.array([x for x, _ in out], pa.binary()), "b": pa.array([x for _, x in out], pa.binary())})
+            near = right[(comp[right] != comp[i]) & ((comp[right] == main) | (node[i] < node[right]))]
+            near = near[np.bitwise_count((sketch[near] ^ sketch[i]).view(np.uint64)).sum(1, dtype=np.int64) <= limit]
+            near = near[(band[near] != band[i]).all(1)]
+            out.append((np.full(len(near), i), near))
+        a, b = (np.concatenate([x[k] for x in out] or [np.zeros(0, np.int64)]) for k in (0, 1))
+        names = ("main", "a", "b")
+        return pa.RecordBatch.from_arrays([table[c].chunk(0).take(pa.array(at, pa.int64())) for c, at in (("main", a), ("node", a), ("node", b))], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _groups(batches, "bucket", "lb", "mb"):
+            if (table["side"].to_numpy() == 0).any():
+                yield pairs_of(table)
 
-    names = ["bucket", "band", "lb", "mb", "side", "node", "comp", "main", "bands", "sketch", "text"]
-    return left.select(names).unionByName(right.select(names)).groupBy("bucket", "lb", "mb").applyInArrow(compare, "a binary, b binary")
+    names = ["bucket", "band", "lb", "mb", "side", "node", "comp", "main", "bands", "sketch"]
+    both = left.select(names).unionByName(right.select(names))
+    return both.repartition("bucket", "lb", "mb").sortWithinPartitions("bucket", "lb", "mb").mapInArrow(run, "main binary, a binary, b binary")
+
+
+def _tiled(pairs: DataFrame, texts: DataFrame, least: float, chars: int = 4_000_000, rows: int = 16_384) -> DataFrame:
+    """Those of the pairs (main, a, b) whose texts are at least so similar, but for pairs that links found before in the tile connect.
+
+    The pairs of one `main` are dealt into square tiles by hashes of a and b, as many as keep a tile's texts to about
+    2 * `chars` characters and its pairs to about `rows`; a text goes once to each tile that has a pair of it, not to each pair.
+    """
+    sizes = pairs.selectExpr("main", "a as node").union(pairs.selectExpr("main", "b as node")).distinct().join(texts.select("node", F.length("text").alias("chars")), "node").groupBy("main").agg(F.sum("chars").alias("chars"))
+    sizes = sizes.join(pairs.groupBy("main").agg(F.count("*").alias("pairs")), "main")
+    side = F.greatest(F.ceil(F.col("chars") / F.lit(chars)), F.ceil(F.sqrt(F.col("pairs") / F.lit(rows)))).alias("side")
+    of = lambda c: F.pmod(F.xxhash64(c), F.col("side"))
+    dealt = pairs.join(sizes.select("main", side), "main").select(F.xxhash64("main", of("a"), of("b")).alias("tile"), "a", "b")
+    wanted = dealt.selectExpr("tile", "a as node").union(dealt.selectExpr("tile", "b as node")).distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
+        for table in _groups(batches, "tile"):
+            a, b, text = (table[c].to_pylist() for c in ("a", "b", "text"))
+            counts, low, keep = {}, {}, []
+
+            def root(x: bytes) -> bytes:
+                while low.get(x, x) != x:
+                    x = low[x]
+                return x
+
+            for i, (x, y, t) in enumerate(zip(a, b, text, strict=True)):
+                if t is not None:
+                    counts[x] = np.unique(shingles(hasher(words(t))), return_counts=True)
+                elif (p := root(x)) != (q := root(y)) and similarity_of(*counts[x], *counts[y]) >= least:
+                    low[max(p, q)] = min(p, q)
+                    keep.append(i)
+            yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in keep], pa.binary()) for c in (a, b)], names=["a", "b"])
+
+    both = wanted.join(texts, "node").select("tile", F.col("node").alias("a"), F.lit(None).cast("binary").alias("b"), "text").unionByName(dealt.withColumn("text", F.lit(None).cast("string")))
+    return both.repartition("tile").sortWithinPartitions("tile", F.col("text").isNull(), "a", "b").mapInArrow(run, "a binary, b binary")
 
 
 def _farthest(least: float) -> int:
@@ -271,7 +325,7 @@ def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         keys = nodes.join(wanted, "node").select("node", "first.doc_id", "first.text_hash")
-        found = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_hash"), "text").join(keys, F.col("_hash").eqNullSafe(F.col("text_hash")) & F.col("_id").eqNullSafe(F.col("doc_id")))
+        found = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), "text").join(keys, (F.col("hash") == F.col("text_hash")) & F.col("id").eqNullSafe(F.col("doc_id")))
         return found.select("node", "text").dropDuplicates(["node"])
 
     comp = components(links(nodes, texts_of, least))
@@ -285,9 +339,16 @@ def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, least: float = 0.8) -> DataFrame:
-    """The documents without near duplicates: of each class the row that names it stays, with all its columns, once."""
-    winners = classes(docs, least).filter("doc_id <=> class_id and text_hash <=> class_text_hash").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-    keyed = docs.withColumn("_own", F.xxhash64("text"))
-    kept = keyed.join(winners, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("_own").eqNullSafe(F.col("_hash")), "left_semi")
-    first = F.row_number().over(Window.partitionBy("doc_id", "_own").orderBy(F.xxhash64(*(F.col(c).cast("string") for c in docs.columns))))
-    return kept.withColumn("_nth", first).filter(F.col("_nth") == 1).drop("_nth", "_own")
+    """The documents without near duplicates: of each class the row that names it stays, with all its columns, once.
+
+    Rows without words stay if no equal one stays; an empty table stays empty; columns of any names are kept as they are.
+    """
+    names = found_id, found_hash, key, nth = spare(docs, 4)
+    winners = classes(docs, least).filter("doc_id <=> class_id and text_hash <=> class_text_hash").select(F.col("doc_id").alias(found_id), F.col("text_hash").alias(found_hash)).distinct()
+    # one key that is never null, so that the window can use the join's partitioning
+    winners = winners.withColumn(key, F.xxhash64(found_id, found_hash))
+    keyed = docs.withColumn(found_hash, F.xxhash64("text")).withColumn(key, F.xxhash64("doc_id", found_hash))
+    same = (F.col("d." + key) == F.col("w." + key)) & F.col("d.doc_id").eqNullSafe(F.col("w." + found_id)) & (F.col("d." + found_hash) == F.col("w." + found_hash))
+    kept = keyed.alias("d").join(winners.alias("w"), same, "left_semi")
+    first = F.row_number().over(Window.partitionBy(key, "doc_id", found_hash).orderBy(F.xxhash64(*(F.col(quoted(c)).cast("string") for c in docs.columns))))
+    return kept.withColumn(nth, first).filter(F.col(nth) == 1).drop(*names)

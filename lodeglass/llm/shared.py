@@ -33,6 +33,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def spare(df: DataFrame, n: int) -> list[str]:
+    """So many column names that the table has not, in whatever case."""
+    taken, tail = {c.lower() for c in df.columns}, ""
+    while any(f"own{i}{tail}" in taken for i in range(n)):
+        tail += "_"
+    return [f"own{i}{tail}" for i in range(n)]
+
+
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def open_store(uri: str):
     """(pyarrow file system, path there) of a folder or file that Spark names by a URI or a plain path."""
     from pyarrow import fs
