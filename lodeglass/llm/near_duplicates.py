@@ -136,23 +136,24 @@ def components(edges: DataFrame) -> DataFrame:
     """node and comp, the least node that it is connected with, for every node of the edges (a, b).
 
     Large-star and small-star steps by turns: every node links its greater neighbours, then its lesser ones and itself,
-    to the least it knows, until nothing changes. Each step is a grouped minimum and a join back, so a hub's edges are
-    not gathered, and each round is cut off in the shared folder.
+    to the least it knows, until nothing changes. Each step is one shuffle and a window over a node's edges, which Spark
+    spills and never holds as one row; no step makes more edges than it gets, and each round is cut off in the shared folder.
     """
-    def star(pairs: DataFrame, least: DataFrame) -> DataFrame:
-        return pairs.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+    of = Window.partitionBy("u")
+    least = F.least("u", F.min("v").over(of))
 
-    now, before = cut(edges.select("a", "b").filter("a <> b").distinct()), None
+    now, before = cut(edges.select("a", "b").filter("a <> b")), None
     while True:
         state = now.agg(F.count("*"), F.sum(F.xxhash64(F.greatest("a", "b"), F.least("a", "b")).cast("decimal(38,0)"))).first()
         if state == before or not state[0]:
             break
         before = state
-        both = now.selectExpr("a as u", "b as v").union(now.selectExpr("b as u", "a as v"))
-        large = star(both.filter("v > u"), both.groupBy("u").agg(F.least(F.first("u"), F.min("v")).alias("m")))
-        down = large.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        least = down.groupBy("u").agg(F.min("v").alias("m"))
-        now = cut(star(down.union(down.selectExpr("u", "u as v").distinct()), least))
+        both = now.select(F.explode(F.array(F.struct(F.col("a").alias("u"), F.col("b").alias("v")), F.struct(F.col("b").alias("u"), F.col("a").alias("v")))).alias("e")).select("e.*")
+        large = both.withColumn("m", least).filter("v > u and v <> m")
+        down = large.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v"))
+        seen = down.withColumns({"m": least, "last": F.lag("v").over(of.orderBy("v"))}).filter("last is null or v <> last")
+        # the first edge of a node links itself, the others what they lead to
+        now = cut(seen.select(F.when(F.col("last").isNull(), F.col("u")).otherwise(F.col("v")).alias("a"), F.col("m").alias("b")))
     return now.select(F.col("a").alias("node"), F.col("b").alias("comp"))
 
 
@@ -172,9 +173,9 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "ta", "tb").mapInArrow(run, "a binary, b binary")
 
 
-def _split(members: DataFrame, edges: DataFrame) -> DataFrame:
+def _split(members: DataFrame, comps: DataFrame) -> DataFrame:
     """The members of buckets in which components differ, each with its own (comp) and its bucket's largest one (main)."""
-    split = members.join(components(edges), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    split = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     sizes = split.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
     mixed = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
     return cut(split.join(mixed.select("bucket", "main"), "bucket"))
@@ -182,13 +183,13 @@ def _split(members: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _stars(members: DataFrame, outside: str = "true") -> DataFrame:
     """Pairs (a, b): in each bucket the member that meets most others over all bands, of those for which `outside` holds, with every other member of another component."""
-    met = members.groupBy("node").agg(F.sum("n").alias("met"))
-    centres = members.filter(outside).join(met, "node").groupBy("bucket").agg(F.max_by(F.struct("node", "comp"), F.struct("met", "node")).alias("centre"))
+    rows = members.withColumn("met", F.sum("n").over(Window.partitionBy("node")))
+    centres = rows.filter(outside).groupBy("bucket").agg(F.max(F.struct("met", "node", "comp")).alias("centre"))
     return members.join(centres, "bucket").filter("comp <> centre.comp").select(F.col("centre.node").alias("a"), F.col("node").alias("b")).distinct()
 
 
 def links(nodes: DataFrame, texts_of, least: float) -> DataFrame:
-    """Pairs (a, b) of nodes that are at least so similar, enough of them to connect every class that all such pairs make.
+    """node and comp of the nodes that have links: what is connected by pairs of nodes that are at least so similar.
 
     Nodes that share a band are candidates. In each band's bucket the node that meets most others over all bands is the
     centre, and every other node is compared with it alone; copies of one text make one component that way, at a cost in
@@ -197,16 +198,21 @@ def links(nodes: DataFrame, texts_of, least: float) -> DataFrame:
     of them are compared but those whose sketches (four bits of each component) lie farther apart than four deviations
     allow for a similarity of `least`.
     """
-    spread = nodes.select("node", F.posexplode("bands").alias("band", "bucket")).repartition("bucket")
+    spread = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     members = cut(spread.join(shared, "bucket"))
     texts = cut(texts_of(members.select("node").distinct()))
 
-    first = cut(_verified(_stars(members.withColumn("comp", F.col("node"))), texts, least))
-    second = cut(_verified(_stars(_split(members, first), "comp <> main"), texts, least))
-    found = first.union(second)
-    pairs = cut(_open_pairs(_split(members, found).join(nodes.select("node", "bands", "sketch"), "node"), least))
-    return found.union(_tiled(pairs, texts, least))
+    def joined(comps: DataFrame, pairs: DataFrame) -> DataFrame:
+        return components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(pairs))
+
+    comps = components(_verified(_stars(members.withColumn("comp", F.col("node"))), texts, least))
+    mixed = _split(members, comps)
+    texts = cut(texts.join(mixed.select("node").distinct(), "node", "left_semi"))
+    comps = joined(comps, _verified(_stars(mixed, "comp <> main"), texts, least))
+    mixed = _split(mixed.drop("comp", "main"), comps)
+    pairs = cut(_open_pairs(mixed.join(nodes.select("node", "bands", "sketch"), "node"), least))
+    return joined(comps, _tiled(pairs, texts, least))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
@@ -328,7 +334,7 @@ def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
         found = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), "text").join(keys, (F.col("hash") == F.col("text_hash")) & F.col("id").eqNullSafe(F.col("doc_id")))
         return found.select("node", "text").dropDuplicates(["node"])
 
-    comp = components(links(nodes, texts_of, least))
+    comp = links(nodes, texts_of, least)
     named = nodes.select("node", "first", "n").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     whole = named.groupBy("comp").agg(F.min("first").alias("class"), F.sum("n").alias("class_rows"))
     found = named.select("node", "comp").join(whole, "comp").select("node", "class", "class_rows")
