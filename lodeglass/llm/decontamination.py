@@ -1,77 +1,74 @@
-"""Benchmark passages in documents, found by one Aho-Corasick automaton."""
+"""Benchmark passages in documents, found by an Aho-Corasick automaton over the words of test items."""
 
 from __future__ import annotations
 
 import re
 import uuid
+from bisect import bisect_right
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from lodeglass.llm.shared import words
+from lodeglass.llm.shared import cut, quoted, words
+
+#: Words of an item that stay together when items are dealt out to automata.
+PIECE = 1000
 
 FOUND = "struct<n_words:bigint,n_hit:bigint,items:array<string>,spans:array<struct<first:int,after:int>>>"
 _FOUND = pa.struct([("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("spans", pa.list_(pa.struct([("first", pa.int32()), ("after", pa.int32())])))])
 _ORIGINAL = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
-_BUILT: dict[tuple[str, int], object] = {}
-
-
-def windows(text: str | None, width: int) -> list[tuple[bytes, int]]:
-    """(words joined by and between spaces, how many) of each window of a text; a text of fewer words than `width`, but not none, is one window."""
-    w = words(text)
-    return [(b" " + b" ".join(w[i : i + width]) + b" ", min(width, len(w))) for i in range(max(1, len(w) - width + 1))] if w else []
-
+_BUILT: dict[str, object] = {}
 
-def automaton(items: list[tuple[str, str | None]], width: int):
-    """One automaton over the windows of all items; it runs over UTF-8 bytes as characters. None if no item has words."""
-    import ahocorasick
 
-    owners: dict[tuple[bytes, int], list[str]] = defaultdict(list)
-    for item_id, text in items:
-        for window in windows(text, width):
-            owners[window].append(item_id)
-    if not owners:
-        return None
-    a = ahocorasick.Automaton()
-    for (key, n), ids in owners.items():
-        a.add_word(key.decode("latin-1"), (len(key), n, sorted(set(ids))))
-    a.make_automaton()
-    return a
-
-
-def _built(name: str, shared, width: int):
-    """The automaton of a broadcast list of items, built once in a Python worker."""
-    if (name, width) not in _BUILT:
-        _BUILT.clear()
-        _BUILT[name, width] = automaton(shared.value, width)
-    return _BUILT[name, width]
+class Passages:
+    """One automaton over all windows of the given items' words: runs of `width` of them, or all words of a shorter item.
 
+    It runs over numbers of words, so a window of ten words has ten nodes at most; words that no item has are 0.
+    """
 
-def scan(text: str | None, a) -> dict:
-    """What the automaton finds in one text, scanned once: hit words, items and, in code points of the text itself, the hit spans."""
+    def __init__(self, items: list[tuple[str, list[bytes]]], width: int) -> None:
+        import ahocorasick
+
+        self.numbers: dict[bytes, int] = {}
+        owners: dict[tuple[int, ...], set[str]] = defaultdict(set)
+        for item, found in items:
+            numbers = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in found]
+            for i in range(max(1, len(numbers) - width + 1) if numbers else 0):
+                owners[tuple(numbers[i : i + width])].add(item)
+        self.sizes, self.owners = [len(k) for k in owners], list(owners.values())
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE) if owners else None
+        for i, window in enumerate(owners):
+            self.automaton.add_word(window, i)
+        if owners:
+            self.automaton.make_automaton()
+
+    def find(self, found: list[bytes]) -> tuple[np.ndarray, set[str]]:
+        """Which of the words lie inside a window's occurrence, and the items of these windows."""
+        edge, items = np.zeros(len(found) + 1, np.int64), set()
+        if self.automaton and found:
+            number = self.numbers.get
+            for last, i in self.automaton.iter(tuple([number(w, 0) for w in found])):
+                edge[last + 1 - self.sizes[i]] += 1
+                edge[last + 1] -= 1
+                items |= self.owners[i]
+        return np.cumsum(edge[:-1]) > 0, items
+
+
+def scan(text: str | None, passages: Passages, before: dict | None = None) -> dict:
+    """What is found in one text, scanned once, with what was found in it `before`: hit words, items and, in code points of the text itself, the hit spans."""
     w = words(text)
-    if not w or a is None:
-        return {"n_words": len(w), "n_hit": 0, "items": [], "spans": []}
-    joined, found = (b" " + b" ".join(w) + b" ").decode("latin-1"), []
-    items: set[str] = set()
-    for end, (size, n, ids) in a.iter(joined):
-        found.append((end + 1 - size, n))
-        items.update(ids)
-    if not found:
-        return {"n_words": len(w), "n_hit": 0, "items": [], "spans": []}
-    starts = np.cumsum([0, *(len(x) + 1 for x in w)])
-    edge = np.zeros(len(w) + 1, np.int64)
-    for at, n in found:
-        i = int(np.searchsorted(starts, at))
-        edge[i] += 1
-        edge[i + n] -= 1
-    hit = np.cumsum(edge[:-1]) > 0
-    return {"n_words": len(w), "n_hit": int(hit.sum()), "items": sorted(items), "spans": _spans(text, hit)}
+    hit, items = passages.find(w)
+    if before and before["spans"]:
+        where = [m.span() for m in _ORIGINAL.finditer(text)]
+        firsts, afters = ([x[k] for x in before["spans"]] for k in ("first", "after"))
+        hit |= np.array([(k := bisect_right(firsts, a)) > 0 and b <= afters[k - 1] for a, b in where], bool)
+        items |= set(before["items"])
+    return {"n_words": len(w), "n_hit": int(hit.sum()), "items": sorted(items), "spans": _spans(text, hit) if hit.any() else []}
 
 
 def _spans(text: str, hit: np.ndarray) -> list[dict]:
@@ -81,60 +78,68 @@ def _spans(text: str, hit: np.ndarray) -> list[dict]:
     return [{"first": where[i][0], "after": where[j - 1][1]} for i, j in zip(turns[::2], turns[1::2], strict=True)]
 
 
-def _spans_of(text: str, hits: str) -> Column:
-    """The same by the numbers of the hit words; null or no numbers give no spans."""
-    @arrow_udf("array<struct<first:int,after:int>>")
-    def find(texts: pa.Array, hits: pa.Array) -> pa.Array:
-        out = []
-        for text, numbers in zip(texts.to_pylist(), hits.to_pylist(), strict=True):
-            hit = np.zeros(len(words(text)), bool)
-            hit[numbers or []] = True
-            out.append(_spans(text, hit) if numbers else [])
-        return pa.array(out, _FOUND.field("spans").type)
+def _built(name: str, shared, width: int) -> Passages:
+    """The automaton of a broadcast list of pieces, built once in a Python worker, which holds one at a time."""
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = Passages([(item, found.split()) for item, found in shared.value], width)
+    return _BUILT[name]
+
+
+def _pieces(benchmark: DataFrame, width: int) -> DataFrame:
+    """item, n, found: the items' words, of long ones in pieces that overlap by width - 1 words, so that each window lies in one piece."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for item, text in zip(batch["item"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                w = words(text)
+                for a in range(0, max(1, len(w) - width + 1) if w else 0, PIECE):
+                    part = w[a : a + PIECE + width - 1]
+                    out.append({"item": item, "n": len(part), "found": b" ".join(part)})
+            yield pa.RecordBatch.from_pylist(out, pa.schema([("item", pa.string()), ("n", pa.int64()), ("found", pa.binary())]))
 
-    return find(text, hits)
+    return benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), "text").mapInArrow(run, "item string, n bigint, found binary")
 
 
-def with_passages(docs: DataFrame, benchmark: DataFrame, column: str = "passages", width: int = 10, most_chars: int = 50_000_000) -> DataFrame:
+def with_passages(docs: DataFrame, benchmark: DataFrame, column: str = "passages", width: int = 10, part_words: int = 250_000) -> DataFrame:
     """The documents with a struct column of what they share with a benchmark: words, hit words, items, hit spans.
 
     Words are runs of digits, letters and non-ASCII characters with A-Z lower-cased. A word is hit inside any
-    occurrence of `width` consecutive words of an item, or of all words of a shorter item. Documents are read once, in
-    place; no text is shuffled.
+    occurrence of `width` consecutive words of an item, or of all words of a shorter item. Documents are read in place;
+    no text is shuffled.
 
-    The automaton stands in every Python worker, so it is only built where the benchmark's texts have at most
-    `most_chars` characters in all, which is looked up first. Larger benchmarks are met by a shuffled join on windows,
-    with the same results. Null texts have no words; equal items count by their distinct ids; an empty benchmark hits
-    nothing. A column of the given name is replaced.
+    A Python worker holds one automaton, of about `part_words` words of the benchmark (some 200 MB at ten words to a
+    window): benchmarks of more are dealt out by a hash to as many automata as they need. Each scans the documents once
+    and adds to what those before it found; between two of them the documents are held in the shared folder.
+
+    Null texts have no words; equal items count by their distinct ids, null ids and texts of the benchmark not at all;
+    an empty benchmark hits nothing and an empty table stays empty. A column of the given name is replaced; all other
+    columns and all rows, repeated ones too, stay.
     """
-    size = benchmark.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
-    if size > most_chars:
-        return _by_join(docs, benchmark, column, width)
-    items = [(str(r.item_id), r.text) for r in benchmark.filter("item_id is not null and text is not null").select("item_id", "text").collect()]
-    name, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(items)
+    pieces, spark = cut(_pieces(benchmark, width)), docs.sparkSession
+    parts = max(1, -(-pieces.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // part_words))
+    for part in range(parts):
+        mine = [(r.item, bytes(r.found)) for r in pieces.filter(F.pmod(F.xxhash64("item", "found"), F.lit(parts)) == part).select("item", "found").collect()]
+        docs = docs.withColumn(column, (_added if part else _scanned)(uuid.uuid4().hex, spark.sparkContext.broadcast(mine), width)("text", *([quoted(column)] if part else [])))
+        docs = cut(docs) if part + 1 < parts else docs
+    return docs
+
 
+def _scanned(name: str, shared, width: int):
     @arrow_udf(FOUND)
-    def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        a = _built(name, shared, width)
+    def first(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        passages = _built(name, shared, width)
         for batch in batches:
-            yield pa.array([scan(t, a) for t in batch.to_pylist()], _FOUND)
-
-    return docs.withColumn(column, find("text"))
-
-
-def _by_join(docs: DataFrame, benchmark: DataFrame, column: str, width: int) -> DataFrame:
-    """The same by a join of windows: for benchmarks that no worker should hold."""
-    split = lambda c: F.regexp_extract_all(F.translate(F.coalesce(c, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
-    item = benchmark.filter("item_id is not null").select(F.col("item_id").cast("string").alias("item"), split("text").alias("w")).filter("size(w) > 0").withColumn("n", F.least(F.size("w"), F.lit(width)))
-    item = item.select("item", "n", F.explode(F.expr("transform(sequence(0, size(w) - n), i -> array_join(slice(w, i + 1, n), ' '))")).alias("window")).distinct()
-    texts = docs.select("text").distinct().select("text", split("text").alias("w"))
-    keyed = texts.select(F.sha2(F.coalesce("text", F.lit("")), 256).alias("key"), "w").distinct()
-    at = keyed.select("key", "w", F.explode(F.sequence(F.lit(1), F.lit(width))).alias("n")).filter("size(w) >= n").join(F.broadcast(item.select("n").distinct()), "n", "left_semi")
-    at = at.select("key", "n", F.posexplode(F.expr("transform(sequence(0, size(w) - n), i -> array_join(slice(w, i + 1, n), ' '))")).alias("pos", "window"))
-    hits = at.join(item, ["n", "window"])
-    by_word = hits.select("key", F.explode(F.expr("sequence(pos, pos + n - 1)")).alias("word")).groupBy("key").agg(F.collect_set("word").alias("hit"))
-    by_item = hits.groupBy("key").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    counted = keyed.select("key", F.size("w").cast("bigint").alias("n_words")).join(by_word, "key", "left").join(by_item, "key", "left")
-    found = counted.select(F.col("key").alias("_text_key"), F.struct("n_words", F.size(F.coalesce("hit", F.array().cast("array<int>"))).cast("bigint").alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items")).alias("_found"), F.col("hit").alias("_hit"))
-    met = docs.drop(column).withColumn("_text_key", F.sha2(F.coalesce("text", F.lit("")), 256)).join(found, "_text_key", "left")
-    return met.withColumn(column, F.struct("_found.n_words", "_found.n_hit", "_found.items", _spans_of("text", "_hit").alias("spans"))).drop("_text_key", "_found", "_hit")
+            yield pa.array([scan(t, passages) for t in batch.to_pylist()], _FOUND)
+
+    return first
+
+
+def _added(name: str, shared, width: int):
+    @arrow_udf(FOUND)
+    def more(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        passages = _built(name, shared, width)
+        for texts, before in batches:
+            yield pa.array([scan(t, passages, b) for t, b in zip(texts.to_pylist(), before.to_pylist(), strict=True)], _FOUND)
+
+    return more

@@ -34,27 +34,43 @@ def cases():
     return items, texts
 
 
-@pytest.mark.parametrize("most", [10**6, 0])
-def test_hits_equal_brute_force(spark, docs_of, cases, most):
+@pytest.mark.parametrize("part_words", [10**6, 9])
+def test_hits_equal_brute_force(spark, docs_of, cases, part_words):
     items, texts = cases
     benchmark = spark.createDataFrame(items, "item_id bigint, text string").selectExpr("*", "1 as items")
-    got = {r.doc_id: r for r in decontamination.with_passages(docs_of(texts), benchmark, width=4, most_chars=most).collect()}
+    got = {r.doc_id: r for r in decontamination.with_passages(docs_of(texts), benchmark, width=4, part_words=part_words).collect()}
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
         if t is None or len(t) < 1000:
             p = got[i].passages
             assert (p.n_words, p.n_hit, p["items"]) == brute(t, items, 4), t
-            if most and p.n_hit:
+            if p.n_hit:
                 assert sum(len(split(t[s.first : s.after])) for s in p.spans) == p.n_hit
+                assert all(a.after < b.first for a, b in zip(p.spans, p.spans[1:], strict=False))
 
 
-def test_both_ways_give_the_same_spans(spark, docs_of, cases):
+def test_many_automata_find_what_one_finds(spark, docs_of, cases):
     items, texts = cases
     benchmark = spark.createDataFrame(items, "item_id bigint, text string")
-    a, b = ({r.doc_id: r.passages for r in decontamination.with_passages(docs_of(texts), benchmark, width=4, most_chars=most).collect()} for most in (10**6, 0))
+    a, b = ({r.doc_id: r.passages for r in decontamination.with_passages(docs_of(texts), benchmark, width=4, part_words=n).collect()} for n in (10**6, 9))
     assert a == b and any(len(p.spans) > 1 for p in a.values())
 
 
+def test_long_items_and_texts(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(decontamination, "PIECE", 50)
+    rng = random.Random(3)
+    item = " ".join(f"w{rng.randrange(400)}" for _ in range(1200))
+    texts = ["x " * 5000 + item + " y" * 5000, item[400:3000], " ".join(item.split()[45:57]), " ".join(item.split()[45:54]), "z " * 300_000]
+    got = sorted(decontamination.with_passages(docs_of(texts), spark.createDataFrame([(7, item)], "item_id bigint, text string"), part_words=200).collect())
+    assert [r.passages.n_hit for r in got][:1] == [1200] and [(r.passages.n_words, r.passages.n_hit, r.passages["items"]) for r in got[1:4]] == [brute(t, [(7, item)], 10) for t in texts[1:4]]
+    assert got[3].passages.n_hit == 0 and got[4].passages.n_words == 300_000 and got[4].passages.n_hit == 0
+
+
+def test_columns_of_any_name_stay(spark, docs_of):
+    odd = docs_of(["one two three", None]).selectExpr("*", "1 as passages", "2 as `a.b`", "3 as found", "4 as own0")
+    got = decontamination.with_passages(odd, spark.createDataFrame([(1, "two three")], "item_id bigint, text string"), part_words=1)
+    assert got.columns == odd.columns and sorted(r.passages.n_hit for r in got.collect()) == [0, 2]
+
 
 def test_empty_tables(spark, docs_of):
     none = spark.createDataFrame([], "item_id bigint, text string")
