@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -12,29 +12,36 @@ from pyspark.sql import functions as F
 
 from lodeglass.llm.shared import cut
 
-#: A node of at most so many vectors isn't split; so many of them, drawn by a hash, give the first level's centres.
-LEAF, PIVOT_SAMPLE = 256, 4096
+#: A node of at most so many vectors isn't split; so many of them, drawn by a hash, give the first level's centres; so many
+#: data blocks, about, are searched for a query block in one task.
+LEAF, PIVOT_SAMPLE, SEARCHED = 16, 4096, 256
 #: A score below and an id above all others.
 NOTHING, NOBODY = np.iinfo(np.int64).min + 1, np.iinfo(np.int64).max
 
 
 @dataclass
 class Node:
-    """Vectors of a block, given by their places, within `radius` of `centre`."""
+    """Vectors of a block, given by their places (`rows`), within `radius` of the one at `centre`.
 
-    centre: np.ndarray
+    Its children's centres are at `heads`; a child is a node, or only its rows where it isn't split itself.
+    """
+
+    centre: int
     radius: float
     rows: np.ndarray
-    children: list[Node]
+    heads: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    radii: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    children: list[Node | np.ndarray] = field(default_factory=list)
 
-    def __post_init__(self) -> None:
-        self.centres, self.radii = np.array([c.centre for c in self.children]), np.array([c.radius for c in self.children])
+    def child(self, i: int) -> Node:
+        c = self.children[i]
+        return c if isinstance(c, Node) else Node(int(self.heads[i]), float(self.radii[i]), c)
 
 
-def net(x: np.ndarray, cover: float, most: int) -> np.ndarray:
-    """Places of vectors chosen farthest-first, until all lie within `cover` of one or `most` are chosen."""
+def net(x: np.ndarray, most: int) -> np.ndarray:
+    """Places of at most so many different vectors, chosen farthest-first."""
     chosen, far = [0], ((x - x[0]) ** 2).sum(1)
-    while len(chosen) < most and far.max() > cover * cover:
+    while len(chosen) < most and far.max() > 0:
         chosen.append(int(far.argmax()))
         far = np.minimum(far, ((x - x[chosen[-1]]) ** 2).sum(1))
     return np.array(chosen)
@@ -44,19 +51,33 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return ((centres**2).sum(1) - 2.0 * (x @ centres.T)).argmin(1)
 
 
-def build(x: np.ndarray, rows: np.ndarray | None = None, most: int = 32) -> Node:
-    """A cover tree: a node's children cover its vectors within half its radius, from centres that lie farther apart than that."""
-    rows = np.arange(len(x)) if rows is None else rows
-    own = x[rows]
-    middle = own[int(((own - own.mean(0)) ** 2).sum(1).argmin())]
-    radius = float(np.sqrt(((own - middle) ** 2).sum(1).max()))
-    if len(rows) <= LEAF or radius == 0:
-        return Node(middle, radius, rows, [])
-    centres = own[net(own, radius / 2, most)]
-    if len(centres) == 1:
-        centres = own[net(own, 0.0, 2)]
-    side = nearest(own, centres)
-    return Node(middle, radius, rows, [build(x, rows[side == c], most) for c in range(len(centres)) if (side == c).any()])
+def build(x: np.ndarray) -> Node:
+    """A cover tree: children cover their node's vectors within half its radius (covering), and their centres, the node's own
+    among them, lie farther apart than that (separation); there are as many of them as this takes."""
+    dots = (x @ x.T).astype(np.float64)
+    squares = dots.diagonal()
+
+    def from_(centre: int, rows: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(squares[rows] + squares[centre] - 2 * dots[centre, rows], 0))
+
+    def grow(centre: int, rows: np.ndarray) -> Node:
+        far = from_(centre, rows)
+        radius, heads, owner = float(far.max()), [centre], np.zeros(len(rows), np.int64)
+        if len(rows) <= LEAF or radius == 0:
+            return Node(centre, radius, rows)
+        while far[k := int(far.argmax())] > radius / 2:
+            near = from_(int(rows[k]), rows)
+            owner[near < far] = len(heads)
+            far = np.minimum(far, near)
+            heads.append(int(rows[k]))
+        order = np.argsort(owner, kind="stable")
+        parts = np.split(rows[order], np.searchsorted(owner[order], np.arange(1, len(heads))))
+        radii = np.maximum.reduceat(far[order], np.searchsorted(owner[order], np.arange(len(heads))))
+        children = [part if len(part) <= LEAF or r == 0 else grow(h, part) for h, part, r in zip(heads, parts, radii, strict=True)]
+        return Node(centre, radius, rows, np.array(heads), radii, children)
+
+    every = np.arange(len(x))
+    return grow(int(((x - x.mean(0)) ** 2).sum(1).argmin()), every)
 
 
 class Best:
@@ -94,20 +115,38 @@ def bound(a: np.ndarray, ra, b: np.ndarray, rb):
     return dot + ra * np.sqrt((b * b).sum(-1)) + rb * np.sqrt((a * a).sum(-1)) + ra * rb + 1e-6 * (1 + np.abs(dot))
 
 
-def dual(q: np.ndarray, own: np.ndarray, qtree: Node, x: np.ndarray, ids: np.ndarray, xtree: Node, best: Best) -> None:
-    """Offers to every query all data that may belong to its best; node pairs that can't beat the group's worst kth score are pruned."""
-    stack = [(float(bound(qtree.centre, qtree.radius, xtree.centre, xtree.radius)), qtree, xtree)]
+def dual(q: np.ndarray, own: np.ndarray, qtree: Node, x: np.ndarray, ids: np.ndarray, xtree: Node, best: Best) -> int:
+    """Offers to every query all data that may belong to its best; node pairs that can't beat the group's worst kth score are pruned.
+
+    The node of larger radius is split first. A query node that isn't split has a bound for each of its queries. Returns
+    how many scores of a query and a vector were offered.
+    """
+    lengths, stack, offered = np.sqrt((q.astype(np.float64) ** 2).sum(1)), [(np.inf, qtree, xtree)], 0
     while stack:
         top, a, b = stack.pop()
         if top < best.worst[a.rows].min():
             continue
         if not a.children and not b.children:
             best.offer(a.rows, q[a.rows] @ x[b.rows].T, ids[b.rows], own)
-            continue
-        down_a = bool(a.children) and (not b.children or a.radius >= b.radius)
-        node, other = (a, b) if down_a else (b, a)
-        tops = bound(node.centres, node.radii, other.centre, other.radius)
-        stack += [(float(tops[i]), c, b) if down_a else (float(tops[i]), a, c) for i in np.argsort(tops, kind="stable") for c in [node.children[i]]]
+            offered += len(a.rows) * len(b.rows)
+        elif a.children and (not b.children or a.radius >= b.radius):
+            tops = bound(q[a.heads], a.radii, x[b.centre], b.radius)
+            stack += [(float(tops[i]), a.child(i), b) for i in np.argsort(tops, kind="stable")]
+        else:
+            if a.children:
+                tops = bound(x[b.heads], b.radii, q[a.centre], a.radius)
+                alive = np.flatnonzero(tops >= best.worst[a.rows].min())
+            else:
+                dots = q[a.rows] @ x[b.heads].T
+                each = dots + lengths[a.rows][:, None] * b.radii + 1e-6 * (1 + np.abs(dots))
+                tops, alive = each.max(0), np.flatnonzero((each >= best.worst[a.rows][:, None]).any(0))
+            alive = alive[np.argsort(tops[alive], kind="stable")]
+            whole = [i for i in alive if isinstance(b.children[i], Node)]
+            stack += [(float(tops[i]), a, b.children[i]) for i in whole]
+            if len(whole) < len(alive):
+                rest = np.concatenate([b.children[i] for i in alive if not isinstance(b.children[i], Node)])
+                stack.append((np.inf, a, Node(b.centre, b.radius, rest)))
+    return offered
 
 
 def quantised(vectors: DataFrame, id_column: str, vector_column: str) -> DataFrame:
@@ -158,7 +197,7 @@ def blocks(rows: DataFrame, pivots: np.ndarray, most: int, dtype: str) -> DataFr
     return cut(dealt.groupBy("pivot", "part").applyInArrow(gather, _BLOCK))
 
 
-def top_k(vectors: DataFrame, is_query, k: int = 20, id_column: str = "vec_id", vector_column: str = "embedding", pivots: int = 32, block: int = 2048, query_block: int = 256) -> DataFrame:
+def top_k(vectors: DataFrame, is_query, k: int = 20, id_column: str = "vec_id", vector_column: str = "embedding", pivots: int = 32, block: int = 2048, query_block: int = 2048) -> DataFrame:
     """The k candidates of highest inner product for each query, over components floor(64 * x), ties to smaller ids.
 
     Queries and data are indexed together. The first level of both trees is at most `pivots` vectors, spread over a
@@ -167,8 +206,10 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, id_column: str = "vec_id",
     the blocks of what is left, found by joins on the pivots' numbers; and, in tasks that each hold one query block and
     meet the data blocks it still needs, best bound first, the cover trees of both blocks. On the first two levels a
     bound must reach the kth best score that the query's group is sure of: nodes whose lowest possible inner products
-    are highest, until they hold k vectors. In the trees it must reach the group's worst kth score so far. Results are
-    exact.
+    are highest, until they hold k vectors. In the trees it must reach the group's worst kth score so far. A task meets
+    about SEARCHED data blocks, so that no query block's search grows with the data; each keeps the k best of its
+    part, and these are merged. A data block's vectors go to each query block (up to `query_block` queries of a pivot)
+    that needs them, as small integers. Results are exact.
 
     is_query makes a condition of the id column. Vectors that are null or hold nulls or non-finite components take no
     part, nor do null ids; shorter vectors count as zero where they end. Rows repeated under one id are candidates as
@@ -184,7 +225,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, id_column: str = "vec_id",
     width, dtype = max(width, 1), next((d for d, top in (("<i1", 127), ("<i2", 32767)) if (most or 0) <= top), "<f8")
     exact = next((t for t, top in (("<f4", 2**24), ("<f8", 2**53)) if (most or 0) ** 2 * width < top), "<i8")
     drawn = _matrix(sample["v"].combine_chunks(), width)
-    centres = drawn[net(drawn, 0.0, pivots)]
+    centres = drawn[net(drawn, pivots)]
     data, asked = blocks(rows, centres, block, dtype), blocks(rows.filter(is_query(F.col("id"))), centres, query_block, dtype)
     heads, heads_q = (x.select("pivot", "block", "centre", "radius", "reach", F.size("id").alias("n")) for x in (data, asked))
 
@@ -209,10 +250,11 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, id_column: str = "vec_id",
 
 
 def _search(wanted: DataFrame, data: DataFrame, asked: DataFrame, width: int, dtype: str, exact: str, k: int, schema: str) -> DataFrame:
-    """The pairs searched: each query block meets its data blocks in one task, one after another."""
-    names = ["q", "d", "top", "id", "v"]
-    sent = wanted.join(data.select(F.col("block").alias("d"), "id", "v"), "d").select(names)
-    own = asked.select(F.col("block").alias("q"), F.lit(None).cast("bigint").alias("d"), F.lit(float("inf")).alias("top"), "id", "v")
+    """The pairs searched: each query block meets its data blocks in tasks of about SEARCHED of them, one after another, and the k best of all its parts remain."""
+    names = ["q", "part", "d", "top", "id", "v"]
+    parts = wanted.groupBy("q").agg(F.ceil(F.count("*") / F.lit(SEARCHED)).alias("parts"))
+    sent = wanted.join(parts, "q").withColumn("part", F.pmod(F.xxhash64("d"), F.col("parts"))).join(data.select(F.col("block").alias("d"), "id", "v"), "d").select(names)
+    own = asked.withColumnRenamed("block", "q").join(parts, "q").select("q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("bigint").alias("d"), F.lit(float("inf")).alias("top"), "id", "v")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state, trees = None, None, {}
@@ -220,27 +262,29 @@ def _search(wanted: DataFrame, data: DataFrame, asked: DataFrame, width: int, dt
         def close() -> pa.RecordBatch:
             _, ids, _, best = state
             found = best.ids != NOBODY
-            q, r = np.nonzero(found)
-            return pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array((r + 1).astype(np.int32)), pa.array(best.ids[found]), pa.array(best.scores[found])], names=["query_id", "rank", "vec_id", "score"])
+            row = np.nonzero(found)[0]
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(row), now[0])), pa.array(row), pa.array(ids[row]), pa.array(best.ids[found]), pa.array(best.scores[found])], names=["q", "row", "query_id", "vec_id", "score"])
 
         for batch in batches:
             for i in range(batch.num_rows):
-                q, d, ids = batch["q"][i].as_py(), batch["d"][i].as_py(), batch["id"][i].values.to_numpy()
-                if q == now and batch["top"][i].as_py() < state[3].worst.min():
+                key, d, ids = (batch["q"][i].as_py(), batch["part"][i].as_py()), batch["d"][i].as_py(), batch["id"][i].values.to_numpy()
+                if key == now and batch["top"][i].as_py() < state[3].worst.min():
                     continue
                 x = np.frombuffer(batch["v"][i].as_py(), dtype).reshape(-1, width).astype(exact)
-                if q != now:
+                if key != now:
                     if state:
                         yield close()
-                    now, state = q, (x, ids, build(x), Best(len(ids), k))
+                    now, state = key, (x, ids, build(x), Best(len(ids), k))
                 else:
                     if d not in trees:
-                        if len(trees) >= 64:
+                        if len(trees) >= 32:
                             trees.clear()
                         trees[d] = build(x)
                     dual(state[0], state[1], state[2], x, ids, trees[d], state[3])
         if state:
             yield close()
 
-    dealt = own.select(names).unionByName(sent).repartition("q").sortWithinPartitions("q", F.desc("top"), "d")
-    return dealt.mapInArrow(search, schema)
+    dealt = own.select(names).unionByName(sent).repartition("q", "part").sortWithinPartitions("q", "part", F.desc("top"), "d")
+    found = dealt.mapInArrow(search, "q bigint, row bigint, query_id bigint, vec_id bigint, score bigint")
+    rank = F.row_number().over(Window.partitionBy("q", "row").orderBy(F.desc("score"), "vec_id")).cast("int")
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -47,13 +47,52 @@ def test_repeated_ids(spark):
     assert len(got) == 18 and {r.vec_id for r in got} == {1}
 
 
-def test_trees_cover_their_vectors():
-    x = np.random.default_rng(5).normal(size=(700, 5))
-    stack, seen = [cover_tree.build(x)], 0
+@pytest.mark.parametrize("scale", [0.0, 1.0, 30.0])
+def test_trees_cover_and_separate(scale):
+    rng = np.random.default_rng(5)
+    x = np.round(scale * rng.normal(size=(12, 5))[rng.integers(0, 12, 700)] + 8 * rng.normal(size=(700, 5)))
+    x[600:] = x[0]
+    distance = lambda a, b: np.sqrt(((x[a] - x[b]) ** 2).sum(-1))
+    stack, split, deepest = [(cover_tree.build(x), 0)], 0, 0
+    assert sorted(stack[0][0].rows) == list(range(700))
     while stack:
-        n = stack.pop()
-        assert np.sqrt(((x[n.rows] - n.centre) ** 2).sum(1)).max() <= n.radius + 1e-9
-        assert not n.children or sorted(np.concatenate([c.rows for c in n.children])) == sorted(n.rows)
-        stack += n.children
-        seen += not n.children
-    assert seen > 5
+        n, depth = stack.pop()
+        deepest = max(deepest, depth)
+        assert n.centre in n.rows and distance(n.rows, n.centre).max() <= n.radius + 1e-9
+        if not n.children:
+            assert len(n.rows) <= cover_tree.LEAF or n.radius == 0
+            continue
+        children = [n.child(i) for i in range(len(n.children))]
+        assert sorted(np.concatenate([c.rows for c in children])) == sorted(n.rows) and children[0].centre == n.centre
+        assert all(c.radius <= n.radius / 2 for c in children)
+        apart = distance(n.heads[:, None], n.heads[None])
+        assert apart[~np.eye(len(apart), dtype=bool)].min(initial=np.inf) > n.radius / 2
+        stack += [(c, depth + 1) for c in children]
+        split += 1
+    assert split > 3 and deepest > 1
+
+
+def searched(x, queries, k):
+    best = cover_tree.Best(len(queries), k)
+    ids = np.arange(len(x))
+    offered = cover_tree.dual(x[queries], ids[queries], cover_tree.build(x[queries]), x, ids, cover_tree.build(x), best)
+    scores = x[queries] @ x.T
+    scores[np.arange(len(queries)), queries] = -1e18
+    assert (best.scores == -np.sort(-scores, axis=1)[:, :k]).all()
+    return offered / len(queries) / len(x)
+
+
+def test_search_prunes_where_vectors_cluster():
+    rng = np.random.default_rng(9)
+    spread = np.round(64 * rng.normal(size=(2000, 8)) * np.r_[1.0, 1, 1, 1, 0, 0, 0, 0])
+    centres = 64 * rng.normal(size=(20, 8))
+    close = np.round(centres[rng.integers(0, 20, 2000)] + 3 * rng.normal(size=(2000, 8)))
+    assert searched(close, np.arange(0, 2000, 20), 20) < 0.25 and searched(spread, np.arange(0, 2000, 20), 20) < 0.4
+
+
+def test_parts_of_a_search_are_merged(spark, monkeypatch):
+    monkeypatch.setattr(cover_tree, "SEARCHED", 2)
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=6).tolist()) for i in range(300)]
+    got = sorted(tuple(r) for r in cover_tree.top_k(table(spark, rows), lambda c: c % 20 == 0, 9, pivots=2, block=20).collect())
+    assert got == brute(rows, 9, 20)
