@@ -13,11 +13,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BEGIN, END = "<|im_start|>", "<|im_end|>"
+#: The template's marks: of a turn's begin, its text's begin and its end. Each is a token of its own, so that no token reaches over a text's edges.
+BEGIN, SAYS, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>"
 
 _OPEN, _CLOSED = re.compile(r"<(\\*)\|"), re.compile(r"<\\(\\*)\|")
-_ROLE_OUT, _ROLE_IN = {"\\": "\\\\", "\n": "\\n"}, {"\\\\": "\\", "\\n": "\n"}
-_TURN = re.compile(re.escape(BEGIN) + r"(.*?)\n(.*?)" + re.escape(END) + r"\n", re.DOTALL)
+_TURN = re.compile(re.escape(BEGIN) + "(.*?)" + re.escape(SAYS) + "(.*?)" + re.escape(END) + "\n", re.DOTALL)
 
 
 def escape(text: str) -> str:
@@ -31,35 +31,52 @@ def unescape(text: str) -> str:
 
 def render(role: str, text: str) -> tuple[str, int, int]:
     """One turn under the template, and where its text begins and ends there."""
-    head = BEGIN + escape(re.sub(r"[\\\n]", lambda m: _ROLE_OUT[m[0]], role)) + "\n"
-    body = escape(text)
+    head, body = BEGIN + escape(role) + SAYS, escape(text)
     return f"{head}{body}{END}\n", len(head), len(head) + len(body)
 
 
 def parse(rendered: str) -> Iterator[tuple[str, str]]:
     """The (role, text) of each turn of what `render` has put together."""
     for m in _TURN.finditer(rendered):
-        yield re.sub(r"\\[\\n]", lambda x: _ROLE_IN[x[0]], unescape(m[1])), unescape(m[2])
+        yield unescape(m[1]), unescape(m[2])
 
 
 def chat_tokenizer(path: str):
-    """The byte-level tokenizer of a file, with the template's two marks as tokens of their own and offsets of whole characters."""
+    """The byte-level tokenizer of a file, with the template's marks as tokens of their own and offsets of whole characters."""
     from tokenizers import AddedToken, Tokenizer, processors
 
     t = Tokenizer.from_file(path)
-    t.add_special_tokens([AddedToken(x, special=True, normalized=False) for x in (BEGIN, END)])
+    t.add_special_tokens([AddedToken(x, special=True, normalized=False) for x in (BEGIN, SAYS, END)])
     t.post_processor = processors.ByteLevel(trim_offsets=False)
     return t
 
 
+def token_bytes(tokenizer) -> list[bytes]:
+    """What each id of a byte-level tokenizer stands for; marks stand for themselves."""
+    from lodeglass.llm.shared import BYTE_CHARS
+
+    byte_of, names = {c: b for b, c in BYTE_CHARS.items()}, tokenizer.get_vocab()
+    out, marks = [b""] * (max(names.values()) + 1), set(tokenizer.get_added_tokens_decoder())
+    for name, i in names.items():
+        out[i] = name.encode() if i in marks else bytes(byte_of[c] for c in name)
+    return out
+
+
+def masked_texts(ids: np.ndarray, loss: np.ndarray, known: list[bytes]) -> Iterator[str]:
+    """The text that each run of tokens under the mask stands for."""
+    turns = np.flatnonzero(np.diff(np.concatenate([[0], loss, [0]]).astype(np.int8)))
+    for i, j in zip(turns[::2], turns[1::2], strict=True):
+        yield unescape(b"".join(map(known.__getitem__, ids[i:j].tolist())).decode())
+
+
 def align(spans: list[tuple[int, int]], starts: list[int], ends: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """For sorted character spans and sorted token spans: (first token, token after the last) and the characters of each that those tokens cover."""
+    """For sorted character spans and sorted token spans: (first token, token after the last) and the characters of each that those tokens cover, whole tokens always."""
     tokens, chars = [], []
     for a, b in spans:
         i, j = bisect_right(ends, a), bisect_left(starts, b)
         if a < b and i < j:
             tokens.append((i, j))
-            chars.append((max(a, starts[i]), min(b, ends[j - 1])))
+            chars.append((starts[i], ends[j - 1]))
     return tokens, chars
 
 
@@ -76,7 +93,8 @@ def format_conversations(turns: DataFrame, tokenizer_path: str, segment_chars: i
     next one, so that its tokens are those of the whole. Segments order by (part, segment).
 
     Returns per segment: its rendered text, token ids (little-endian unsigned 32-bit), one loss byte a token, and the
-    character spans under the mask: tokens that meet an assistant's text, found by binary search, cut to that text.
+    character spans of the tokens under the mask: those that meet an assistant's text, found by binary search. The
+    template's marks are tokens, so these tokens hold that text and nothing else.
     Null texts and roles are empty; a null conv_id is a conversation of its own, null turns come first; repeated rows
     are turns like others; control strings in texts and roles are escaped reversibly. An empty table gives no rows.
     """
@@ -123,21 +141,22 @@ DIGESTS = "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigin
 _DIGESTS = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
 
 
-def conversation_digests(segments: DataFrame) -> DataFrame:
-    """What the segments hold of each conversation, read back from them: its turns, and its text under the loss mask.
+def conversation_digests(segments: DataFrame, tokenizer_path: str) -> DataFrame:
+    """What the segments hold of each conversation, read back from them: turns from the rendered text, and the text that the token ids under the loss mask stand for.
 
     A digest runs over a conversation from its first turn to its last. Segments arrive in order and are hashed one
-    after another, so that a conversation of any length takes the memory of one segment.
+    after another in one task, so that a conversation of any length takes the memory of one segment. A conversation
+    without assistants has no loss characters; no segments give no rows.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, out = None, []
+        now, out, known = None, [], token_bytes(chat_tokenizer(tokenizer_path))
 
         def close() -> None:
             out.append({"conv_id": now, "n_turns": n, "turns_sha256": turns.hexdigest(), "loss_chars": chars, "loss_sha256": loss.hexdigest(), "formatted_chars": size})
 
         first = True
         for batch in batches:
-            for conv_id, text, spans in zip(*(batch[c].to_pylist() for c in ("conv_id", "text", "loss_spans")), strict=True):
+            for conv_id, text, ids, mask in zip(*(batch[c].to_pylist() for c in ("conv_id", "text", "ids", "loss")), strict=True):
                 if first or conv_id != now:
                     if not first:
                         close()
@@ -146,8 +165,7 @@ def conversation_digests(segments: DataFrame) -> DataFrame:
                 for role, said in parse(text):
                     n += 1
                     turns.update(f"{role}\n{said}\n".encode())
-                for s in spans:
-                    part = unescape(text[s["first"] : s["after"]])
+                for part in masked_texts(np.frombuffer(ids, "<u4"), np.frombuffer(mask, np.uint8), known):
                     chars += len(part)
                     loss.update(part.encode())
             if len(out) >= 5000:
@@ -158,5 +176,5 @@ def conversation_digests(segments: DataFrame) -> DataFrame:
         if out:
             yield pa.RecordBatch.from_pylist(out, _DIGESTS)
 
-    rows = segments.select("conv_id", "part", "segment", "text", "loss_spans")
+    rows = segments.select("conv_id", "part", "segment", "text", "ids", "loss")
     return rows.repartition("conv_id").sortWithinPartitions("conv_id", "part", "segment").mapInArrow(run, DIGESTS)

@@ -16,10 +16,13 @@ from pyspark.sql import functions as F
 def shared_folder(spark: SparkSession) -> str:
     """A new folder name under spark.checkpoint.dir, which all executors and the driver see.
 
-    Only where that setting is missing (a local session in a test) a temporary folder takes its place.
+    Only where that setting is missing in a local session (as in a test) a temporary folder takes its place; on a
+    cluster its absence is an error, as executors would not see the driver's folder.
     """
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors and the driver see")
         top = getattr(shared_folder, "fallback", None) or tempfile.mkdtemp(prefix="spark-")
         shared_folder.fallback = top
     return f"{top.rstrip('/')}/lodeglass-{uuid.uuid4().hex}"
@@ -96,7 +99,7 @@ class WordHasher(dict):
 
 #: Byte to character of byte-level vocabularies: printable Latin-1 as it is, the rest from U+0100 on, in order.
 _PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-_BYTE_CHARS = {b: chr(b) for b in _PRINTABLE} | {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+BYTE_CHARS = {b: chr(b) for b in _PRINTABLE} | {b: chr(0x100 + i) for i, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
 _ODD_SPACES = re.compile("[\x1c-\x1fΣİ]")
 _CORE = re.compile(r"([^\W\d_]+)([^\w\s'<|>]*)")
 
@@ -115,7 +118,6 @@ class WordEncoder(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.most, self.old, self.kind = most, {}, {"<u4": "I", "<u2": "H"}[dtype]
         self.size = self.tokenizer.get_vocab_size()
@@ -124,7 +126,7 @@ class WordEncoder(dict):
         return array(self.kind, self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _letters(self, core: str) -> bytes:
-        chars = core if core.isascii() else "".join(map(_BYTE_CHARS.__getitem__, core.encode()))
+        chars = core if core.isascii() else "".join(map(BYTE_CHARS.__getitem__, core.encode()))
         return array(self.kind, [t.id for t in self.model.tokenize(chars)]).tobytes()
 
     def __missing__(self, piece: str) -> bytes:

@@ -11,11 +11,10 @@ from lodeglass.llm import packing, token_file
 from lodeglass.llm.shared import WordEncoder, shared_folder
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
-TEXTS = ["Hello there, Hello!", None, "", "a b c " * 3000, "Ünïcode café ΣΑΣ <|endoftext|> it's 12½", "Hello there, Hello!", "word " * 40] + [f"Text number {i} says {'blah ' * (i % 50)}" for i in range(60)]
+TEXTS = ["Hello there, Hello!", "a<|startoftext|>b <|ENDOFTEXT|> <|endoftext|>", None, "", "a b c " * 3000, "Ünïcode café ΣΑΣ <|endoftext|> it's 12½", "Hello there, Hello!", "word " * 40] + [f"Text number {i} says {'blah ' * (i % 50)}" for i in range(60)]
 
 
 TOKENIZER = Tokenizer.from_file(PATH)
-TOKENIZER.encode_special_tokens = True
 
 
 def plain(text):
@@ -30,7 +29,7 @@ def test_encoder_equals_the_library():
     encode, rng = WordEncoder(PATH, most=50), random.Random(7)
     letters = [chr(c) for c in [*range(9, 1500), *range(0x1E00, 0x2100), *range(0x3000, 0x3100), 0x1F600]]
     for _ in range(800):
-        text = "".join(rng.choice(letters) if rng.random() < 0.5 else rng.choice("ab '.<|>,s tlle") for _ in range(14))
+        text = "".join(rng.choice(letters) if rng.random() < 0.5 else rng.choice([*"ab '.<|>,s tlle", "<|endoftext|>", "<|startoftext|>"]) for _ in range(14))
         assert np.frombuffer(encode(text), "<u4").tolist() == plain(text)[:-1], text
 
 
