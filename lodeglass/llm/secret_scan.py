@@ -17,9 +17,11 @@ BASE = KINDS[:3]
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.IGNORECASE | re.ASCII)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
-_IDENTIFIER = re.compile(r"\b(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._@+-]{3,}", re.IGNORECASE | re.ASCII)
-_SECRET = re.compile(r"\b(?:pwd|pass|key|auth|bearer|credentials?|private_?key|client_?secret)[\"']?\x20*[:=]\x20*[\"']?[^\s\"']{6,}", re.IGNORECASE | re.ASCII)
-_ENDPOINT = re.compile(r"\b(?:https?|ftps?|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]{3,}|\b(?:host|server|endpoint)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]{3,}(?::[0-9]+)?", re.IGNORECASE | re.ASCII)
+_IDENTIFIER = re.compile(r"(?<![A-Za-z0-9])(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._@+-]{3,}", re.IGNORECASE | re.ASCII)
+_SECRET = re.compile(r"(?<![A-Za-z0-9])(?:pwd|pass|key|auth|bearer|credentials?|private_?key|client_?secret)[\"']?\x20*[:=]\x20*[\"']?[^\s\"']{6,}", re.IGNORECASE | re.ASCII)
+_ENDPOINT = re.compile(r"\b(?:https?|ftps?|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]{3,}|(?<![A-Za-z0-9])(?:host|server|endpoint)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]{3,}(?::[0-9]+)?", re.IGNORECASE | re.ASCII)
+#: A name and a password in front of a URL's host.
+_IN_URL = re.compile(r"://([^\s:/@\"'<>]+):([^\s:/@\"'<>]+)@")
 _ASSIGN_CUES = ("passw", "secret", "token", "apikey", "api_key")
 _CUES = ("user", "login", "account", "client", "access", "pwd", "pass", "key", "auth", "bearer", "credential", "://", "host", "server", "endpoint")
 
@@ -69,6 +71,8 @@ def find_secrets(text: str | None, reach: int = 200) -> list[tuple[str, int, int
     if (":" in text or "=" in text) and any(c in low for c in _CUES):
         for role, pattern in (("identifier", _IDENTIFIER), ("secret", _SECRET), ("endpoint", _ENDPOINT)):
             parts += [(role, *m.span(), True) for m in pattern.finditer(text)]
+        for m in _IN_URL.finditer(text) if "://" in text else ():
+            parts += [("identifier", *m.span(1), True), ("secret", *m.span(2), True)]
         found += link(parts, reach, overlap=True)
     return sorted(set(found), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
@@ -111,5 +115,10 @@ def redacted(text: Column | str, reach: int = 200) -> Column:
 
 
 def with_secrets(docs: DataFrame, column: str = "secrets", reach: int = 200) -> DataFrame:
-    """The documents with the spans found in each; a column of that name is replaced, all other columns and rows stay."""
+    """The documents with the spans found in each, by start, then kind as in KINDS, then end.
+
+    A column of that name is replaced; all other columns, whatever their names, and all rows, repeated ones too, stay.
+    Null and empty texts have no spans; an empty table stays empty. Time is in proportion to a text's length, but for
+    the logarithm of its number of parts.
+    """
     return docs.withColumn(column, secrets("text", reach))
