@@ -45,12 +45,16 @@ def _basis(x: np.ndarray) -> np.ndarray:
     return np.concatenate([x, x * x], 1)
 
 
+def _known(labels: DataFrame) -> DataFrame:
+    """doc_id and label of the documents that may be learnt from; of several labels the lowest holds."""
+    return labels.filter(F.col("quality").isin(0, 1) & in_training()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> tuple[np.ndarray, np.ndarray, np.ndarray, float] | None:
     """(weights, centre, scale, prior log-odds) of a logistic regression on the `sample` labelled documents of smallest
     hash that may be learnt from; None if they aren't of both classes."""
-    known = labels.filter(F.col("quality").isin(0, 1) & in_training()).groupBy("doc_id").agg(F.min("quality").cast("int").alias("quality"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("quality", _features("text").alias("x")).toArrow()
+    chosen = _known(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    got = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", _features("text").alias("x")).groupBy("doc_id", "quality").agg(F.min("x").alias("x")).toArrow()
     y, x = got["quality"].to_numpy().astype(float), np.array(got["x"].to_pylist(), float).reshape(-1, 12)
     if not 0 < y.sum() < len(y):
         return None
@@ -64,9 +68,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> tuple[np.
     return b, centre, scale, float(np.log(y.mean() / (1 - y.mean())))
 
 
-def _shrunk(parent: str) -> Column:
-    """The rate of each group (n, good) drawn towards `parent` by `strength` pseudo-documents."""
-    return (F.col("good") + F.col("strength") * F.col(parent)) / (F.col("n") + F.col("strength"))
+def _shrunk(parent: Column, n: str = "n", good: str = "good", strength: str = "strength", own: Column | None = None) -> Column:
+    """The rate of a group drawn towards `parent` by `strength` pseudo-documents; without the document `own`, if one is given."""
+    rest, fewer = (F.col(good), F.col(n)) if own is None else (F.greatest(F.col(good) - own, F.lit(0.0)), F.col(n) - 1)
+    return (rest + F.col(strength) * parent) / (fewer + F.col(strength))
 
 
 def _strength(groups: DataFrame, parent: str) -> DataFrame:
@@ -82,12 +87,15 @@ def _strength(groups: DataFrame, parent: str) -> DataFrame:
 def with_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column, sample: int = 20_000) -> DataFrame:
     """doc_id, evidence (the classifier's log-odds beyond its prior), host_rate, path_rate and score of every row.
 
-    The classifier reads the whole text alone. Its probabilities over all documents, labelled or not, are summed by
-    host and by path within it. A host's rate is shrunk towards the global one, a path's towards its host's, by
-    strengths that the spread of the groups' own rates gives (empirical Bayes, by moments). A document's score is its
-    evidence under its path's rate as prior, so that pages of sparse sites are judged as the corpus at large, and those
-    of well-known ones by these. Null hosts and paths are groups of their own. Without labels of both classes there is
-    no evidence, and every score is a half.
+    The classifier reads the whole text alone. A document is good by its label where it has one that may be learnt
+    from, else by the classifier's probability; that is summed over all documents by host and by path within it. A
+    host's rate is shrunk towards the global one, a path's towards its host's, by strengths that the spread of the
+    groups' own rates gives (empirical Bayes, by moments). A document's score is its evidence under its path's rate as
+    prior, so that pages of sparse sites are judged as the corpus at large, and those of well-known ones by these. A
+    document itself, its label included, is left out of the rates that are its own prior.
+
+    Null hosts and paths are groups of their own; rows repeated under a doc_id count as often as they occur; a null
+    doc_id has no label. Without labels of both classes there is no evidence. An empty table gives no rows.
     """
     model = train(docs, labels, sample)
 
@@ -98,16 +106,21 @@ def with_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column,
             z = np.c_[np.ones(len(x)), (_basis(x) - model[1]) / model[2]] @ model[0] if model else np.zeros(len(x))
             yield pa.array(np.clip(z, -12, 12))
 
-    rows = cut(docs.select("doc_id", host.cast("string").alias("host"), path.cast("string").alias("path"), log_odds("text").alias("odds")))
-    good = 1 / (1 + F.exp(-F.col("odds")))
-    paths = rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum(good).alias("good"))
+    rated = docs.select("doc_id", host.cast("string").alias("host"), path.cast("string").alias("path"), log_odds("text").alias("odds"))
+    rows = cut(rated.join(_known(labels), "doc_id", "left").withColumn("own", F.coalesce("quality", 1 / (1 + F.exp(-F.col("odds"))))))
+    paths = rows.groupBy("host", "path").agg(F.count("*").alias("n"), F.sum("own").alias("good"))
     hosts = paths.groupBy("host").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
-    whole = hosts.agg((F.sum("good") / F.sum("n")).alias("rate"))
+    whole = hosts.agg(F.sum("n").alias("all_n"), F.sum("good").alias("all_good"), (F.sum("good") / F.sum("n")).alias("rate"))
     hosts = hosts.crossJoin(F.broadcast(whole))
-    hosts = hosts.crossJoin(F.broadcast(_strength(hosts, "rate"))).select(F.col("host").alias("_host"), _shrunk("rate").alias("host_rate"))
-    paths = paths.join(hosts, F.col("host").eqNullSafe(F.col("_host"))).drop("_host")
-    paths = paths.crossJoin(F.broadcast(_strength(paths, "host_rate"))).select(F.col("host").alias("_host"), F.col("path").alias("_path"), "host_rate", _shrunk("host_rate").alias("path_rate"))
-    known = rows.join(paths, F.col("host").eqNullSafe(F.col("_host")) & F.col("path").eqNullSafe(F.col("_path")))
-    prior = model[3] if model else 0.0
+    hosts = hosts.crossJoin(F.broadcast(_strength(hosts, "rate"))).withColumn("shrunk", _shrunk(F.col("rate")))
+    hosts = hosts.select(F.col("host").alias("of_host"), "all_n", "all_good", F.col("n").alias("host_n"), F.col("good").alias("host_good"), F.col("strength").alias("host_strength"), "shrunk")
+    paths = paths.join(hosts, F.col("host").eqNullSafe(F.col("of_host")))
+    paths = paths.crossJoin(F.broadcast(_strength(paths, "shrunk"))).withColumnsRenamed({"path": "of_path"}).drop("host", "shrunk")
+    known = rows.join(paths, F.col("host").eqNullSafe(F.col("of_host")) & F.col("path").eqNullSafe(F.col("of_path")))
+
+    own, prior = F.col("own"), F.lit(model[3] if model else 0.0)
+    top = (F.greatest(F.col("all_good") - own, F.lit(0.0)) + 0.5) / F.col("all_n")
+    host_rate = _shrunk(top, "host_n", "host_good", "host_strength", own)
+    rated = known.withColumn("host_rate", host_rate).withColumn("path_rate", _shrunk(F.col("host_rate"), own=own)).withColumn("evidence", F.col("odds") - prior)
     rate = F.least(F.greatest(F.col("path_rate"), F.lit(1e-4)), F.lit(1 - 1e-4))
-    return known.withColumn("evidence", F.col("odds") - F.lit(prior)).select("doc_id", "evidence", "host_rate", "path_rate", (1 / (1 + F.exp(-(F.col("evidence") + F.log(rate / (1 - rate)))))).alias("score"))
+    return rated.select("doc_id", "evidence", "host_rate", "path_rate", (1 / (1 + F.exp(-(F.col("evidence") + F.log(rate / (1 - rate)))))).alias("score"))
