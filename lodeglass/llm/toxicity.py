@@ -245,7 +245,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> Model:
     aggregations over all of the corpus; the driver and each worker hold one row of them per distinct n-gram and context.
 
     The calibration is a logistic regression over `features` of the `sample` labelled documents of smallest hash, whose
-    own counts are left out. Labels other than 0 and 1 are ignored; of several for a document the highest holds. Without
+    own counts are left out, one row of each doc_id. Labels other than 0 and 1 are ignored; of several for a document the highest holds. Without
     both classes every score is the share of toxic labels.
     """
     known = labels.filter(F.col("toxic").isin(0, 1) & in_training()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
@@ -271,9 +271,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> Model:
             for text, toxic in zip(batch["text"].to_pylist(), batch["toxic"].to_pylist(), strict=True):
                 w = words(text)
                 rows.append([float(toxic), *features(m.word_ratios(w, toxic) if w else np.zeros(0), np.array([len(x) + 1 for x in w], float))])
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64()))], names=["row"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(rows, pa.list_(pa.float64()))], names=["doc_id", "row"])
 
-    got = pool.join(F.broadcast(chosen), "doc_id").select("text", "toxic").mapInArrow(rate, "row array<double>").toArrow()
+    got = pool.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic").mapInArrow(rate, "doc_id bigint, row array<double>").groupBy("doc_id").agg(F.min("row").alias("row")).toArrow()
     shared.destroy()
     rows = np.array(got["row"].to_pylist(), float).reshape(-1, 11)
     rows = rows[np.lexsort(rows.T)]
