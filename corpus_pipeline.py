@@ -7,30 +7,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeglass.llm import decontamination, near_duplicates, packing, secret_scan, toxicity
-from lodeglass.llm.shared import shared_folder
+from lodeglass.llm.shared import shared_folder, spare
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is under 0.7."""
-    scored = toxicity.with_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), "_toxicity")
-    return scored.filter(F.col("_toxicity") < 0.7).select(*docs.columns)
+    (score,) = spare(docs, 1)
+    scored = toxicity.with_toxicity(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), score)
+    return scored.filter(F.col(score) < 0.7).drop(score)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate class."""
-    return near_duplicates.one_of_each(docs).select(*docs.columns)
+    return near_duplicates.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window of words with the benchmark."""
-    found = decontamination.with_passages(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "_passages")
-    return found.filter(F.col("_passages.n_hit") == 0).select(*docs.columns)
+    (passages,) = spare(docs, 1)
+    found = decontamination.with_passages(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), passages)
+    return found.filter(F.col(f"{passages}.n_hit") == 0).drop(passages)
 
 
 def blot_out_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with [REDACTED] in place of secrets and n_chars as it is then."""
     clean = docs.withColumn("text", secret_scan.redacted("text"))
-    return clean.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    return clean.withColumn("n_chars", F.length("text").cast("bigint"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
