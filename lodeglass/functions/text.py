@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -77,10 +79,14 @@ def sentences(c: Column) -> Column:
     return F.filter(F.split(collapsed(c), r"(?<=[.!?。！？；])\s+"), lambda s: s != "")
 
 
-def terms_in(text: Column, terms) -> Column:
-    """The terms that lower-cased text contains, in list order."""
-    low = F.lower(text)
-    return F.filter(F.array(*map(F.lit, terms)), lambda t: F.contains(low, t)) if terms else F.array().cast("array<string>")
+def any_term(low: Column, terms) -> Column:
+    """Whether text that is in lower case contains one of the terms: compiled, and done at the first."""
+    return reduce(lambda a, b: a | b, (F.contains(low, F.lit(t)) for t in terms), F.lit(False))
+
+
+def terms_in(low: Column, terms) -> Column:
+    """The terms that text in lower case contains, in list order. One comparison a term, all compiled."""
+    return F.array_compact(F.array(*(F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in terms))) if terms else F.array().cast("array<string>")
 
 
 def first_term(text: Column, terms: dict[str, str]) -> Column:

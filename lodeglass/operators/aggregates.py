@@ -32,18 +32,20 @@ def indicator_counts(analyses: DataFrame, as_of: Column, by: tuple[str, ...] = (
     return rows.groupBy(F.lower("indicator").alias("indicator"), *by).agg(*(F.count_if(within(as_of, d)).alias(f"cnt_{d}") for d in days))
 
 
-def co_occurrence(analyses: DataFrame, articles: DataFrame, claims: DataFrame, as_of: Column, days: int, least_sources: int = 2, approximate: bool = False) -> DataFrame:
+def co_occurrence(analyses: DataFrame, articles: DataFrame, claims: DataFrame, as_of: Column, days: int, least_sources: int = 2) -> DataFrame:
     """Indicator, benchmark and metric by the analyses and sources they meet in, with mean and highest gain; from two sources on.
 
-    The window and the benchmark filter come before the joins, and no content travels.
+    Ids of analyses and articles are unique. The window and the benchmark filter come before the joins, no content
+    travels, and an article's claims are summed by benchmark and metric first, so that analyses never meet single
+    claims. Rows are then counted by source, and these counts added up, which takes the place of distinct counts.
     """
-    recent = analyses.filter(within(as_of, days)).select(F.col("id").alias("analysis"), "crawl_id", "indicators")
+    recent = analyses.filter(within(as_of, days)).select("crawl_id", "indicators")
     where = articles.select(F.col("id").alias("crawl_id"), "source")
-    said = claims.filter("benchmark is not null and delta is not null").select("crawl_id", "benchmark", "metric", "delta")
-    rows = recent.join(where, "crawl_id").join(said, "crawl_id").withColumn("indicator", F.explode("indicators"))
-    n = F.approx_count_distinct if approximate else F.countDistinct
-    out = rows.groupBy(F.lower("indicator").alias("indicator"), "benchmark", "metric").agg(
-        n("analysis").alias("analyses"), n("source").alias("n_sources"), F.array_sort(F.collect_set("source")).alias("sources"), F.avg("delta").alias("avg_delta"), F.max("delta").alias("max_delta"),
+    said = claims.filter("benchmark is not null and delta is not null").groupBy("crawl_id", "benchmark", "metric").agg(F.count("*").alias("n"), F.sum("delta").alias("s"), F.max("delta").alias("m"))
+    rows = recent.join(where, "crawl_id").join(said, "crawl_id").withColumn("indicator", F.explode(F.array_distinct(F.transform("indicators", F.lower))))
+    by_source = rows.groupBy("indicator", "benchmark", "metric", "source").agg(F.count("*").alias("k"), F.sum("n").alias("n"), F.sum("s").alias("s"), F.max("m").alias("m"))
+    out = by_source.groupBy("indicator", "benchmark", "metric").agg(
+        F.sum("k").alias("analyses"), F.count("source").alias("n_sources"), F.array_sort(F.collect_list("source")).alias("sources"), (F.sum("s") / F.sum("n")).alias("avg_delta"), F.max("m").alias("max_delta"),
     )
     return out.filter(F.col("n_sources") >= least_sources)
 
@@ -117,3 +119,10 @@ def job_progress(jobs: DataFrame, batches: DataFrame, planned: int) -> DataFrame
     so_far = Window.partitionBy("job").orderBy("batch").rowsBetween(Window.unboundedPreceding, 0)
     rows = batches.withColumn("mean_ms", F.avg("batch_ms").over(so_far))
     return rows.select("job", "batch", "mean_ms", (F.col("batch") * 100.0 / planned).alias("percent"), (F.greatest(F.lit(0), F.lit(planned) - F.col("batch")) * F.col("mean_ms")).alias("eta_ms"))
+
+
+def monitoring(sources: DataFrame, classes: dict[str, str], other: str = "other") -> DataFrame:
+    """class, n, active, late, silent of sources (source, severity): those without a severity are active, with medium late, with high silent."""
+    kind = F.coalesce(*(F.when(F.col("source") == s, c) for s, c in classes.items()), F.lit(other))
+    n = lambda hit: F.count_if(F.coalesce(hit, F.lit(False)))
+    return sources.groupBy(kind.alias("class")).agg(F.count("*").alias("n"), F.count_if(F.col("severity").isNull()).alias("active"), n(F.col("severity") == "medium").alias("late"), n(F.col("severity") == "high").alias("silent"))

@@ -14,13 +14,19 @@ GAINS = (r"improv(?:e|es|ed)\s+by", r"improvement\s+of", r"increase\s+of", r"gai
 
 
 def triage(articles: DataFrame, capability=lexicons.CAPABILITY, noise=lexicons.NOISE, least_words: int = 120) -> DataFrame:
-    """The articles with skip, reason and matches: no capability term and few words, or none and any noise term."""
+    """The articles with skip, reason and matches: no capability term and few words, or none and any noise term.
+
+    Only articles without a capability term are split into words and searched for noise. Columns of these three names
+    are replaced; all others, whatever their names, stay.
+    """
     whole = F.concat_ws(" ", F.coalesce("title", F.lit("")), F.coalesce("content", F.lit("")))
-    n = F.size(F.filter(F.split(F.coalesce("content", F.lit("")), r"\s+"), lambda w: w != ""))
-    rows = articles.withColumns({"_capable": F.size(text.terms_in(whole, capability)) > 0, "matches": text.terms_in(whole, noise), "_words": n})
-    short, noisy = ~F.col("_capable") & (F.col("_words") < least_words), ~F.col("_capable") & (F.size("matches") > 0)
-    reason = F.when(short, "Short update without capability signals").when(noisy, F.concat(F.lit("Noise keywords: "), F.array_join(F.slice("matches", 1, 3), ", ")))
-    return rows.withColumns({"skip": short | noisy, "reason": reason}).withColumn("matches", F.when(noisy & ~short, F.col("matches"))).drop("_capable", "_words")
+    rows = articles.select(F.struct("*").alias("row"), F.lower(whole).alias("low")).withColumn("capable", text.any_term(F.col("low"), capability))
+    n = F.size(F.filter(F.split(F.coalesce("row.content", F.lit("")), r"\s+"), lambda w: w != ""))
+    rows = rows.select("row", "capable", (~F.col("capable") & (n < least_words)).alias("short"), F.when(~F.col("capable"), text.terms_in(F.col("low"), noise)).alias("matches"))
+    noisy = ~F.col("capable") & ~F.col("short") & (F.size("matches") > 0)
+    reason = F.when(F.col("short"), "Short update without capability signals").when(noisy, F.concat(F.lit("Noise keywords: "), F.array_join(F.slice("matches", 1, 3), ", ")))
+    kept = [F.col("row")[c].alias(c) for c in articles.columns if c.lower() not in ("skip", "reason", "matches")]
+    return rows.select(*kept, (F.col("short") | noisy).alias("skip"), reason.alias("reason"), F.when(noisy, F.col("matches")).alias("matches"))
 
 
 def sentence_rows(articles: DataFrame) -> DataFrame:
@@ -42,15 +48,16 @@ def delta_plain(c: Column) -> Column:
 
 def snippets(articles: DataFrame, keywords=lexicons.EVIDENCE, benchmarks=tuple(lexicons.BENCHMARKS), most: int = 6) -> DataFrame:
     """id, rank, pos, snippet, score, tags: an article's best sentences of 20 to 300 characters; of equal ones the first counts, ties go to the earlier."""
-    rows = sentence_rows(articles).filter(F.length("sentence").between(20, 300))
-    low = F.lower("sentence")
-    tags = F.concat(text.terms_in(low, keywords), text.terms_in(low, benchmarks))
-    rows = rows.withColumns({"tags": tags, "_numbers": low.rlike(r"\d"), "_percent": F.contains(low, F.lit("%"))})
-    score = 2 * F.size("tags") + F.when(F.col("_numbers"), 2).otherwise(0) + F.when(F.col("_percent"), 1).otherwise(0)
-    more = F.concat("tags", F.when(F.col("_numbers"), F.array(F.lit("numbers"))).otherwise(F.array().cast("array<string>")), F.when(F.col("_percent"), F.array(F.lit("percent"))).otherwise(F.array().cast("array<string>")))
-    rows = rows.select("id", "pos", F.col("sentence").alias("snippet"), score.alias("score"), F.array_distinct(more).alias("tags")).filter("score > 0")
-    once = rows.withColumn("_n", F.row_number().over(Window.partitionBy("id", F.lower("snippet")).orderBy("pos"))).filter("_n = 1")
-    return once.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "pos"))).filter(F.col("rank") <= most).drop("_n")
+    rows = sentence_rows(articles).filter(F.length("sentence").between(20, 300)).withColumn("low", F.lower("sentence"))
+    low = F.col("low")
+    rows = rows.withColumns({"terms": text.terms_in(low, (*keywords, *benchmarks)), "numbers": low.rlike(r"\d"), "percent": F.contains(low, F.lit("%"))})
+    score = 2 * F.size("terms") + F.when(F.col("numbers"), 2).otherwise(0) + F.when(F.col("percent"), 1).otherwise(0)
+    more = F.array_compact(F.array(F.when(F.col("numbers"), F.lit("numbers")), F.when(F.col("percent"), F.lit("percent"))))
+    rows = rows.select("id", "pos", F.col("sentence").alias("snippet"), "low", score.alias("score"), "terms", more.alias("more")).filter("score > 0")
+    # one shuffle by article serves both windows
+    once = rows.repartition("id").withColumn("nth", F.row_number().over(Window.partitionBy("id", "low").orderBy("pos"))).filter("nth = 1")
+    best = once.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "pos"))).filter(F.col("rank") <= most)
+    return best.select("id", "pos", "snippet", "score", F.array_distinct(F.concat("terms", "more")).alias("tags"), "rank")
 
 
 def claims(found: DataFrame, benchmarks=lexicons.BENCHMARKS, metrics=lexicons.METRICS, most: int = 4) -> DataFrame:
@@ -86,3 +93,34 @@ def heuristic_scores(made: DataFrame, counts: DataFrame | None = None, most: flo
     if counts is not None:
         out = out.join(counts, "id", "left").withColumn("p", F.col("p") + F.when(F.col("snippets") >= 3, 0.03).otherwise(0.0))
     return out.select("id", F.round(clamp(F.col("p"), 0.0, most), 6).alias("heuristic"), "has_delta")
+
+
+def signals(made: DataFrame) -> DataFrame:
+    """name, value, detail of each part that a claim (id, benchmark, value, delta, tags) adds to its article's score; parts of nothing are left out."""
+    arc = F.col("benchmark").isin("ARC", "ARC-AGI", "ARC-AGI-2")
+    said = lambda name, value, detail: F.struct(F.lit(name).alias("name"), value.otherwise(0.0).alias("value"), detail.cast("string").alias("detail"))
+    parts = F.array(
+        said("benchmark", F.when(F.col("benchmark") != "", 0.03), F.col("benchmark")),
+        said("benchmark_value", F.when(arc & (F.col("value") >= 25), 0.15).when(arc & (F.col("value") >= 10), 0.1), F.col("value")),
+        said("benchmark_delta", F.when(F.col("delta") >= 10, 0.1).when(F.col("delta") >= 5, 0.05), F.col("delta")),
+        said("human_level", F.when(F.array_contains("tags", "human-level"), 0.06), F.lit("human-level")),
+        said("generalization", F.when(F.array_contains("tags", "generalization"), 0.04), F.lit("generalization")),
+    )
+    return made.select("id", F.inline(F.filter(parts, lambda p: p["value"] != 0)))
+
+
+def claims_on_load(articles: DataFrame, stored: DataFrame, known: DataFrame, keywords=lexicons.EVIDENCE, benchmarks=lexicons.BENCHMARKS, metrics=lexicons.METRICS) -> DataFrame:
+    """id, origin, claim of the articles (id, content) of which nothing is known (id) yet: claims stored with them (id, claim), else those extracted from their text."""
+    new = articles.join(known.select("id").distinct(), "id", "left_anti")
+    kept = stored.join(new.select("id"), "id", "left_semi").select("id", F.lit("stored").alias("origin"), "claim")
+    bare = new.join(stored.select("id").distinct(), "id", "left_anti")
+    made = claims(snippets(bare, keywords, tuple(benchmarks)), benchmarks, metrics)
+    return kept.unionByName(made.select("id", F.lit("extracted").alias("origin"), "claim"))
+
+
+def backfill(articles: DataFrame, known: DataFrame, newest: int = 200, keywords=lexicons.EVIDENCE, benchmarks=lexicons.BENCHMARKS, metrics=lexicons.METRICS) -> tuple[DataFrame, DataFrame]:
+    """The claims to insert of the newest articles (id, content, ts) of which none is known (id), and one row of how many articles were processed and claims inserted."""
+    new = articles.join(known.select("id").distinct(), "id", "left_anti").orderBy(F.desc("ts"), "id").limit(newest)
+    made = claims(snippets(new, keywords, tuple(benchmarks)), benchmarks, metrics)
+    counts = new.agg(F.count("*").alias("processed")).crossJoin(made.agg(F.count("*").alias("inserted")))
+    return made, counts

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,13 +14,14 @@ def upsert(target: DataFrame, updates: DataFrame, keys: list[str], kept: tuple[s
 
     Of several updates with one key the last by all its other columns wins. Both sides are shuffled once, on the keys.
     """
-    rest = [c for c in updates.columns if c not in keys]
-    last = updates.groupBy(*keys).agg(F.max(F.struct(*rest)).alias("_new")) if rest else updates.distinct()
-    old = target.select(*keys, F.struct(*[c for c in target.columns if c not in keys]).alias("_old"))
-    same = reduce(lambda a, b: a & b, (old[k].eqNullSafe(last[k]) for k in keys))
-    both = old.join(last, same, "full")
-    value = lambda c: F.coalesce(F.col(f"_old.{c}"), F.col(f"_new.{c}")) if c in kept else F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(f"_old.{c}"))
-    return both.select(*(F.when(F.col("_new").isNotNull(), last[k]).otherwise(old[k]).alias(k) if k in keys else value(k).alias(k) for k in target.columns))
+    rest, names = [c for c in updates.columns if c not in keys], [f"k{i}" for i in range(len(keys))]
+    named = lambda rows, side: rows.select(*(F.col(k).alias(f"{side}{n}") for k, n in zip(keys, names, strict=True)), F.struct(F.lit(True).alias("is"), *(c for c in rows.columns if c not in keys)).alias(side))
+    old, new = named(target, "old"), named(updates, "new")
+    last = new.groupBy(*(f"new{n}" for n in names)).agg(F.max("new").alias("new")) if rest else new.distinct()
+    both = old.join(last, reduce(lambda a, b: a & b, (F.col(f"old{n}").eqNullSafe(F.col(f"new{n}")) for n in names)), "full")
+    fresh = F.col("new").isNotNull()
+    value = lambda c: F.coalesce(F.col("old")[c], F.col("new")[c]) if c in kept else F.when(fresh, F.col("new")[c]).otherwise(F.col("old")[c])
+    return both.select(*(F.when(fresh, F.col(f"new{names[keys.index(c)]}")).otherwise(F.col(f"old{names[keys.index(c)]}")).alias(c) if c in keys else value(c).alias(c) for c in target.columns))
 
 
 def insert_absent(target: DataFrame, updates: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -44,23 +46,30 @@ def new_articles(found: DataFrame, stored: DataFrame) -> DataFrame:
     return found.join(stored.select("url").distinct(), "url", "left_anti").join(stored.select("content_hash").distinct(), "content_hash", "left_anti")
 
 
-def first_of_each(found: DataFrame, order: str, rounds: int = 50) -> DataFrame:
+def first_of_each(found: DataFrame, order: str) -> DataFrame:
     """Of rows in order, those whose url and content_hash both differ from those of every earlier row that is itself kept.
 
-    Each round keeps the rows that come first among all left of their url and of their hash, and takes away what shares
-    either with them; chains need several rounds.
+    Whether a row is kept depends on earlier ones that share its url or hash, and theirs on others. Rows are decided in
+    rounds: kept, if no undecided or kept row before them shares either; dropped, if a kept one does. Each round decides
+    all rows whose earlier ones are decided, until none is left, however long a chain is. Only the keys travel.
     """
-    left, kept = found, None
-    for _ in range(rounds):
-        least = lambda c: F.min(order).over(Window.partitionBy(c))
-        ranked = left.withColumns({"_u": least("url"), "_h": least("content_hash")})
-        now = ranked.filter((F.col(order) == F.col("_u")) & (F.col(order) == F.col("_h"))).drop("_u", "_h").checkpoint()
-        kept = now if kept is None else kept.unionByName(now)
-        left = left.join(now.select(order), order, "left_anti")
-        left = left.join(now.select("url").distinct(), "url", "left_anti").join(now.select("content_hash").distinct(), "content_hash", "left_anti").select(*found.columns).checkpoint()
+    keys = found.select(F.col(order).alias("n"), F.xxhash64("url").alias("u"), F.xxhash64("content_hash").alias("h"))
+    folder, spark = f"{_folder(found.sparkSession)}/first-{uuid.uuid4().hex}", found.sparkSession
+    left, number = keys, 0
+    while True:
+        least = lambda c: F.min("n").over(Window.partitionBy(c))
+        first = left.withColumn("first", (F.col("n") == least("u")) & (F.col("n") == least("h")))
+        first.filter("first").drop("first").write.parquet(f"{folder}/kept/round={number}")
+        now = spark.read.parquet(f"{folder}/kept/round={number}")
+        rest = first.filter("not first").drop("first").join(now.select("u"), "u", "left_anti").join(now.select("h"), "h", "left_anti")
+        rest.write.parquet(f"{folder}/left/round={number}")
+        left, number = spark.read.parquet(f"{folder}/left/round={number}"), number + 1
         if left.isEmpty():
-            return kept.select(*found.columns)
-    raise RuntimeError(f"chains of duplicates longer than {rounds}")
+            return found.join(spark.read.parquet(f"{folder}/kept").select(F.col("n").alias(order)), order, "left_semi")
+
+
+def _folder(spark) -> str:
+    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def first_strategy(candidates: DataFrame) -> DataFrame:
@@ -85,3 +94,8 @@ def resolved_findings(findings: DataFrame, numbered: DataFrame) -> DataFrame:
     named = findings.select("finding", F.posexplode("indexes").alias("pos", "n")).join(numbered, "n")
     listed = named.groupBy("finding").agg(F.array_sort(F.collect_list(F.struct("pos", "id", "source"))).alias("a"))
     return listed.filter(F.size("a") >= 2).select("finding", F.transform("a", lambda x: x["id"]).alias("ids"), F.array_sort(F.array_distinct(F.transform("a", lambda x: x["source"]))).alias("sources"))
+
+
+def append(rows: DataFrame, folder: str, batch: str) -> None:
+    """Appends rows to a table kept as a folder, under their batch's name: a batch that is written again replaces itself and no other."""
+    rows.write.mode("overwrite").parquet(f"{folder}/batch={batch}")

@@ -24,17 +24,17 @@ def hits(articles: DataFrame, secrecy=lexicons.SECRECY, caution=lexicons.CAUTION
     """id, type, term, severity, confidence and evidence of every term of three lists in an article; the lists are arrays, so nothing is joined."""
     def found(terms, kind, severity, confidence) -> Column:
         hit = lambda t: F.struct(F.lit(kind).alias("type"), t.alias("term"), severity(t).alias("severity"), F.lit(confidence).alias("confidence"))
-        return F.transform(text.terms_in(F.col("content"), terms), hit)
+        return F.transform(text.terms_in(F.col("low"), terms), hit)
 
     parts = (found(secrecy, "silence", term_severity, 0.7), found(caution, "safety_meeting", lambda t: F.lit("medium"), 0.5), found(government, "government", lambda t: F.lit("high"), 0.8))
-    rows = articles.select("id", "content", F.explode(F.concat(*parts)).alias("hit")).select("id", "content", "hit.*")
+    rows = articles.select("id", "content", F.lower("content").alias("low")).select("id", "content", F.explode(F.concat(*parts)).alias("hit")).select("id", "content", "hit.*")
     return rows.withColumn("evidence", context(F.col("content"), F.col("term"))).drop("content")
 
 
 def departures(articles: DataFrame, leaving=lexicons.DEPARTURE, senior=lexicons.SENIOR) -> DataFrame:
     """One row for an article that has a term of leaving and one of a senior role."""
-    both = (F.size(text.terms_in(F.col("content"), leaving)) > 0) & (F.size(text.terms_in(F.col("content"), senior)) > 0)
-    return articles.filter(both).select("id", F.lit("departure").alias("type"), F.lit(None).cast("string").alias("term"), F.lit("high").alias("severity"), F.lit(0.6).alias("confidence"), F.substring("content", 1, 200).alias("evidence"))
+    low = articles.select("id", "content", F.lower("content").alias("low"))
+    return low.filter(text.any_term(F.col("low"), leaving) & text.any_term(F.col("low"), senior)).select("id", F.lit("departure").alias("type"), F.lit(None).cast("string").alias("term"), F.lit("high").alias("severity"), F.lit(0.6).alias("confidence"), F.substring("content", 1, 200).alias("evidence"))
 
 
 def publication_gaps(articles: DataFrame, as_of: Column, expected: dict[str, int] | None = None, usual: int = lexicons.USUAL_DAYS) -> DataFrame:
@@ -67,3 +67,45 @@ def boosts(indicators: DataFrame) -> DataFrame:
     """id and boost: 0.2 with a critical indicator, else 0.1 with a high one."""
     rank = F.when(F.col("severity") == "critical", 2).when(F.col("severity") == "high", 1).otherwise(0)
     return indicators.groupBy("id").agg(F.max(rank).alias("r")).select("id", F.when(F.col("r") == 2, 0.2).when(F.col("r") == 1, 0.1).otherwise(0.0).alias("boost"))
+
+
+# How indicators are described.
+DESCRIPTIONS = {"silence": 'Secrecy-related language detected: "%s"', "safety_meeting": 'Unusual caution detected: "%s"', "government": 'Government involvement detected: "%s"', "departure": "Senior AI researcher departure detected"}
+
+
+def described(indicators: DataFrame) -> DataFrame:
+    """Indicators (type, term, ...) with a description."""
+    out = F.col("type")
+    for kind, shape in DESCRIPTIONS.items():
+        out = F.when(F.col("type") == kind, F.format_string(shape, "term") if "%s" in shape else F.lit(shape)).otherwise(out)
+    return indicators.withColumn("description", out)
+
+
+def merged_indicators(analyses: DataFrame, indicators: DataFrame) -> DataFrame:
+    """id and indicators of analyses (id, crawl_id, indicators), followed by those of secrecy (id, type, term) of their article, each marked and in order of its description."""
+    marked = described(indicators).groupBy(F.col("id").alias("crawl_id")).agg(F.array_sort(F.collect_list(F.concat(F.lit("[SECRECY] "), "description"))).alias("more"))
+    return analyses.join(marked, "crawl_id", "left").select("id", F.concat("indicators", F.coalesce("more", F.array().cast("array<string>"))).alias("indicators"))
+
+
+def recent(indicators: DataFrame, articles: DataFrame, as_of: Column, days: int = 7) -> DataFrame:
+    """Indicators (id, type, term, severity) of articles (id, ts) of the last days, with their time, newest first."""
+    rows = indicators.join(articles.filter(F.col("ts") >= as_of - F.make_interval(days=F.lit(days))).select("id", "ts"), "id")
+    return rows.select("id", "ts", "type", "term", "severity").orderBy(F.desc("ts"), "id", "type", "term")
+
+
+def finding_articles(indicators: DataFrame, risks: DataFrame, shown: int = 5) -> DataFrame:
+    """Article rows (title, content, source, kind) of indicators (id, source, type, term, severity, confidence, evidence) and their risk (one row of `risk`).
+
+    A summary with the first `shown` indicators by id, type and term, unless there is no indicator and no late source;
+    and one row for every critical or high indicator.
+    """
+    rows = described(indicators)
+    source = F.lit("Secrecy Pattern Detection").alias("source")
+    first = rows.orderBy("id", "type", "term").limit(shown).agg(F.array_sort(F.collect_list(F.struct("id", "type", "term", "description"))).alias("x"))
+    listed = F.array_join(F.transform("x", lambda r: F.concat(r["type"], F.lit(": "), r["description"])), ". ")
+    summary = risks.filter("total > 0 or gaps > 0").crossJoin(first).select(
+        F.format_string("Secrecy Pattern Analysis: %s Risk", F.upper("risk")).alias("title"), F.concat(F.format_string("Secrecy analysis: %d indicators, %d late sources. ", "total", "gaps"), listed).alias("content"), source, F.lit("secrecy_analysis").alias("kind"),
+    )
+    said = F.format_string("%s indicator detected at %s. Evidence: %s. Confidence: %d%%", F.upper("type"), "source", "evidence", F.round(F.col("confidence") * 100).cast("int"))
+    alerts = rows.filter(F.col("severity").isin("critical", "high")).select(F.concat(F.lit("Secrecy Alert: "), "description").alias("title"), said.alias("content"), source, F.lit("secrecy_indicator").alias("kind"))
+    return summary.unionByName(alerts)

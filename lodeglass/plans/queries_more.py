@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodeglass.operators import aggregates as agg
-from lodeglass.operators import joins, vectors
+from lodeglass.operators import correlations, evidence, joins, secrecy, vectors
 from lodeglass.plans.queries_relational import _r
+from lodeglass.plans.queries_text import _CLAIMS, _GAPS, _SENTENCES, MARKS, METRICS, SECRET, _in
 from lodeglass.sources.adapters import Tables, with_tables
 
 QUERIES: dict = {}
@@ -35,15 +36,22 @@ def a9_stored_findings(t):
     return rows.orderBy(F.desc_nulls_last("avg_delta"), F.desc("n"), "benchmark", F.asc_nulls_last("metric")).limit(10)
 
 
-@query(f"""WITH w AS (SELECT source FROM feedback GROUP BY source HAVING count(*) > 5 AND avg(({_RIGHT})::INTEGER) < 0.85 ORDER BY avg(({_RIGHT})::INTEGER), source LIMIT 1)
-SELECT unnest(list_filter([CASE WHEN n < 10 THEN 'Collect more feedback' END, CASE WHEN a < 0.7 THEN 'Overall accuracy is low' END, 'Terms in false alarms: k1', CASE WHEN (SELECT source FROM w) IS NOT NULL THEN 'Source to review: ' || (SELECT source FROM w) END, CASE WHEN a < 0.8 THEN 'Critical alerts are too often wrong' END], lambda s: s IS NOT NULL)) AS advice FROM (SELECT count(*) AS n, avg(({_RIGHT})::INTEGER) AS a FROM feedback)""".replace("WITH w AS", "SELECT * FROM (WITH w AS", 1) + ")", "feedback")
+@query(f"""WITH w AS (SELECT source FROM feedback GROUP BY source HAVING count(*) > 5 AND avg(({_RIGHT})::INTEGER) < 0.85 ORDER BY avg(({_RIGHT})::INTEGER), source LIMIT 1),
+k AS (SELECT lower(i) AS i, count(*) AS n FROM (SELECT unnest(indicators) AS i FROM feedback JOIN analyses ON id = analysis_id WHERE feedback_type IN ('noise', 'false_positive')) GROUP BY 1 ORDER BY n DESC, 1 LIMIT 10),
+c AS (SELECT avg(({_RIGHT})::INTEGER) AS c FROM feedback JOIN analyses ON id = analysis_id WHERE severity = 'critical'),
+f AS (SELECT count(*) AS n, avg(({_RIGHT})::INTEGER) AS a FROM feedback)
+SELECT unnest(list_filter([CASE WHEN n < 10 THEN 'Collect more feedback' END, CASE WHEN a < 0.7 THEN 'Overall accuracy is low' END, CASE WHEN (SELECT count(*) FROM k) > 0 THEN 'Terms in false alarms: ' || (SELECT string_agg(i, ', ' ORDER BY n DESC, i) FROM (SELECT * FROM k ORDER BY n DESC, i LIMIT 3)) END, CASE WHEN (SELECT source FROM w) IS NOT NULL THEN 'Source to review: ' || (SELECT source FROM w) END, CASE WHEN (SELECT c FROM c) < 0.8 THEN 'Critical alerts are too often wrong' END], lambda s: s IS NOT NULL)) AS advice FROM f""".replace("WITH w AS", "SELECT * FROM (WITH w AS", 1) + ")", "feedback", "analyses")
 def a16_recommendations(t):
-    """What to tune, from feedback."""
-    f = t.feedback()
-    whole = f.agg(F.count("*").alias("n"), F.avg(F.col("feedback_type").isin("relevant", "critical").cast("double")).alias("a"))
+    """What to tune, from feedback: its accuracy, the terms of false alarms, sources, and critical alerts."""
+    f, known = t.feedback(), t.analyses().select(F.col("id").alias("analysis_id"), "indicators", "severity")
+    right = F.avg(F.col("feedback_type").isin("relevant", "critical").cast("double"))
+    whole = f.agg(F.count("*").alias("n"), right.alias("a"))
     worst = agg.accuracy_by(f, "source", 5).filter("accuracy < 0.85").orderBy("accuracy", "source").limit(1).agg(F.max("source").alias("worst"))
-    one = whole.crossJoin(F.broadcast(worst))
-    return one.select(F.explode(agg.recommendations(F.col("n"), F.col("a"), F.array(F.lit("k1")), F.col("worst"), F.col("a"))).alias("advice"))
+    terms = f.filter(F.col("feedback_type").isin("noise", "false_positive")).join(known, "analysis_id").select(F.explode("indicators").alias("i")).groupBy(F.lower("i").alias("i")).agg(F.count("*").alias("k")).orderBy(F.desc("k"), "i").limit(10)
+    terms = terms.agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("k")).alias("k"), "i"))), lambda x: x["i"]).alias("terms"))
+    critical = f.join(known.filter("severity = 'critical'"), "analysis_id").agg(right.alias("c"))
+    one = whole.crossJoin(worst).crossJoin(terms).crossJoin(critical)
+    return one.select(F.explode(agg.recommendations(F.col("n"), F.col("a"), F.col("terms"), F.col("worst"), F.col("c"))).alias("advice"))
 
 
 @query("SELECT id, query_text, result_id FROM trajectories WHERE created_at > (SELECT t FROM as_of) - INTERVAL 24 HOUR", "trajectories", "as_of")
@@ -79,10 +87,15 @@ def a25_events(t):
     return risen.unionByName(top).unionByName(said)
 
 
-@query("SELECT CASE WHEN source IN ('src0', 'src1') THEN 'labs' ELSE 'other' END AS class, count(*) AS n, count(*) FILTER (id % 3 = 0) AS failing FROM articles GROUP BY 1", "articles")
+@query("SELECT 1", "articles")
 def a26_monitoring(t):
-    """Sources by class and status."""
-    return t.articles().groupBy(F.when(F.col("source").isin("src0", "src1"), "labs").otherwise("other").alias("class")).agg(F.count("*").alias("n"), F.count_if(F.col("id") % 3 == 0).alias("failing"))
+    """Sources by class, and how many of each publish as expected, late, or not at all."""
+    gaps = secrecy.publication_gaps(t.articles(), t.as_of() + F.expr("interval 3 days"), {"src0": 1, "src1": 21}, 2)
+    return agg.monitoring(gaps, {"src0": "labs", "src1": "labs", "src2": "arc"})
+
+
+ORACLE_SQL["a26_monitoring"] = with_tables("", "articles", "as_of") + """, g AS (SELECT source, floor((epoch((SELECT t FROM as_of) + INTERVAL 3 DAY) - epoch(max(ts))) / 86400)::BIGINT AS gap, CASE source WHEN 'src0' THEN 1 WHEN 'src1' THEN 21 ELSE 2 END AS usual FROM articles GROUP BY source)
+SELECT CASE WHEN source IN ('src0', 'src1') THEN 'labs' WHEN source = 'src2' THEN 'arc' ELSE 'other' END AS class, count(*) AS n, count(*) FILTER (gap <= 2 * usual) AS active, count(*) FILTER (gap > 2 * usual AND gap <= 4 * usual) AS late, count(*) FILTER (gap > 4 * usual) AS silent FROM g GROUP BY 1"""
 
 
 @query("SELECT id, metric, round(value, 6)::DOUBLE AS value FROM (SELECT id, ts, unnest(['score', 'confidence']) AS metric, unnest([score, confidence]) AS value FROM analyses ORDER BY ts DESC, id, metric LIMIT 100)", "analyses")
@@ -92,33 +105,83 @@ def j7_history(t):
     return wide.join(t.analyses().select("id"), "id").orderBy(F.desc("ts"), "id", "metric").limit(100).select("id", "metric", _r("value", "value"))
 
 
-@query("SELECT id, CASE WHEN id % 4 = 0 THEN 'stored' ELSE 'extracted' END AS origin FROM articles WHERE id NOT IN (SELECT crawl_id FROM claims WHERE value > 45)", "articles", "claims")
+@query("SELECT 1", "articles")
 def k3_claims_on_load(t):
-    """Where the claims come from of articles that have none yet: their metadata first."""
-    rows = t.articles().select("id").join(t.claims().filter("value > 45").select(F.col("crawl_id").alias("id")), "id", "left_anti")
-    stored = F.when(F.col("id") % 4 == 0, F.array(F.lit("claim"))).otherwise(F.array().cast("array<string>"))
-    return rows.select("id", F.when(F.size(stored) > 0, "stored").otherwise("extracted").alias("origin"))
+    """Claims of articles that have none yet: those that came with them (here: titles that have a number), else those extracted."""
+    rows = t.articles()
+    stored = rows.filter(F.col("title").rlike("[0-9]")).select("id", F.col("title").alias("claim"))
+    known = t.claims().filter("value > 45").select(F.col("crawl_id").alias("id"))
+    made = evidence.claims_on_load(rows, stored, known, benchmarks=MARKS, metrics=METRICS)
+    return made.select("id", "origin", F.sha2("claim", 256).alias("claim"))
+
+
+ORACLE_SQL["k3_claims_on_load"] = with_tables("", "articles", "claims") + f""", {_SENTENCES}, nw AS (SELECT id, title FROM articles WHERE id NOT IN (SELECT crawl_id FROM claims WHERE value > 45))
+SELECT id, 'stored' AS origin, sha256(title) AS claim FROM nw WHERE regexp_matches(title, '[0-9]') UNION ALL SELECT sn.id, 'extracted', sha256(s) FROM sn JOIN nw USING (id) WHERE rank <= 4 AND NOT regexp_matches(title, '[0-9]')"""
+
+
+@query("SELECT 1", "articles")
+def e10_evidence_backfill(t):
+    """How many of the newest two hundred articles without a strong claim are processed, and how many claims that inserts."""
+    known = t.claims().filter("value > 45").select(F.col("crawl_id").alias("id"))
+    return evidence.backfill(t.articles(), known, 200, benchmarks=MARKS, metrics=METRICS)[1]
+
+
+ORACLE_SQL["e10_evidence_backfill"] = with_tables("", "articles", "claims") + f""", {_SENTENCES}, nw AS (SELECT id FROM articles WHERE id NOT IN (SELECT crawl_id FROM claims WHERE value > 45) ORDER BY ts DESC, id LIMIT 200)
+SELECT (SELECT count(*) FROM nw) AS processed, (SELECT count(*) FROM sn JOIN nw USING (id) WHERE rank <= 4) AS inserted"""
+
+
+@query("SELECT 1", "articles")
+def e11_merged_claims(t):
+    """Claims of articles, and of translated snippets (here: made of their titles) after them, by benchmark, metric and unit."""
+    rows = t.articles()
+    native = evidence.claims(evidence.snippets(rows, benchmarks=tuple(MARKS)), MARKS, METRICS)
+    translated = rows.select("id", F.lit(1).alias("rank"), F.concat(F.lit("gain of "), F.col("id") % 40, F.lit("% in "), "title").alias("snippet"))
+    made = evidence.merged_claims(native, translated, MARKS, METRICS)
+    return made.groupBy("benchmark", "metric", "unit").agg(F.count("*").alias("n"), F.round(F.sum("delta"), 6).alias("delta"), F.count_if(F.size("tags") == 0).alias("without_tags"))
+
 
+ORACLE_SQL["e11_merged_claims"] = with_tables("", "articles") + f""", {_SENTENCES}, {_CLAIMS}, tr AS (SELECT id, 'gain of ' || (id % 40) || '% in ' || title AS s FROM articles),
+al AS (SELECT benchmark, metric, CASE WHEN dpct IS NOT NULL OR pct IS NOT NULL THEN '%' END AS unit, coalesce(dpct, dplain) AS delta, len(tags) + CASE WHEN regexp_matches(claim, '[0-9%]') THEN 1 ELSE 0 END AS tags FROM cl UNION ALL SELECT CASE WHEN contains(lower(s), 'arc') THEN 'ARC' WHEN contains(lower(s), 'erth') THEN 'ERTH' WHEN contains(lower(s), 'onth') THEN 'ONTH' END, CASE WHEN contains(lower(s), 'em') THEN 'em' WHEN contains(lower(s), 'tion') THEN 'tion' END, '%', (id % 40)::DOUBLE, 0 FROM tr)
+SELECT benchmark, metric, unit, count(*) AS n, round(sum(delta), 6) AS delta, count(*) FILTER (tags = 0) AS without_tags FROM al GROUP BY ALL"""
 
-@query("SELECT id, CASE WHEN id % 30 >= 20 AND id % 7 = 0 THEN 0.15 ELSE 0 END::DOUBLE AS penalty FROM analyses WHERE id % 7 = 0", "analyses")
+
+@query("SELECT 1", "articles")
+def k7_secrecy_articles(t):
+    """Signs of secrecy as article rows: a summary, and an alert for each grave one."""
+    rows = t.articles()
+    found = secrecy.hits(rows, SECRET, (), ()).unionByName(secrecy.departures(rows, ("nda",), ("thand",)))
+    risks = secrecy.risk(found, secrecy.publication_gaps(rows, t.as_of() + F.expr("interval 30 days"), {"src0": 1, "src1": 21}))
+    return secrecy.finding_articles(found.join(rows.select("id", "source"), "id"), risks)
+
+
+ORACLE_SQL["k7_secrecy_articles"] = with_tables("", "articles", "as_of") + f""", x AS (SELECT id, source, 'silence' AS type, term, CASE WHEN contains(term, 'nda') THEN 'high' ELSE 'medium' END AS severity, 70 AS c, 'Secrecy-related language detected: "' || term || '"' AS d, '...' || substr(content, greatest(1, instr(lower(content), term) - 50), instr(lower(content), term) + length(term) + 50 - greatest(1, instr(lower(content), term) - 50)) || '...' AS e FROM (SELECT *, unnest({_in('content', SECRET)}) AS term FROM articles)
+UNION ALL SELECT id, source, 'departure', NULL, 'high', 60, 'Senior AI researcher departure detected', substr(content, 1, 200) FROM articles WHERE contains(lower(content), 'nda') AND contains(lower(content), 'thand')),
+g AS ({_GAPS}), a AS (SELECT count(*) FILTER (severity = 'critical') AS c, count(*) FILTER (severity = 'high') AS h, count(*) AS n, (SELECT count(*) FILTER (gap_days > 2 * expected_days) FROM g) AS late FROM x)
+SELECT 'Secrecy Pattern Analysis: ' || CASE WHEN c > 0 OR (h >= 3 AND late >= 2) THEN 'CRITICAL' WHEN h >= 2 OR (h >= 1 AND late >= 2) THEN 'HIGH' WHEN h >= 1 OR late >= 2 OR n >= 5 THEN 'MEDIUM' ELSE 'LOW' END || ' Risk' AS title, 'Secrecy analysis: ' || n || ' indicators, ' || late || ' late sources. ' || coalesce((SELECT string_agg(type || ': ' || d, '. ' ORDER BY id, type, term) FROM (SELECT * FROM x ORDER BY id, type, term LIMIT 5)), '') AS content, 'Secrecy Pattern Detection' AS source, 'secrecy_analysis' AS kind FROM a WHERE n > 0 OR late > 0
+UNION ALL SELECT 'Secrecy Alert: ' || d, upper(type) || ' indicator detected at ' || source || '. Evidence: ' || e || '. Confidence: ' || c || '%', 'Secrecy Pattern Detection', 'secrecy_indicator' FROM x WHERE severity IN ('critical', 'high')"""
+
+
+@query("SELECT id, CASE WHEN severity NOT IN ('high', 'critical') THEN 0 WHEN EXISTS (SELECT 1 FROM articles r WHERE lower(r.source) = lower('SRC' || (a.id % 30))) THEN 0 ELSE 0.15 END::DOUBLE AS penalty FROM analyses a", "analyses", "articles")
 def p9_corroboration_penalty(t):
-    """The penalty of analyses none of whose references is a known source."""
-    refs = t.analyses().filter("id % 7 = 0").select("id", F.concat(F.lit("SRC"), F.col("id") % 30).alias("ref"))
-    found = joins.corroborated(refs, t.articles()).groupBy("id").agg(F.bool_or("found").alias("any"))
-    return found.select("id", F.when(F.col("any"), 0.0).otherwise(0.15).alias("penalty"))
+    """The penalty of analyses none of whose references is a known source; those without references (here: lesser ones) have none."""
+    ref = F.when(F.col("severity").isin("high", "critical"), F.concat(F.lit("SRC"), F.col("id") % 30))
+    found = joins.corroborated(t.analyses().select("id", ref.alias("ref")), t.articles()).groupBy("id").agg(F.bool_or("found").alias("any"), F.count("ref").alias("refs"))
+    return found.select("id", F.when((F.col("refs") == 0) | F.col("any"), 0.0).otherwise(0.15).alias("penalty"))
 
 
-@query("SELECT id, array_to_string(indicators || CASE WHEN score > 0.6 THEN ['[SECRECY] high'] ELSE [] END, ',') AS merged FROM analyses", "analyses")
+@query("""WITH m AS (SELECT id, list_sort(list('[SECRECY] ' || d)) AS more FROM (SELECT id, 'Secrecy-related language detected: "' || unnest(""" + _in("content", SECRET) + """) || '"' AS d FROM articles UNION ALL SELECT id, 'Senior AI researcher departure detected' FROM articles WHERE contains(lower(content), 'nda') AND contains(lower(content), 'thand')) GROUP BY id)
+SELECT a.id, array_to_string(list_concat(indicators, coalesce(more, [])), ',') AS merged FROM analyses a LEFT JOIN m ON m.id = a.crawl_id""", "articles", "analyses")
 def d9_merged_indicators(t):
-    """Indicators with those of secrecy after them."""
-    more = F.when(F.col("score") > 0.6, F.array(F.lit("[SECRECY] high"))).otherwise(F.array().cast("array<string>"))
-    return t.analyses().select("id", F.array_join(F.concat("indicators", more), ",").alias("merged"))
+    """Indicators of analyses, with those of secrecy in their articles after them."""
+    found = secrecy.hits(t.articles(), SECRET, (), ()).unionByName(secrecy.departures(t.articles(), ("nda",), ("thand",)))
+    return secrecy.merged_indicators(t.analyses(), found).select("id", F.array_join("indicators", ",").alias("merged"))
 
 
-@query("SELECT id FROM analyses WHERE severity = 'high' AND ts > (SELECT t FROM as_of) - INTERVAL 7 DAY", "analyses", "as_of")
+@query("SELECT id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS at, term FROM (SELECT id, ts, unnest(" + _in("content", SECRET) + ") AS term FROM articles) WHERE ts >= (SELECT t FROM as_of) - INTERVAL 7 DAY", "articles", "as_of")
 def d10_recent_patterns(t):
-    """High findings of the last seven days."""
-    return t.analyses().filter((F.col("severity") == "high") & (F.col("ts") > t.as_of() - F.expr("interval 7 days"))).select("id")
+    """Signs of secrecy in articles of the last seven days."""
+    found = secrecy.recent(secrecy.hits(t.articles(), SECRET, (), ()), t.articles(), t.as_of())
+    return found.select("id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("at"), "term")
 
 
 @query("SELECT id, CASE WHEN regexp_matches(content, '(?i)sustained|in production|deployed across|enterprise rollout') THEN 'sustained_in_deployment' WHEN id % 3 = 0 THEN 'independently_corroborated' WHEN regexp_matches(content, '(?i)demo|demonstrat|paper|code|open[- ]source|verified') THEN 'demonstrated' WHEN regexp_matches(content, '(?i)claim|announce|report|says|states') THEN 'claimed' ELSE 'mentioned' END AS ladder FROM articles", "articles")
@@ -129,13 +192,13 @@ def p11_ladders(t):
     return t.articles().select("id", ladder(F.col("content"), F.when(F.col("id") % 3 == 0, "primary_source").otherwise("none"), F.lit(False)).alias("ladder"))
 
 
-_UNITS = "q AS (SELECT id, embedding::DOUBLE[] AS e FROM vectors WHERE id < 8)"
+_UNITS = "q AS (SELECT id, embedding::DOUBLE[] AS e FROM vectors WHERE id % 100 = 0)"
 
 
 @query("SELECT 1", "vectors")
 def v2_batch_neighbours(t):
-    """The three nearest to each of eight vectors."""
-    return vectors.nearest_to_each(t.vectors(), t.vectors().filter("id < 8"), 3).withColumn("similarity", F.round("similarity", 6))
+    """The three nearest to each vector whose id is divisible by 100."""
+    return vectors.nearest_to_each(t.vectors(), t.vectors().filter("id % 100 = 0"), 3).withColumn("similarity", F.round("similarity", 6))
 
 
 ORACLE_SQL["v2_batch_neighbours"] = with_tables("", "vectors") + f", {_UNITS} SELECT q.id AS query_id, v.id, round(list_cosine_similarity(v.embedding::DOUBLE[], q.e), 6) AS similarity FROM vectors v JOIN q ON v.id <> q.id QUALIFY row_number() OVER (PARTITION BY q.id ORDER BY list_cosine_similarity(v.embedding::DOUBLE[], q.e) DESC, v.id) <= 3"
@@ -155,12 +218,14 @@ def u3_bag_union(t):
     return t.analyses().select("severity").unionByName(more).groupBy("severity").agg(F.count("*").alias("n"))
 
 
-@query("SELECT severity, array_to_string([name FOR name IN ['benchmark', 'benchmark_delta'] IF name = 'benchmark' OR delta >= 5], ',') AS signals, count(*) AS n FROM (SELECT delta, CASE WHEN value >= 25 THEN 'high' ELSE 'low' END AS severity FROM claims) GROUP BY ALL", "claims")
+@query("""SELECT name, detail, round(value, 6)::DOUBLE AS value, count(*) AS n FROM (SELECT 'benchmark' AS name, benchmark AS detail, 0.03 AS value FROM claims WHERE benchmark <> '' UNION ALL SELECT 'benchmark_delta', (round(delta)::INTEGER)::VARCHAR, CASE WHEN delta >= 10 THEN 0.1 ELSE 0.05 END FROM claims WHERE delta >= 5
+UNION ALL SELECT 'generalization', 'generalization', 0.04 FROM claims WHERE unit = '%' AND value > 49) GROUP BY ALL""", "claims")
 def p2_signals(t):
-    """The named parts of claims' points."""
-    parts = F.filter(F.array(F.lit("benchmark"), F.when(F.col("delta") >= 5, "benchmark_delta")), lambda x: x.isNotNull())
-    rows = t.claims().select(F.when(F.col("value") >= 25, "high").otherwise("low").alias("severity"), F.array_join(parts, ",").alias("signals"))
-    return rows.groupBy("severity", "signals").agg(F.count("*").alias("n"))
+    """The named parts of claims' points, by name and detail."""
+    rows = t.claims().select(F.col("crawl_id").alias("id"), "benchmark", "value", "delta", F.when(F.col("value") > 49, F.array(F.lit("generalization"))).otherwise(F.array().cast("array<string>")).alias("tags"))
+    found = evidence.signals(rows)
+    detail = F.when(F.col("name") == "benchmark_delta", F.round(F.col("detail").try_cast("double")).cast("int").cast("string")).otherwise(F.col("detail"))
+    return found.groupBy("name", detail.alias("detail"), F.round("value", 6).alias("value")).agg(F.count("*").alias("n"))
 
 
 _ANCHOR, _BARE = """'(?is)<a\\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>'""", "trim(regexp_replace(regexp_replace({0}, '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))"
@@ -185,3 +250,27 @@ def s6_discovered_links(t):
     from lodeglass.sources.landed import discovered
 
     return discovered(t.raw("pages"), "th").drop("title")
+
+
+@query("SELECT 1", "articles")
+def v5_story_clusters(t):
+    """Groups of the best twenty articles of thirty days that are close across sources."""
+    found = correlations.story_clusters(t.analyses(), t.articles(), t.vectors(), t.as_of(), 30, 0.15)
+    return found.select("cluster", "n", F.array_join("ids", ",").alias("ids"), F.array_join("sources", ",").alias("sources"), _r("similarity", "similarity"), "type")
+
+
+ORACLE_SQL["v5_story_clusters"] = with_tables("", "articles", "analyses", "vectors", "as_of").replace("WITH articles", "WITH RECURSIVE articles", 1) + """, tp AS (SELECT r.id, source, embedding::DOUBLE[] AS e FROM analyses a JOIN articles r ON r.id = a.crawl_id JOIN vectors v ON v.id = r.id WHERE a.ts >= (SELECT t FROM as_of) - INTERVAL 30 DAY AND a.score >= 0.25 AND embedding IS NOT NULL ORDER BY a.score DESC, a.ts DESC, r.id LIMIT 20),
+lk AS (SELECT x.id AS a, y.id AS b, list_cosine_similarity(x.e, y.e) AS c FROM tp x JOIN tp y ON x.id < y.id AND x.source <> y.source WHERE list_cosine_similarity(x.e, y.e) >= 0.15),
+ed AS (SELECT a, b FROM lk UNION SELECT b, a FROM lk), re AS (SELECT a, a AS b FROM ed UNION SELECT re.a, ed.b FROM re JOIN ed ON ed.a = re.b),
+cl AS (SELECT a AS id, min(b) AS cluster FROM re GROUP BY a)
+SELECT cluster, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, (SELECT round(avg(c), 6) FROM lk JOIN cl k ON k.id = lk.a WHERE k.cluster = z.cluster) AS similarity, 'thematic_cluster' AS type FROM cl z JOIN tp USING (id) GROUP BY cluster"""
+
+
+@query("SELECT id, CASE WHEN grp < 5 THEN 'stored' ELSE 'computed' END AS origin, round(CASE WHEN grp < 5 THEN embedding[1] ELSE embedding[2] END::DOUBLE, 6) AS first FROM vectors", "vectors")
+def v4_merged_embeddings(t):
+    """Stored embeddings with those computed for what lacks one: here, vectors of groups from five on, whose computed embedding begins with their second component."""
+    rows = t.vectors()
+    stored = rows.filter("grp < 5").select("id", "embedding", F.lit("stored").alias("origin"))
+    missing = rows.select("id", "embedding").join(stored.select("id"), "id", "left_anti")
+    computed = missing.select("id", F.slice("embedding", 2, 63).alias("embedding"), F.lit("computed").alias("origin"))
+    return joins.upsert(stored, computed, ["id"], ()).select("id", "origin", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"))

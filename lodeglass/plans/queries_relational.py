@@ -65,7 +65,7 @@ def s12_union_of_sources(t):
 def s13_source_groups(t):
     """Articles by the group of their source."""
     groups = t.spark.createDataFrame([("src0", "research"), ("src1", "news")], "source string, grp string")
-    return t.articles().join(F.broadcast(groups), "source", "left").groupBy(F.coalesce("grp", F.lit("other")).alias("grp")).agg(F.count("*").alias("n"))
+    return t.articles().join(groups, "source", "left").groupBy(F.coalesce("grp", F.lit("other")).alias("grp")).agg(F.count("*").alias("n"))
 
 
 _ANCHORS = r"""SELECT page_id, unnest(regexp_extract_all(html, '<a[^>]*href="([^"]*)"[^>]*>', 1)) AS href, generate_subscripts(regexp_extract_all(html, '<a[^>]*href="([^"]*)"[^>]*>', 1), 1) - 1 AS pos FROM pages"""
@@ -175,7 +175,7 @@ def j9_new_articles(t):
     return joins.new_articles(rows.filter("id >= 500"), rows.filter("id < 500")).select("id")
 
 
-@query("SELECT id, 'SRC' || (id % 30) AS ref, id % 30 < 20 AS found FROM analyses", "analyses")
+@query("SELECT id, 'SRC' || (id % 30) AS ref, lower('SRC' || (id % 30)) IN (SELECT lower(source) FROM articles) AS found FROM analyses", "analyses", "articles")
 def j10_corroboration(t):
     """Whether each analysis' reference is a known source."""
     return joins.corroborated(t.analyses().select("id", F.concat(F.lit("SRC"), F.col("id") % 30).alias("ref")), t.articles())
@@ -184,7 +184,7 @@ def j10_corroboration(t):
 @query("SELECT ref, min(source) AS source, count(*) AS n FROM (SELECT unnest(['SRC1', 'src0', 'none']) AS ref) JOIN (SELECT DISTINCT source FROM articles) ON contains(lower(source), lower(ref)) GROUP BY ref", "articles")
 def j11_substring_references(t):
     """Sources whose name contains a reference: three references against the distinct sources."""
-    refs = F.broadcast(t.spark.createDataFrame([("SRC1",), ("src0",), ("none",)], "ref string"))
+    refs = t.spark.createDataFrame([("SRC1",), ("src0",), ("none",)], "ref string")
     rows = t.articles().select("source").distinct().join(refs, F.contains(F.lower("source"), F.lower("ref")))
     return rows.groupBy("ref").agg(F.min("source").alias("source"), F.count("*").alias("n"))
 
@@ -202,10 +202,11 @@ def j14_breakthroughs(t):
     return joins.score_changes(t.leaderboard(True), t.leaderboard(False)).select("team", _r("delta", "delta"))
 
 
-@query("SELECT result_id IN (SELECT id FROM articles WHERE id < 100) AS accepted, count(*) AS n FROM trajectories GROUP BY 1", "trajectories", "articles")
+@query("SELECT r IN (SELECT id FROM articles) AS accepted, count(*) AS n FROM (SELECT CASE WHEN was_useful THEN result_id ELSE -1 - result_id END AS r FROM trajectories) GROUP BY 1", "trajectories", "articles")
 def j15_guarded_insert(t):
-    """Trajectories accepted and rejected by whether their result exists."""
-    known, rows = t.articles().filter("id < 100").select(F.col("id").alias("result_id")), t.trajectories()
+    """Trajectories accepted and rejected by whether their result exists; useless ones name one that doesn't."""
+    rows = t.trajectories().withColumn("result_id", F.when(F.col("was_useful"), F.col("result_id")).otherwise(-1 - F.col("result_id")))
+    known = t.articles().select(F.col("id").alias("result_id"))
     sides = [rows.join(known, "result_id", kind).agg(F.count("*").alias("n")).select(F.lit(ok).alias("accepted"), "n") for kind, ok in (("left_semi", True), ("left_anti", False))]
     return sides[0].unionByName(sides[1]).filter("n > 0")
 
@@ -314,7 +315,7 @@ def a11_confusion(t):
 def a12_feedback_shares(t):
     """Feedback by kind."""
     rows = t.feedback().groupBy("feedback_type").agg(F.count("*").alias("n"))
-    return rows.crossJoin(F.broadcast(rows.agg(F.sum("n").alias("all")))).select("feedback_type", "n", _r(100.0 * F.col("n") / F.col("all"), "percent"))
+    return rows.crossJoin(rows.agg(F.sum("n").alias("all"))).select("feedback_type", "n", _r(100.0 * F.col("n") / F.col("all"), "percent"))
 
 
 @query("SELECT lower(indicator) AS indicator, count(*) AS n FROM (SELECT unnest(indicators) AS indicator FROM feedback JOIN analyses ON id = analysis_id WHERE feedback_type IN ('noise', 'false_positive')) GROUP BY 1 ORDER BY n DESC, 1 LIMIT 10", "feedback", "analyses")
@@ -480,10 +481,11 @@ def v1_similar(t):
     return vectors.similar(t.vectors(), one[0] if one else [], 5, 0).withColumn("similarity", F.round("similarity", 6))
 
 
-@query("SELECT a.id, substr(title || ' ' || content, 1, 50) AS start FROM analyses a JOIN articles r ON r.id = a.crawl_id WHERE a.id NOT IN (SELECT id FROM vectors) ORDER BY a.ts DESC, a.id LIMIT 50", "articles", "analyses", "vectors")
+@query("SELECT a.id, substr(title || ' ' || content, 1, 50) AS start FROM analyses a JOIN articles r ON r.id = a.crawl_id WHERE a.id NOT IN (SELECT id FROM vectors WHERE grp < 5) ORDER BY a.ts DESC, a.id LIMIT 50", "articles", "analyses", "vectors")
 def v4_embedding_worklist(t):
-    """The newest fifty analyses that lack an embedding."""
-    rows = t.analyses().select("id", "crawl_id", "ts").join(t.vectors().select("id"), "id", "left_anti").join(t.articles().select(F.col("id").alias("crawl_id"), F.substring(F.concat_ws(" ", "title", "content"), 1, 50).alias("start")), "crawl_id")
+    """The newest fifty analyses that lack an embedding; those of half the groups count as stored."""
+    stored = t.vectors().filter("grp < 5").select("id")
+    rows = t.analyses().select("id", "crawl_id", "ts").join(stored, "id", "left_anti").join(t.articles().select(F.col("id").alias("crawl_id"), F.substring(F.concat_ws(" ", "title", "content"), 1, 50).alias("start")), "crawl_id")
     return rows.orderBy(F.desc("ts"), "id").limit(50).select("id", "start")
 
 
@@ -507,10 +509,11 @@ def f4_milestones(t):
     return days.filter("m > 0.7 or c > 0").orderBy("day").limit(5).select("day", _r("m", "max_score"))
 
 
-@query("SELECT max(ts) >= (SELECT t FROM as_of) - INTERVAL 60 MINUTE AS fresh FROM analyses WHERE id % 2 = 0", "analyses", "as_of")
+@query("SELECT h AS hours, max(ts) >= (SELECT t FROM as_of) + to_minutes(60 * h::INTEGER) - INTERVAL 90 MINUTE AS fresh FROM analyses, (SELECT unnest([0, 1, 2]) AS h) GROUP BY h", "analyses", "as_of")
 def f5_freshness(t):
-    """Whether anything is younger than an hour."""
-    return t.analyses().filter("id % 2 = 0").agg((F.max("ts") >= t.as_of() - F.expr("interval 60 minutes")).alias("fresh"))
+    """Whether anything is younger than an hour and a half, as seen now, an hour and two hours later."""
+    newest = t.analyses().agg(F.max("ts").alias("newest")).select("newest", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("hours"))
+    return newest.select("hours", (F.col("newest") >= t.as_of() + F.make_dt_interval(hours="hours") - F.expr("interval 90 minutes")).alias("fresh"))
 
 
 @query("SELECT id FROM articles WHERE contains(lower(content), 'nda') OR contains(lower(content), 'arc')", "articles")

@@ -15,6 +15,12 @@ ORACLE_SQL: dict[str, str] = {}
 #: Terms that occur in the test tables, in the roles of the library's own lists.
 CAPABILITY, NOISE, MARKS, METRICS, SECRET = ("arc", "nda"), ("em", "ation"), {"arc": "ARC", "erth": "ERTH", "onth": "ONTH"}, ("em", "tion"), ("nda", "thand")
 
+#: Sentences with gains as the library reads them.
+GAIN_SENTENCES = (
+    "This outperforms the novel benchmark and improves by 12.5% now.", "A breakthrough benchmark shows an improvement of 7 points, emergent and novel.", "The novel benchmark beats all and is up 3.25% today.",
+    "An increase of 40% on the benchmark achieves a novel breakthrough.", "The benchmark delta 8 surpasses what was a novel breakthrough.", "The benchmark gain of 2.5 outperforms the novel sota of 90%.",
+)
+
 
 def query(sql: str | None = None, *tables: str):
     """Registers a function of Tables under its name, with its SQL after the named logical tables."""
@@ -48,11 +54,12 @@ def n1_source_names(t):
 _RATIO = "len(regexp_extract_all(substr(content, 1, 4000), '[぀-ヿ㐀-䶿一-鿿豈-﫿]')) / greatest(1, length(substr(content, 1, 4000)))::DOUBLE"
 
 
-@query(f"SELECT id, {_RATIO} AS ratio, CASE WHEN {_RATIO} > 0.15 THEN 'zh' WHEN {_RATIO} > 0.03 THEN 'mixed' ELSE 'en' END AS language, {_RATIO} >= 0.08 AS translate FROM articles", "articles")
+@query(f"SELECT id, {_RATIO} AS ratio, CASE WHEN {_RATIO} > 0.15 THEN 'zh' WHEN {_RATIO} > 0.03 THEN 'mixed' ELSE 'en' END AS language, {_RATIO} >= 0.08 AS translate FROM (SELECT id, repeat('模型', (id % 40)::INTEGER) || substr(content, 1, 400) AS content FROM articles)", "articles")
 def n2_n4_language(t):
-    """CJK ratio, language class and whether to translate."""
+    """CJK ratio, language class and whether to translate, of articles begun with so many CJK characters."""
     c = F.col("content")
-    return t.articles().select("id", text.cjk_ratio(c).cast("double").alias("ratio"), text.language(c).alias("language"), text.needs_translation(c).alias("translate"))
+    rows = t.articles().select("id", F.concat(F.repeat(F.lit("模型"), (F.col("id") % 40).cast("int")), F.substring("content", 1, 400)).alias("content"))
+    return rows.select("id", text.cjk_ratio(c).cast("double").alias("ratio"), text.language(c).alias("language"), text.needs_translation(c).alias("translate"))
 
 
 @query("""SELECT event_id AS id, CASE WHEN event_id % 5 = 4 THEN NULL ELSE strftime(CASE event_id % 5 WHEN 3 THEN date_trunc('month', ts) WHEN 0 THEN date_trunc('second', ts) ELSE date_trunc('day', ts) END, '%Y-%m-%d %H:%M:%S') END AS normalised FROM events""")
@@ -88,7 +95,8 @@ def n8_metadata(t):
 
 
 @query("""WITH u AS (SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'http://localhost/a' WHEN 1 THEN 'http://127.0.0.5/' WHEN 2 THEN 'https://10.0.0.' || page_id || '/x' WHEN 3 THEN 'ftp://example.com/' WHEN 4 THEN 'http://[fd00::1]/' WHEN 5 THEN 'not a url' ELSE url END AS url FROM pages)
-SELECT page_id, CASE page_id % 7 WHEN 0 THEN 'localhost' WHEN 1 THEN 'loopback' WHEN 2 THEN 'private address' WHEN 3 THEN 'scheme' WHEN 4 THEN 'private address' WHEN 5 THEN 'invalid' END AS reason FROM u""")
+SELECT page_id, CASE WHEN h = '' THEN 'invalid' WHEN sc NOT IN ('http', 'https') THEN 'scheme' WHEN h IN ('localhost', '127.0.0.1', '[::1]') THEN 'localhost' WHEN starts_with(h, '127.') THEN 'loopback' WHEN starts_with(h, '169.254.') THEN 'link-local' WHEN starts_with(h, '10.') OR starts_with(h, '192.168.') OR starts_with(h, '0.') OR regexp_matches(h, '^172[.](1[6-9]|2[0-9]|3[01])[.]') OR regexp_matches(h, '^100[.](6[4-9]|[7-9][0-9]|1[01][0-9]|12[0-7])[.]') OR regexp_matches(h, '^.?f[cd]') AND h[1] IN ('[', 'f') THEN 'private address' WHEN h IN ('metadata', 'metadata.google.internal') THEN 'metadata host' END AS reason
+FROM (SELECT page_id, CASE WHEN contains(url, '://') THEN lower(split_part(url, '://', 1)) ELSE '' END AS sc, CASE WHEN contains(url, '://') THEN lower(CASE WHEN starts_with(split_part(url, '://', 2), '[') THEN split_part(split_part(url, '://', 2), ']', 1) || ']' ELSE regexp_extract(split_part(url, '://', 2), '^[^/?#:]*') END) ELSE '' END AS h FROM u)""")
 def n9_unsafe_urls(t):
     """Why a link of each page must not be followed."""
     k = F.col("page_id") % 7
@@ -97,7 +105,7 @@ def n9_unsafe_urls(t):
 
 
 @query("""WITH n AS (SELECT id, (CASE id % 3 WHEN 0 THEN 'see arXiv:' || lpad((id % 9999)::VARCHAR, 4, '1') || '.' || lpad((id % 99999)::VARCHAR, 5, '0') || 'v2 now' WHEN 1 THEN 'math.GT/' || lpad((id % 9999999)::VARCHAR, 7, '0') ELSE title END) AS t FROM articles)
-SELECT id, CASE id % 3 WHEN 0 THEN lpad((id % 9999)::VARCHAR, 4, '1') || '.' || lpad((id % 99999)::VARCHAR, 5, '0') || 'v2' WHEN 1 THEN 'math.GT/' || lpad((id % 9999999)::VARCHAR, 7, '0') END AS arxiv FROM n""", "articles")
+SELECT id, coalesce(nullif(regexp_extract(t, '\\b([0-9]{4}\\.[0-9]{4,5}(v[0-9]+)?)\\b', 1), ''), nullif(regexp_extract(t, '(?i)\\b([a-z\\-]+(\\.[a-z\\-]+)?/[0-9]{7}(v[0-9]+)?)\\b', 1), '')) AS arxiv FROM n""", "articles")
 def n10_arxiv_ids(t):
     """Preprint numbers found in titles, new style before old."""
     k = F.col("id") % 3
@@ -105,13 +113,11 @@ def n10_arxiv_ids(t):
     return t.articles().select("id", text.arxiv_id(title).alias("arxiv"))
 
 
-ORACLE_SQL["n10_arxiv_ids"] = ORACLE_SQL["n10_arxiv_ids"].replace(" WITH n AS", ", n AS")
-
-
-@query("SELECT id, 'D ' || (id % 900) AS slug FROM articles", "articles")
+@query("SELECT page_id, CASE WHEN seg = '' THEN url ELSE array_to_string(list_transform(string_split(regexp_replace(replace(replace(seg, '-', ' '), '_', ' '), '[.]\\w+$', ''), ' '), lambda w: upper(substr(w, 1, 1)) || substr(w, 2)), ' ') END AS slug FROM (SELECT page_id, url, regexp_extract(rtrim(split_part(split_part(split_part(url, '#', 1), '?', 1), '://', 2), '/'), '/([^/]+)$', 1) AS seg FROM (SELECT page_id, replace(url, '/en/', '/en/new-study_') AS url FROM pages))")
 def n11_slug_titles(t):
-    """Titles made of the last path segment."""
-    return t.articles().select("id", text.slug_title(F.concat(F.lit("https://example.org/x/d-"), F.col("id") % 900, F.lit(".html"))).alias("slug"))
+    """Titles made of the last path segment of each page's URL."""
+    rows = t.raw("pages").select("page_id", F.replace("url", F.lit("/en/"), F.lit("/en/new-study_")).alias("url"))
+    return rows.select("page_id", text.slug_title(F.col("url")).alias("slug"))
 
 
 @query("SELECT id, length(substr(title || chr(10) || chr(10) || content, 1, 8000)) AS n, sha256(substr(title || chr(10) || chr(10) || content, 1, 8000)) AS digest FROM articles", "articles")
@@ -202,18 +208,23 @@ def e3_snippets(t):
 ORACLE_SQL["e3_snippets"] = with_tables("", "articles") + ", " + _SENTENCES + " SELECT id, rank::INTEGER AS rank, pos::BIGINT AS pos, score::BIGINT AS score, sha256(s) AS digest FROM sn"
 
 _NUM = r"(\d+\.?\d*)"
+_GAIN = lambda shape: "coalesce(" + ", ".join(f"try_cast(nullif(regexp_extract(s, '(?i){g}\\s+{_NUM}{shape}', 1), '') AS DOUBLE)" for g in (*evidence.GAINS, "up" if shape else "delta")) + ")"
 _CLAIMS = f"""cl AS (SELECT id, rank, s AS claim, tags, CASE WHEN contains(lower(s), 'arc') THEN 'ARC' WHEN contains(lower(s), 'erth') THEN 'ERTH' WHEN contains(lower(s), 'onth') THEN 'ONTH' END AS benchmark,
-CASE WHEN contains(lower(s), 'em') THEN 'em' WHEN contains(lower(s), 'tion') THEN 'tion' END AS metric, try_cast(nullif(regexp_extract(s, '{_NUM}\\s*%', 1), '') AS DOUBLE) AS pct, try_cast(nullif(regexp_extract(s, '{_NUM}', 1), '') AS DOUBLE) AS plain, len(regexp_extract_all(s, '{_NUM}')) AS numbers FROM sn WHERE rank <= 4)"""
+CASE WHEN contains(lower(s), 'em') THEN 'em' WHEN contains(lower(s), 'tion') THEN 'tion' END AS metric, try_cast(nullif(regexp_extract(s, '{_NUM}\\s*%', 1), '') AS DOUBLE) AS pct, try_cast(nullif(regexp_extract(s, '{_NUM}', 1), '') AS DOUBLE) AS plain, len(regexp_extract_all(s, '{_NUM}')) AS numbers, {_GAIN(chr(92) + 's*%')} AS dpct, {_GAIN('')} AS dplain FROM sn WHERE rank <= 4)"""
 
 
 @query("SELECT 1", "articles")
 def e4_e8_claims(t):
-    """Claims with benchmark, metric, value and unit of the best four sentences of each article."""
-    made = evidence.claims(_snippets(t), MARKS, METRICS)
-    return made.select("id", "rank", "benchmark", "metric", "value", "unit", F.size("numbers").cast("bigint").alias("numbers"))
+    """Claims with benchmark, metric, value, delta and unit of the best four sentences of each article; to every second article, a sentence of gains is added."""
+    gains = F.array(*map(F.lit, GAIN_SENTENCES))[(F.floor(F.col("id") / 2) % len(GAIN_SENTENCES)).cast("int")]
+    said = t.articles().withColumn("content", F.when(F.col("id") % 2 == 0, F.concat("content", F.lit("\n. "), gains)).otherwise(F.col("content")))
+    made = evidence.claims(evidence.snippets(said, benchmarks=tuple(MARKS)), MARKS, METRICS)
+    numbers = F.transform("numbers", lambda x: F.format_string("%.3f", x))
+    return made.select("id", "rank", "benchmark", "metric", "value", "delta", "unit", F.array_join(numbers, ",").alias("numbers"))
 
 
-ORACLE_SQL["e4_e8_claims"] = with_tables("", "articles") + ", " + _SENTENCES + ", " + _CLAIMS + " SELECT id, rank::INTEGER AS rank, benchmark, metric, coalesce(pct, plain) AS value, CASE WHEN pct IS NOT NULL THEN '%' END AS unit, numbers::BIGINT AS numbers FROM cl"
+_SAID = with_tables("", "articles").replace("WITH articles AS", "WITH plain AS", 1) + f", articles AS (SELECT * REPLACE (CASE WHEN id % 2 = 0 THEN content || chr(10) || '. ' || ({_list(GAIN_SENTENCES)})[(id // 2) % {len(GAIN_SENTENCES)} + 1] ELSE content END AS content) FROM plain)"
+ORACLE_SQL["e4_e8_claims"] = _SAID + ", " + _SENTENCES + ", " + _CLAIMS + " SELECT id, rank::INTEGER AS rank, benchmark, metric, coalesce(pct, plain) AS value, coalesce(dpct, dplain) AS delta, CASE WHEN dpct IS NOT NULL OR pct IS NOT NULL THEN '%' END AS unit, array_to_string(list_transform(regexp_extract_all(claim, '" + _NUM + "'), lambda x: printf('%.3f', x::DOUBLE)), ',') AS numbers FROM cl"
 
 
 @query("SELECT 1", "articles")
@@ -368,20 +379,35 @@ aa AS (SELECT tr.id, skip, (tr.id % 101) / 100.0::DOUBLE AS m, h, b FROM tr LEFT
 SELECT id, skip AS filtered, CASE WHEN skip THEN 0.05 ELSE {_P13} END AS score, CASE WHEN skip THEN 0.9 ELSE 0.5 END::DOUBLE AS confidence, CASE WHEN skip THEN 'low' WHEN {_P13} >= 0.6 THEN 'high' WHEN {_P13} >= 0.3 THEN 'medium' WHEN {_P13} > 0 THEN 'low' ELSE 'none' END AS severity FROM aa"""
 )
 
-_TYPES = "list_filter([CASE WHEN id % 2 = 0 THEN 'benchmark' END, CASE WHEN regexp_matches(content, '(?i)nda|classified|silent|briefing|undisclosed|compute spike') THEN 'secrecy' END, CASE WHEN regexp_matches(content, '(?i)superintelligence|\\basi\\b|superhuman across|beyond human') THEN 'asi' END], lambda x: x IS NOT NULL)"
+#: Phrases of each kind of claim, which the texts of the tables lack.
+PHRASES = ("autonomous agent", "zero-shot transfer", "recursive self-improving", "a new experiment", "enterprise workflow", "classified briefing", "export control policy", "phishing exploit", "beyond human", "nothing")
+_KINDS = ", ".join(["CASE WHEN id % 2 = 0 THEN 'benchmark' END"] + [f"CASE WHEN regexp_matches(c, '(?i){'|'.join(p)}') THEN '{k}' END" for k, p in assessment.CLAIM_TYPES.items()])
+STATUSES, SUPPORTS = tuple(assessment.SOURCE_STATUS), (*assessment.CORROBORATION, "none")
+_ASSESSED = f"""(SELECT *, round(least(1, greatest(0, m * 0.35 + h * 0.25 + source_w * 0.15 + support_w * 0.2 + several - CASE WHEN status IN {assessment.STALE} THEN 0.2 ELSE 0 END - CASE WHEN len(ty) = 1 AND ty[1] = 'benchmark' AND support_w < 0.7 THEN 0.15 ELSE 0 END)), 9) AS e,
+round(least(1, greatest(0, m * 0.35 + h * 0.25 + 0.1 + several + CASE WHEN list_contains(ty, 'security') THEN 0.08 ELSE 0 END + CASE WHEN list_contains(ty, 'asi') THEN 0.1 ELSE 0 END)), 9) AS w FROM (
+SELECT *, least(0.2, greatest(0, len(ty) - 1) * 0.04) AS several, {_list(STATUSES)}[(id // 7) % {len(STATUSES)} + 1] AS status, {_list(SUPPORTS)}[(id // 3) % {len(SUPPORTS)} + 1] AS support, ({list(assessment.SOURCE_STATUS.values())}::DOUBLE[])[(id // 7) % {len(STATUSES)} + 1] AS source_w, ({[*assessment.CORROBORATION.values(), 0.0]}::DOUBLE[])[(id // 3) % {len(SUPPORTS)} + 1] AS support_w FROM (
+SELECT id, (id % 101) / 100.0::DOUBLE AS m, (id % 5) / 10.0::DOUBLE AS h, list_filter([{_KINDS}], lambda x: x IS NOT NULL) AS ty FROM (SELECT id, content || ' ' || {_list(PHRASES)}[id % 10 + 1] || ' ' || {_list(PHRASES)}[(id // 10) % 10 + 1] AS c FROM articles))))"""
 
 
-@query(
-    f"""SELECT id, CASE WHEN w >= 0.75 THEN 'critical' WHEN w >= 0.5 THEN 'high' WHEN w >= 0.25 THEN 'medium' ELSE 'low' END AS priority, CASE WHEN e >= 0.65 THEN 'strong' WHEN e >= 0.4 THEN 'moderate' WHEN e > 0 THEN 'weak' ELSE 'none' END AS confidence, array_to_string(CASE WHEN len(ty) > 0 THEN ty ELSE ['benchmark'] END, ',') AS types FROM (
-SELECT id, ty, round(least(1, greatest(0, m * 0.35 + 0.05 + least(0.2, greatest(0, len(ty) - 1) * 0.04) + 0.15 + 0.07 - CASE WHEN len(ty) = 1 AND ty[1] = 'benchmark' THEN 0.15 ELSE 0 END)), 9) AS e, round(least(1, greatest(0, m * 0.35 + 0.05 + 0.1 + least(0.2, greatest(0, len(ty) - 1) * 0.04) + CASE WHEN list_contains(ty, 'asi') THEN 0.1 ELSE 0 END)), 9) AS w FROM (SELECT id, {_TYPES} AS ty, (id % 101) / 100.0::DOUBLE AS m FROM articles))""",
-    "articles",
-)
+def _assessed(t):
+    """Articles with phrases of two kinds of claims added, assessed with the scores, states of sources and support that their ids give."""
+    pick = lambda values, n: F.array(*map(F.lit, values))[(n % len(values)).cast("int")]
+    i = F.col("id")
+    c = F.concat_ws(" ", "content", pick(PHRASES, i), pick(PHRASES, F.floor(i / 10)))
+    a = assessment.assess(c, c, (i % 101) / 100, (i % 5) / 10, F.lit(0.1), pick(STATUSES, F.floor(i / 7)), pick(SUPPORTS, F.floor(i / 3)), i % 2 == 0, F.lit(False))
+    return t.articles().select("id", a.alias("a"))
+
+
+@query(f"SELECT id, CASE WHEN w >= 0.75 THEN 'critical' WHEN w >= 0.5 THEN 'high' WHEN w >= 0.25 THEN 'medium' ELSE 'low' END AS priority, CASE WHEN e >= 0.85 THEN 'extraordinary' WHEN e >= 0.65 THEN 'strong' WHEN e >= 0.4 THEN 'moderate' WHEN e > 0 THEN 'weak' ELSE 'none' END AS confidence, array_to_string(CASE WHEN len(ty) > 0 THEN ty ELSE ['benchmark'] END, ',') AS types FROM {_ASSESSED}", "articles")
 def p10_assessments(t):
     """Priority, confidence and claim types of every article."""
-    c, m = F.col("content"), (F.col("id") % 101) / 100
-    a = assessment.assess(c, c, m, F.lit(0.2), F.lit(0.1), F.lit("live"), F.lit("same_source"), F.col("id") % 2 == 0, F.lit(False))
-    rows = t.articles().select("id", a.alias("a"))
-    return rows.select("id", "a.priority", "a.confidence", F.array_join("a.types", ",").alias("types"))
+    return _assessed(t).select("id", "a.priority", "a.confidence", F.array_join("a.types", ",").alias("types"))
+
+
+@query(f"SELECT id, e >= 0.65 AND len(list_filter(ty, lambda x: x <> 'benchmark')) >= 2 AND support IN ('independent_source', 'primary_source', 'replicated') AND status IN ('live', 'cached_fresh') AS allowed FROM {_ASSESSED}", "articles")
+def p12_conclusions(t):
+    """Whether strong words are allowed about each article."""
+    return _assessed(t).select("id", assessment.may_conclude(F.col("a")).alias("allowed"))
 
 
 @query("SELECT team, CASE WHEN score >= 0.75 THEN 'critical' WHEN score >= 0.25 THEN 'high' WHEN score >= 0.1 THEN 'medium' ELSE 'low' END AS priority, CASE WHEN team % 2 = 0 THEN 'strong' ELSE 'weak' END AS confidence, CASE WHEN team % 2 = 0 THEN 2 ELSE 3 END::INTEGER AS limits FROM leaderboard_curr", "leaderboard_curr")

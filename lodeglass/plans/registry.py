@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeglass.plans import queries_more, queries_relational, queries_streaming, queries_text
+from lodeglass.plans import queries_more, queries_relational, queries_sources, queries_streaming, queries_text
 
-_MODULES = (queries_text, queries_relational, queries_more, queries_streaming)
+_MODULES = (queries_text, queries_relational, queries_more, queries_sources, queries_streaming)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:

@@ -31,8 +31,8 @@ SQL = {
 
 
 def with_tables(sql: str, *names: str) -> str:
-    """The SQL with these tables before it."""
-    return "WITH " + ", ".join(f"{n} AS ({SQL[n]})" for n in names) + " " + sql
+    """The SQL, and what it names by WITH itself, with these tables before it."""
+    return "WITH " + ", ".join(f"{n} AS ({SQL[n]})" for n in names) + (", " + sql[5:] if sql.startswith("WITH ") else " " + sql)
 
 
 class Tables:

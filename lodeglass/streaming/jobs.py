@@ -12,8 +12,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def new_articles(articles: DataFrame, delay: str = "2 days") -> DataFrame:
-    """Articles of a stream (content, ts, ...) without copies that come within the watermark."""
-    return articles.withColumn("content_hash", F.sha2("content", 256)).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["content_hash"])
+    """Articles of a stream (url, content, ts, ...) without those that repeat a content, then those that repeat a URL, within the watermark."""
+    once = articles.withColumn("content_hash", F.sha2("content", 256)).withWatermark("ts", delay).dropDuplicatesWithinWatermark(["content_hash"])
+    return once.dropDuplicatesWithinWatermark(["url"]) if "url" in articles.columns else once
 
 
 def append_scored(articles: DataFrame, score: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str) -> StreamingQuery:
@@ -32,30 +33,35 @@ def windows(analyses: DataFrame, length: str, step: str | None = None, offset: s
     ).select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "avg_score", "max_score", "min_score", "total", "critical")
 
 
-def bursts(articles: DataFrame, gap: str = "14 days", delay: str = "1 day") -> DataFrame:
-    """Sessions of each source's publications: they end where the source is silent for `gap`."""
-    return articles.withWatermark("ts", delay).groupBy("source", F.session_window("ts", gap).alias("w")).agg(F.count("*").alias("n")).select("source", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
+def bursts(articles: DataFrame, gap: str = "14 days", delay: str = "1 day", gaps: dict[str, str] | None = None) -> DataFrame:
+    """Sessions of each source's publications: they end where the source is silent for its own gap, or `gap`."""
+    of = F.coalesce(*(F.when(F.col("source") == s, g) for s, g in gaps.items()), F.lit(gap)) if gaps else gap
+    return articles.withWatermark("ts", delay).groupBy("source", F.session_window("ts", of).alias("w")).agg(F.count("*").alias("n")).select("source", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def silences(articles: DataFrame, days: int = 14, delay: str = "1 day") -> DataFrame:
-    """An alert for a source that has been silent for twice the expected days, by event-time timers over the last publication."""
+def silences(articles: DataFrame, days: float = 14, delay: str = "1 day", expected: dict[str, float] | None = None) -> DataFrame:
+    """Alerts for a source that has been silent for twice (medium) and for four times (high) the days expected of it, by event-time timers over its last publication."""
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        usual = int((expected or {}).get(key[0], days) * 86_400_000)
         if state.hasTimedOut:
-            (last,) = state.get
-            state.remove()
-            yield pd.DataFrame({"source": [key[0]], "last": [pd.Timestamp(last, unit="ms")], "severity": ["medium"]})
-            return
-        last = max([int(b["ts"].max().timestamp() * 1000) for b in batches] + ([state.get[0]] if state.exists else []))
-        state.update((last,))
-        state.setTimeoutTimestamp(max(last + 2 * days * 86_400_000, state.getCurrentWatermarkMs() + 1))
+            last, said = state.get
+            yield pd.DataFrame({"source": [key[0]], "last": [pd.Timestamp(last, unit="ms")], "severity": ["high" if said else "medium"]})
+            if said:
+                state.remove()
+                return
+            said = True
+        else:
+            last, said = max([int(b["ts"].max().timestamp() * 1000) for b in batches] + ([state.get[0]] if state.exists else [])), False
+        state.update((last, said))
+        state.setTimeoutTimestamp(max(last + (4 if said else 2) * usual, state.getCurrentWatermarkMs() + 1))
 
     rows = articles.withWatermark("ts", delay).select("source", "ts")
-    return rows.groupBy("source").applyInPandasWithState(step, "source string, last timestamp, severity string", "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("source").applyInPandasWithState(step, "source string, last timestamp, severity string", "last bigint, said boolean", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def with_groups(analyses: DataFrame, groups: DataFrame) -> DataFrame:
     """A stream of analyses with their source's group, from a small static table."""
-    return analyses.join(F.broadcast(groups), "source", "left").withColumn("grp", F.coalesce("grp", F.lit("other")))
+    return analyses.join(groups, "source", "left").withColumn("grp", F.coalesce("grp", F.lit("other")))
 
 
 def reviewed(analyses: DataFrame, feedback: DataFrame, days: int = 30) -> DataFrame:
