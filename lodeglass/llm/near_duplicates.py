@@ -181,11 +181,11 @@ def _split(members: DataFrame, comps: DataFrame) -> DataFrame:
     return cut(split.join(mixed.select("bucket", "main"), "bucket"))
 
 
-def _stars(members: DataFrame, outside: str = "true") -> DataFrame:
-    """Pairs (a, b): in each bucket the member that meets most others over all bands, of those for which `outside` holds, with every other member of another component."""
+def _stars(members: DataFrame) -> DataFrame:
+    """Pairs (a, b): in each bucket the member that meets most others over all bands with every other member."""
     rows = members.withColumn("met", F.sum("n").over(Window.partitionBy("node")))
-    centres = rows.filter(outside).groupBy("bucket").agg(F.max(F.struct("met", "node", "comp")).alias("centre"))
-    return members.join(centres, "bucket").filter("comp <> centre.comp").select(F.col("centre.node").alias("a"), F.col("node").alias("b")).distinct()
+    centres = rows.groupBy("bucket").agg(F.max_by("node", F.struct("met", "node")).alias("a"))
+    return members.join(centres, "bucket").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
 
 
 def links(nodes: DataFrame, texts_of, least: float) -> DataFrame:
@@ -193,26 +193,17 @@ def links(nodes: DataFrame, texts_of, least: float) -> DataFrame:
 
     Nodes that share a band are candidates. In each band's bucket the node that meets most others over all bands is the
     centre, and every other node is compared with it alone; copies of one text make one component that way, at a cost in
-    proportion to their number. In buckets whose components differ then, a node outside the largest one is a second
-    centre for all others. Only then pairs of one bucket whose components still differ are left (`_open_pairs`), and all
-    of them are compared but those whose sketches (four bits of each component) lie farther apart than four deviations
+    proportion to their number. Then only pairs of one bucket whose components still differ are left (`_rest`). All of
+    these are compared, but those whose sketches (four bits of each component) lie farther apart than four deviations
     allow for a similarity of `least`.
     """
     spread = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     members = cut(spread.join(shared, "bucket"))
     texts = cut(texts_of(members.select("node").distinct()))
-
-    def joined(comps: DataFrame, pairs: DataFrame) -> DataFrame:
-        return components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(pairs))
-
-    comps = components(_verified(_stars(members.withColumn("comp", F.col("node"))), texts, least))
-    mixed = _split(members, comps)
-    texts = cut(texts.join(mixed.select("node").distinct(), "node", "left_semi"))
-    comps = joined(comps, _verified(_stars(mixed, "comp <> main"), texts, least))
-    mixed = _split(mixed.drop("comp", "main"), comps)
-    pairs = cut(_open_pairs(mixed.join(nodes.select("node", "bands", "sketch"), "node"), least))
-    return joined(comps, _tiled(pairs, texts, least))
+    comps = components(_verified(_stars(members), texts, least))
+    found = _rest(_split(members, comps), nodes.join(texts, "node"), least)
+    return components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(found))
 
 
 def _groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
@@ -235,79 +226,64 @@ def _groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _open_pairs(open_: DataFrame, least: float, most: int = 512) -> DataFrame:
-    """Pairs (main, a, b) of members of one bucket whose components differ and whose sketches allow it: bucket, band, n, node, comp, main, bands, sketch.
+def _rest(mixed: DataFrame, known: DataFrame, least: float, most: int = 512, chars: int = 8_000_000) -> DataFrame:
+    """Links (a, b) between members of one bucket whose components differ: bucket, band, n, node, comp, main; `known` has node, bands, sketch and text.
 
-    Members outside the bucket's largest component meet all members, in blocks of about `most` on either side, each pair
-    of blocks a group of its own, without texts. A pair comes out of the first band that it shares, so once.
+    Members outside the largest component of a bucket meet all members, either bucket by bucket or, where that compares
+    fewer, all buckets of one largest component together, as those of a large group of near copies hold much the same
+    members in every band. Such a group is dealt into square tiles of about `most` members and `chars` characters a side,
+    so a text goes to as many tiles as its group has rows of them, and pairs never leave a tile. A pair is compared
+    where it shares a band (by buckets: in the first one), once its sketches allow it, and unless links found before in
+    the tile connect it.
     """
-    blocks, own = F.ceil(F.col("n") / F.lit(most)), F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / F.lit(most)))
-    each = F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1))
-    rows = open_.withColumn("own", own).withColumn("bands", F.slice("bands", 1, F.col("band")))
-    left = rows.filter("comp <> main").withColumn("side", F.lit(0)).withColumn("other", each).withColumnsRenamed({"own": "lb", "other": "mb"})
-    right = rows.withColumn("side", F.lit(1)).withColumn("other", each).withColumnsRenamed({"own": "mb", "other": "lb"})
+    sized = mixed.join(known.select("node", F.length("text").alias("chars")), "node")
+    each = sized.groupBy("main", "node").agg(F.max((F.col("comp") != F.col("main")).cast("bigint")).alias("outside"), F.sum(F.when(F.col("comp") != F.col("main"), F.col("n")).otherwise(0)).alias("met"))
+    whole = each.groupBy("main").agg((F.sum("outside") * F.count("*") <= F.sum("met")).alias("together"))
+    keyed = sized.join(whole, "main").select(F.when(F.col("together"), F.xxhash64("main")).otherwise(F.col("bucket")).alias("key"), F.when(F.col("together"), -1).otherwise(F.col("band")).alias("number"), "main", "node", "comp", "chars").distinct()
+    sides = keyed.groupBy("key", "number").agg(F.greatest(F.ceil(F.count("*") / F.lit(most)), F.ceil(F.sum("chars") / F.lit(chars))).alias("blocks"))
+    rows = keyed.join(sides, ["key", "number"]).withColumns({"own": F.pmod(F.xxhash64("node"), F.col("blocks")), "other": F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))})
+    place = lambda side, row, column: F.struct(F.lit(side).alias("side"), F.col(row).alias("lb"), F.col(column).alias("mb"))
+    # every member stands on the right, those outside the largest component on the left too
+    places = F.when(F.col("comp") != F.col("main"), F.array(place(1, "other", "own"), place(0, "own", "other"))).otherwise(F.array(place(1, "other", "own")))
+    dealt = rows.select("key", "number", "main", "node", "comp", F.inline(places)).join(known, "node")
     limit = _farthest(least)
 
-    def pairs_of(table: pa.Table) -> pa.RecordBatch:
-        side, number = table["side"].to_numpy(), table["band"][0].as_py()
-        sketch = table["sketch"].chunk(0).flatten().to_numpy().reshape(-1, SKETCH // 64)
-        band = table["bands"].chunk(0).flatten().to_numpy().reshape(len(side), number)
-        comp, node = (np.unique(np.array(table[c].to_pylist(), object), return_inverse=True) for c in ("comp", "node"))
-        main = int(np.flatnonzero(comp[0] == table["main"][0].as_py())[0]) if table["main"][0].as_py() in comp[0] else -1
-        comp, node, right, out = comp[1], node[1], np.flatnonzero(side == 1), []
-        for i in np.flatnonzero(side == 0):
-            near = right[(comp[right] != comp[i]) & ((comp[right] == main) | (node[i] < node[right]))]
-            near = near[np.bitwise_count((sketch[near] ^ sketch[i]).view(np.uint64)).sum(1, dtype=np.int64) <= limit]
-            near = near[(band[near] != band[i]).all(1)]
-            out.append((np.full(len(near), i), near))
-        a, b = (np.concatenate([x[k] for x in out] or [np.zeros(0, np.int64)]) for k in (0, 1))
-        names = ("main", "a", "b")
-        return pa.RecordBatch.from_arrays([table[c].chunk(0).take(pa.array(at, pa.int64())) for c, at in (("main", a), ("node", a), ("node", b))], names=names)
+    def compared(table: pa.Table) -> pa.RecordBatch:
+        hasher, counts, low, out = WordHasher(), {}, {}, []
+        node, comp, main, number = table["node"].to_pylist(), table["comp"].to_pylist(), table["main"][0].as_py(), table["number"][0].as_py()
+        text, side = table["text"], table["side"].to_numpy()
+        matrix = lambda c, n: table[c].chunk(0).flatten().to_numpy().reshape(-1, n)
+        sketch, band = matrix("sketch", SKETCH // 64), matrix("bands", BANDS)
+
+        def shingled(i: int) -> tuple[np.ndarray, np.ndarray]:
+            if node[i] not in counts:
+                counts[node[i]] = np.unique(shingles(hasher(words(text[i].as_py()))), return_counts=True)
+            return counts[node[i]]
+
+        def root(c: bytes) -> bytes:
+            while low.get(c, c) != c:
+                c = low[c]
+            return c
+
+        right = np.flatnonzero(side == 1)
+        right_sketch, right_band = sketch[right], band[right]
+        for i in np.flatnonzero(side == 0).tolist():
+            fit = np.bitwise_count((right_sketch ^ sketch[i]).view(np.uint64)).sum(1, dtype=np.int64) <= limit
+            same = right_band == band[i]
+            fit &= same.any(1) if number < 0 else ~same[:, :number].any(1)
+            for j in right[fit].tolist():
+                if comp[i] != comp[j] and (comp[j] == main or node[i] < node[j]) and (a := root(comp[i])) != (b := root(comp[j])) and similarity_of(*shingled(i), *shingled(j)) >= least:
+                    low[max(a, b)] = min(a, b)
+                    out.append((node[i], node[j]))
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _groups(batches, "bucket", "lb", "mb"):
+        for table in _groups(batches, "key", "number", "lb", "mb"):
             if (table["side"].to_numpy() == 0).any():
-                yield pairs_of(table)
-
-    names = ["bucket", "band", "lb", "mb", "side", "node", "comp", "main", "bands", "sketch"]
-    both = left.select(names).unionByName(right.select(names))
-    return both.repartition("bucket", "lb", "mb").sortWithinPartitions("bucket", "lb", "mb").mapInArrow(run, "main binary, a binary, b binary")
-
-
-def _tiled(pairs: DataFrame, texts: DataFrame, least: float, chars: int = 4_000_000, rows: int = 16_384) -> DataFrame:
-    """Those of the pairs (main, a, b) whose texts are at least so similar, but for pairs that links found before in the tile connect.
+                yield compared(table)
 
-    The pairs of one `main` are dealt into square tiles by hashes of a and b, as many as keep a tile's texts to about
-    2 * `chars` characters and its pairs to about `rows`; a text goes once to each tile that has a pair of it, not to each pair.
-    """
-    sizes = pairs.selectExpr("main", "a as node").union(pairs.selectExpr("main", "b as node")).distinct().join(texts.select("node", F.length("text").alias("chars")), "node").groupBy("main").agg(F.sum("chars").alias("chars"))
-    sizes = sizes.join(pairs.groupBy("main").agg(F.count("*").alias("pairs")), "main")
-    side = F.greatest(F.ceil(F.col("chars") / F.lit(chars)), F.ceil(F.sqrt(F.col("pairs") / F.lit(rows)))).alias("side")
-    of = lambda c: F.pmod(F.xxhash64(c), F.col("side"))
-    dealt = pairs.join(sizes.select("main", side), "main").select(F.xxhash64("main", of("a"), of("b")).alias("tile"), "a", "b")
-    wanted = dealt.selectExpr("tile", "a as node").union(dealt.selectExpr("tile", "b as node")).distinct()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = WordHasher()
-        for table in _groups(batches, "tile"):
-            a, b, text = (table[c].to_pylist() for c in ("a", "b", "text"))
-            counts, low, keep = {}, {}, []
-
-            def root(x: bytes) -> bytes:
-                while low.get(x, x) != x:
-                    x = low[x]
-                return x
-
-            for i, (x, y, t) in enumerate(zip(a, b, text, strict=True)):
-                if t is not None:
-                    counts[x] = np.unique(shingles(hasher(words(t))), return_counts=True)
-                elif (p := root(x)) != (q := root(y)) and similarity_of(*counts[x], *counts[y]) >= least:
-                    low[max(p, q)] = min(p, q)
-                    keep.append(i)
-            yield pa.RecordBatch.from_arrays([pa.array([c[i] for i in keep], pa.binary()) for c in (a, b)], names=["a", "b"])
-
-    both = wanted.join(texts, "node").select("tile", F.col("node").alias("a"), F.lit(None).cast("binary").alias("b"), "text").unionByName(dealt.withColumn("text", F.lit(None).cast("string")))
-    return both.repartition("tile").sortWithinPartitions("tile", F.col("text").isNull(), "a", "b").mapInArrow(run, "a binary, b binary")
+    tile = ["key", "number", "lb", "mb"]
+    return dealt.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(run, "a binary, b binary")
 
 
 def _farthest(least: float) -> int:
