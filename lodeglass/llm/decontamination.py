@@ -25,23 +25,34 @@ _ORIGINAL = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _BUILT: dict[str, object] = {}
 
 
+class _Letters(dict):
+    """Words to letters of their own; words that no item has share one."""
+
+    def __missing__(self, word: bytes) -> str:
+        return "\0"
+
+
 class Passages:
     """One automaton over all windows of the given items' words: runs of `width` of them, or all words of a shorter item.
 
-    It runs over numbers of words, so a window of ten words has ten nodes at most; words that no item has are 0.
+    It runs over texts with a letter for each word, so a window of ten words has ten nodes at most.
     """
 
     def __init__(self, items: list[tuple[str, list[bytes]]], width: int) -> None:
         import ahocorasick
 
-        self.numbers: dict[bytes, int] = {}
-        owners: dict[tuple[int, ...], set[str]] = defaultdict(set)
+        self.letters = _Letters()
+        owners: dict[str, set[str]] = defaultdict(set)
         for item, found in items:
-            numbers = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in found]
-            for i in range(max(1, len(numbers) - width + 1) if numbers else 0):
-                owners[tuple(numbers[i : i + width])].add(item)
+            for w in found:
+                if w not in self.letters:
+                    n = len(self.letters) + 1
+                    self.letters[w] = chr(n if n < 0xD800 else n + 0x800)  # none of the surrogates
+            written = "".join(map(self.letters.__getitem__, found))
+            for i in range(max(1, len(written) - width + 1) if written else 0):
+                owners[written[i : i + width]].add(item)
         self.sizes, self.owners = [len(k) for k in owners], list(owners.values())
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE) if owners else None
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS) if owners else None
         for i, window in enumerate(owners):
             self.automaton.add_word(window, i)
         if owners:
@@ -51,8 +62,7 @@ class Passages:
         """Which of the words lie inside a window's occurrence, and the items of these windows."""
         edge, items = np.zeros(len(found) + 1, np.int64), set()
         if self.automaton and found:
-            number = self.numbers.get
-            for last, i in self.automaton.iter(tuple([number(w, 0) for w in found])):
+            for last, i in self.automaton.iter("".join(map(self.letters.__getitem__, found))):
                 edge[last + 1 - self.sizes[i]] += 1
                 edge[last + 1] -= 1
                 items |= self.owners[i]
