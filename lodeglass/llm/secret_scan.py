@@ -51,6 +51,16 @@ def link(parts: list[tuple[str, int, int, bool]], reach: int, overlap: bool = Fa
     return out
 
 
+def _outermost(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The spans that lie in no other of their kind."""
+    out, last = [], dict.fromkeys(KINDS, -1)
+    for kind, a, b in sorted(set(spans), key=lambda s: (s[1], -s[2])):
+        if b > last[kind]:
+            out.append((kind, a, b))
+            last[kind] = b
+    return out
+
+
 def find_secrets(text: str | None, reach: int = 200) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all spans of a whole text in code points, by start, then kind as in KINDS."""
     if not text:
@@ -73,7 +83,7 @@ def find_secrets(text: str | None, reach: int = 200) -> list[tuple[str, int, int
             parts += [(role, *m.span(), True) for m in pattern.finditer(text)]
         for m in _IN_URL.finditer(text) if "://" in text else ():
             parts += [("identifier", *m.span(1), True), ("secret", *m.span(2), True)]
-        found += link(parts, reach, overlap=True)
+        found += _outermost(link(parts, reach, overlap=True))
     return sorted(set(found), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 

@@ -28,6 +28,12 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{top.rstrip('/')}/lodeglass-{uuid.uuid4().hex}"
 
 
+def delete(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder in whatever store Spark finds it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows with a short lineage, held in the shared folder until nothing refers to them."""
     sc = df.sparkSession.sparkContext

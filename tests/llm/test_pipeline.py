@@ -47,3 +47,17 @@ def test_toxic_documents_go(spark):
     left = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, SF).select("doc_id").collect()}
     bad = {r.doc_id for r in spark.read.parquet(f"{SF}/labels.parquet").filter("toxic = 1").collect()}
     assert len(bad - left) > len(bad) / 2 and docs.count() - len(left) < 2 * len(bad)
+
+
+def test_empty_tables_and_columns_of_any_name(spark, tmp_path, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    odd = docs.selectExpr("*", "1 as own0", "2 as `a.b`", "3 as _id", "4 as _own", "5 as _nth", "6 as passages", "7 as toxicity", "8 as node", "9 as comp", "10 as text_hash", "11 as _slot")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, odd, folder)
+        assert got.columns == odd.columns, name
+        assert {(r["own0"], r["a.b"], r["_nth"], r["comp"]) for r in got.collect()} == {(1, 2, 5, 9)}
+        assert stage(spark, docs.limit(0), folder).collect() == []
+    at = str(tmp_path / "none")
+    for table in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{folder}/{table}.parquet").limit(0).write.parquet(f"{at}/{table}.parquet")
+    assert corpus_pipeline.run(spark, at).collect() == []
