@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from lodeglass.operators.aggregates import within
 from lodeglass.operators.vectors import dot, unit
 
 
-@F.udf("array<struct<id:bigint,cluster:bigint>>")
+@F.udf(ArrayType(StructType().add("id", "long").add("cluster", "long")))
 def _connected(pairs):
     """Each end of a few links with the least that it is connected with."""
     low: dict[int, int] = {}

@@ -49,3 +49,43 @@ def test_leaderboard_tables(spark):
 def test_cascade(spark):
     found = spark.createDataFrame([("a", 2, "x"), ("a", 1, "y"), ("a", 1, "z"), ("b", 99, "seed")], "source string, strategy_rank int, title string")
     assert sorted(rows(joins.first_strategy(found).select("source", "title"))) == [("a", "y"), ("a", "z"), ("b", "seed")]
+
+
+def test_sitemap_files(spark):
+    locs = lambda tag, *urls: "".join(f"<{tag}><loc> {u} </loc></{tag}>" for u in urls)
+    files = [
+        ("s", 1, "https://a.org/sitemap.xml", f"<sitemapindex>{locs('sitemap', *(f'https://a.org/sitemap-{k}.xml' for k in range(3)))}</sitemapindex>"),
+        ("s", None, "https://a.org/sitemap-0.xml", f"<urlset>{locs('url', 'https://a.org/news/the-first_one.html?a=1&amp;b=2', 'https://b.org/news/x')}</urlset>"),
+        ("s", None, "https://a.org/sitemap-1.xml", f"<urlset>{locs('url', 'https://a.org/paper/10', 'https://a.org/news/the-first_one.html?a=1&amp;b=2')}</urlset>"),
+        ("s", None, "https://a.org/sitemap-2.xml", f"<urlset>{locs('url', 'https://a.org/news/never')}</urlset>"),
+        ("t", 1, "https://t.org/sitemap.xml", f"<urlset>{locs('url', 'https://t.org/jobs')}</urlset>"),
+        ("t", 2, "https://t.org/sitemap_index.xml", f"<urlset>{locs('url', 'https://t.org/news/2')}</urlset>"),
+        ("u", 1, "https://u.org/sitemap.xml", "not xml"),
+    ]
+    table = spark.createDataFrame(files, "source string, rank int, url string, xml string")
+    hosts = spark.createDataFrame([(x, f"{'a' if x == 's' else x}.org") for x in "stu"], "source string, host string")
+    got = sorted((r.source, r.title, r.url) for r in landed.sitemap_articles(table, hosts, "news|paper").collect())
+    assert got == [("s", "10", "https://a.org/paper/10"), ("s", "The First One", "https://a.org/news/the-first_one.html?a=1&b=2"), ("t", "2", "https://t.org/news/2")]
+    assert [r.url for r in landed.sitemap_articles(table, hosts, "news|paper", 1).filter("source = 's'").collect()] == ["https://a.org/news/the-first_one.html?a=1&b=2"]
+
+
+def test_leaderboards_shown_as_tables_points_and_lines(spark):
+    table = "<table><thead><tr><td>Team</td><td>90%</td></tr></thead><tr><td><b>A</b></td><td>12.5%</td></tr><tr><td>B</td><td>-</td></tr><tr><td></td><td>3</td></tr><tr><td>one</td></tr></table>"
+    points = '<svg><circle data-score="40" data-team="P"/><circle data-score="0"/><circle data-score="20"/></svg>'
+    pages = spark.createDataFrame([("t", table), ("p", points), ("both", table + points), ("none", "<p>")], "source string, html string")
+    got = sorted(rows(landed.table_entries(pages)))
+    assert got == [("both", 1, "A", 0.125), ("both", 3, "Team 3", 0.03), ("p", 1, "P", 0.4), ("p", 3, "Entry 3", 0.2), ("t", 1, "A", 0.125), ("t", 3, "Team 3", 0.03)]
+    lines = spark.createDataFrame([("c", 0, "A,12.5%"), ("c", 1, "B,"), ("c", 2, '"C, too",0.25')], "source string, pos int, line string")
+    assert rows(landed.csv_entries(lines)) == [("c", 1, "A", 0.125), ("c", 3, "C, too", 0.25)]
+    live = spark.createDataFrame([("a", 0.5), ("f", 0.5)], "source string, score double")
+    snapshot = spark.createDataFrame([(x, 0.24) for x in "abf"], "source string, score double")
+    failed = spark.createDataFrame([("f",), ("g",)], "source string")
+    assert sorted(rows(landed.with_snapshot(live, snapshot, failed))) == [("a", 0.5, "live"), ("b", 0.24, "manual_snapshot"), ("f", 0.0, "unavailable"), ("g", 0.0, "unavailable")]
+
+
+def test_repository_replies(spark):
+    raw = lambda s: spark.createDataFrame([(s,)], "raw string")
+    assert rows(landed.releases(raw('[{"name":"","tag_name":"v1","body":"%s","author":{"login":"me"},"published_at":"2025"},{"tag_name":"v2"}]' % ("x" * 600)))) == [("v1", "v1", "x" * 500, "me", "2025"), ("v2", "v2", "", "unknown", None)]
+    assert rows(landed.commits(raw('[{"sha":"1","commit":{"message":"m","author":{"name":"n","date":"d"}},"author":{"login":"l"}},{"sha":"2","commit":{"author":{"name":""}},"author":{"login":"l"}},{"sha":"3"}]'))) == [("1", "m", "n", "d"), ("2", "", "l", None), ("3", "", "unknown", None)]
+    assert rows(landed.repositories(raw('{"items":[{"full_name":"a/b","description":null,"language":"C"},{"full_name":"c/d","stargazers_count":7}]}'))) == [("a/b", "", 0, "C"), ("c/d", "", 7, None)]
+    assert rows(landed.releases(raw("broken"))) == []

@@ -63,6 +63,26 @@ def test_silences(streamed):
     assert [(r[0], r[2]) for r in got if r[0] != "z"] == [("a", "medium")]
 
 
+def test_silences_of_four_times_a_sources_own_days(streamed):
+    build, finish = streamed
+    clock = [[("z", at(days))] for days in (60, 61, 62, 63)]
+    got = finish(jobs.silences(build("source string, ts timestamp", [("a", at(0)), ("b", at(50)), ("c", at(40))], *clock), 14, expected={"b": 1}))
+    assert sorted((r[0], r[2]) for r in got if r[0] != "z") == [("a", "high"), ("a", "medium"), ("b", "high"), ("b", "medium")]
+
+
+def test_bursts_by_a_sources_own_gap(streamed):
+    build, finish = streamed
+    rows = [("a", at(0)), ("a", at(5)), ("b", at(0)), ("b", at(5))]
+    got = finish(jobs.bursts(build("source string, ts timestamp", rows, [("z", at(90))]), "14 days", gaps={"b": "2 days"}))
+    assert sorted((r[0], r[3]) for r in got) == [("a", 2), ("b", 1), ("b", 1)]
+
+
+def test_copies_of_a_url_come_once(streamed):
+    build, finish = streamed
+    rows = [("u", "a", at(0)), ("u", "b", at(0, 1)), ("v", "c", at(0, 2))]
+    assert sorted(r[0] for r in finish(jobs.new_articles(build("url string, content string, ts timestamp", rows)))) == ["u", "v"]
+
+
 def test_each_batch_is_scored_once(spark, streamed, tmp_path):
     build, _ = streamed
     stream = build("id int, ts timestamp", [(1, at(0))], [(2, at(1))])
