@@ -188,21 +188,21 @@ def _stars(members: DataFrame) -> DataFrame:
     return members.join(centres, "bucket").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
 
 
-def links(nodes: DataFrame, texts_of, least: float) -> DataFrame:
+def links(nodes: DataFrame, texts_of, least: float, deviations: float = 4) -> DataFrame:
     """node and comp of the nodes that have links: what is connected by pairs of nodes that are at least so similar.
 
     Nodes that share a band are candidates. In each band's bucket the node that meets most others over all bands is the
     centre, and every other node is compared with it alone; copies of one text make one component that way, at a cost in
     proportion to their number. Then only pairs of one bucket whose components still differ are left (`_rest`). All of
-    these are compared, but those whose sketches (four bits of each component) lie farther apart than four deviations
-    allow for a similarity of `least`.
+    these are compared, but those whose sketches (four bits of each component) lie farther apart than so many deviations
+    allow for a similarity of `least`; with infinitely many, none is passed over.
     """
     spread = nodes.select("node", F.posexplode("bands").alias("band", "bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     members = cut(spread.join(shared, "bucket"))
     texts = cut(texts_of(members.select("node").distinct()))
     comps = components(_verified(_stars(members), texts, least))
-    found = _rest(_split(members, comps), nodes.join(texts, "node"), least)
+    found = _rest(_split(members, comps), nodes.join(texts, "node"), least, _farthest(least, deviations))
     return components(comps.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(found))
 
 
@@ -226,7 +226,7 @@ def _groups(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def _rest(mixed: DataFrame, known: DataFrame, least: float, most: int = 512, chars: int = 8_000_000) -> DataFrame:
+def _rest(mixed: DataFrame, known: DataFrame, least: float, limit: int, most: int = 512, chars: int = 8_000_000) -> DataFrame:
     """Links (a, b) between members of one bucket whose components differ: bucket, band, n, node, comp, main; `known` has node, bands, sketch and text.
 
     Members outside the largest component of a bucket meet all members, either bucket by bucket or, where that compares
@@ -246,7 +246,6 @@ def _rest(mixed: DataFrame, known: DataFrame, least: float, most: int = 512, cha
     # every member stands on the right, those outside the largest component on the left too
     places = F.when(F.col("comp") != F.col("main"), F.array(place(1, "other", "own"), place(0, "own", "other"))).otherwise(F.array(place(1, "other", "own")))
     dealt = rows.select("key", "number", "main", "node", "comp", F.inline(places)).join(known, "node")
-    limit = _farthest(least)
 
     def compared(table: pa.Table) -> pa.RecordBatch:
         hasher, counts, low, out = WordHasher(), {}, {}, []
@@ -286,20 +285,24 @@ def _rest(mixed: DataFrame, known: DataFrame, least: float, most: int = 512, cha
     return dealt.repartition(*tile).sortWithinPartitions(*tile).mapInArrow(run, "a binary, b binary")
 
 
-def _farthest(least: float) -> int:
-    """Bits in which sketches of texts of that similarity differ at most: half of those of differing components, and four deviations."""
+def _farthest(least: float, deviations: float) -> int:
+    """Bits in which sketches of texts of that similarity differ at most: half of those of differing components, and so many deviations."""
     p = 1 - least
-    return int(SKETCH * p / 2 + 4 * (COMPONENTS * (4 * p * least + p)) ** 0.5)
+    return int(min(SKETCH, SKETCH * p / 2 + deviations * (COMPONENTS * (4 * p * least + p)) ** 0.5))
 
 
-def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
+def classes(docs: DataFrame, least: float = 0.8, deviations: float = 4) -> DataFrame:
     """The near-duplicate class of every row: doc_id, text_hash, class_id, class_text_hash and class_rows.
 
     Texts are compared by their words (runs of digits, letters and non-ASCII characters, A-Z lower-cased), in shingles of
     five, weighted by how often they occur; two texts are linked if their probability Jaccard similarity is at least
     `least`, and classes are what links connect. Texts of equal words are one node from the start, in one grouped
     aggregation, so copies never meet one another. Texts without words are linked to equal ones only; null and empty
-    texts are linked to none. A class is named by the least (doc_id, xxhash64 of its text) in it.
+    texts are linked to none. A class is named by the least (doc_id, xxhash64 of its text) in it. Texts may be of any
+    length; repeated rows are of one class; an empty table gives no rows.
+
+    A pair of similarity `least` can be missed in two ways: it shares no band (see BANDS), or it is left to the last
+    step, and its sketches lie more than `deviations` farther apart than expected.
     """
     rows = cut(signed(docs))
     nodes = rows.filter("node is not null").groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
@@ -310,7 +313,7 @@ def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
         found = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash"), "text").join(keys, (F.col("hash") == F.col("text_hash")) & F.col("id").eqNullSafe(F.col("doc_id")))
         return found.select("node", "text").dropDuplicates(["node"])
 
-    comp = links(nodes, texts_of, least)
+    comp = links(nodes, texts_of, least, deviations)
     named = nodes.select("node", "first", "n").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     whole = named.groupBy("comp").agg(F.min("first").alias("class"), F.sum("n").alias("class_rows"))
     found = named.select("node", "comp").join(whole, "comp").select("node", "class", "class_rows")

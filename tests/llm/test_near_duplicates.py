@@ -108,3 +108,66 @@ def test_components_of_odd_graphs(spark):
         for a, b in edges:
             low[a] = low[b] = min(low[a], low[b])
     assert {i: got.get(i, i) for i in low} == low
+
+
+def counts_of(text):
+    w = words(text)
+    n = min(5, len(w))
+    return Counter(tuple(w[i : i + n]) for i in range(len(w) - n + 1 if n else 0))
+
+
+def test_links_of_every_tenth_document_are_found(spark):
+    """Recall over real rows: every tenth document against all others, through an index of shingles, exactly."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    of = {r.doc_id: r.class_id for r in nd.classes(docs).collect()}
+    texts = {r.doc_id: counts_of(r.text) for r in docs.collect()}
+    where = defaultdict(set)
+    for i, c in texts.items():
+        for s in c:
+            where[s].add(i)
+    similar, near = [], 0
+    for i in (i for i in texts if i % 10 == 0):
+        for j in set().union(*(where[s] for s in texts[i])) - {i}:
+            x, y = texts[i], texts[j]
+            every = x.keys() | y.keys()
+            value = sum(1 / sum(max(x[k] / x[s], y[k] / y[s]) for k in every) for s in x.keys() & y.keys()) if len(every) < 3 * len(x.keys() & y.keys()) else 0
+            similar += [(i, j)] * (value >= 0.8)
+            near += 0.6 <= value < 0.8
+    found = sum(of[i] == of[j] for i, j in similar)
+    print(f"pairs of 0.8 or more: {len(similar)}, in one class: {found}; pairs of 0.6 to 0.8: {near}")
+    assert len(similar) > 10 and found == len(similar)
+
+
+def test_long_texts_and_many_near_copies(spark, docs_of):
+    """A group of near copies larger than a tile, whose members are alike in pairs only, and texts of 60,000 words."""
+    rng = random.Random(31)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    base, texts = fresh(120), []
+    for _ in range(330):
+        own = list(base)
+        for at in rng.sample(range(8, 112, 8), 5):
+            own[at] = fresh(1)[0]
+        copy = own[:60] + fresh(1) + own[61:]
+        texts += [" ".join(own), " ".join(copy)]
+    long = fresh(60_000)
+    texts += [" ".join(long), " ".join([*long[:30_000], "x", *long[30_001:]]), " ".join(fresh(60_000))]
+    got = {r.doc_id: r.class_id for r in nd.classes(docs_of(texts)).collect()}
+    assert sorted((d, c, sum(v == c for v in got.values())) for d, c in got.items()) == plain_linked(texts)
+
+
+def plain_linked(texts, least=0.8):
+    """Classes of texts in which no shingle repeats, where the similarity is that of sets."""
+    sets, parent = [set(counts_of(t)) for t in texts], list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if abs(len(a) - len(sets[j])) < len(a) and root(i) != root(j) and len(a & sets[j]) >= least * len(a | sets[j]):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    roots = [root(i) for i in range(len(texts))]
+    size = Counter(roots)
+    return sorted((i, r, size[r]) for i, r in enumerate(roots))

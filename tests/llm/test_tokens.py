@@ -104,3 +104,29 @@ def test_assign_prefers_low_cost_and_balances():
     assert n == 2 and sum(x[2] for x in left) == 0
     first = [x for x in placed if x[1] == 0][:2]
     assert {x[0] for x in first} == {0, 1} and first[0][3] != first[1][3]
+
+
+def test_costs_are_spread_more_evenly_than_by_first_fit():
+    """Lengths of real documents: the same pieces, longest first, into the first sequence with room, cost less evenly."""
+    import pyarrow.parquet
+
+    texts = pyarrow.parquet.read_table("/root/testdata/sf0.01/documents.parquet", columns=["text"])["text"].to_pylist()
+    lengths = [len(plain(t)) for t in texts]
+    cost = lambda n: n + n * n / 4096
+    placed, _, count = packing.assign(lengths, 4096, 1.0, 1 / 4096, all_of_it=True)
+    ours, whole = np.zeros(count), np.zeros(count)
+    for _, _, n, s, _ in placed:
+        ours[s] += cost(n)
+        whole[s] += n
+    assert sum(whole) == sum(lengths) and (whole == 4096).sum() >= count - 1
+    rooms, first = [], []
+    for n in sorted((n for _, _, n, _, _ in placed), reverse=True):
+        at = next((i for i, r in enumerate(rooms) if r >= n), len(rooms))
+        if at == len(rooms):
+            rooms.append(4096)
+            first.append(0.0)
+        rooms[at] -= n
+        first[at] += cost(n)
+    shared = ours[[s for s in range(count) if whole[s] == 4096 and ours[s] < 2 * 4096]]
+    print(f"spread of costs: {shared.std():.0f}, by first fit {np.std([c for c in first if c < 2 * 4096]):.0f}; sequences {count} and {len(first)}")
+    assert shared.std() < np.std([c for c in first if c < 2 * 4096])
