@@ -178,13 +178,13 @@ def _split(members: DataFrame, comps: DataFrame) -> DataFrame:
     split = members.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     sizes = split.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
     mixed = sizes.groupBy("bucket").agg(F.max_by("comp", F.struct("size", "comp")).alias("main"), F.count("*").alias("parts")).filter("parts > 1")
-    return cut(split.join(mixed.select("bucket", "main"), "bucket"))
+    return cut(split.join(cut(mixed.select("bucket", "main")), "bucket"))
 
 
 def _stars(members: DataFrame) -> DataFrame:
     """Pairs (a, b): in each bucket the member that meets most others over all bands with every other member."""
     rows = members.withColumn("met", F.sum("n").over(Window.partitionBy("node")))
-    centres = rows.groupBy("bucket").agg(F.max_by("node", F.struct("met", "node")).alias("a"))
+    centres = cut(rows.groupBy("bucket").agg(F.max_by("node", F.struct("met", "node")).alias("a")))
     return members.join(centres, "bucket").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
 
 
@@ -238,7 +238,8 @@ def _rest(mixed: DataFrame, known: DataFrame, least: float, limit: int, most: in
     """
     sized = mixed.join(known.select("node", F.length("text").alias("chars")), "node")
     each = sized.groupBy("main", "node").agg(F.max((F.col("comp") != F.col("main")).cast("bigint")).alias("outside"), F.sum(F.when(F.col("comp") != F.col("main"), F.col("n")).otherwise(0)).alias("met"))
-    whole = each.groupBy("main").agg((F.sum("outside") * F.count("*") <= F.sum("met")).alias("together"))
+    # cut off, sums are shuffled for the join like any table, so Spark can split a key that holds many rows
+    whole = cut(each.groupBy("main").agg((F.sum("outside") * F.count("*") <= F.sum("met")).alias("together")))
     keyed = sized.join(whole, "main").select(F.when(F.col("together"), F.xxhash64("main")).otherwise(F.col("bucket")).alias("key"), F.when(F.col("together"), -1).otherwise(F.col("band")).alias("number"), "main", "node", "comp", "chars").distinct()
     sides = keyed.groupBy("key", "number").agg(F.greatest(F.ceil(F.count("*") / F.lit(most)), F.ceil(F.sum("chars") / F.lit(chars))).alias("blocks"))
     rows = keyed.join(sides, ["key", "number"]).withColumns({"own": F.pmod(F.xxhash64("node"), F.col("blocks")), "other": F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))})
