@@ -1,4 +1,4 @@
-"""Benchmark passages in documents, found by an Aho-Corasick automaton over the words of test items."""
+"""Benchmark passages in documents, found by an Aho-Corasick automaton over windows of test items."""
 
 from __future__ import annotations
 
@@ -25,47 +25,38 @@ _ORIGINAL = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _BUILT: dict[str, object] = {}
 
 
-class _Letters(dict):
-    """Words to letters of their own; words that no item has share one."""
-
-    def __missing__(self, word: bytes) -> str:
-        return "\0"
-
-
 class Passages:
     """One automaton over all windows of the given items' words: runs of `width` of them, or all words of a shorter item.
 
-    It runs over texts with a letter for each word, so a window of ten words has ten nodes at most.
+    It runs over words between spaces, UTF-8 bytes as characters, so matches begin and end with words.
     """
 
     def __init__(self, items: list[tuple[str, list[bytes]]], width: int) -> None:
         import ahocorasick
 
-        self.letters = _Letters()
-        owners: dict[str, set[str]] = defaultdict(set)
+        owners: dict[tuple[bytes, int], set[str]] = defaultdict(set)
         for item, found in items:
-            for w in found:
-                if w not in self.letters:
-                    n = len(self.letters) + 1
-                    self.letters[w] = chr(n if n < 0xD800 else n + 0x800)  # none of the surrogates
-            written = "".join(map(self.letters.__getitem__, found))
-            for i in range(max(1, len(written) - width + 1) if written else 0):
-                owners[written[i : i + width]].add(item)
-        self.sizes, self.owners = [len(k) for k in owners], list(owners.values())
+            for i in range(max(1, len(found) - width + 1) if found else 0):
+                owners[b" " + b" ".join(found[i : i + width]) + b" ", len(found[i : i + width])].add(item)
+        self.sizes, self.owners = [(len(k), n) for k, n in owners], list(owners.values())
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS) if owners else None
-        for i, window in enumerate(owners):
-            self.automaton.add_word(window, i)
+        for i, (window, _) in enumerate(owners):
+            self.automaton.add_word(window.decode("latin-1"), i)
         if owners:
             self.automaton.make_automaton()
 
     def find(self, found: list[bytes]) -> tuple[np.ndarray, set[str]]:
         """Which of the words lie inside a window's occurrence, and the items of these windows."""
-        edge, items = np.zeros(len(found) + 1, np.int64), set()
-        if self.automaton and found:
-            for last, i in self.automaton.iter("".join(map(self.letters.__getitem__, found))):
-                edge[last + 1 - self.sizes[i]] += 1
-                edge[last + 1] -= 1
-                items |= self.owners[i]
+        met = list(self.automaton.iter((b" " + b" ".join(found) + b" ").decode("latin-1"))) if self.automaton and found else []
+        if not met:
+            return np.zeros(len(found), bool), set()
+        starts, edge, items = np.cumsum([0, *(len(w) + 1 for w in found)]), np.zeros(len(found) + 1, np.int64), set()
+        for last, i in met:
+            size, n = self.sizes[i]
+            first = int(np.searchsorted(starts, last + 1 - size))
+            edge[first] += 1
+            edge[first + n] -= 1
+            items |= self.owners[i]
         return np.cumsum(edge[:-1]) > 0, items
 
 
@@ -111,14 +102,14 @@ def _pieces(benchmark: DataFrame, width: int) -> DataFrame:
     return benchmark.filter("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), "text").mapInArrow(run, "item string, n bigint, found binary")
 
 
-def with_passages(docs: DataFrame, benchmark: DataFrame, column: str = "passages", width: int = 10, part_words: int = 250_000) -> DataFrame:
+def with_passages(docs: DataFrame, benchmark: DataFrame, column: str = "passages", width: int = 10, part_words: int = 40_000) -> DataFrame:
     """The documents with a struct column of what they share with a benchmark: words, hit words, items, hit spans.
 
     Words are runs of digits, letters and non-ASCII characters with A-Z lower-cased. A word is hit inside any
     occurrence of `width` consecutive words of an item, or of all words of a shorter item. Documents are read in place;
     no text is shuffled.
 
-    A Python worker holds one automaton, of about `part_words` words of the benchmark (some 200 MB at ten words to a
+    A Python worker holds one automaton, of about `part_words` words of the benchmark (some 130 MB at ten words to a
     window): benchmarks of more are dealt out by a hash to as many automata as they need. Each scans the documents once
     and adds to what those before it found; between two of them the documents are held in the shared folder.
 
