@@ -35,6 +35,12 @@ def with_tables(sql: str, *names: str) -> str:
     return "WITH " + ", ".join(f"{n} AS ({SQL[n]})" for n in names) + (", " + sql[5:] if sql.startswith("WITH ") else " " + sql)
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A table as read, dealt out over all cores where it is read in fewer parts, as texts of one row group would be worked on by one core; larger tables stay as they are."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 class Tables:
     """The logical tables of one folder, each read with only the columns it needs."""
 
@@ -47,7 +53,7 @@ class Tables:
     def articles(self) -> DataFrame:
         hours = F.expr("timestamp'2024-01-01 00:00:00' + make_dt_interval(0, int(doc_id % 720))")
         url = F.format_string("https://%s.example.org/d/%d", "source", F.col("doc_id") % 900)
-        return self.raw("documents").select(F.col("doc_id").alias("id"), "source", "lang", F.col("text").alias("content"), F.substring(F.substring_index("text", "\n", 1), 1, 80).alias("title"), url.alias("url"), hours.alias("ts"))
+        return spread(self.raw("documents")).select(F.col("doc_id").alias("id"), "source", "lang", F.col("text").alias("content"), F.substring(F.substring_index("text", "\n", 1), 1, 80).alias("title"), url.alias("url"), hours.alias("ts"))
 
     def _events(self) -> DataFrame:
         return self.raw("events").withColumn("ts", F.col("ts").cast("timestamp")).withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
