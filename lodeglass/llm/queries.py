@@ -7,10 +7,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodeglass.llm import chat, cover_tree, decontamination, near_duplicates, packing, pii, quality, secret_scan, token_file, toxicity
+from lodeglass.sources.adapters import spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
