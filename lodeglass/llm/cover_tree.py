@@ -76,8 +76,9 @@ def build(x: np.ndarray) -> Node:
         children = [part if len(part) <= LEAF or r == 0 else grow(h, part) for h, part, r in zip(heads, parts, radii, strict=True)]
         return Node(centre, radius, rows, np.array(heads), radii, children)
 
-    every = np.arange(len(x))
-    return grow(int(((x - x.mean(0)) ** 2).sum(1).argmin()), every)
+    tree = grow(int(((x - x.mean(0)) ** 2).sum(1).argmin()), np.arange(len(x)))
+    grow = None  # else the function holds itself, and with it the inner products
+    return tree
 
 
 class Best:
