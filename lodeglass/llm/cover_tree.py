@@ -54,21 +54,22 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 def build(x: np.ndarray) -> Node:
     """A cover tree: children cover their node's vectors within half its radius (covering), and their centres, the node's own
     among them, lie farther apart than that (separation); there are as many of them as this takes."""
-    dots = (x @ x.T).astype(np.float64)
-    squares = dots.diagonal()
-
-    def from_(centre: int, rows: np.ndarray) -> np.ndarray:
-        return np.sqrt(np.maximum(squares[rows] + squares[centre] - 2 * dots[centre, rows], 0))
+    apart = (x @ x.T).astype(np.float64)
+    squares = apart.diagonal().copy()
+    apart *= -2
+    apart += squares
+    apart += squares[:, None]
+    np.sqrt(np.maximum(apart, 0, out=apart), out=apart)
 
     def grow(centre: int, rows: np.ndarray) -> Node:
-        far = from_(centre, rows)
+        far = apart[centre][rows]
         radius, heads, owner = float(far.max()), [centre], np.zeros(len(rows), np.int64)
         if len(rows) <= LEAF or radius == 0:
             return Node(centre, radius, rows)
         while far[k := int(far.argmax())] > radius / 2:
-            near = from_(int(rows[k]), rows)
+            near = apart[rows[k]][rows]
             owner[near < far] = len(heads)
-            far = np.minimum(far, near)
+            np.minimum(far, near, out=far)
             heads.append(int(rows[k]))
         order = np.argsort(owner, kind="stable")
         parts = np.split(rows[order], np.searchsorted(owner[order], np.arange(1, len(heads))))
@@ -77,7 +78,7 @@ def build(x: np.ndarray) -> Node:
         return Node(centre, radius, rows, np.array(heads), radii, children)
 
     tree = grow(int(((x - x.mean(0)) ** 2).sum(1).argmin()), np.arange(len(x)))
-    grow = None  # else the function holds itself, and with it the inner products
+    grow = None  # else the function holds itself, and with it the distances
     return tree
 
 
