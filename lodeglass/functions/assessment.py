@@ -49,9 +49,12 @@ def ladder(content: Column, corroboration: Column, has_delta: Column) -> Column:
     return out.when(content.rlike("(?i)claim|announce|report|says|states"), "claimed").otherwise("mentioned")
 
 
-def assess(text: Column, content: Column, model: Column, heuristic: Column, boost: Column, status: Column, corroboration: Column, has_benchmark: Column, has_delta: Column) -> Column:
-    """A struct of priority, confidence, claim types, ladder, status of the strongest claim, reason of doubt, checks that are missing, and the evidence vector."""
-    types = claim_types(text, has_benchmark)
+def assess(text: Column, content: Column, model: Column, heuristic: Column, boost: Column, status: Column, corroboration: Column, has_benchmark: Column, has_delta: Column, types: Column | None = None) -> Column:
+    """A struct of priority, confidence, claim types, ladder, status of the strongest claim, reason of doubt, checks that are missing, and the evidence vector.
+
+    The kinds of claims are used many times; where a column of the table holds them already, `types` names it.
+    """
+    types = claim_types(text, has_benchmark) if types is None else types
     has = lambda k: F.array_contains(types, k)
     m, h, s, source, support = clamp(model), clamp(heuristic), clamp(boost), _weight(status, SOURCE_STATUS), _weight(corroboration, CORROBORATION)
     several = F.least(F.lit(0.2), F.greatest(F.lit(0), F.size(types) - 1) * 0.04)

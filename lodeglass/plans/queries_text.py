@@ -394,8 +394,10 @@ def _assessed(t):
     pick = lambda values, n: F.array(*map(F.lit, values))[(n % len(values)).cast("int")]
     i = F.col("id")
     c = F.concat_ws(" ", "content", pick(PHRASES, i), pick(PHRASES, F.floor(i / 10)))
-    a = assessment.assess(c, c, (i % 101) / 100, (i % 5) / 10, F.lit(0.1), pick(STATUSES, F.floor(i / 7)), pick(SUPPORTS, F.floor(i / 3)), i % 2 == 0, F.lit(False))
-    return t.articles().select("id", a.alias("a"))
+    rows = t.articles().select("id", c.alias("c")).select("id", "c", assessment.claim_types(F.col("c"), i % 2 == 0).alias("types"))
+    c = F.col("c")
+    a = assessment.assess(c, c, (i % 101) / 100, (i % 5) / 10, F.lit(0.1), pick(STATUSES, F.floor(i / 7)), pick(SUPPORTS, F.floor(i / 3)), i % 2 == 0, F.lit(False), F.col("types"))
+    return rows.select("id", a.alias("a"))
 
 
 @query(f"SELECT id, CASE WHEN w >= 0.75 THEN 'critical' WHEN w >= 0.5 THEN 'high' WHEN w >= 0.25 THEN 'medium' ELSE 'low' END AS priority, CASE WHEN e >= 0.85 THEN 'extraordinary' WHEN e >= 0.65 THEN 'strong' WHEN e >= 0.4 THEN 'moderate' WHEN e > 0 THEN 'weak' ELSE 'none' END AS confidence, array_to_string(CASE WHEN len(ty) > 0 THEN ty ELSE ['benchmark'] END, ',') AS types FROM {_ASSESSED}", "articles")
