@@ -11,7 +11,12 @@ from lodeglass.sources.adapters import spread
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, for operators that work on them where they are read."""
+    return spread(_table(spark, sf_dir, "documents"))
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,24 +37,24 @@ def _count(spans: str, kind: str) -> Column:
 
 def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in every document: fixed shapes and what boosted trees add."""
-    found = pii.with_personal_data(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = pii.with_personal_data(_documents(spark, sf_dir).select("doc_id", "text"))
     return found.select("doc_id", *(_count("personal.base", k) for k in pii.KINDS), F.sha2(_listed("personal.base"), 256).alias("base_sha256"), _listed("personal.spans").alias("spans"))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A toxicity score for every document."""
-    scored = toxicity.with_toxicity(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "labels"), "score")
+    scored = toxicity.with_toxicity(_documents(spark, sf_dir).select("doc_id", "text"), _table(spark, sf_dir, "labels"), "score")
     return scored.select("doc_id", F.coalesce(~toxicity.in_training(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op4_cost_balanced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in sequences of at most 4096 tokens: a row per piece."""
-    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
+    return packing.pack(_documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")).drop("ids")
 
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every document shares with the benchmark, in windows of ten words."""
-    found = decontamination.with_passages(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    found = decontamination.with_passages(_documents(spark, sf_dir).select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", F.col("passages.n_words").alias("n_words"), F.col("passages.n_hit").alias("n_hit"), F.size("passages.items").cast("bigint").alias("n_items"),
         F.sha2(F.array_join("passages.items", ","), 256).alias("items_sha256"), (F.col("passages.n_hit") > 0).alias("contaminated"),
@@ -58,14 +63,14 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quality score for every document; its host is its source, and its path there its language."""
-    scored = quality.with_quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+    scored = quality.with_quality(_documents(spark, sf_dir), _table(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
     held = F.coalesce(~toxicity.in_training(), F.lit(False)).alias("held_out")
     return scored.select("doc_id", held, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), (F.col("score") >= 0.5).alias("keep"))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every document: fixed shapes and linked parts of credentials."""
-    found = secret_scan.with_secrets(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = secret_scan.with_secrets(_documents(spark, sf_dir).select("doc_id", "text"))
     base = F.filter("secrets", lambda s: s["kind"].isin(*secret_scan.BASE))
     return found.withColumn("base", base).select("doc_id", *(_count("base", k) for k in secret_scan.BASE), F.sha2(_listed("base"), 256).alias("base_sha256"), _listed("secrets").alias("spans"))
 
@@ -77,7 +82,7 @@ def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate class of every document: five-word shingles, similarity 0.8 or more."""
-    return near_duplicates.classes(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id", "class_rows")
+    return near_duplicates.classes(_documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "class_id", "class_rows")
 
 
 def op10_cover_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
