@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lodeglass.llm import decontamination, near_duplicates, packing, secret_scan, toxicity
 from lodeglass.llm.shared import delete, shared_folder, spare
+from lodeglass.sources.adapters import spread
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +69,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents; what each but the last returns is written to the shared folder and read again, and goes once the next is written."""
-    folder, docs, last = shared_folder(spark), spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    folder, docs, last = shared_folder(spark), spread(spark.read.parquet(f"{sf_dir}/documents.parquet")), None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
