@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeglass.llm import chat, cover_tree, decontamination, near_duplicates, packing, pii, quality, secret_scan, token_file, toxicity
+from lodeglass.llm import chat, cover_tree, decontamination, language_id, near_duplicates, packing, pii, quality, secret_scan, token_file, toxicity
 from lodeglass.sources.adapters import spread
 
 
@@ -90,7 +90,16 @@ def op10_cover_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cover_tree.top_k(_table(spark, sf_dir, "embeddings"), lambda c: c % 20 == 0)
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_personal_data, op3_toxicity, op4_cost_balanced_packing, op5_benchmark_decontamination, op6_quality, op7_secret_scan, op8_token_files, op9_near_duplicates, op10_cover_tree_search)}
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from three quarters of them."""
+    docs = _documents(spark, sf_dir)
+    learnt = docs.filter(language_id.in_training()).select("text", "lang")
+    found = language_id.with_language(docs.select("doc_id", "text"), learnt)
+    held = F.coalesce(~language_id.in_training(), F.lit(False))
+    return found.select("doc_id", held.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_personal_data, op3_toxicity, op4_cost_balanced_packing, op5_benchmark_decontamination, op6_quality, op7_secret_scan, op8_token_files, op9_near_duplicates, op10_cover_tree_search, op11_language_id)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
