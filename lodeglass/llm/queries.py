@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeglass.llm import chat, cover_tree, decontamination, language_id, near_duplicates, packing, pii, quality, secret_scan, token_file, toxicity
+from lodeglass.llm import alignment, chat, cover_tree, decontamination, language_id, near_duplicates, packing, pii, quality, secret_scan, token_file, toxicity
 from lodeglass.sources.adapters import spread
 
 
@@ -99,7 +99,14 @@ def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held.alias("held_out"), F.col("language.lang").alias("lang_pred"), F.col("language.score").alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_personal_data, op3_toxicity, op4_cost_balanced_packing, op5_benchmark_decontamination, op6_quality, op7_secret_scan, op8_token_files, op9_near_duplicates, op10_cover_tree_search, op11_language_id)}
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How every document's tokens in two vocabularies fall together."""
+    paths = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    found = alignment.with_alignment(_documents(spark, sf_dir).select("doc_id", "text"), *paths)
+    return found.select("doc_id", "alignment.*")
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_personal_data, op3_toxicity, op4_cost_balanced_packing, op5_benchmark_decontamination, op6_quality, op7_secret_scan, op8_token_files, op9_near_duplicates, op10_cover_tree_search, op11_language_id, op12_cross_tokenizer_alignment)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
