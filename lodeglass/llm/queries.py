@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodeglass.llm import alignment, chat, cover_tree, decontamination, language_id, near_duplicates, packing, pii, quality, secret_scan, token_file, toxicity
+from lodeglass.llm import alignment, chat, cover_tree, decontamination, language_id, near_duplicates, packing, pii, quality, secret_scan, spelling, token_file, toxicity
 from lodeglass.sources.adapters import spread
 
 
@@ -106,7 +106,12 @@ def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return found.select("doc_id", "alignment.*")
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_personal_data, op3_toxicity, op4_cost_balanced_packing, op5_benchmark_decontamination, op6_quality, op7_secret_scan, op8_token_files, op9_near_duplicates, op10_cover_tree_search, op11_language_id, op12_cross_tokenizer_alignment)}
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents, each with its neighbours of one edit, its form and its root."""
+    return spelling.variants(spelling.word_counts(_documents(spark, sf_dir))).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_formatting, op2_personal_data, op3_toxicity, op4_cost_balanced_packing, op5_benchmark_decontamination, op6_quality, op7_secret_scan, op8_token_files, op9_near_duplicates, op10_cover_tree_search, op11_language_id, op12_cross_tokenizer_alignment, op13_spelling_variants)}
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
