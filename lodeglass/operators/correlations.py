@@ -1,46 +1,64 @@
-"""Clusters of articles that tell the same story in different sources."""
+"""Stories: articles of different sources that say the same, by a similarity join of their vectors and its connected components."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StructType
 
 from lodeglass.operators.aggregates import within
-from lodeglass.operators.vectors import dot, unit
+from lodeglass.operators.cells import similar_pairs
+from lodeglass.operators.components import components
+from lodeglass.operators.storage import cut
 
 
-@F.udf(ArrayType(StructType().add("id", "long").add("cluster", "long")))
-def _connected(pairs):
-    """Each end of a few links with the least that it is connected with."""
-    low: dict[int, int] = {}
+def candidates(analyses: DataFrame, articles: DataFrame, vectors: DataFrame, as_of: Column, days: int, floor: float = 0.25) -> DataFrame:
+    """id, source, embedding, score and ts of all articles of the last days with a score from `floor` on and a vector, each once: its best, then newest analysis (id, crawl_id, score, ts)."""
+    best = analyses.filter(within(as_of, days) & (F.col("score") >= floor)).groupBy(F.col("crawl_id").alias("id")).agg(F.max(F.struct("score", "ts")).alias("best"))
+    named = best.join(articles.select("id", "source"), "id")
+    return named.join(vectors.filter(F.col("embedding").isNotNull()).select("id", "embedding"), "id").select("id", "source", "embedding", "best.score", "best.ts")
 
-    def root(x: int) -> int:
-        while low.setdefault(x, x) != x:
-            x = low[x]
-        return x
 
-    for a, b in pairs:
-        a, b = sorted((root(a), root(b)))
-        low[b] = a
-    return [(x, root(x)) for x in low]
+def copies(rows: DataFrame) -> DataFrame:
+    """One row for each distinct vector: id (the least), embedding, lowest and highest source, n. So copies, however many, are one row in what follows."""
+    return rows.groupBy("embedding").agg(F.min("id").alias("id"), F.min("source").alias("lowest"), F.max("source").alias("highest"), F.count("*").alias("n"))
 
 
-def story_clusters(analyses: DataFrame, articles: DataFrame, vectors: DataFrame, as_of: Column, days: int, least: float = 0.8, floor: float = 0.25, most: int = 20) -> DataFrame:
-    """cluster, n, ids, sources, similarity and type of groups of articles of the last days from different sources whose vectors are close.
+def links(rows: DataFrame, least: float) -> DataFrame:
+    """a < b and cosine of all distinct vectors, each named by its least article, that are `least` or more alike and not all of one source."""
+    return similar_pairs(copies(rows), least, "lowest", "highest")
+
+
+def stories(rows: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """The stories of articles (id, source, embedding), and which articles they have.
 
-    Looked at are the `most` articles of the highest scores, from `floor` on, that have a vector. Two of different sources
-    are linked from a cosine of `least` on, and what links connect is a cluster, named by its least id; its similarity
-    is the mean of its links. One analysis (id, crawl_id, score, ts) belongs to an article (id, source), one vector (id,
-    embedding) too. Only `most` rows meet one another.
+    Two articles of different sources whose vectors' cosine is `least` or more tell one story, and so do those that
+    chains of such pairs connect. The first frame has cluster (the least id of its vectors' names), n (articles), n_sources,
+    links (pairs of distinct vectors), similarity (their mean; 1 where the story has only copies of one vector) and type;
+    the second cluster, id and source.
+
+    All articles take part; copies of a vector count as one in links and meet no other copy, yet each is a member. Articles
+    without a source or a usable vector, or that nothing of another source is close to, are in no story.
     """
-    top = analyses.filter(within(as_of, days) & (F.col("score") >= floor)).select("crawl_id", "score", "ts").join(articles.select(F.col("id").alias("crawl_id"), "source"), "crawl_id")
-    top = top.join(vectors.filter(F.col("embedding").isNotNull()).select(F.col("id").alias("crawl_id"), "embedding"), "crawl_id").orderBy(F.desc("score"), F.desc("ts"), "crawl_id").limit(most)
-    listed = top.agg(F.collect_list(F.struct(F.col("crawl_id").alias("id"), "source", unit(F.col("embedding")).alias("u"))).alias("all"))
-    met = listed.select(F.explode("all").alias("x"), "all").select("x", F.explode("all").alias("y")).filter("x.id < y.id and x.source <> y.source")
-    links = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), dot(F.col("x.u"), F.col("y.u")).alias("cosine")).filter(F.col("cosine") >= least)
-
-    of = links.agg(F.collect_list(F.struct("a", "b")).alias("pairs")).select(F.inline(_connected("pairs")))
-    mean = links.join(of, links["a"] == of["id"]).groupBy("cluster").agg(F.avg("cosine").alias("similarity"))
-    named = of.join(articles.select("id", "source"), "id").groupBy("cluster").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("id")).alias("ids"), F.array_sort(F.collect_set("source")).alias("sources"))
-    return named.join(mean, "cluster").select("cluster", "n", "ids", "sources", "similarity", F.lit("thematic_cluster").alias("type"))
+    named = rows.filter("source is not null")
+    nodes, found = cut(copies(named)), cut(links(named, least))
+    alone = nodes.filter("lowest <> highest").select(F.col("id").alias("a"), F.col("id").alias("b"))
+    of = cut(components(found.select("a", "b").unionByName(alone)))
+    vector = nodes.join(of, "id").select("embedding", F.col("component").alias("cluster"))
+    members = named.join(vector, "embedding").select("cluster", "id", "source")
+    by_link = found.join(of, found["a"] == of["id"]).groupBy(F.col("component").alias("cluster")).agg(F.count("*").alias("links"), F.avg("cosine").alias("similarity"))
+    sources = members.groupBy("cluster", "source").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.sum("n").alias("n"), F.count("*").alias("n_sources"))
+    told = sources.join(by_link, "cluster", "left")
+    return told.select("cluster", "n", "n_sources", F.coalesce("links", F.lit(0).cast("bigint")).alias("links"), F.coalesce("similarity", F.lit(1.0)).alias("similarity"), F.lit("thematic_cluster").alias("type")), members
+
+
+def report(told: DataFrame, members: DataFrame, most: int = 20, listed: int = 20) -> DataFrame:
+    """The `most` largest stories with the first `listed` ids and sources of each: cluster, n, similarity, type, ids, sources."""
+    top = told.orderBy(F.desc("n"), "cluster").limit(most)
+    first = lambda c: members.select("cluster", c).distinct().withColumn("place", F.row_number().over(Window.partitionBy("cluster").orderBy(c))).filter(F.col("place") <= listed).groupBy("cluster").agg(F.array_sort(F.collect_list(c)).alias(f"{c}s"))
+    return top.join(first("id"), "cluster").join(first("source"), "cluster").select("cluster", "n", "ids", "sources", "similarity", "type")
+
+
+def story_clusters(analyses: DataFrame, articles: DataFrame, vectors: DataFrame, as_of: Column, days: int, least: float = 0.8, floor: float = 0.25, most: int = 20) -> DataFrame:
+    """cluster, n, ids, sources, similarity and type of the stories among the `most` articles of the highest scores of the last days."""
+    best = candidates(analyses, articles, vectors, as_of, days, floor).orderBy(F.desc("score"), F.desc("ts"), "id").limit(most)
+    return report(*stories(cut(best), least), most, most)

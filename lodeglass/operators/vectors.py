@@ -53,17 +53,7 @@ def percentile(rows: DataFrame, column: str = "distance") -> DataFrame:
 
 
 def nearest_to_each(vectors: DataFrame, queries: DataFrame, k: int, block: int = 256) -> DataFrame:
-    """query_id, id, similarity: the k nearest by cosine to each of any number of vectors.
-
-    Queries are dealt by a hash of their ids into arrays of about `block` unit vectors, and each array meets every
-    vector in place, so rows of the join are vectors times arrays. Its scores are cut to the k best of each query within
-    each task before they are shuffled. Null vectors are neither queries nor neighbours, and none is its own neighbour.
-    """
-    asked = queries.filter(F.col("embedding").isNotNull()).select(F.col("id").alias("query_id"), unit(F.col("embedding")).alias("q"))
-    blocks = asked.count() // block + 1
-    listed = asked.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", "q")).alias("asked")).drop("block")
-    rows = vectors.filter(F.col("embedding").isNotNull()).select("id", unit(F.col("embedding")).alias("u"))
-    met = rows.crossJoin(listed).select("id", "u", F.explode("asked").alias("l"))
-    scored = met.filter(F.col("l.query_id") != F.col("id")).select("l.query_id", "id", dot(F.col("u"), F.col("l.q")).alias("similarity"))
-    best = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
-    return scored.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k).drop("n")
+    """query_id, id, similarity: the k nearest by cosine to each of any number of vectors; see cells.nearest."""
+    from lodeglass.operators.cells import nearest  # which is built on this module
+
+    return nearest(vectors, queries, k, block)

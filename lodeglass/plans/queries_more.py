@@ -266,6 +266,44 @@ cl AS (SELECT a AS id, min(b) AS cluster FROM re GROUP BY a)
 SELECT cluster, count(*) AS n, string_agg(id::VARCHAR, ',' ORDER BY id) AS ids, string_agg(DISTINCT source, ',' ORDER BY source) AS sources, (SELECT round(avg(c), 6) FROM lk JOIN cl k ON k.id = lk.a WHERE k.cluster = z.cluster) AS similarity, 'thematic_cluster' AS type FROM cl z JOIN tp USING (id) GROUP BY cluster"""
 
 
+def _window_articles(t):
+    return correlations.candidates(t.analyses_wide(), t.articles(), t.vectors(), t.as_of(), 20)
+
+
+_NODES = """, tp AS (SELECT r.id, any_value(source) AS source, any_value(embedding)::DOUBLE[] AS e FROM analyses_wide a JOIN articles r ON r.id = a.crawl_id JOIN vectors v ON v.id = r.id WHERE a.ts >= (SELECT t FROM as_of) - INTERVAL 20 DAY AND a.score >= 0.25 AND embedding IS NOT NULL GROUP BY r.id),
+nd AS (SELECT e, min(id) AS id, min(source) AS lo, max(source) AS hi FROM tp GROUP BY e),
+lk AS (SELECT x.id AS a, y.id AS b, list_cosine_similarity(x.e, y.e) AS c FROM nd x JOIN nd y ON x.id < y.id AND (x.lo <> x.hi OR x.lo <> y.lo OR y.lo <> y.hi) WHERE list_cosine_similarity(x.e, y.e) >= {least})"""
+
+
+@query("SELECT 1", "articles")
+def v5_similar_pairs(t):
+    """All pairs of vectors of twenty days' articles that are close across sources."""
+    return correlations.links(_window_articles(t), 0.3).select("a", "b", _r("cosine", "similarity"))
+
+
+ORACLE_SQL["v5_similar_pairs"] = with_tables("", "articles", "analyses_wide", "vectors", "as_of") + _NODES.format(least=0.3) + " SELECT a, b, round(c, 6) AS similarity FROM lk"
+
+
+@query("SELECT 1", "articles")
+def v5_stories(t):
+    """The stories of all articles of twenty days, by a threshold at which most are of two or three articles."""
+    return correlations.stories(_window_articles(t), 0.36)[0].withColumn("similarity", F.round("similarity", 6))
+
+
+@query("SELECT 1", "articles")
+def v5_story_members(t):
+    """Which articles the stories of twenty days have."""
+    return correlations.stories(_window_articles(t), 0.36)[1]
+
+
+_STORIES = with_tables("", "articles", "analyses_wide", "vectors", "as_of").replace("WITH articles", "WITH RECURSIVE articles", 1) + _NODES.format(least=0.36) + """,
+ed AS (SELECT a, b FROM lk UNION SELECT b, a FROM lk UNION SELECT id, id FROM nd WHERE lo <> hi), re AS (SELECT a, a AS b FROM ed UNION SELECT re.a, ed.b FROM re JOIN ed ON ed.a = re.b),
+cl AS (SELECT a AS id, min(b) AS cluster FROM re GROUP BY a), mb AS (SELECT cluster, tp.id, source FROM tp JOIN nd USING (e) JOIN cl ON cl.id = nd.id)"""
+ORACLE_SQL["v5_story_members"] = _STORIES + " SELECT * FROM mb"
+ORACLE_SQL["v5_stories"] = _STORIES + """, s AS (SELECT cluster, count(*) AS links, avg(c) AS m FROM lk JOIN cl ON cl.id = lk.a GROUP BY cluster)
+SELECT cluster, count(*) AS n, count(DISTINCT source) AS n_sources, coalesce(any_value(links), 0)::BIGINT AS links, coalesce(round(any_value(m), 6), 1) AS similarity, 'thematic_cluster' AS type FROM mb LEFT JOIN s USING (cluster) GROUP BY cluster"""
+
+
 @query("SELECT id, CASE WHEN grp < 5 THEN 'stored' ELSE 'computed' END AS origin, round(CASE WHEN grp < 5 THEN embedding[1] ELSE embedding[2] END::DOUBLE, 6) AS first FROM vectors", "vectors")
 def v4_merged_embeddings(t):
     """Stored embeddings with those computed for what lacks one: here, vectors of groups from five on, whose computed embedding begins with their second component."""
