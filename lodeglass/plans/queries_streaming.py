@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import time
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodeglass.functions.scoring import severity
 from lodeglass.operators import evidence
+from lodeglass.operators.storage import new_folder
 from lodeglass.sources.adapters import SEVERITY_SQL
 from lodeglass.streaming import jobs
 
@@ -29,21 +29,22 @@ def streamed(spark, folder: str, table: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(f"{folder}/{table}.parque[t]")  # a pattern, as the table may be one file or a folder of them
 
 
-def in_turn(*parts: DataFrame) -> DataFrame:
-    """A stream that gets each of the given rows in a batch of its own."""
-    spark, folder = parts[0].sparkSession, _folder(parts[0].sparkSession)
+def in_turns(parts: list[DataFrame], job: Callable[[DataFrame], DataFrame], keys: tuple[str, ...] = (), mode: str = "append") -> DataFrame:
+    """All that a job gives of a stream that gets each of the given parts, as files of all their tasks, when it has ended with those before; so it stops and begins again with its state between any two."""
+    spark = parts[0].sparkSession
+    folder = new_folder(spark, "stream")
     for part in parts:
-        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
-        time.sleep(0.05)  # a stream takes files by their times
-    return spark.readStream.schema(parts[0].schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        part.write.mode("append").parquet(f"{folder}/in")
+        found = finished(job(spark.readStream.schema(parts[0].schema).parquet(f"{folder}/in")), keys, mode, folder)
+    return found
 
 
 def query(sql: str, keys: tuple[str, ...] = (), mode: str = "complete", table: str | None = "events"):
     """Registers a function of a stream of events (or of spark and the tables' folder); of several results of the same keys the last counts."""
     def add(f):
         def run(spark, folder: str) -> DataFrame:
-            stream = f(events_of(streamed(spark, folder, table))) if table else f(spark, folder)
-            return finished(stream, keys, mode if keys else "append")
+            found = f(events_of(streamed(spark, folder, table))) if table else f(spark, folder)
+            return finished(found, keys, mode if keys else "append") if found.isStreaming else found
 
         run.__doc__ = f.__doc__
         QUERIES[f.__name__] = run
@@ -53,25 +54,27 @@ def query(sql: str, keys: tuple[str, ...] = (), mode: str = "complete", table: s
     return add
 
 
-def _folder(spark) -> str:
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
-    return f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
-def finished(stream: DataFrame, keys: tuple[str, ...], mode: str) -> DataFrame:
-    """All that a stream gives until its input ends, written to the shared folder and read again: of equal keys the last batch's row."""
-    spark, folder, written = stream.sparkSession, _folder(stream.sparkSession), []
+def finished(stream: DataFrame, keys: tuple[str, ...], mode: str, folder: str | None = None) -> DataFrame:
+    """All that a stream gives until its input ends, written to the shared folder and read again: of equal keys the last batch's row. In a folder that has been used before it goes on from there."""
+    spark = stream.sparkSession
+    folder = folder or new_folder(spark, "stream")
 
     def keep(batch: DataFrame, number: int) -> None:
-        written.append(number)
-        batch.write.mode("overwrite").parquet(f"{folder}/out" if mode == "complete" else f"{folder}/out/batch={number}")
-
-    stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
-    if not written:
+        batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        batch.sparkSession.range(1).write.mode("overwrite").parquet(f"{folder}/written/batch={number}")
+
+    with jobs.keyed_state(spark):
+        query = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/written")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return spark.createDataFrame([], stream.schema)
-    if mode != "update":
-        return spark.read.schema(stream.schema).parquet(f"{folder}/out").select(*stream.columns)
-    rows = spark.read.schema(f"{', '.join(f'{n} {t}' for n, t in stream.dtypes)}, batch int").parquet(f"{folder}/out")
+    rows = spark.read.schema(f"{', '.join(f'`{n}` {t}' for n, t in stream.dtypes)}, batch int").parquet(f"{folder}/out")
+    if mode == "append":
+        return rows.select(*stream.columns)
+    if mode == "complete":
+        last = spark.read.parquet(f"{folder}/written").agg(F.max("batch").cast("int").alias("batch"))
+        return rows.join(F.broadcast(last), "batch").select(*stream.columns)  # one row
     rest = [c for c in stream.columns if c not in keys]
     last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("x"))
     return last.select(*keys, "x.*").select(*stream.columns)
@@ -110,16 +113,15 @@ _LATE = "user_id % 7 = 0"
     f"""WITH b AS (SELECT *, ts::TIMESTAMP >= TIMESTAMP '2024-01-21' AS second, {_LATE} AND ts::TIMESTAMP < TIMESTAMP '2024-01-21' AS late FROM events),
 w AS (SELECT max(ts::TIMESTAMP) - INTERVAL 1 DAY AS mark FROM b WHERE ts::TIMESTAMP < TIMESTAMP '2024-01-19' AND NOT late)
 SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS start, round(avg(least(1.0::DOUBLE, value / 100)), 6) AS avg_score, count(*) AS total, count(*) FILTER (least(1.0::DOUBLE, value / 100) >= 0.8) AS critical FROM b WHERE NOT late OR date_trunc('day', ts::TIMESTAMP) + INTERVAL 1 DAY > (SELECT mark FROM w) GROUP BY 1""",
-    ("start",), "update", None,
+    table=None,
 )
 def x3_late_windows(spark, folder):
-    """Days of a stream of three batches in update mode: rows of the first twenty days that come with the last one are late, and count only where their day was still open after the first."""
+    """Days of a stream in update mode that ends and begins again: late rows of the first twenty days come with the second part, and count only where their day was still open after the first."""
     rows = spark.read.parquet(f"{folder}/events.parquet")
-    second = F.col("ts").cast("timestamp") >= "2024-01-21"
-    late = (F.col("user_id") % 7 == 0) & ~second
+    late = (F.col("user_id") % 7 == 0) & (F.col("ts").cast("timestamp") < "2024-01-21")
     early = F.col("ts").cast("timestamp") < "2024-01-19"
-    stream = in_turn(events_of(rows.filter(early & ~late)), events_of(rows.filter(~early & ~second & ~late)), events_of(rows.filter(second | late)))
-    return _shown(jobs.windows(stream, "1 day"))
+    parts = [events_of(rows.filter(early & ~late)), events_of(rows.filter(~early | late))]
+    return in_turns(parts, lambda stream: _shown(jobs.windows(stream, "1 day")), ("start",), "update")
 
 
 @query(f"""SELECT source, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n FROM (SELECT *, sum(fresh) OVER (PARTITION BY source ORDER BY ts) AS s FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY source ORDER BY ts) < CASE source WHEN 'click' THEN INTERVAL 1 HOUR WHEN 'view' THEN INTERVAL 30 MINUTE ELSE INTERVAL 2 HOUR END THEN 0 ELSE 1 END AS fresh FROM ({_ROWS}))) GROUP BY source, s""", ("source", "start"))
@@ -146,7 +148,7 @@ def x1_new_articles(spark, folder):
 
 def _x2_scored(spark, folder: str) -> DataFrame:
     """Articles of a stream triaged batch by batch, each written once, although the stream is run twice."""
-    out = _folder(spark)
+    out = new_folder(spark, "stream")
     rows = streamed(spark, folder, "documents").select(F.col("doc_id").alias("id"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("content"))
     for _ in range(2):
         jobs.append_scored(rows, lambda batch: evidence.triage(batch, ("arc", "nda"), ("em", "ation")).select("id", "skip"), f"{out}/scored", f"{out}/state").awaitTermination()
@@ -165,8 +167,8 @@ def x6_silences(spark, folder):
     rows = spark.read.parquet(f"{folder}/events.parquet").filter("user_id > 2")
     named = events_of(rows).select(F.concat(F.lit("u"), "user").alias("source"), "ts")
     clock = named.agg((F.max("ts") + F.expr("interval 3 days")).alias("ts")).select(F.lit("clock").alias("source"), "ts")
-    ends = [clock.withColumn("ts", F.col("ts") + F.make_interval(secs=F.lit(k / 1000))) for k in range(4)]
-    found = jobs.silences(in_turn(named, *ends), 1, expected={"u3": 0.5, "u4": 0.25, "u5": 2}).filter("source <> 'clock'")
+    expected = spark.createDataFrame([("u3", 0.5), ("u4", 0.25), ("u5", 2.0)], "source string, days double")
+    found = in_turns([named, clock], lambda stream: jobs.silences(stream, 1, expected=expected)).filter("source <> 'clock'")
     return found.select("source", "severity", F.date_format("last", "yyyy-MM-dd HH:mm:ss").alias("last"))
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
 from collections.abc import Callable, Iterator
+from datetime import UTC, datetime
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.query import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 
 def new_articles(articles: DataFrame, delay: str = "2 days") -> DataFrame:
@@ -39,24 +40,72 @@ def bursts(articles: DataFrame, gap: str = "14 days", delay: str = "1 day", gaps
     return articles.withWatermark("ts", delay).groupBy("source", F.session_window("ts", of).alias("w")).agg(F.count("*").alias("n")).select("source", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
-def silences(articles: DataFrame, days: float = 14, delay: str = "1 day", expected: dict[str, float] | None = None) -> DataFrame:
-    """Alerts for a source that has been silent for twice (medium) and for four times (high) the days expected of it, by event-time timers over its last publication."""
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        usual = int((expected or {}).get(key[0], days) * 86_400_000)
-        if state.hasTimedOut:
-            last, said = state.get
-            yield pd.DataFrame({"source": [key[0]], "last": [pd.Timestamp(last, unit="ms")], "severity": ["high" if said else "medium"]})
-            if said:
-                state.remove()
-                return
-            said = True
-        else:
-            last, said = max([int(b["ts"].max().timestamp() * 1000) for b in batches] + ([state.get[0]] if state.exists else [])), False
-        state.update((last, said))
-        state.setTimeoutTimestamp(max(last + (4 if said else 2) * usual, state.getCurrentWatermarkMs() + 1))
-
-    rows = articles.withWatermark("ts", delay).select("source", "ts")
-    return rows.groupBy("source").applyInPandasWithState(step, "source string, last timestamp, severity string", "last bigint, said boolean", "append", GroupStateTimeout.EventTimeTimeout)
+DAY_MS = 86_400_000
+
+
+class Silence(StatefulProcessor):
+    """A source's last publication and the days expected of it, with a timer for either alert."""
+
+    def __init__(self, days: float) -> None:
+        self.days = days
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "ms bigint")
+        self.usual = handle.getValueState("usual", "days double")
+
+    def _due(self, last: int) -> dict[int, str]:
+        days = self.usual.get()[0] if self.usual.exists() else self.days
+        return {last + int(2 * days * DAY_MS): "medium", last + int(4 * days * DAY_MS): "high"}
+
+    def handleInitialState(self, key: tuple, initialState: Row, timerValues: TimerValues) -> None:
+        self.usual.update((float(initialState.days),))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        newest = max(int(r.ts.replace(tzinfo=r.ts.tzinfo or UTC).timestamp() * 1000) for r in rows)
+        before = self.last.get()[0] if self.last.exists() else None
+        if before is None or newest > before:
+            for due in list(self.handle.listTimers()):
+                self.handle.deleteTimer(due)
+            self.last.update((newest,))
+            for due in self._due(newest):
+                self.handle.registerTimer(due)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        last, due = self.last.get()[0], expiredTimerInfo.getExpiryTimeInMs()
+        severity = self._due(last)[due]
+        if severity == "high":  # nothing more to say until the source publishes again
+            self.last.clear()
+        yield Row(source=key[0], last=datetime.fromtimestamp(last / 1000, UTC).replace(tzinfo=None), severity=severity)
+
+    def close(self) -> None:
+        pass
+
+
+@contextlib.contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Streams that are started inside keep their state in RocksDB, off the heap and as changes since the last batch, which timers need."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def silences(articles: DataFrame, days: float = 14, delay: str = "1 day", expected: DataFrame | None = None) -> DataFrame:
+    """Alerts for a source that has been silent for twice (medium) and for four times (high) the days expected of it: source, last publication, severity.
+
+    `expected` (source, days) is the state that sources begin with, and `days` holds for others. A source's newest
+    publication sets two timers of event time, in place of those before; late ones change nothing. Each fires once when
+    the watermark passes it, whether the source has rows in that batch or not, and state and timers outlive a restart. Rows
+    without a source or time are left out. Start the stream inside `keyed_state`.
+    """
+    rows = articles.withWatermark("ts", delay).select("source", "ts").filter("source is not null and ts is not null")
+    begin = None if expected is None else expected.select("source", F.col("days").cast("double").alias("days")).groupBy("source")
+    return rows.groupBy("source").transformWithState(Silence(float(days)), "source string, last timestamp, severity string", "append", "eventtime", begin)
 
 
 def with_groups(analyses: DataFrame, groups: DataFrame) -> DataFrame:

@@ -57,17 +57,37 @@ def test_bursts(streamed):
     assert sorted((r[0], r[3]) for r in got) == [("a", 1), ("a", 2), ("b", 1)]
 
 
-def test_silences(streamed):
-    build, finish = streamed
-    got = finish(jobs.silences(build("source string, ts timestamp", [("a", at(0)), ("b", at(0))], [("b", at(20)), ("z", at(35))], [("z", at(36))], [("z", at(37))])))
-    assert [(r[0], r[2]) for r in got if r[0] != "z"] == [("a", "medium")]
-
-
-def test_silences_of_four_times_a_sources_own_days(streamed):
-    build, finish = streamed
-    clock = [[("z", at(days))] for days in (60, 61, 62, 63)]
-    got = finish(jobs.silences(build("source string, ts timestamp", [("a", at(0)), ("b", at(50)), ("c", at(40))], *clock), 14, expected={"b": 1}))
-    assert sorted((r[0], r[2]) for r in got if r[0] != "z") == [("a", "high"), ("a", "medium"), ("b", "high"), ("b", "medium")]
+def in_turns(spark, tmp_path, job, *parts):
+    """The rows that a job gives of each of several lists of rows, stopped and started again in between."""
+    out = []
+    for rows in parts:
+        spark.createDataFrame(rows, "source string, ts timestamp").repartition(3).write.mode("append").parquet(str(tmp_path / "turns"))
+        got = []
+        with jobs.keyed_state(spark):
+            stream = job(spark.readStream.schema("source string, ts timestamp").parquet(str(tmp_path / "turns")))
+            query = stream.writeStream.foreachBatch(lambda batch, _, got=got: got.extend(batch.collect())).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        query.awaitTermination()
+        out.append(sorted((r.source, r["last"], r.severity) for r in got if r.source != "clock"))
+    return out
+
+
+def clock(days):
+    return [("clock", at(days))]
+
+
+def test_silences_of_twice_and_four_times_the_days(spark, tmp_path):
+    parts = [[("a", at(0)), ("b", at(0)), ("b", at(9)), (None, at(1))], [("b", at(20)), *clock(30)], clock(50), clock(58), clock(90)]
+    got = in_turns(spark, tmp_path, lambda s: jobs.silences(s, 14), *parts)
+    assert got == [[], [("a", at(0), "medium")], [("b", at(20), "medium")], [("a", at(0), "high")], [("b", at(20), "high")]]
+
+
+def test_silences_by_a_sources_own_days_and_each_alert_once(spark, tmp_path):
+    expected = spark.createDataFrame([("b", 1), ("never", 3)], "source string, days int")
+    parts = [[("a", at(0)), ("b", at(50)), ("c", at(40)), *clock(51)], clock(60), [("b", at(61)), ("b", at(10)), *clock(62)], clock(70), clock(80)]
+    got = in_turns(spark, tmp_path, lambda s: jobs.silences(s, 14, expected=expected), *parts)
+    assert [x for part in got for x in part if x[0] == "a"] == [("a", at(0), "medium"), ("a", at(0), "high")]
+    assert [x for part in got for x in part if x[0] == "b"] == [("b", at(50), "high"), ("b", at(50), "medium"), ("b", at(61), "high"), ("b", at(61), "medium")]
+    assert [x for part in got for x in part if x[0] == "c"] == [("c", at(40), "medium")]
 
 
 def test_bursts_by_a_sources_own_gap(streamed):
