@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,28 +24,17 @@ _BLURRED = re.compile(r"\s ")
 _RESULT = "n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, pairs array<bigint>, times array<int>"
 
 
-def token_groups(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[int]]:
-    """How many tokens of either side end with each group, in order.
+def token_groups(ends_a: list[int], ends_b: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """The indexes of the last tokens of each group on either side, in order.
 
     Two ascending arrays of byte ends that begin at 0 and end at the same place are cut at their common values by
-    diagonal runs: at the current shift between the indexes, stretches of 1, 2, 4, ... ends are compared at once, so that
-    one-to-one tokens are jumped over; a stretch that differs is halved down to its first differing end. There the
-    irregular group is resolved by stepping on the side that lags until both end together, which sets the next shift.
+    diagonal runs: an irregular group is resolved by stepping on the side that lags until both end together, which sets the
+    shift between the indexes. From there on, stretches of 1, 2, 4, ... ends at that shift are compared at once, so that
+    one-to-one tokens are jumped over; a stretch that differs is halved down to where it begins to. Only runs are noted,
+    by where they begin, their length and their shift.
     """
-    out_a, out_b, i, j, n = [], [], 0, 0, len(ends_a)
-    while True:
-        step, a, b = 1, i, j
-        while i < n and ends_a[i : i + step] == ends_b[j : j + step]:
-            i, j, step = i + step, j + step, 2 * step
-        i, j = min(i, n), min(j, len(ends_b))
-        while step > 1 and i < n:
-            step //= 2
-            if ends_a[i : i + step] == ends_b[j : j + step]:
-                i, j = min(i + step, n), min(j + step, len(ends_b))
-        out_a.extend(range(a + 1, i + 1))
-        out_b.extend(range(b + 1, j + 1))
-        if i >= n:
-            return out_a, out_b
+    begins, lengths, shifts, i, j, n = [], [], [], 0, 0, len(ends_a)
+    while i < n:
         x, y = ends_a[i], ends_b[j]
         while x != y:
             if x < y:
@@ -52,9 +43,19 @@ def token_groups(ends_a: list[int], ends_b: list[int]) -> tuple[list[int], list[
             else:
                 j += 1
                 y = ends_b[j]
-        i, j = i + 1, j + 1
-        out_a.append(i)
-        out_b.append(j)
+        begin, i, j, step = i, i + 1, j + 1, 1
+        while i < n and ends_a[i : i + step] == ends_b[j : j + step]:
+            i, j, step = i + step, j + step, 2 * step
+        while step > 1 and i < n:
+            step //= 2
+            if ends_a[i : i + step] == ends_b[j : j + step]:
+                i, j = i + step, j + step
+        begins.append(begin)
+        lengths.append(min(i, n) - begin)
+        shifts.append(j - i)
+    lengths = np.array(lengths, np.int64)
+    last_a = np.arange(lengths.sum()) + np.repeat(np.array(begins, np.int64) - lengths.cumsum() + lengths, lengths)
+    return last_a, last_a + np.repeat(np.array(shifts, np.int64), lengths)
 
 
 class PairEncoder(dict):
@@ -84,12 +85,13 @@ class PairEncoder(dict):
         self.most, self.old = most, {}
 
     def _encoded(self, pieces: list[str]) -> list[bytes]:
-        out = []
-        first = self.a.encode_batch_fast(pieces, add_special_tokens=False) if hasattr(self.a, "encode_batch_fast") else self.a.encode_batch(pieces, add_special_tokens=False)
-        for piece, a, b in zip(pieces, first, self.b.encode([p[1:] for p in pieces], num_threads=1), strict=True):
-            a, want = a.ids, piece.encode("utf-8", "replace")
-            good = b"".join(map(self.bytes_a.__getitem__, a)) == want == b"".join(map(self.bytes_b.__getitem__, b))
-            out.append(np.array([*a, *(x + _SECOND for x in b)] if good else [_FAILED], "<u4").tobytes())
+        """Of texts without their first space."""
+        out, lossless = [], self.a.normalizer is None  # bytes that no normaliser changes come back as they are
+        first = self.a.encode_batch_fast([f" {p}" for p in pieces], add_special_tokens=False)
+        for piece, a, b in zip(pieces, first, self.b.encode(pieces, num_threads=1), strict=True):
+            a, want = a.ids, f" {piece}".encode("utf-8", "replace")
+            good = b"".join(map(self.bytes_b.__getitem__, b)) == want and (lossless or b"".join(map(self.bytes_a.__getitem__, a)) == want)
+            out.append(array("I", a + [x + _SECOND for x in b] if good else [_FAILED]).tobytes())
         return out
 
     def __missing__(self, piece: str) -> bytes:
@@ -100,11 +102,10 @@ class PairEncoder(dict):
         return ids
 
     def _pieces(self, text: str) -> list[str]:
-        """A space and the text, cut."""
-        spaced = f" {text}"
+        """A space and the text, cut, each piece without its first space."""
         if self.whole:
-            return [spaced]
-        return [f" {p}" for p in text.split(" ")] if not _BLURRED.search(spaced) else _CUT.split(spaced)
+            return [text]
+        return text.split(" ") if not _BLURRED.search(f" {text}") else [p[1:] for p in _CUT.split(f" {text}")]
 
     def __call__(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
         """Ids of either vocabulary for each text; None where a text is empty or either's bytes differ from a space and the text."""
@@ -112,12 +113,12 @@ class PairEncoder(dict):
             self.old = dict(self)
             self.clear()
         cut = [self._pieces(t) for t in texts]
-        new = [p for p in {p for pieces in cut for p in pieces if len(p) <= 64} if p not in self and p not in self.old]
+        new = [p for p in set().union(*cut) if len(p) <= 64 and p not in self and p not in self.old]
         self.update(zip(new, self._encoded(new), strict=True))
         for text, pieces in zip(texts, cut, strict=True):
             ids = np.frombuffer(b"".join(map(self.__getitem__, pieces)), "<u4") if text else np.zeros(0, "<u4")
             if len(pieces) > 1 and (ids == _FAILED).any():
-                ids = np.frombuffer(self._encoded([f" {text}"])[0], "<u4")
+                ids = np.frombuffer(self._encoded([text])[0], "<u4")
             second = ids >= _SECOND
             yield (ids[~second].astype(np.int64), ids[second].astype(np.int64) - _SECOND) if len(ids) and not (ids == _FAILED).any() else None
 
@@ -140,6 +141,13 @@ class _Written:
         return "".join(map(self.parts.__getitem__, out.tolist()))[:-1].encode()
 
 
+@lru_cache(maxsize=1)
+def _held(path_a: str, path_b: str) -> tuple[PairEncoder, _Written]:
+    """What a worker process keeps from task to task."""
+    encode = PairEncoder(path_a, path_b)
+    return encode, _Written(len(encode.bytes_a), len(encode.bytes_b))
+
+
 def _aligner(path_a: str, path_b: str):
     """Groups and links of texts, and how often each linked pair of ids (a << 20 | b) occurs in them.
 
@@ -150,14 +158,12 @@ def _aligner(path_a: str, path_b: str):
 
     @arrow_udf(_RESULT)
     def align(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encode = PairEncoder(path_a, path_b)
-        written = _Written(len(encode.bytes_a), len(encode.bytes_b))
+        encode, written = _held(path_a, path_b)
         for batch in batches:
-            texts, out = [t or "" for t in batch.to_pylist()], []
+            texts = [t or "" for t in batch.to_pylist()]
             for low, high in portions(texts):
-                out += [_row(encode, written, ids) for ids in encode(texts[low:high])]
-            columns = zip(*out, strict=True) if out else [[]] * len(fields)
-            yield pa.StructArray.from_arrays([pa.array(list(c), kind) for c, (_, kind) in zip(columns, fields, strict=True)], names=[f for f, _ in fields])
+                columns = zip(*(_row(encode, written, ids) for ids in encode(texts[low:high])), strict=True)
+                yield pa.StructArray.from_arrays([pa.array(list(c), kind) for c, (_, kind) in zip(columns, fields, strict=True)], names=[f for f, _ in fields])
 
     return align
 
@@ -179,7 +185,6 @@ def _row(encode: PairEncoder, written: _Written, ids) -> tuple:
         return 0, 0, 0, 0, "", [], []
     a, b = ids
     last_a, last_b = token_groups(encode.sizes_a[a].cumsum().tolist(), encode.sizes_b[b].cumsum().tolist())
-    last_a, last_b = np.array(last_a) - 1, np.array(last_b) - 1
     pairs, times = np.unique(a[last_a] << 20 | b[last_b], return_counts=True)
     digest = hashlib.sha256(written(a, b, last_a, last_b)).hexdigest()
     return len(a), len(b), len(last_a), len(last_a), digest, pairs, times.astype(np.int32)
