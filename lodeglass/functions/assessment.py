@@ -41,18 +41,26 @@ def claim_types(text: Column, has_benchmark: Column) -> Column:
     return F.filter(F.array(*found), lambda t: t.isNotNull())
 
 
-def ladder(content: Column, corroboration: Column, has_delta: Column) -> Column:
-    """How far a claim has come, from mentioned to sustained in deployment."""
-    out = F.when(content.rlike("(?i)sustained|in production|deployed across|enterprise rollout"), "sustained_in_deployment").when(corroboration == "replicated", "replicated")
+def ladder_words(content: Column) -> Column:
+    """A struct of whether a text speaks of lasting use, of something shown, and of something said."""
+    return F.struct(
+        content.rlike("(?i)sustained|in production|deployed across|enterprise rollout").alias("lasting"),
+        content.rlike("(?i)demo|demonstrat|paper|code|open[- ]source|verified").alias("shown"), content.rlike("(?i)claim|announce|report|says|states").alias("said"),
+    )
+
+
+def ladder(content: Column, corroboration: Column, has_delta: Column, words: Column | None = None) -> Column:
+    """How far a claim has come, from mentioned to sustained in deployment; `words` are the content's ladder_words where a column holds them already."""
+    words = ladder_words(content) if words is None else words
+    out = F.when(words["lasting"], "sustained_in_deployment").when(corroboration == "replicated", "replicated")
     out = out.when(corroboration.isin("independent_source", "primary_source"), "independently_corroborated")
-    out = out.when(has_delta | content.rlike("(?i)demo|demonstrat|paper|code|open[- ]source|verified"), "demonstrated")
-    return out.when(content.rlike("(?i)claim|announce|report|says|states"), "claimed").otherwise("mentioned")
+    return out.when(has_delta | words["shown"], "demonstrated").when(words["said"], "claimed").otherwise("mentioned")
 
 
-def assess(text: Column, content: Column, model: Column, heuristic: Column, boost: Column, status: Column, corroboration: Column, has_benchmark: Column, has_delta: Column, types: Column | None = None) -> Column:
+def assess(text: Column, content: Column, model: Column, heuristic: Column, boost: Column, status: Column, corroboration: Column, has_benchmark: Column, has_delta: Column, types: Column | None = None, words: Column | None = None) -> Column:
     """A struct of priority, confidence, claim types, ladder, status of the strongest claim, reason of doubt, checks that are missing, and the evidence vector.
 
-    The kinds of claims are used many times; where a column of the table holds them already, `types` names it.
+    The kinds of claims are used many times; where a column of the table holds them already, `types` names it, and `words` one of the content's ladder_words.
     """
     types = claim_types(text, has_benchmark) if types is None else types
     has = lambda k: F.array_contains(types, k)
@@ -69,7 +77,7 @@ def assess(text: Column, content: Column, model: Column, heuristic: Column, boos
     confidence = band(base, [(0.85, "extraordinary"), (0.65, "strong"), (0.4, "moderate"), (0.0, "weak")], "none", strict=0.0)
     return F.struct(
         band(watch, [(0.75, "critical"), (0.5, "high"), (0.25, "medium")], "low").alias("priority"), confidence.alias("confidence"), F.when(F.size(types) > 0, types).otherwise(F.array(F.lit("benchmark"))).alias("types"),
-        ladder(content, corroboration, has_delta).alias("ladder"), asi.alias("asi"), doubt.alias("doubt"), F.filter(missing, lambda x: x.isNotNull()).alias("missing"), vector.alias("vector"), status.alias("status"), corroboration.alias("corroboration"),
+        ladder(content, corroboration, has_delta, words).alias("ladder"), asi.alias("asi"), doubt.alias("doubt"), F.filter(missing, lambda x: x.isNotNull()).alias("missing"), vector.alias("vector"), status.alias("status"), corroboration.alias("corroboration"),
     )
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeglass.functions import lexicons, text
@@ -46,33 +46,73 @@ def delta_plain(c: Column) -> Column:
     return F.coalesce(*(_number(c, rf"(?i){g}\s+{NUMBER}") for g in GAINS), _number(c, rf"(?i)delta\s+{NUMBER}"))
 
 
+def with_snippets(rows: DataFrame, column: str, keywords=lexicons.EVIDENCE, benchmarks=tuple(lexicons.BENCHMARKS), most: int = 6, wanted: Column | None = None) -> DataFrame:
+    """The rows (content, ...) with an array of structs of their content's best sentences of 20 to 300 characters: pos, snippet, score, tags.
+
+    Of equal sentences, whatever their case, the first counts, and ties go to the earlier. All is done inside the row, and
+    nothing is shuffled: terms are searched in the whole content first, in compiled code, and only those that occur there
+    in its sentences. Equal sentences have equal scores, so in order of score and place the first `most` different ones are
+    the best. Where `wanted` is false the array is empty, at no cost.
+    """
+    own = flat, terms, scored = [f"{column}_{x}" for x in ("flat", "terms", "all")]
+    wanted = F.lit(True) if wanted is None else wanted
+    rows = rows.withColumn(flat, F.when(wanted, text.collapsed(F.col("content"))))
+    rows = rows.withColumn(terms, text.terms_in(F.lower(F.col(flat)), (*keywords, *benchmarks)))
+    some = (F.size(terms) > 0) | F.col(flat).rlike(r"[\d%]")
+    parts = F.filter(F.split(F.col(flat), r"(?<=[.!?。！？；])\s+"), lambda s: s != "")
+    placed = F.filter(F.transform(parts, lambda s, i: F.struct(i.alias("pos"), s.alias("snippet"))), lambda x: F.length(x["snippet"]).between(20, 300))
+    lowered = F.transform(placed, lambda x: F.struct(x["pos"].alias("pos"), x["snippet"].alias("snippet"), F.lower(x["snippet"]).alias("low")))
+    found = F.transform(lowered, lambda x: F.struct(
+        x["pos"].alias("pos"), x["snippet"].alias("snippet"), x["low"].alias("low"), F.filter(F.col(terms), lambda t: F.contains(x["low"], t)).alias("terms"),
+        x["low"].rlike(r"\d").alias("numbers"), F.contains(x["low"], F.lit("%")).alias("percent"),
+    ))
+    weigh = lambda x: 2 * F.size(x["terms"]) + F.when(x["numbers"], 2).otherwise(0) + F.when(x["percent"], 1).otherwise(0)
+    more = lambda x: F.array_compact(F.array(F.when(x["numbers"], F.lit("numbers")), F.when(x["percent"], F.lit("percent"))))
+    ranked = F.transform(found, lambda x: F.struct((-weigh(x)).alias("less"), x["pos"].alias("pos"), x["snippet"].alias("snippet"), x["low"].alias("low"), F.array_distinct(F.concat(x["terms"], more(x))).alias("tags")))
+    kind = "array<struct<less: int, pos: int, snippet: string, low: string, tags: array<string>>>"
+    rows = rows.withColumn(scored, F.when(some, F.array_sort(F.filter(ranked, lambda x: x["less"] < 0))).otherwise(F.array().cast(kind)))
+    first = F.aggregate(scored, F.array().cast(kind), lambda got, x: F.when((F.size(got) < most) & ~F.exists(got, lambda y: y["low"] == x["low"]), F.concat(got, F.array(x))).otherwise(got))
+    shown = F.transform(first, lambda x: F.struct(x["pos"].alias("pos"), x["snippet"].alias("snippet"), (-x["less"]).alias("score"), x["tags"].alias("tags")))
+    return rows.withColumn(column, F.coalesce(shown, F.array().cast("array<struct<pos: int, snippet: string, score: int, tags: array<string>>>"))).drop(*own)
+
+
 def snippets(articles: DataFrame, keywords=lexicons.EVIDENCE, benchmarks=tuple(lexicons.BENCHMARKS), most: int = 6) -> DataFrame:
-    """id, rank, pos, snippet, score, tags: an article's best sentences of 20 to 300 characters; of equal ones the first counts, ties go to the earlier."""
-    rows = sentence_rows(articles).filter(F.length("sentence").between(20, 300)).withColumn("low", F.lower("sentence"))
-    low = F.col("low")
-    rows = rows.withColumns({"terms": text.terms_in(low, (*keywords, *benchmarks)), "numbers": low.rlike(r"\d"), "percent": F.contains(low, F.lit("%"))})
-    score = 2 * F.size("terms") + F.when(F.col("numbers"), 2).otherwise(0) + F.when(F.col("percent"), 1).otherwise(0)
-    more = F.array_compact(F.array(F.when(F.col("numbers"), F.lit("numbers")), F.when(F.col("percent"), F.lit("percent"))))
-    rows = rows.select("id", "pos", F.col("sentence").alias("snippet"), "low", score.alias("score"), "terms", more.alias("more")).filter("score > 0")
-    # one shuffle by article serves both windows
-    once = rows.repartition("id").withColumn("nth", F.row_number().over(Window.partitionBy("id", "low").orderBy("pos"))).filter("nth = 1")
-    best = once.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("score"), "pos"))).filter(F.col("rank") <= most)
-    return best.select("id", "pos", "snippet", "score", F.array_distinct(F.concat("terms", "more")).alias("tags"), "rank")
+    """id, rank, pos, snippet, score, tags: an article's best sentences, a row each, without a shuffle; see with_snippets."""
+    rows = with_snippets(articles.select("id", "content"), "best", keywords, benchmarks, most)
+    # an outer one, as from others Spark infers a filter that works out all snippets again under the projections
+    best = rows.select("id", F.posexplode_outer("best").alias("place", "x")).filter("x is not null")
+    return best.select("id", "x.pos", "x.snippet", "x.score", "x.tags", (F.col("place") + 1).alias("rank"))
 
 
-def claims(found: DataFrame, benchmarks=lexicons.BENCHMARKS, metrics=lexicons.METRICS, most: int = 4) -> DataFrame:
-    """The first snippets of an article as claims: benchmark, metric, value, delta, unit, numbers, tags."""
-    s = F.col("snippet")
+def claim(s: Column, tags: Column, benchmarks=lexicons.BENCHMARKS, metrics=lexicons.METRICS) -> Column:
+    """A struct of what a sentence claims: claim, tags, numbers, benchmark, metric, value, delta, unit."""
     percent, plain = _number(s, NUMBER + r"\s*%"), _number(s, NUMBER)
     dp, da = delta_percent(s), delta_plain(s)
     unit = F.when(dp.isNotNull(), "%").when(percent.isNotNull(), "%")
     numbers = F.transform(F.regexp_extract_all(s, F.lit(NUMBER), F.lit(1)), lambda x: x.try_cast("double"))
-    return found.filter(F.col("rank") <= most).select(
-        "id", "rank", s.alias("claim"), "tags", numbers.alias("numbers"), text.first_term(s, benchmarks).alias("benchmark"), text.first_term(s, {m: m for m in metrics}).alias("metric"),
+    return F.struct(
+        s.alias("claim"), tags.alias("tags"), numbers.alias("numbers"), text.first_term(s, benchmarks).alias("benchmark"), text.first_term(s, {m: m for m in metrics}).alias("metric"),
         F.coalesce(percent, plain).alias("value"), F.coalesce(dp, da).alias("delta"), unit.alias("unit"),
     )
 
 
+def claims(found: DataFrame, benchmarks=lexicons.BENCHMARKS, metrics=lexicons.METRICS, most: int = 4) -> DataFrame:
+    """The first snippets of an article as claims: benchmark, metric, value, delta, unit, numbers, tags."""
+    made = found.filter(F.col("rank") <= most).select("id", "rank", claim(F.col("snippet"), F.col("tags"), benchmarks, metrics).alias("c"))
+    return made.select("id", "rank", "c.claim", "c.tags", "c.numbers", "c.benchmark", "c.metric", "c.value", "c.delta", "c.unit")
+
+
+def has_gain(c: Column) -> Column:
+    """Whether a claim has a benchmark and a delta."""
+    return c["benchmark"].isNotNull() & (c["benchmark"] != "") & c["delta"].isNotNull() & ~F.isnan(c["delta"])
+
+
+def heuristic(made: Column, snippets: Column, most: float = 0.4) -> Column:
+    """The heuristic score of an array of claims, with a bonus for three snippets (their number) or more; 0 without a claim."""
+    points = F.aggregate(made, F.lit(0.0), lambda p, c: p + claim_points(c["benchmark"], c["value"], c["delta"], c["tags"]))
+    return F.when(F.size(made) > 0, F.round(clamp(points + F.when(snippets >= 3, 0.03).otherwise(0.0), 0.0, most), 6)).otherwise(0.0)
+
+
 def bundles(found: DataFrame, made: DataFrame) -> DataFrame:
     """id, snippets[], claims[] in order of rank."""
     listed = found.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "snippet"))), lambda x: x["snippet"]).alias("snippets"))
@@ -95,18 +135,36 @@ def heuristic_scores(made: DataFrame, counts: DataFrame | None = None, most: flo
     return out.select("id", F.round(clamp(F.col("p"), 0.0, most), 6).alias("heuristic"), "has_delta")
 
 
-def signals(made: DataFrame) -> DataFrame:
-    """name, value, detail of each part that a claim (id, benchmark, value, delta, tags) adds to its article's score; parts of nothing are left out."""
-    arc = F.col("benchmark").isin("ARC", "ARC-AGI", "ARC-AGI-2")
-    said = lambda name, value, detail: F.struct(F.lit(name).alias("name"), value.otherwise(0.0).alias("value"), detail.cast("string").alias("detail"))
+def _said(name: str, value: Column, detail: Column) -> Column:
+    return F.struct(F.lit(name).alias("name"), F.coalesce(value, F.lit(0.0)).alias("value"), detail.cast("string").alias("detail"))
+
+
+def signal_parts(c: Column) -> Column:
+    """An array of name, value and detail of each part that a claim adds to its article's score; parts of nothing are left out."""
+    arc, delta, value = c["benchmark"].isin("ARC", "ARC-AGI", "ARC-AGI-2"), c["delta"], c["value"]
     parts = F.array(
-        said("benchmark", F.when(F.col("benchmark") != "", 0.03), F.col("benchmark")),
-        said("benchmark_value", F.when(arc & (F.col("value") >= 25), 0.15).when(arc & (F.col("value") >= 10), 0.1), F.col("value")),
-        said("benchmark_delta", F.when(F.col("delta") >= 10, 0.1).when(F.col("delta") >= 5, 0.05), F.col("delta")),
-        said("human_level", F.when(F.array_contains("tags", "human-level"), 0.06), F.lit("human-level")),
-        said("generalization", F.when(F.array_contains("tags", "generalization"), 0.04), F.lit("generalization")),
+        _said("benchmark", F.when(c["benchmark"] != "", 0.03), c["benchmark"]),
+        _said("benchmark_value", F.when(arc & (value >= 25), 0.15).when(arc & (value >= 10), 0.1), value),
+        _said("benchmark_delta", F.when(delta >= 10, 0.1).when(delta >= 5, 0.05), delta),
+        _said("human_level", F.when(F.array_contains(c["tags"], "human-level"), 0.06), F.lit("human-level")),
+        _said("generalization", F.when(F.array_contains(c["tags"], "generalization"), 0.04), F.lit("generalization")),
     )
-    return made.select("id", F.inline(F.filter(parts, lambda p: p["value"] != 0)))
+    return F.filter(parts, lambda p: p["value"] != 0)
+
+
+def article_signals(made: Column, snippets: Column, boost: Column, critical: Column, penalty: Column) -> Column:
+    """All signals of an article: those of its claims in order, that of three snippets or more, that of secrecy and that of a lack of corroboration."""
+    own = F.array(
+        _said("multiple_evidence", F.when((F.size(made) > 0) & (snippets >= 3), 0.03), snippets),
+        _said("secrecy", boost, F.when(critical, "critical").otherwise("high")),
+        _said("corroboration_penalty", -penalty, F.lit("no corroboration")),
+    )
+    return F.concat(F.flatten(F.transform(made, signal_parts)), F.filter(own, lambda p: p["value"] != 0))
+
+
+def signals(made: DataFrame) -> DataFrame:
+    """name, value, detail of each part that a claim (id, benchmark, value, delta, tags) adds to its article's score."""
+    return made.select("id", F.inline(signal_parts(F.struct("benchmark", "value", "delta", "tags"))))
 
 
 def claims_on_load(articles: DataFrame, stored: DataFrame, known: DataFrame, keywords=lexicons.EVIDENCE, benchmarks=lexicons.BENCHMARKS, metrics=lexicons.METRICS) -> DataFrame:

@@ -73,8 +73,10 @@ def _folder(spark) -> str:
 
 
 def first_strategy(candidates: DataFrame) -> DataFrame:
-    """The candidates of each source's first strategy that has any."""
-    return candidates.withColumn("_m", F.min("strategy_rank").over(Window.partitionBy("source"))).filter("strategy_rank = _m").drop("_m")
+    """The candidates of each source's first strategy that has any: a grouped minimum joined back, so a source of many candidates is not sorted in one task."""
+    first = candidates.groupBy("source").agg(F.min("strategy_rank").alias("_m"))
+    kept = candidates.join(first.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")) & (F.col("strategy_rank") == F.col("_m")))
+    return kept.select(*candidates.columns)
 
 
 def corroborated(references: DataFrame, articles: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeglass.functions import lexicons, text
@@ -20,14 +20,20 @@ def context(content: Column, term: Column, reach: int = 50) -> Column:
     return F.when(at > 0, F.concat(F.lit("..."), F.substring(content, first, at + F.length(term) + reach - first), F.lit("...")))
 
 
-def hits(articles: DataFrame, secrecy=lexicons.SECRECY, caution=lexicons.CAUTION, government=lexicons.GOVERNMENT) -> DataFrame:
-    """id, type, term, severity, confidence and evidence of every term of three lists in an article; the lists are arrays, so nothing is joined."""
+def hit_array(low: Column, secrecy=lexicons.SECRECY, caution=lexicons.CAUTION, government=lexicons.GOVERNMENT) -> Column:
+    """An array of type, term, severity and confidence of every term of three lists in a content that is in lower case, in list order."""
     def found(terms, kind, severity, confidence) -> Column:
         hit = lambda t: F.struct(F.lit(kind).alias("type"), t.alias("term"), severity(t).alias("severity"), F.lit(confidence).alias("confidence"))
-        return F.transform(text.terms_in(F.col("low"), terms), hit)
+        return F.transform(text.terms_in(low, terms), hit)
 
     parts = (found(secrecy, "silence", term_severity, 0.7), found(caution, "safety_meeting", lambda t: F.lit("medium"), 0.5), found(government, "government", lambda t: F.lit("high"), 0.8))
-    rows = articles.select("id", "content", F.lower("content").alias("low")).select("id", "content", F.explode(F.concat(*parts)).alias("hit")).select("id", "content", "hit.*")
+    return F.concat(*parts)
+
+
+def hits(articles: DataFrame, secrecy=lexicons.SECRECY, caution=lexicons.CAUTION, government=lexicons.GOVERNMENT) -> DataFrame:
+    """id, type, term, severity, confidence and evidence of every term of three lists in an article; the lists are arrays, so nothing is joined."""
+    rows = articles.select("id", "content", F.lower("content").alias("low"))
+    rows = rows.select("id", "content", F.explode(hit_array(F.col("low"), secrecy, caution, government)).alias("hit")).select("id", "content", "hit.*")
     return rows.withColumn("evidence", context(F.col("content"), F.col("term"))).drop("content")
 
 
@@ -45,10 +51,15 @@ def publication_gaps(articles: DataFrame, as_of: Column, expected: dict[str, int
     return rows.withColumns({"anomalous": F.col("gap_days") > 2 * F.col("expected_days"), "severity": F.when(F.col("gap_days") > 4 * F.col("expected_days"), "high").when(F.col("gap_days") > 2 * F.col("expected_days"), "medium")})
 
 
-def removals(before: DataFrame, after: DataFrame) -> DataFrame:
-    """source, removed, total, rate, severity where more than a tenth of the titles before are gone after; and up to five of them."""
+def removals(before: DataFrame, after: DataFrame, shown: int = 5) -> DataFrame:
+    """source, removed, total, rate, severity where more than a tenth of the titles before are gone after; and the first `shown` of them, in order.
+
+    Titles are cut to the first of each source in each task before they are brought together, so a source of any number of them is no group held at once.
+    """
     gone = before.join(after.select("source", "title").distinct(), ["source", "title"], "left_anti")
-    counts = before.groupBy("source").agg(F.count("*").alias("total")).join(gone.groupBy("source").agg(F.count("*").alias("removed"), F.slice(F.array_sort(F.collect_set("title")), 1, 5).alias("titles")), "source")
+    place = F.row_number().over(Window.partitionBy("source").orderBy("title"))
+    first = gone.select("source", "title").distinct().withColumn("place", place).filter(F.col("place") <= shown).groupBy("source").agg(F.array_sort(F.collect_list("title")).alias("titles"))
+    counts = before.groupBy("source").agg(F.count("*").alias("total")).join(gone.groupBy("source").agg(F.count("*").alias("removed")), "source").join(first, "source", "left")
     rate = F.col("removed") / F.col("total")
     severity = F.when(rate > 0.3, "critical").when(rate > 0.2, "high").when(rate > 0.1, "medium")
     return counts.select("source", "removed", "total", rate.alias("rate"), severity.alias("severity"), "titles").filter("severity is not null")
@@ -73,12 +84,21 @@ def boosts(indicators: DataFrame) -> DataFrame:
 DESCRIPTIONS = {"silence": 'Secrecy-related language detected: "%s"', "safety_meeting": 'Unusual caution detected: "%s"', "government": 'Government involvement detected: "%s"', "departure": "Senior AI researcher departure detected"}
 
 
+def _description(kind: Column, term: Column) -> Column:
+    out = kind
+    for name, shape in DESCRIPTIONS.items():
+        out = F.when(kind == name, F.format_string(shape, term) if "%s" in shape else F.lit(shape)).otherwise(out)
+    return out
+
+
 def described(indicators: DataFrame) -> DataFrame:
     """Indicators (type, term, ...) with a description."""
-    out = F.col("type")
-    for kind, shape in DESCRIPTIONS.items():
-        out = F.when(F.col("type") == kind, F.format_string(shape, "term") if "%s" in shape else F.lit(shape)).otherwise(out)
-    return indicators.withColumn("description", out)
+    return indicators.withColumn("description", _description(F.col("type"), F.col("term")))
+
+
+def described_array(indicators: Column) -> Column:
+    """The descriptions of an array of indicators."""
+    return F.transform(indicators, lambda i: _description(i["type"], i["term"]))
 
 
 def merged_indicators(analyses: DataFrame, indicators: DataFrame) -> DataFrame:

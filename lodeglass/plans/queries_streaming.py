@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from lodeglass.functions.scoring import severity
 from lodeglass.operators import evidence
 from lodeglass.operators.storage import new_folder
+from lodeglass.plans import article_scoring, queries_text
+from lodeglass.plans.queries_text import CAPABILITY, MARKS, METRICS, NOISE, SECRET
 from lodeglass.sources.adapters import SEVERITY_SQL
 from lodeglass.streaming import jobs
 
@@ -160,6 +162,24 @@ ORACLE_SQL["x2_scored"] = """SELECT doc_id AS id, NOT (contains(t, 'arc') OR con
 FROM (SELECT doc_id, lower(split_part(text, chr(10), 1) || ' ' || text) AS t, len(list_filter(string_split_regex(text, '\\s+'), lambda w: w <> '')) AS n FROM documents)"""
 
 
+def _x2_analyses(spark, folder: str) -> DataFrame:
+    """Articles of a stream scored by the whole plan, batch by batch, each written once, although the stream is run twice."""
+    out = new_folder(spark, "stream")
+    rows = streamed(spark, folder, "documents").select(F.col("doc_id").alias("id"), "source", F.substring(F.substring_index("text", "\n", 1), 1, 80).alias("title"), F.col("text").alias("content"))
+
+    def score(batch: DataFrame) -> DataFrame:
+        models = batch.select("id", ((F.col("id") % 101) / 100).alias("model_score"), F.lit(0.5).alias("confidence"))
+        return article_scoring.scored(batch, models, CAPABILITY, NOISE, MARKS, METRICS, SECRET)
+
+    for _ in range(2):
+        jobs.append_scored(rows, score, f"{out}/scored", f"{out}/state").awaitTermination()
+    return spark.read.parquet(f"{out}/scored").select("id", "filtered", "score", "confidence", "severity")
+
+
+QUERIES["x2_analyses"] = _x2_analyses
+ORACLE_SQL["x2_analyses"] = queries_text.ORACLE_SQL["p13_article_scoring"]
+
+
 @query("""WITH u AS (SELECT 'u' || user_id AS source, max(ts::TIMESTAMP) AS last, CASE user_id WHEN 3 THEN 12 WHEN 4 THEN 6 WHEN 5 THEN 48 ELSE 24 END AS hours FROM events WHERE user_id > 2 GROUP BY user_id), m AS (SELECT max(last) + INTERVAL 3 DAY - INTERVAL 1 DAY AS mark FROM u)
 SELECT source, severity, strftime(last, '%Y-%m-%d %H:%M:%S') AS last FROM u, (SELECT unnest(['medium', 'high']) AS severity, unnest([2, 4]) AS times), m WHERE epoch_ms(last) + times * hours * 3600000 <= epoch_ms(mark)""", table=None)
 def x6_silences(spark, folder):

@@ -216,9 +216,7 @@ CASE WHEN contains(lower(s), 'em') THEN 'em' WHEN contains(lower(s), 'tion') THE
 @query("SELECT 1", "articles")
 def e4_e8_claims(t):
     """Claims with benchmark, metric, value, delta and unit of the best four sentences of each article; to every second article, a sentence of gains is added."""
-    gains = F.array(*map(F.lit, GAIN_SENTENCES))[(F.floor(F.col("id") / 2) % len(GAIN_SENTENCES)).cast("int")]
-    said = t.articles().withColumn("content", F.when(F.col("id") % 2 == 0, F.concat("content", F.lit("\n. "), gains)).otherwise(F.col("content")))
-    made = evidence.claims(evidence.snippets(said, benchmarks=tuple(MARKS)), MARKS, METRICS)
+    made = evidence.claims(evidence.snippets(_with_gains(t), benchmarks=tuple(MARKS)), MARKS, METRICS)
     numbers = F.transform("numbers", lambda x: F.format_string("%.3f", x))
     return made.select("id", "rank", "benchmark", "metric", "value", "delta", "unit", F.array_join(numbers, ",").alias("numbers"))
 
@@ -379,6 +377,79 @@ aa AS (SELECT tr.id, skip, (tr.id % 101) / 100.0::DOUBLE AS m, h, b FROM tr LEFT
 SELECT id, skip AS filtered, CASE WHEN skip THEN 0.05 ELSE {_P13} END AS score, CASE WHEN skip THEN 0.9 ELSE 0.5 END::DOUBLE AS confidence, CASE WHEN skip THEN 'low' WHEN {_P13} >= 0.6 THEN 'high' WHEN {_P13} >= 0.3 THEN 'medium' WHEN {_P13} > 0 THEN 'low' ELSE 'none' END AS severity FROM aa"""
 )
 
+def _replies(t):
+    """A model's replies made from ids: a score, its own severity, indicators, and references of which a third name a known source."""
+    i = F.col("id")
+    refs = F.when(i % 3 == 0, F.array(F.concat(F.lit("SRC"), i % 30), F.lit("nobody"))).when(i % 3 == 1, F.array(F.lit("nobody"))).otherwise(F.array().cast("array<string>"))
+    return t.articles().select("id", ((i % 101) / 100).alias("model_score"), ((i % 10) / 10).alias("confidence"), F.when(i % 7 == 0, "high").when(i % 7 == 1, "medium").alias("severity"), F.array_repeat(F.lit("x"), (i % 4).cast("int")).alias("indicators"), refs.alias("refs"))
+
+
+def _with_gains(t):
+    """The articles, every second with a sentence of gains added."""
+    gains = F.array(*map(F.lit, GAIN_SENTENCES))[(F.floor(F.col("id") / 2) % len(GAIN_SENTENCES)).cast("int")]
+    return t.articles().withColumn("content", F.when(F.col("id") % 2 == 0, F.concat("content", F.lit("\n. "), gains)).otherwise(F.col("content")))
+
+
+#: Terms of caution and of government that occur in the test tables.
+CAUTIOUS, STATE = ("erth", "onth"), ("arc",)
+
+
+def _analysed(t):
+    terms = article_scoring.Terms(CAPABILITY, NOISE, benchmarks=tuple(MARKS.items()), metrics=METRICS, secrecy=SECRET, caution=CAUTIOUS, government=STATE, leaving=("nda",), senior=("thand",))
+    return article_scoring.analysed(_with_gains(t), _replies(t), terms)
+
+
+@query("SELECT 1", "articles")
+def p13_analyses(t):
+    """The analyses of the whole plan: replies, claims, signs of secrecy, corroboration, prior severities and assessments."""
+    a = article_scoring.analyses(_analysed(t))
+    return a.select(
+        "id", "filtered", "score", "confidence", "severity", "heuristic", F.size("indicators").cast("bigint").alias("indicators"), "requires_verification", F.array_join(F.transform("signals", lambda s: s["name"]), ",").alias("signals"),
+        F.col("assessment.priority").alias("priority"), F.col("assessment.ladder").alias("ladder"), F.array_join("assessment.types", ",").alias("types"),
+    )
+
+
+@query("SELECT 1", "articles")
+def p13_metric_rows(t):
+    """The metric rows of the whole plan."""
+    return article_scoring.metric_rows(_analysed(t)).withColumn("value", F.round("value", 6))
+
+
+@query("SELECT 1", "articles")
+def p13_secrecy_rows(t):
+    """The secrecy rows of the whole plan."""
+    return article_scoring.secrecy_rows(_analysed(t)).withColumn("evidence", F.sha2("evidence", 256))
+
+
+_FULL = (
+    _SAID
+    + f""", tr AS (SELECT *, NOT capable AND (words < 120 OR noisy) AS skip FROM (SELECT *, len({_in(_TEXT, CAPABILITY)}) > 0 AS capable, len({_in(_TEXT, NOISE)}) > 0 AS noisy, len(list_filter(string_split_regex(content, '\\s+'), lambda w: w <> '')) AS words FROM articles)),
+{_SENTENCES}, {_CLAIMS},
+c2 AS (SELECT cl.*, coalesce(pct, plain) AS v, coalesce(dpct, dplain) AS d FROM cl JOIN tr USING (id) WHERE NOT skip),
+ns AS (SELECT id, count(*) AS snippets FROM sn GROUP BY id),
+hh AS (SELECT id, round(least(0.4, sum(CASE WHEN benchmark IS NOT NULL THEN 0.03 ELSE 0 END + CASE WHEN benchmark = 'ARC' AND v >= 25 THEN 0.15 WHEN benchmark = 'ARC' AND v >= 10 THEN 0.1 ELSE 0 END + CASE WHEN d >= 10 THEN 0.1 WHEN d >= 5 THEN 0.05 ELSE 0 END) + CASE WHEN any_value(snippets) >= 3 THEN 0.03 ELSE 0 END), 6)::DOUBLE AS h,
+bool_or(benchmark IS NOT NULL) AS hb, bool_or(benchmark IS NOT NULL AND d IS NOT NULL) AS hd, any_value(snippets) >= 3 AS dense, string_agg(claim, ' ' ORDER BY rank) AS said,
+array_to_string(flatten(list([CASE WHEN benchmark IS NOT NULL THEN 'benchmark' END, CASE WHEN benchmark = 'ARC' AND v >= 10 THEN 'benchmark_value' END, CASE WHEN d >= 5 THEN 'benchmark_delta' END] ORDER BY rank)), ',') AS parts FROM c2 JOIN ns USING (id) GROUP BY id),
+si AS (SELECT id, source, content, 'silence' AS type, unnest({_in('content', SECRET)}) AS term, 0.7 AS confidence FROM tr WHERE NOT skip UNION ALL SELECT id, source, content, 'safety_meeting', unnest({_in('content', CAUTIOUS)}), 0.5 FROM tr WHERE NOT skip UNION ALL SELECT id, source, content, 'government', unnest({_in('content', STATE)}), 0.8 FROM tr WHERE NOT skip
+UNION ALL SELECT id, source, content, 'departure', NULL, 0.6 FROM tr WHERE NOT skip AND contains(lower(content), 'nda') AND contains(lower(content), 'thand')),
+sv AS (SELECT *, CASE WHEN type IN ('government', 'departure') OR (type = 'silence' AND contains(term, 'nda')) THEN 'high' ELSE 'medium' END AS severity, CASE type WHEN 'silence' THEN 'Secrecy-related language detected: "' || term || '"' WHEN 'safety_meeting' THEN 'Unusual caution detected: "' || term || '"' WHEN 'government' THEN 'Government involvement detected: "' || term || '"' ELSE 'Senior AI researcher departure detected' END AS description FROM si),
+sg AS (SELECT id, count(*) AS signs, CASE WHEN bool_or(severity = 'high') THEN 0.1 ELSE 0.0 END AS b FROM sv GROUP BY id),
+aa AS (SELECT tr.id, skip, tr.content || ' ' || coalesce(said, '') AS c, (tr.id % 101) / 100.0::DOUBLE AS m, (tr.id % 10) / 10.0::DOUBLE AS conf, CASE tr.id % 7 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' END AS prior, tr.id % 4 AS own, coalesce(h, 0) AS h, coalesce(hb, false) AS hb, coalesce(hd, false) AS hd, coalesce(dense, false) AS dense, coalesce(parts, '') AS parts, coalesce(b, 0) AS b, coalesce(signs, 0) AS signs,
+tr.id % 3 <> 2 AS asked, tr.id % 3 = 0 AND EXISTS (SELECT 1 FROM articles r WHERE lower(r.source) = 'src' || (tr.id % 30)) AS known FROM tr LEFT JOIN hh USING (id) LEFT JOIN sg USING (id)),
+ab AS (SELECT *, CASE WHEN asked AND NOT known THEN 0.15 ELSE 0 END AS p, CASE WHEN asked AND known THEN 'same_source' ELSE 'none' END AS support, list_filter([CASE WHEN hb THEN 'benchmark' END, {", ".join(f"CASE WHEN regexp_matches(c, '(?i){'|'.join(p)}') THEN '{k}' END" for k, p in assessment.CLAIM_TYPES.items())}], lambda x: x IS NOT NULL) AS ty FROM aa),
+ac AS (SELECT *, round(greatest(0, least(1, greatest(m, m * 0.85 + h * 0.15) + b - p)), 6)::DOUBLE AS s, round(least(1, greatest(0, m * 0.35 + h * 0.25 + b + least(0.2, greatest(0, len(ty) - 1) * 0.04) + CASE WHEN list_contains(ty, 'security') THEN 0.08 ELSE 0 END + CASE WHEN list_contains(ty, 'asi') THEN 0.1 ELSE 0 END)), 9) AS w FROM ab),
+ad AS (SELECT *, {SEVERITY_SQL.format('s')} AS now FROM ac),
+ae AS (SELECT *, CASE WHEN prior IS NULL OR list_position({_list(lexicons.SEVERITIES)}, now) >= list_position({_list(lexicons.SEVERITIES)}, prior) THEN now ELSE prior END AS raised FROM ad),
+an AS (SELECT id, skip AS filtered, CASE WHEN skip THEN 0.05 ELSE s END::DOUBLE AS score, CASE WHEN skip THEN 0.9 ELSE conf END::DOUBLE AS confidence, CASE WHEN skip THEN 'low' WHEN raised = 'critical' AND NOT hd THEN 'high' ELSE raised END AS severity, CASE WHEN skip THEN 0 ELSE h END::DOUBLE AS heuristic, CASE WHEN skip THEN 0 ELSE m END::DOUBLE AS model, CASE WHEN skip THEN 0 ELSE own + signs END::BIGINT AS indicators, false AS requires_verification,
+CASE WHEN skip THEN '' ELSE concat_ws(',', nullif(parts, ''), CASE WHEN dense THEN 'multiple_evidence' END, CASE WHEN b > 0 THEN 'secrecy' END, CASE WHEN p > 0 THEN 'corroboration_penalty' END) END AS signals,
+CASE WHEN skip THEN NULL WHEN w >= 0.75 THEN 'critical' WHEN w >= 0.5 THEN 'high' WHEN w >= 0.25 THEN 'medium' ELSE 'low' END AS priority,
+CASE WHEN skip THEN NULL WHEN regexp_matches(c, '(?i)sustained|in production|deployed across|enterprise rollout') THEN 'sustained_in_deployment' WHEN hd OR regexp_matches(c, '(?i)demo|demonstrat|paper|code|open[- ]source|verified') THEN 'demonstrated' WHEN regexp_matches(c, '(?i)claim|announce|report|says|states') THEN 'claimed' ELSE 'mentioned' END AS ladder,
+CASE WHEN skip THEN NULL ELSE array_to_string(CASE WHEN len(ty) > 0 THEN ty ELSE ['benchmark'] END, ',') END AS types FROM ae)"""
+)
+ORACLE_SQL["p13_analyses"] = _FULL + " SELECT * EXCLUDE (model) FROM an"
+ORACLE_SQL["p13_metric_rows"] = _FULL + " SELECT id, unnest(['score', 'model_score', 'heuristic_score', 'confidence', 'indicator_count']) AS metric, round(unnest([score, model, heuristic, confidence, indicators::DOUBLE]), 6) AS value FROM an"
+ORACLE_SQL["p13_secrecy_rows"] = _FULL + """ SELECT id, source, type, severity, confidence::DOUBLE AS confidence, sha256(CASE WHEN type = 'departure' THEN substr(content, 1, 200) ELSE '...' || substr(content, greatest(1, instr(lower(content), term) - 50), instr(lower(content), term) + length(term) + 50 - greatest(1, instr(lower(content), term) - 50)) || '...' END) AS evidence, description FROM sv"""
+
 #: Phrases of each kind of claim, which the texts of the tables lack.
 PHRASES = ("autonomous agent", "zero-shot transfer", "recursive self-improving", "a new experiment", "enterprise workflow", "classified briefing", "export control policy", "phishing exploit", "beyond human", "nothing")
 _KINDS = ", ".join(["CASE WHEN id % 2 = 0 THEN 'benchmark' END"] + [f"CASE WHEN regexp_matches(c, '(?i){'|'.join(p)}') THEN '{k}' END" for k, p in assessment.CLAIM_TYPES.items()])
