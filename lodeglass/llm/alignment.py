@@ -7,6 +7,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -86,12 +87,24 @@ class PairEncoder(dict):
 
     def _encoded(self, pieces: list[str]) -> list[bytes]:
         """Of texts without their first space."""
-        out, lossless = [], self.a.normalizer is None  # bytes that no normaliser changes come back as they are
-        first = self.a.encode_batch_fast([f" {p}" for p in pieces], add_special_tokens=False)
-        for piece, a, b in zip(pieces, first, self.b.encode(pieces, num_threads=1), strict=True):
-            a, want = a.ids, f" {piece}".encode("utf-8", "replace")
-            good = b"".join(map(self.bytes_b.__getitem__, b)) == want and (lossless or b"".join(map(self.bytes_a.__getitem__, a)) == want)
-            out.append(array("I", a + [x + _SECOND for x in b] if good else [_FAILED]).tobytes())
+        first = [e.ids for e in self.a.encode_batch_fast([f" {p}" for p in pieces], add_special_tokens=False)]
+        second = self.b.encode(pieces, num_threads=1)
+        flat = array("I", chain.from_iterable(first)), array("I", chain.from_iterable(second))
+        want = [len(p.encode("utf-8", "replace")) + 1 for p in pieces]
+        edges_a, edges_b, edges = ([0, *accumulate(x)] for x in (map(len, first), map(len, second), want))
+        ids_a, ids_b = flat[0].tobytes(), (np.frombuffer(flat[1], np.uint32) + np.uint32(_SECOND)).tobytes()
+        out = [ids_a[4 * i : 4 * j] + ids_b[4 * k : 4 * m] for i, j, k, m in zip(edges_a, edges_a[1:], edges_b, edges_b[1:])]
+        whole = "".join(f" {p}" for p in pieces).encode("utf-8", "replace")
+        sides = [(flat[1], edges_b, self.bytes_b, self.sizes_b)]
+        if self.a.normalizer is not None:  # else the bytes come back as they are
+            sides.append((flat[0], edges_a, self.bytes_a, self.sizes_a))
+        for ids, at, tokens, sizes in sides:
+            back = b"".join(map(tokens.__getitem__, ids))
+            ends = np.append(0, sizes[np.frombuffer(ids, np.uint32)].cumsum())[at]
+            if back != whole or (ends != np.array(edges)).any():
+                for k in range(len(pieces)):
+                    if back[ends[k] : ends[k + 1]] != whole[edges[k] : edges[k + 1]]:
+                        out[k] = array("I", [_FAILED]).tobytes()
         return out
 
     def __missing__(self, piece: str) -> bytes:
