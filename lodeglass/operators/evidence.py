@@ -6,12 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodeglass.functions import lexicons, text
+from lodeglass.functions.patterns import GAINS, NUMBER
 from lodeglass.functions.scoring import claim_points, clamp
 
-NUMBER = r"(\d+\.?\d*)"
-#: Phrases before a percentage gain, then before a plain one, in order.
-GAINS = (r"improv(?:e|es|ed)\s+by", r"improvement\s+of", r"increase\s+of", r"gain\s+of")
-
 
 def triage(articles: DataFrame, capability=lexicons.CAPABILITY, noise=lexicons.NOISE, least_words: int = 120) -> DataFrame:
     """The articles with skip, reason and matches: no capability term and few words, or none and any noise term.
