@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodeglass.plans import queries_more, queries_relational, queries_sources, queries_sql, queries_streaming, queries_text
+from lodeglass.plans import queries_more, queries_relational, queries_sources, queries_sql, queries_stored, queries_streaming, queries_text
 
-_MODULES = (queries_text, queries_relational, queries_more, queries_sources, queries_streaming, queries_sql)
+_MODULES = (queries_text, queries_relational, queries_more, queries_sources, queries_streaming, queries_sql, queries_stored)
 
 
 def flagship(spark: SparkSession, folder: str) -> DataFrame:
