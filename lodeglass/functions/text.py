@@ -70,7 +70,7 @@ def slug_title(url: Column) -> Column:
     """The last path segment as words with capitals; the whole URL if it has no path."""
     parts = F.filter(F.split(F.try_parse_url(url, F.lit("PATH")), "/"), lambda p: p != "")
     slug = F.regexp_replace(F.translate(F.element_at(parts, -1), "-_", "  "), r"\.\w+$", "")
-    words = F.transform(F.split(slug, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 10_000)))
+    words = F.transform(F.split(slug, " "), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), w.substr(F.lit(2), F.length(w))))
     return F.when(F.size(parts) > 0, F.array_join(words, " ")).otherwise(url)
 
 
@@ -93,7 +93,7 @@ def terms_in(low: Column, terms) -> Column:
 def first_term(text: Column, terms: dict[str, str]) -> Column:
     """The label of the first term that lower-cased text contains."""
     low = F.lower(text)
-    return F.coalesce(*(F.when(F.contains(low, F.lit(t)), F.lit(label)) for t, label in terms.items()))
+    return F.coalesce(*(F.when(F.contains(low, F.lit(t)), F.lit(label)) for t, label in terms.items()), F.lit(None).cast("string"))
 
 
 def claim_label(benchmark: Column, metric: Column, value: Column, delta: Column, unit: Column, claim: Column) -> Column:

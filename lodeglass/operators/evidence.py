@@ -93,10 +93,53 @@ def claim(s: Column, tags: Column, benchmarks=lexicons.BENCHMARKS, metrics=lexic
     )
 
 
-def claims(found: DataFrame, benchmarks=lexicons.BENCHMARKS, metrics=lexicons.METRICS, most: int = 4) -> DataFrame:
-    """The first snippets of an article as claims: benchmark, metric, value, delta, unit, numbers, tags."""
-    made = found.filter(F.col("rank") <= most).select("id", "rank", claim(F.col("snippet"), F.col("tags"), benchmarks, metrics).alias("c"))
-    return made.select("id", "rank", "c.claim", "c.tags", "c.numbers", "c.benchmark", "c.metric", "c.value", "c.delta", "c.unit")
+def claims(found: DataFrame, benchmarks=lexicons.BENCHMARKS, metrics=lexicons.METRICS, most: int = 4, mode: str = "reference") -> DataFrame:
+    """The first snippets of an article as claims: benchmark, metric, value, delta, unit, numbers, tags.
+
+    In the mode `reference` benchmark and metric are the first in list order that the sentence contains, inside words too;
+    in the mode `word` they are the longest that stand there as words, of lists of any length (see word_terms).
+    """
+    if mode == "reference":
+        made = found.filter(F.col("rank") <= most).select("id", "rank", claim(F.col("snippet"), F.col("tags"), benchmarks, metrics).alias("c"))
+        return made.select("id", "rank", "c.claim", "c.tags", "c.numbers", "c.benchmark", "c.metric", "c.value", "c.delta", "c.unit")
+    if mode != "word":
+        raise ValueError(f"no such mode: {mode!r}")
+    best = found.filter(F.col("rank") <= most)
+    bare = best.select("id", "rank", claim(F.col("snippet"), F.col("tags"), {"": None}, ()).alias("c")).select("id", "rank", "c.claim", "c.tags", "c.numbers", "c.value", "c.delta", "c.unit")
+    for column, terms in (("benchmark", benchmarks), ("metric", metrics)):
+        lexicon = terms if isinstance(terms, DataFrame) else lexicon_of(best, terms if isinstance(terms, dict) else {m: m for m in terms})
+        bare = bare.join(word_terms(best.select("id", "rank", "snippet"), "snippet", lexicon).select("id", "rank", F.col("label").alias(column)), ["id", "rank"], "left")
+    return bare.select("id", "rank", "claim", "tags", "numbers", "benchmark", "metric", "value", "delta", "unit")
+
+
+def lexicon_of(near: DataFrame, terms: dict[str, str]) -> DataFrame:
+    """A lexicon (term, label, place) of a dictionary, in its order."""
+    return near.sparkSession.createDataFrame([(t, label, k) for k, (t, label) in enumerate(terms.items())], "term string, label string, place int")
+
+
+def _tokens(low: Column) -> Column:
+    """Words (runs of letters and digits) and single other characters, each with the white space before it as one space."""
+    return F.regexp_extract_all(text.collapsed(low), F.lit(r"(\s?(?:[\p{L}\p{N}]+|[^\s\p{L}\p{N}]))"), F.lit(1))
+
+
+def word_terms(rows: DataFrame, column: str, lexicon: DataFrame) -> DataFrame:
+    """The rows' other columns (their key) with term and label of the longest term of a lexicon (term, label, place) that stands in their text as words; rows without one are left out.
+
+    Whatever the case and the white space between words. Of equally long terms the first by place counts. Text and terms
+    are cut into the same tokens, and runs of as many tokens as any term has are joined with the terms, so a list of a hundred thousand
+    terms costs no more a sentence than a short one; Spark sends a small list to all tasks and shuffles by term
+    otherwise. Terms without a token match nothing. The key must tell rows apart.
+    """
+    keys = [c for c in rows.columns if c != column]
+    term = F.array_join(_tokens(F.lower("term")), "")
+    known = lexicon.select(F.ltrim(term).alias("words"), F.size(_tokens(F.lower("term"))).alias("size"), "term", "label", "place").filter("size > 0")
+    known = known.groupBy("words").agg(F.min(F.struct("place", "term", "label")).alias("t"), F.first("size").alias("size"))
+    sizes = known.agg(F.collect_set("size").alias("sizes"))  # as few numbers as the longest term has tokens
+    cut = rows.select(*keys, _tokens(F.lower(column)).alias("tokens")).crossJoin(F.broadcast(sizes))
+    starts = cut.select(*keys, "tokens", F.explode("sizes").alias("size")).filter(F.size("tokens") >= F.col("size"))
+    runs = starts.select(*keys, F.explode(F.transform(F.sequence(F.lit(1), F.size("tokens") - F.col("size") + 1), lambda i: F.ltrim(F.array_join(F.slice("tokens", i, F.col("size")), "")))).alias("words")).distinct()
+    best = runs.join(known, "words").groupBy(*keys).agg(F.min(F.struct((-F.length("t.term")).alias("less"), F.col("t.place").alias("place"), F.col("t.term").alias("term"), F.col("t.label").alias("label"))).alias("x"))
+    return best.select(*keys, "x.term", "x.label")
 
 
 def has_gain(c: Column) -> Column:

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeglass.operators import joins
-from lodeglass.sources import landed
+from lodeglass.operators.storage import new_folder
+from lodeglass.sources import landed, selectors
 from lodeglass.sources.adapters import Tables, with_tables
 
 QUERIES: dict = {}
@@ -26,12 +25,6 @@ def query(sql: str, *tables: str):
     return add
 
 
-def _folder(t: Tables, name: str) -> str:
-    """A new folder that all executors see."""
-    top = t.spark.conf.get("spark.checkpoint.dir", None) or t.spark.conf.get("spark.sql.warehouse.dir")
-    return f"{top.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def _joined(rows: DataFrame, by: list[str], order: list[str], piece, apart: str = "") -> DataFrame:
     """One text for each group of rows: pieces of them in order. Groups are bounded by how `by` is made."""
     listed = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, piece.alias("piece")))).alias("x"))
@@ -50,7 +43,7 @@ def _plain(c):
 def s2_feed_items(t):
     """Articles written as an RSS feed and read from it; the title stands for a missing description."""
     items = t.articles().select(_plain("title").alias("title"), F.nullif(_plain("content"), F.lit("")).alias("description"), F.col("url").alias("link"), F.concat(F.lit("i"), "id").alias("guid"))
-    items.write.format("xml").option("rootTag", "channel").option("rowTag", "item").save(folder := _folder(t, "feed"))
+    items.write.format("xml").option("rootTag", "channel").option("rowTag", "item").save(folder := new_folder(t.spark, "feed"))
     return landed.feed_items(t.spark, folder, "landed").select("source", "title", F.sha2("content", 256).alias("digest"), "url", "item_id")
 
 
@@ -84,13 +77,13 @@ r AS (SELECT page_id, url, pos, k, CASE k WHEN 0 THEN regexp_extract(blk, '(?is)
 SELECT page_id, pos::INTEGER AS pos, sha256({_BARE.format('ti')}) AS title, sha256({_BARE.format('bo')}) AS content, CASE WHEN regexp_matches(href, '^[a-z]+://') THEN href WHEN starts_with(href, '/') THEN regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || href WHEN href <> '' THEN regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || '/' || href END AS link FROM r WHERE {_BARE.format('ti')} <> '' AND {_BARE.format('bo')} <> ''""")
 def s4_listings(t):
     """Articles in listing pages, by their source's own patterns."""
-    selectors = t.spark.createDataFrame([
+    patterns = t.spark.createDataFrame([
         ("src0", r"(?is)<article\b[^>]*>(.*?)</article>", r"(?is)<h1[^>]*>(.*?)</h1>", r"(?is)<p[^>]*>(.*)", 'href="([^"]*)"'),
         ("src1", "(?is)<li>(.*?)</li>", "(?is)<a[^>]*>(.*?)</a>", "(?is)^(.*)$", 'href="([^"]*)"'),
         ("src2", "(?is)<p>(.*?)</p>", "(?is)^([^.]*)", "(?is)^(.*)$", 'href="([^"]*)"'),
     ], "source string, item string, title string, body string, link string")
     pages = t.raw("pages").withColumn("source", F.concat(F.lit("src"), F.col("page_id") % 3))
-    found = landed.listings_by_source(pages, selectors)
+    found = landed.listings_by_source(pages, patterns)
     return found.select("page_id", "pos", F.sha2("title", 256).alias("title"), F.sha2("content", 256).alias("content"), F.col("url").alias("link"))
 
 
@@ -167,7 +160,7 @@ def s10_search_results(t):
 @query("SELECT severity, count(*) AS n, round(sum(score), 6) AS total FROM analyses GROUP BY severity", "analyses")
 def k4_appended(t):
     """Analyses appended in two batches, of which the second is written again after a fault."""
-    folder, rows = _folder(t, "appended"), t.analyses().select("id", "severity", "score")
+    folder, rows = new_folder(t.spark, "appended"), t.analyses().select("id", "severity", "score")
     joins.append(rows.filter("severity in ('high', 'critical')"), folder, "1")
     for _ in range(2):
         joins.append(rows.filter("severity not in ('high', 'critical')"), folder, "2")
@@ -185,3 +178,16 @@ def j9_first_of_each(t):
 
 
 ORACLE_SQL["j9_first_of_each"] = ORACLE_SQL["j9_first_of_each"].replace(", RECURSIVE o AS", ", o AS").replace("WITH articles", "WITH RECURSIVE articles", 1)
+
+
+@query(
+    """WITH n AS (SELECT page_id, url, page_id % 2 AS k, CASE page_id % 2 WHEN 0 THEN regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1) ELSE html END AS part FROM pages),
+b AS (SELECT page_id, url, k, unnest(regexp_extract_all(part, CASE k WHEN 0 THEN '(?s)<a href="[^"]*">.*?</a>' ELSE '(?s)<h1>(.*?)</h1>' END, CASE k WHEN 0 THEN 0 ELSE 1 END)) AS blk, unnest(range(len(regexp_extract_all(part, CASE k WHEN 0 THEN '(?s)<a href="[^"]*">.*?</a>' ELSE '(?s)<h1>(.*?)</h1>' END)))) AS pos FROM n),
+r AS (SELECT page_id, pos::INTEGER AS pos, trim(regexp_replace(CASE k WHEN 0 THEN regexp_extract(blk, '(?s)>(.*)</a>', 1) ELSE blk END, '\\s+', ' ', 'g')) AS ti, CASE k WHEN 0 THEN regexp_extract(url, '^([a-z]+://[^/?#]+)', 1) || regexp_extract(blk, 'href="([^"]*)"', 1) ELSE '' END AS link FROM b)
+SELECT page_id, pos, replace(replace(replace(ti, '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS title, link FROM r WHERE ti <> ''"""
+)
+def s4_selected_listings(t):
+    """Links of navigation lists, and headings of articles, by selectors for each of two sources; in whole pages as they are, with tags left open."""
+    found = t.spark.createDataFrame([("even", "nav ul > li", "a", "a[href]", "a"), ("odd", "article", "h1", "h1", "")], "source string, item string, title string, content string, link string")
+    pages = t.raw("pages").withColumn("source", F.when(F.col("page_id") % 2 == 0, "even").otherwise("odd"))
+    return selectors.listings_by_selector(pages, found).select("page_id", "pos", "title", F.col("url").alias("link"))

@@ -225,6 +225,34 @@ _SAID = with_tables("", "articles").replace("WITH articles AS", "WITH plain AS",
 ORACLE_SQL["e4_e8_claims"] = _SAID + ", " + _SENTENCES + ", " + _CLAIMS + " SELECT id, rank::INTEGER AS rank, benchmark, metric, coalesce(pct, plain) AS value, coalesce(dpct, dplain) AS delta, CASE WHEN dpct IS NOT NULL OR pct IS NOT NULL THEN '%' END AS unit, array_to_string(list_transform(regexp_extract_all(claim, '" + _NUM + "'), lambda x: printf('%.3f', x::DOUBLE)), ',') AS numbers FROM cl"
 
 
+#: Lists in which a shorter term stands inside a longer one, and sentences with them.
+WORD_MARKS, WORD_METRICS = {"arc": "ARC", "arc-agi": "ARC-AGI", "glue": "GLUE", "superglue": "SuperGLUE", "the novel": "NOVEL"}, ("em", "f1", "f1-score", "pass@1", "score")
+WORD_SENTENCES = (
+    "The novel benchmark ARC-AGI has an F1-score of 12.5% at most now.", "A novel result of 7 on SuperGLUE by pass@1 and others.", "The novel research in searching glue gave an em of 3 points.", "Novel arc results, arc - agi ones too, of 30 each, by f1 alone.",
+)
+
+
+def _with_words(t):
+    said = F.array(*map(F.lit, WORD_SENTENCES))[(F.floor(F.col("id") / 2) % len(WORD_SENTENCES)).cast("int")]
+    return t.articles().withColumn("content", F.when(F.col("id") % 2 == 0, F.concat("content", F.lit("\n. "), said)).otherwise(F.col("content")))
+
+
+@query("SELECT 1", "articles")
+def e4_e5_words(t):
+    """Benchmark and metric of the best four sentences of each article, as whole words and the longest first."""
+    made = evidence.claims(evidence.snippets(_with_words(t), benchmarks=tuple(WORD_MARKS)), WORD_MARKS, WORD_METRICS, mode="word")
+    return made.select("id", "rank", F.sha2("claim", 256).alias("claim"), "benchmark", "metric", "value", "delta", "unit")
+
+
+_LONGEST = lambda terms: "(SELECT arg_min(l, (-length(t), i)) FROM (SELECT unnest(" + _list(terms) + ") AS t, unnest(" + _list(terms.values()) + ") AS l, unnest(range(" + str(len(terms)) + ")) AS i) WHERE regexp_matches(lower(claim), '(^|[^\\pL\\pN])' || t || '($|[^\\pL\\pN])'))"
+ORACLE_SQL["e4_e5_words"] = (
+    with_tables("", "articles").replace("WITH articles AS", "WITH plain AS", 1)
+    + f", articles AS (SELECT * REPLACE (CASE WHEN id % 2 = 0 THEN content || chr(10) || '. ' || ({_list(WORD_SENTENCES)})[(id // 2) % {len(WORD_SENTENCES)} + 1] ELSE content END AS content) FROM plain), "
+    + _SENTENCES.replace(_list((*lexicons.EVIDENCE, *MARKS)), _list((*lexicons.EVIDENCE, *WORD_MARKS))) + ", " + _CLAIMS
+    + f" SELECT id, rank::INTEGER AS rank, sha256(claim) AS claim, {_LONGEST(WORD_MARKS)} AS benchmark, {_LONGEST({m: m for m in WORD_METRICS})} AS metric, coalesce(pct, plain) AS value, coalesce(dpct, dplain) AS delta, CASE WHEN dpct IS NOT NULL OR pct IS NOT NULL THEN '%' END AS unit FROM cl"
+)
+
+
 @query("SELECT 1", "articles")
 def e9_bundles(t):
     """The evidence of each article: digests of its snippets and claims."""
