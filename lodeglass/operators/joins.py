@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodeglass.operators.components import components
+from lodeglass.operators.storage import cut
+
 
 def upsert(target: DataFrame, updates: DataFrame, keys: list[str], kept: tuple[str, ...] = ("created_at",)) -> DataFrame:
     """The target with the updates' rows in place of those of equal keys, nulls being equal; columns in `kept` keep the target's value.
@@ -46,30 +49,54 @@ def new_articles(found: DataFrame, stored: DataFrame) -> DataFrame:
     return found.join(stored.select("url").distinct(), "url", "left_anti").join(stored.select("content_hash").distinct(), "content_hash", "left_anti")
 
 
-def first_of_each(found: DataFrame, order: str) -> DataFrame:
+def first_of_each(found: DataFrame, order: str, small: int = 200_000) -> DataFrame:
     """Of rows in order, those whose url and content_hash both differ from those of every earlier row that is itself kept.
 
-    Whether a row is kept depends on earlier ones that share its url or hash, and theirs on others. Rows are decided in
-    rounds: kept, if no undecided or kept row before them shares either; dropped, if a kept one does. Each round decides
-    all rows whose earlier ones are decided, until none is left, however long a chain is. Only the keys travel.
+    Whether a row is kept depends on earlier ones that share its url or hash, and theirs on others. Of rows with both alike
+    only the first can be kept, so copies go first. Then a round keeps what is first by both its url and its hash, and drops
+    what shares either with it; rows that share nothing are done. What is left is decided in row order at once where it
+    is no more than `small` rows (three numbers each). Otherwise it falls into components that share nothing with one
+    another: each of up to `small` rows is decided in row order in a group of its own, and rounds go on only inside larger ones.
+
+    Least rows are grouped minima joined back, so an url of half the rows is neither sorted nor held in one task. Only keys
+    travel. Nulls are alike.
     """
-    keys = found.select(F.col(order).alias("n"), F.xxhash64("url").alias("u"), F.xxhash64("content_hash").alias("h"))
-    folder, spark = f"{_folder(found.sparkSession)}/first-{uuid.uuid4().hex}", found.sparkSession
-    left, number = keys, 0
-    while True:
-        least = lambda c: F.min("n").over(Window.partitionBy(c))
-        first = left.withColumn("first", (F.col("n") == least("u")) & (F.col("n") == least("h")))
-        first.filter("first").drop("first").write.parquet(f"{folder}/kept/round={number}")
-        now = spark.read.parquet(f"{folder}/kept/round={number}")
-        rest = first.filter("not first").drop("first").join(now.select("u"), "u", "left_anti").join(now.select("h"), "h", "left_anti")
-        rest.write.parquet(f"{folder}/left/round={number}")
-        left, number = spark.read.parquet(f"{folder}/left/round={number}"), number + 1
-        if left.isEmpty():
-            return found.join(spark.read.parquet(f"{folder}/kept").select(F.col("n").alias(order)), order, "left_semi")
-
-
-def _folder(spark) -> str:
-    return (spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
+    even = lambda c, bit: F.xxhash64(c).bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(bit))
+    left = cut(found.groupBy(even("url", 0).alias("u"), even("content_hash", 1).alias("h")).agg(F.min(order).alias("n")))
+    kept, left = _round(left)
+    if left.count() > small:
+        part = components(left.select(F.col("u").alias("a"), F.col("h").alias("b"))).select(F.col("id").alias("u"), "component")
+        left = cut(left.join(part, "u"))
+        sizes = left.groupBy("component").agg(F.count("*").alias("size"))
+        large = sizes.filter(F.col("size") > small).select("component")
+        rest = cut(left.join(large, "component", "left_semi").select("u", "h", "n"))
+        left = left.join(large, "component", "left_anti")
+        while not rest.isEmpty():
+            more, rest = _round(rest)
+            kept = kept.unionByName(more)
+    else:
+        left = left.withColumn("component", F.lit(0))
+    kept = kept.unionByName(left.groupBy("component").applyInPandas(_in_order, "n bigint"))
+    return found.join(kept.select(F.col("n").alias(order)), order, "left_semi")
+
+
+def _round(left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """n of the rows (u, h, n) that are first by u and by h, and the rows that share neither with them."""
+    by_u, by_h = left.groupBy("u").agg(F.min("n").alias("n")), left.groupBy("h").agg(F.min("n").alias("n"))
+    first = cut(left.join(by_u, ["u", "n"], "left_semi").join(by_h, ["h", "n"], "left_semi"))
+    rest = left.join(first.select("u"), "u", "left_anti").join(first.select("h"), "h", "left_anti")
+    return first.select("n"), cut(rest)
+
+
+def _in_order(rows: pd.DataFrame) -> pd.DataFrame:
+    """Rows of one component, one after another."""
+    seen: set[int] = set()
+    kept = []
+    for n, u, h in rows[["n", "u", "h"]].sort_values("n").itertuples(index=False):
+        if u not in seen and h not in seen:
+            seen |= {u, h}
+            kept.append(n)
+    return pd.DataFrame({"n": kept}, dtype="int64")
 
 
 def first_strategy(candidates: DataFrame) -> DataFrame:
