@@ -1,6 +1,8 @@
 import random
 import re
+import time
 
+import numpy as np
 import pytest
 
 from lodeglass.llm import decontamination
@@ -34,11 +36,10 @@ def cases():
     return items, texts
 
 
-@pytest.mark.parametrize("part_words", [10**6, 9])
-def test_hits_equal_brute_force(spark, docs_of, cases, part_words):
+def test_hits_equal_brute_force(spark, docs_of, cases):
     items, texts = cases
     benchmark = spark.createDataFrame(items, "item_id bigint, text string").selectExpr("*", "1 as items")
-    got = {r.doc_id: r for r in decontamination.with_passages(docs_of(texts), benchmark, width=4, part_words=part_words).collect()}
+    got = {r.doc_id: r for r in decontamination.with_passages(docs_of(texts), benchmark, width=4).collect()}
     assert len(got) == len(texts)
     for i, t in enumerate(texts):
         if t is None or len(t) < 1000:
@@ -49,11 +50,42 @@ def test_hits_equal_brute_force(spark, docs_of, cases, part_words):
                 assert all(a.after < b.first for a, b in zip(p.spans, p.spans[1:], strict=False))
 
 
-def test_many_automata_find_what_one_finds(spark, docs_of, cases):
-    items, texts = cases
-    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
-    a, b = ({r.doc_id: r.passages for r in decontamination.with_passages(docs_of(texts), benchmark, width=4, part_words=n).collect()} for n in (10**6, 9))
-    assert a == b and any(len(p.spans) > 1 for p in a.values())
+def test_random_windows_of_every_width():
+    rng = random.Random(5)
+    for case in range(300):
+        width, letters = rng.randint(1, 7), "abc"[: rng.randint(1, 3)]
+        line = lambda n: " ".join(rng.choice(letters) for _ in range(rng.randrange(n)))  # noqa: B023, E731
+        items = [(i % 4, line(14)) for i in range(rng.randrange(6))]
+        passages = decontamination.Passages([(str(i), decontamination.words(t)) for i, t in items], width)
+        for text in (line(30) for _ in range(6)):
+            got = decontamination.scan(text, passages)
+            assert (got["n_words"], got["n_hit"], got["items"]) == brute(text, items, width), (case, items, text)
+
+
+def test_windows_of_one_hash(monkeypatch):
+    import xxhash
+
+    monkeypatch.setattr(xxhash, "xxh3_64_intdigest", lambda x: len(x) % 3)
+    items = [(1, "a b c d"), (2, "b c d e"), (3, "a b c d"), (4, "e e")]
+    passages = decontamination.Passages([(str(i), decontamination.words(t)) for i, t in items], 3)
+    for text in ("x a b c x", "b c d", "c d e e", "a b d"):
+        got = decontamination.scan(text, passages)
+        assert (got["n_words"], got["n_hit"], got["items"]) == brute(text, items, 3)
+
+
+def test_two_million_words():
+    """One automaton, within the memory that the docstring states, and documents of many words in little time."""
+    rng = np.random.default_rng(1)
+    size = lambda: int(re.search(r"VmRSS:\s+(\d+)", open("/proc/self/status").read())[1]) / 1e3  # noqa: E731, SIM115
+    vocabulary = [f"w{i}".encode() for i in range(200_000)]
+    items = [(str(k), [vocabulary[i] for i in rng.integers(0, 200_000, 200)]) for k in range(10_000)]
+    before = size()
+    passages = decontamination.Passages(items, 10)
+    assert size() - before < 600
+    text = " ".join(w.decode() for w in [vocabulary[i] for i in rng.integers(0, 200_000, 100_000)] + items[77][1][31:52])
+    began = time.process_time()
+    got = decontamination.scan(text, passages)
+    assert (got["n_hit"], got["items"]) == (21, ["77"]) and time.process_time() - began < 5
 
 
 def test_long_items_and_texts(spark, docs_of, monkeypatch):
@@ -61,14 +93,14 @@ def test_long_items_and_texts(spark, docs_of, monkeypatch):
     rng = random.Random(3)
     item = " ".join(f"w{rng.randrange(400)}" for _ in range(1200))
     texts = ["x " * 5000 + item + " y" * 5000, item[400:3000], " ".join(item.split()[45:57]), " ".join(item.split()[45:54]), "z " * 300_000]
-    got = sorted(decontamination.with_passages(docs_of(texts), spark.createDataFrame([(7, item)], "item_id bigint, text string"), part_words=200).collect())
+    got = sorted(decontamination.with_passages(docs_of(texts), spark.createDataFrame([(7, item)], "item_id bigint, text string")).collect())
     assert [r.passages.n_hit for r in got][:1] == [1200] and [(r.passages.n_words, r.passages.n_hit, r.passages["items"]) for r in got[1:4]] == [brute(t, [(7, item)], 10) for t in texts[1:4]]
     assert got[3].passages.n_hit == 0 and got[4].passages.n_words == 300_000 and got[4].passages.n_hit == 0
 
 
 def test_columns_of_any_name_stay(spark, docs_of):
     odd = docs_of(["one two three", None]).selectExpr("*", "1 as passages", "2 as `a.b`", "3 as found", "4 as own0")
-    got = decontamination.with_passages(odd, spark.createDataFrame([(1, "two three")], "item_id bigint, text string"), part_words=1)
+    got = decontamination.with_passages(odd, spark.createDataFrame([(1, "two three")], "item_id bigint, text string"))
     assert got.columns == odd.columns and sorted(r.passages.n_hit for r in got.collect()) == [0, 2]
 
 
