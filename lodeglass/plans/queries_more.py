@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodeglass.operators import aggregates as agg
 from lodeglass.operators import correlations, evidence, joins, secrecy, vectors
+from lodeglass.plans import validation
 from lodeglass.plans.queries_relational import _r
 from lodeglass.plans.queries_text import _CLAIMS, _GAPS, _SENTENCES, MARKS, METRICS, SECRET, _in
 from lodeglass.sources.adapters import Tables, with_tables
@@ -312,3 +313,63 @@ def v4_merged_embeddings(t):
     missing = rows.select("id", "embedding").join(stored.select("id"), "id", "left_anti")
     computed = missing.select("id", F.slice("embedding", 2, 63).alias("embedding"), F.lit("computed").alias("origin"))
     return joins.upsert(stored, computed, ["id"], ()).select("id", "origin", F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"))
+
+
+def _to_check(t):
+    """Analyses with the references that their ids give, and a part of a validation's reply."""
+    i = F.col("id")
+    refs = F.when(i % 3 == 0, F.array(F.lit("SRC1"), F.lit("nobody"))).when(i % 3 == 1, F.array(F.concat(F.lit("rc"), i % 40))).otherwise(F.array().cast("array<string>"))
+    rows = t.analyses().withColumns({"refs": refs, "model_score": F.col("confidence"), "heuristic": F.lit(0.1), "boost": F.when(i % 5 == 0, 0.1).otherwise(0.0), "has_delta": i % 2 == 0})
+    said = F.when(i % 6 == 0, "investigate").when(i % 6 == 1, "lower").when(i % 6 == 2, "dismiss").when(i % 6 == 3, "hold").when(i % 6 == 4, "raise")
+    return rows, t.analyses().select("id", F.when(i % 4 != 0, F.col("confidence")).alias("validated_score"), said.alias("recommendation"), (i % 2 == 0).alias("agrees"), F.array(F.lit("k1"), F.lit("new"), F.lit("new")).alias("indicators"))
+
+
+def _checked(t, rows):
+    sources = t.articles().select("source").distinct().withColumn("place", F.row_number().over(Window.orderBy("source")))
+    return validation.checked_references(rows.select("id", F.explode("refs").alias("ref")), sources, t.articles(), ("nda", "erth"))
+
+
+_REFS = "CASE id % 3 WHEN 0 THEN ['SRC1', 'nobody'] WHEN 1 THEN ['rc' || (id % 40)] ELSE [] END"
+_CHECKED = f"""rf AS (SELECT id, unnest({_REFS}) AS ref FROM analyses), rr AS (SELECT DISTINCT ref FROM rf), so AS (SELECT DISTINCT source FROM articles), ma AS (SELECT ref, (SELECT min(source) FROM so WHERE contains(lower(so.source), lower(ref))) AS source FROM rr),
+ab AS (SELECT id, source, title FROM articles WHERE contains(lower(content), 'nda') OR contains(lower(content), 'erth')), ct AS (SELECT source, count(*) AS n, array_to_string(list(title ORDER BY id)[1:3], '|') AS titles FROM ab GROUP BY source),
+ck AS (SELECT rf.id, rf.ref, ma.source, coalesce(n, 0) > 0 AS found, coalesce(n, 0) AS article_count, coalesce(titles, '') AS titles FROM rf JOIN ma USING (ref) LEFT JOIN ct ON ct.source = ma.source WHERE ma.source IS NOT NULL)"""
+
+
+@query("SELECT 1", "articles")
+def j11_checked_references(t):
+    """The references of analyses: the first source whose name contains each, how many of its articles mention a topic, and three titles."""
+    found = _checked(t, _to_check(t)[0])
+    return found.select("id", "ref", "source", "found", "article_count", F.array_join("titles", "|").alias("titles"))
+
+
+ORACLE_SQL["j11_checked_references"] = with_tables("", "articles", "analyses") + ", " + _CHECKED + " SELECT * FROM ck"
+
+
+@query("SELECT 1", "articles")
+def p14_validations(t):
+    """Analyses after validations of every kind: scores, confidences, severities, indicators and corroboration."""
+    rows, said = _to_check(t)
+    found = validation.validated(rows, said, _checked(t, rows))
+    return found.select("id", "score", _r("confidence", "confidence"), "severity", F.array_join("indicators", ",").alias("indicators"), "penalty", "corroboration", "requires_verification")
+
+
+ORACLE_SQL["p14_validations"] = with_tables("", "articles", "analyses") + ", " + _CHECKED + """, bo AS (SELECT id, bool_or(found) AS b FROM ck GROUP BY id),
+v AS (SELECT a.id, a.score AS s, confidence AS conf, indicators, severity IN ('high', 'critical') AS grave, a.id % 3 <> 2 AS refs, coalesce(b, false) AND severity IN ('high', 'critical') AS borne, CASE a.id % 6 WHEN 0 THEN 'investigate' WHEN 1 THEN 'lower' WHEN 2 THEN 'dismiss' WHEN 3 THEN 'hold' WHEN 4 THEN 'raise' ELSE 'investigate' END AS rec, a.id % 2 = 0 AS agrees, CASE WHEN a.id % 5 = 0 THEN 0.1 ELSE 0 END AS boost FROM analyses a LEFT JOIN bo USING (id)),
+w AS (SELECT *, CASE WHEN grave AND refs AND NOT borne THEN 0.2 ELSE 0 END::DOUBLE AS p, greatest(0, least(1, conf)) AS m FROM v),
+x AS (SELECT *, greatest(0, least(1, greatest(m, m * 0.85 + 0.1 * 0.15) + boost - p)) AS c FROM w),
+y AS (SELECT *, round(greatest(0, least(1, CASE rec WHEN 'investigate' THEN least(greatest(s, c), greatest(0.35, s)) WHEN 'lower' THEN least(greatest(0, s - 0.1 - p), c) WHEN 'dismiss' THEN least(0.2, c) WHEN 'hold' THEN greatest(0, s - p) ELSE c END)), 6)::DOUBLE AS ns FROM x),
+z AS (SELECT *, CASE WHEN ns >= 0.8 AND NOT agrees THEN 'high' WHEN ns >= 0.8 THEN 'critical' WHEN ns >= 0.6 THEN 'high' WHEN ns >= 0.3 THEN 'medium' WHEN ns > 0 THEN 'low' ELSE 'none' END AS sv FROM y)
+SELECT id, ns AS score, round(CASE WHEN rec IN ('dismiss', 'lower') THEN greatest(0, conf - 0.1) ELSE least(1, conf + CASE WHEN agrees THEN 0.2 ELSE 0.1 END) END, 6)::DOUBLE AS confidence, CASE WHEN rec = 'dismiss' AND sv IN ('high', 'critical') THEN 'medium' ELSE sv END AS severity,
+array_to_string(list_concat(indicators, list_filter(['k1', 'new'], lambda k: NOT list_contains(indicators, k))), ',') AS indicators, p AS penalty, CASE WHEN borne THEN 'independent_source' WHEN refs THEN 'same_source' ELSE 'none' END AS corroboration, false AS requires_verification FROM z"""
+
+
+@query("""WITH d AS (SELECT 'ARC-AGI GitHub: ' || l_shipmode AS title, 'Discussion by u' || l_suppkey || ' in ARC-AGI-2 repository: ' || l_comment2 || '. Category: general. ' || l_linenumber || ' comments.' AS content, 'ARC GitHub Discussions' AS source, 'discussion' AS kind FROM (SELECT *, l_returnflag AS l_shipmode, l_linestatus AS l_comment2 FROM lineitem ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey LIMIT 5)),
+r AS (SELECT 'ARC-AGI Release: v' || o_orderkey, 'New release t' || o_orderkey || ' published by c' || o_custkey || ': ' || o_orderpriority, 'ARC GitHub Releases', 'release' FROM orders),
+p AS (SELECT 'ARC Implementation: ' || p_name, 'Community ARC-AGI implementation: ' || p_brand || '. Language: ' || CASE WHEN p_partkey % 3 = 0 THEN 'Unknown' ELSE 'L' || (p_partkey % 3) END || '. Stars: ' || p_partkey || '. This repository may contain novel approaches to the ARC-AGI challenge.', 'ARC GitHub Implementations', 'implementation' FROM part ORDER BY p_partkey DESC LIMIT 10)
+SELECT * FROM d UNION ALL SELECT * FROM r UNION ALL SELECT * FROM p""")
+def k7_activity_articles(t):
+    """Lines, orders and parts read as discussions, releases and repositories, as article rows."""
+    lines = t.raw("lineitem").select(F.col("l_returnflag").alias("title"), F.col("l_linestatus").alias("body"), F.lit("general").alias("category"), F.concat(F.lit("u"), "l_suppkey").alias("author"), F.col("l_linenumber").cast("bigint").alias("comments"), F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("place"))
+    orders = t.raw("orders").select(F.concat(F.lit("v"), "o_orderkey").alias("name"), F.concat(F.lit("t"), "o_orderkey").alias("tag"), F.col("o_orderpriority").alias("body"), F.concat(F.lit("c"), "o_custkey").alias("author"))
+    parts = t.raw("part").select(F.col("p_name").alias("name"), F.col("p_brand").alias("description"), F.col("p_partkey").cast("bigint").alias("stars"), F.when(F.col("p_partkey") % 3 != 0, F.concat(F.lit("L"), F.col("p_partkey") % 3)).alias("language"))
+    return validation.activity_articles(lines, orders, parts)
