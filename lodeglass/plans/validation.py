@@ -15,15 +15,16 @@ TOPICS = ("agi", "artificial general intelligence", "superintelligence")
 def checked_references(references: DataFrame, sources: DataFrame, articles: DataFrame, topics=TOPICS, shown: int = 3, most_sources: int = 10_000) -> DataFrame:
     """id, ref, source, found, article_count and titles of references (id, ref): the first source in list order whose name contains the reference, whatever the case, and how many of its articles mention a topic.
 
-    `sources` (source, place) is the list of configured sources; it is sent to all tasks as one array, so it is an error
-    if it has more than `most_sources` rows. Articles (id, source, title, content) are counted by source first, with the
+    `sources` (source, place) is the list of configured sources; it is sent to all tasks as one array and met by each
+    different reference once, so it is an error if it has more than `most_sources` rows. Articles (id, source, title, content) are counted by source first, with the
     titles of the first `shown` by id. References that no source's name contains are left out; null ones too.
     """
     if sources.limit(most_sources + 1).count() > most_sources:
         raise ValueError(f"more than {most_sources} configured sources")
     names = sources.agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "source"))), lambda s: s["source"]).alias("names"))
-    first = F.get(F.filter("names", lambda n: F.contains(F.lower(n), F.lower("ref"))), F.lit(0))
-    named = references.filter("ref is not null").crossJoin(F.broadcast(names)).select("id", "ref", first.alias("source")).filter("source is not null")
+    met = references.select("ref").filter("ref is not null").distinct().crossJoin(F.broadcast(names)).select("ref", F.posexplode("names").alias("place", "source"))
+    first = met.filter(F.contains(F.lower("source"), F.lower("ref"))).groupBy("ref").agg(F.min_by("source", "place").alias("source"))
+    named = references.select("id", "ref").join(first, "ref")
     about = articles.filter(text.any_term(F.lower("content"), topics)).select("id", "source", "title")
     counts = about.groupBy("source").agg(F.count("*").alias("article_count"))
     place = F.row_number().over(Window.partitionBy("source").orderBy("id"))
