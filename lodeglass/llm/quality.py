@@ -95,7 +95,8 @@ def with_quality(docs: DataFrame, labels: DataFrame, host: Column, path: Column,
     document itself, its label included, is left out of the rates that are its own prior.
 
     Null hosts and paths are groups of their own; rows repeated under a doc_id count as often as they occur; a null
-    doc_id has no label. Without labels of both classes there is no evidence. An empty table gives no rows.
+    doc_id has no label. Without labels of both classes there is no evidence. An empty table gives no rows. Texts of any
+    length are read whole, once.
     """
     model = train(docs, labels, sample)
 

@@ -19,6 +19,8 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{16,}")
 _IDENTIFIER = re.compile(r"(?<![A-Za-z0-9])(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9._@+-]{3,}", re.IGNORECASE | re.ASCII)
 _SECRET = re.compile(r"(?<![A-Za-z0-9])(?:pwd|pass|key|auth|bearer|credentials?|private_?key|client_?secret)[\"']?\x20*[:=]\x20*[\"']?[^\s\"']{6,}", re.IGNORECASE | re.ASCII)
+#: What a loose name before a colon and a mere word is: a sentence, not a secret.
+_PROSE = re.compile(r"(?:pass|key|auth|bearer|credentials?)\x20*:\x20+[^\W\d_]+(?:['’-][^\W\d_]+)*[.,;:!?)]*", re.IGNORECASE)
 _ENDPOINT = re.compile(r"\b(?:https?|ftps?|ssh|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]{3,}|(?<![A-Za-z0-9])(?:host|server|endpoint)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9.-]{3,}(?::[0-9]+)?", re.IGNORECASE | re.ASCII)
 #: A name and a password in front of a URL's host.
 _IN_URL = re.compile(r"://([^\s:/@\"'<>]+):([^\s:/@\"'<>]+)@")
@@ -80,20 +82,26 @@ def find_secrets(text: str | None, reach: int = 200) -> list[tuple[str, int, int
     found += [("hex", *m.span()) for m in _HEX.finditer(text)]
     if (":" in text or "=" in text) and any(c in low for c in _CUES):
         for role, pattern in (("identifier", _IDENTIFIER), ("secret", _SECRET), ("endpoint", _ENDPOINT)):
-            parts += [(role, *m.span(), True) for m in pattern.finditer(text)]
+            parts += [(role, *m.span(), True) for m in pattern.finditer(text) if role != "secret" or not _prose(text, m)]
         for m in _IN_URL.finditer(text) if "://" in text else ():
             parts += [("identifier", *m.span(1), True), ("secret", *m.span(2), True)]
         found += _outermost(link(parts, reach, overlap=True))
     return sorted(set(found), key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
+def _prose(text: str, m: re.Match) -> bool:
+    """Whether a loose part reads as a sentence, such as `the key: important people`; not behind another name's part, as in db_pass."""
+    return bool(_PROSE.fullmatch(m[0])) and text[m.start() - 1 : m.start()] not in ("_", "-", ".")
+
+
 def secrets(text: Column | str, reach: int = 200) -> Column:
     """A column of the spans (kind, start, end) in each whole text.
 
     Fixed shapes: `assign`, a named value of 12 characters or more; `access`, an access key id of 18 or more; `hex`, a
     run of 16 hexadecimal digits or more. Weak parts (account names, short or loosely named secrets, endpoints) are
     reported as `identifier`, `secret` and `endpoint` only where some of a complementary part lies within `reach`
-    characters. Spans are whole, however long a value is and however many spaces stand around its sign.
+    characters. Spans are whole, however long a value is and however many spaces stand around its sign. A loose name
+    with a colon, a space and a word of letters alone is prose, and no part.
     Null and empty texts have none.
     """
     @arrow_udf(FOUND)

@@ -288,7 +288,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> Model:
 def with_toxicity(docs: DataFrame, labels: DataFrame, column: str = "toxicity", **options) -> DataFrame:
     """The documents with a score from 0 to 1, higher where the label 1 is likelier, from their whole texts alone.
 
-    Null, empty and wordless texts all have the score of a text without evidence. A column of that name is replaced.
+    Null, empty and wordless texts all have the score of a text without evidence. Long texts are read whole, in time in
+    proportion to their words. Rows repeated under a doc_id are scored alike, and count as often as they occur where they are
+    learnt from; a null doc_id is scored but has no label. An empty table stays empty, and without labels of both classes every score
+    is the share of toxic ones. A column of that name is replaced, and all others stay.
     """
     model = train(docs, labels, **options)
     name, shared = uuid.uuid4().hex, docs.sparkSession.sparkContext.broadcast(model)

@@ -168,6 +168,17 @@ def test_linked_parts_are_found_and_lone_ones_left_alone():
     assert [(k, url[a:b]) for k, a, b in secret_scan.find_secrets(url) if k != "endpoint"] == [("identifier", "bob"), ("secret", "hunter2x")]
 
 
+def test_prose_with_links_is_left_alone():
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(6, 10)))
+    for _ in range(300):
+        name, link = rng.choice(["the key", "Key", "a pass", "Auth", "credentials"]), rng.choice([f"https://{word()}.org/page", f"host: {word()}.org"])
+        text = f"{word()} {name}: {word()}{rng.choice(['', ',', '.'])} {word()}, see {link} {word()}"
+        assert secret_scan.find_secrets(text) == [], text
+        for real in (f"pass={word()}", f"db_pass: {word()}", f"key: {word()}7", f'"auth": "{word()}"', f"pwd: {word()}"):
+            assert [k for k, _, _ in secret_scan.find_secrets(f"{word()} {real} {link} {word()}")] == ["secret", "endpoint"], real
+
+
 def test_held_out_precision_and_recall_of_added_spans(docs_of):
     """Trees fitted on some documents, measured on spans of other documents that no fixed shape covers, among look-alikes."""
     rng = random.Random(21)
