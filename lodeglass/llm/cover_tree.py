@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -19,23 +19,74 @@ LEAF, PIVOT_SAMPLE, SEARCHED = 16, 4096, 256
 NOTHING, NOBODY = np.iinfo(np.int64).min + 1, np.iinfo(np.int64).max
 
 
+@dataclass
+class Tree:
+    """A cover tree's nodes, numbered by breadth from the root, 0. Node i's rows (places of vectors) are the `size[i]` ones from
+    `rows[start[i]]` on, its centre first, all within `radius[i]` of it; its children are the nodes `first[i]` to `first[i + 1]`."""
+
+    rows: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+    first: np.ndarray
+    radius: np.ndarray
+
+    def node(self, i: int) -> Node:
+        run = self.rows[self.start[i] : self.start[i] + self.size[i]]
+        return Node(int(run[0]), float(self.radius[i]), run, range(self.first[i], self.first[i + 1]), self)
+
+    def pack(self) -> tuple[bytes, bytes]:
+        """The nodes as bytes, for vectors that are stored in the order of `rows`."""
+        return np.stack([self.start, self.size, self.first[1:]]).astype("<i4").tobytes(), self.radius.astype("<f8").tobytes()
+
+    @classmethod
+    def unpack(cls, nodes: bytes, radii: bytes) -> Tree:
+        start, size, last = np.frombuffer(nodes, "<i4").reshape(3, -1)
+        return cls(np.arange(size[0]), start, size, np.r_[1, last], np.frombuffer(radii, "<f8"))
+
+
 @dataclass
 class Node:
-    """Vectors of a block, given by their places (`rows`), within `radius` of the one at `centre`.
+    """Vectors of a block, given by their places (`rows`), within `radius` of the one at `centre`; its children's numbers in a tree.
 
-    Its children's centres are at `heads`; a child is a node, or only its rows where it isn't split itself.
+    One without children is a leaf, or rows of several leaves, kept together so that they meet what they meet at once.
     """
 
     centre: int
     radius: float
     rows: np.ndarray
-    heads: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    radii: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    children: list[Node | np.ndarray] = field(default_factory=list)
+    children: range = range(0)
+    tree: Tree | None = None
+
+    def _of(self, what: np.ndarray) -> np.ndarray:
+        return what[self.children.start : self.children.stop]
+
+    @property
+    def heads(self) -> np.ndarray:
+        """The children's centres."""
+        return self.tree.rows[self._of(self.tree.start)]
+
+    @property
+    def radii(self) -> np.ndarray:
+        return self._of(self.tree.radius)
+
+    @property
+    def sizes(self) -> np.ndarray:
+        return self._of(self.tree.size)
 
     def child(self, i: int) -> Node:
-        c = self.children[i]
-        return c if isinstance(c, Node) else Node(int(self.heads[i]), float(self.radii[i]), c)
+        return self.tree.node(self.children[i])
+
+    def split(self, places: np.ndarray, tops: np.ndarray) -> list[tuple[float, Node]]:
+        """The children at these places with their bounds, highest last, and after them all rows of leaves in one."""
+        places = places[np.argsort(tops[places], kind="stable")]
+        numbers = places + self.children.start
+        leaf = self.tree.first[numbers] == self.tree.first[numbers + 1]
+        out = [(float(tops[i]), self.child(i)) for i in places[~leaf]]
+        if leaf.any():
+            start, size = self.tree.start[numbers[leaf]], self.tree.size[numbers[leaf]]
+            at = np.repeat(start - np.cumsum(size) + size, size) + np.arange(size.sum())
+            out.append((float(tops[places[leaf]].max()), Node(self.centre, self.radius, self.tree.rows[at])))
+        return out
 
 
 def net(x: np.ndarray, most: int) -> np.ndarray:
@@ -52,8 +103,8 @@ def nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 
 
 def build(x: np.ndarray) -> Node:
-    """A cover tree: children cover their node's vectors within half its radius (covering), and their centres, the node's own
-    among them, lie farther apart than that (separation); there are as many of them as this takes."""
+    """The root of a cover tree: children cover their node's vectors within half its radius (covering), and their centres, the
+    node's own among them, lie farther apart than that (separation); there are as many of them as this takes."""
     apart = (x @ x.T).astype(np.float64)
     squares = apart.diagonal().copy()
     apart *= -2
@@ -61,25 +112,29 @@ def build(x: np.ndarray) -> Node:
     apart += squares[:, None]
     np.sqrt(np.maximum(apart, 0, out=apart), out=apart)
 
-    def grow(centre: int, rows: np.ndarray) -> Node:
-        far = apart[centre][rows]
-        radius, heads, owner = float(far.max()), [centre], np.zeros(len(rows), np.int64)
-        if len(rows) <= LEAF or radius == 0:
-            return Node(centre, radius, rows)
-        while far[k := int(far.argmax())] > radius / 2:
-            near = apart[rows[k]][rows]
-            owner[near < far] = len(heads)
-            np.minimum(far, near, out=far)
-            heads.append(int(rows[k]))
-        order = np.argsort(owner, kind="stable")
-        parts = np.split(rows[order], np.searchsorted(owner[order], np.arange(1, len(heads))))
-        radii = np.maximum.reduceat(far[order], np.searchsorted(owner[order], np.arange(len(heads))))
-        children = [part if len(part) <= LEAF or r == 0 else grow(h, part) for h, part, r in zip(heads, parts, radii, strict=True)]
-        return Node(centre, radius, rows, np.array(heads), radii, children)
-
-    tree = grow(int(((x - x.mean(0)) ** 2).sum(1).argmin()), np.arange(len(x)))
-    grow = None  # else the function holds itself, and with it the distances
-    return tree
+    rows, root = np.arange(len(x)), int(((x - x.mean(0)) ** 2).sum(1).argmin())
+    rows[[0, root]] = root, 0
+    start, size, first, radius, i = [0], [len(x)], [1], [float(apart[root].max())], 0
+    while i < len(start):
+        if size[i] > LEAF and radius[i] > 0:
+            run = rows[start[i] : start[i] + size[i]]
+            far, heads, owner = apart[run[0]][run], [0], np.zeros(size[i], np.int64)
+            while far[k := int(far.argmax())] > radius[i] / 2:
+                near = apart[run[k]][run]
+                owner[near < far] = len(heads)
+                np.minimum(far, near, out=far)
+                heads.append(k)
+            place = 2 * owner + 1
+            place[heads] -= 1
+            order, held = np.argsort(place, kind="stable"), np.bincount(owner)
+            begins = np.cumsum(held) - held
+            start += (start[i] + begins).tolist()
+            size += held.tolist()
+            radius += np.maximum.reduceat(far[order], begins).tolist()
+            run[:] = run[order]
+        first.append(len(start))
+        i += 1
+    return Tree(rows, np.array(start), np.array(size), np.array(first), np.array(radius)).node(0)
 
 
 class Best:
@@ -95,24 +150,27 @@ class Best:
 
     def offer(self, rows: np.ndarray, scores: np.ndarray, ids: np.ndarray, own: np.ndarray) -> None:
         """Candidates `ids` with a row of scores for each query in `rows`; a query's own id doesn't count."""
-        good = scores >= self.worst[rows][:, None]
-        some, which = good.any(1), good.any(0)
-        if not some.any():
+        low, k = self.worst[rows], self.k
+        good = scores >= low.astype(scores.dtype)[:, None]
+        if len(ids) > 2 * k and np.count_nonzero(good) > 2 * k * len(rows):
+            rest = np.where(ids == own[rows][:, None], scores.dtype.type(NOTHING), scores)
+            good &= scores >= np.partition(rest, len(ids) - k, axis=1)[:, len(ids) - k, None]
+        q, c = np.nonzero(good)
+        s, d = scores[q, c].astype(np.int64), ids[c]
+        new = (d != own[rows[q]]) & ((s > low[q]) | (d < self.ids[rows[q], -1]))
+        if not new.any():
             return
-        rows, scores, ids = rows[some], scores[some][:, which].astype(np.int64), np.broadcast_to(ids[which], (int(some.sum()), int(which.sum())))
-        mine = ids == own[rows][:, None]
-        s = np.concatenate([self.scores[rows], np.where(mine, self.scores.dtype.type(NOTHING), scores)], 1)
-        d = np.concatenate([self.ids[rows], np.where(mine, NOBODY, ids)], 1)
-        if s.shape[1] > 4 * self.k:
-            least = -np.partition(-s, self.k - 1, axis=1)[:, self.k - 1 : self.k]
-            near = (s >= least).any(0)
-            s, d = s[:, near], d[:, near]
-        order = np.lexsort((d, -s), axis=1)[:, : self.k]
-        self.scores[rows], self.ids[rows] = np.take_along_axis(s, order, 1), np.take_along_axis(d, order, 1)
+        met, who = np.unique(q[new], return_inverse=True)
+        rows, who = rows[met], np.concatenate([np.repeat(np.arange(len(met)), k), who])
+        s, d = np.concatenate([self.scores[rows].ravel(), s[new]]), np.concatenate([self.ids[rows].ravel(), d[new]])
+        order = np.lexsort((d, -s, who))
+        order = order[np.searchsorted(who[order], np.arange(len(met)))[:, None] + np.arange(k)]
+        self.scores[rows], self.ids[rows] = s[order], d[order]
 
 
 def bound(a: np.ndarray, ra, b: np.ndarray, rb):
     """No inner product of a vector within `ra` of `a` and one within `rb` of `b` is higher; for one pair, or a row of centres `a` or `b` and their radii."""
+    a, b = a.astype(np.float64), b.astype(np.float64)
     dot = a @ b if a.ndim >= b.ndim else b @ a
     return dot + ra * np.sqrt((b * b).sum(-1)) + rb * np.sqrt((a * a).sum(-1)) + ra * rb + 1e-6 * (1 + np.abs(dot))
 
@@ -120,34 +178,40 @@ def bound(a: np.ndarray, ra, b: np.ndarray, rb):
 def dual(q: np.ndarray, own: np.ndarray, qtree: Node, x: np.ndarray, ids: np.ndarray, xtree: Node, best: Best) -> int:
     """Offers to every query all data that may belong to its best; node pairs that can't beat the group's worst kth score are pruned.
 
-    The node of larger radius is split first. A query node that isn't split has a bound for each of its queries. Returns
-    how many scores of a query and a vector were offered.
+    The node of larger radius is split first, and its leaves go on together. Queries in leaves have a bound each, and meet a
+    data node's children at once: with children of one vector that gives the scores. Returns how many scores of a query and a
+    vector were offered.
     """
     lengths, stack, offered = np.sqrt((q.astype(np.float64) ** 2).sum(1)), [(np.inf, qtree, xtree)], 0
     while stack:
         top, a, b = stack.pop()
         if top < best.worst[a.rows].min():
             continue
-        if not a.children and not b.children:
-            best.offer(a.rows, q[a.rows] @ x[b.rows].T, ids[b.rows], own)
-            offered += len(a.rows) * len(b.rows)
-        elif a.children and (not b.children or a.radius >= b.radius):
+        if a.children and (not b.children or a.radius >= b.radius):
             tops = bound(q[a.heads], a.radii, x[b.centre], b.radius)
-            stack += [(float(tops[i]), a.child(i), b) for i in np.argsort(tops, kind="stable")]
-        else:
-            if a.children:
-                tops = bound(x[b.heads], b.radii, q[a.centre], a.radius)
-                alive = np.flatnonzero(tops >= best.worst[a.rows].min())
-            else:
-                dots = q[a.rows] @ x[b.heads].T
-                each = dots + lengths[a.rows][:, None] * b.radii + 1e-6 * (1 + np.abs(dots))
-                tops, alive = each.max(0), np.flatnonzero((each >= best.worst[a.rows][:, None]).any(0))
-            alive = alive[np.argsort(tops[alive], kind="stable")]
-            whole = [i for i in alive if isinstance(b.children[i], Node)]
-            stack += [(float(tops[i]), a, b.children[i]) for i in whole]
-            if len(whole) < len(alive):
-                rest = np.concatenate([b.children[i] for i in alive if not isinstance(b.children[i], Node)])
-                stack.append((np.inf, a, Node(b.centre, b.radius, rest)))
+            stack += [(t, part, b) for t, part in a.split(np.arange(len(tops)), tops)]
+            continue
+        if a.children:
+            tops = bound(x[b.heads], b.radii, q[a.centre], a.radius)
+            stack += [(t, a, part) for t, part in b.split(np.flatnonzero(tops >= best.worst[a.rows].min()), tops)]
+            continue
+        rows = a.rows[bound(q[a.rows], 0.0, x[b.centre], b.radius) >= best.worst[a.rows]]
+        if not len(rows):
+            continue
+        if not b.children:
+            best.offer(rows, q[rows] @ x[b.rows].T, ids[b.rows], own)
+            offered += len(rows) * len(b.rows)
+            continue
+        heads, one = b.heads, b.sizes == 1
+        dots = q[rows] @ x[heads].T
+        if one.any():
+            best.offer(rows, dots if one.all() else dots[:, one], ids[heads[one]], own)
+            offered += len(rows) * int(one.sum())
+        if not one.all():
+            each = np.full(dots.shape, -np.inf)
+            each[:, ~one] = dots[:, ~one] + lengths[rows][:, None] * b.radii[~one] + 1e-6 * (1 + np.abs(dots[:, ~one]))
+            alive = np.flatnonzero((each >= best.worst[rows][:, None]).any(0))
+            stack += [(t, Node(a.centre, a.radius, rows), part) for t, part in b.split(alive, each.max(0))]
     return offered
 
 
@@ -166,12 +230,13 @@ def _matrix(lists: pa.Array, width: int) -> np.ndarray:
     return out
 
 
-_BLOCK = "pivot bigint, block bigint, id array<bigint>, v binary, centre array<double>, radius double, reach double"
+_BLOCK = "pivot bigint, block bigint, id array<bigint>, v binary, centre array<double>, radius double, reach double, nodes binary, radii binary"
 
 
-def blocks(rows: DataFrame, pivots: np.ndarray, most: int, dtype: str) -> DataFrame:
+def blocks(rows: DataFrame, pivots: np.ndarray, most: int, dtype: str, exact: str) -> DataFrame:
     """Blocks of about `most` vectors at most that have the same nearest pivot: pivot, a key, ids, vectors as integers of
-    the given type, their centre and covering radius, and how far from the pivot they reach.
+    the given type, their centre and covering radius, how far from the pivot they reach, and their cover tree, built once
+    here, in whose order ids and vectors are; distances come from inner products of type `exact`.
 
     A pivot with many vectors, copies of one included, is spread over as many blocks as it needs by a hash of the id,
     so no task gathers all of it.
@@ -186,11 +251,14 @@ def blocks(rows: DataFrame, pivots: np.ndarray, most: int, dtype: str) -> DataFr
 
     def gather(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         payload, pivot = b"".join(table["v"].to_pylist()), key[0].as_py()
-        x = np.frombuffer(payload, dtype).reshape(-1, width).astype(np.float64)
+        packed = np.frombuffer(payload, dtype).reshape(-1, width)
+        x, tree = packed.astype(np.float64), build(packed.astype(exact)).tree
         centre, far = x.mean(0), lambda c: float(np.sqrt(((x - c) ** 2).sum(1).max()))
+        nodes, radii = tree.pack()
         return pa.table({
-            "pivot": [pivot], "block": [pivot << 32 | key[1].as_py()], "id": pa.array([table["id"].to_pylist()], pa.list_(pa.int64())), "v": pa.array([payload], pa.binary()),
+            "pivot": [pivot], "block": [pivot << 32 | key[1].as_py()], "id": pa.array([table["id"].to_numpy()[tree.rows]], pa.list_(pa.int64())), "v": pa.array([packed[tree.rows].tobytes()], pa.binary()),
             "centre": pa.array([centre.tolist()], pa.list_(pa.float64())), "radius": [far(centre)], "reach": [far(shared.value[pivot])],
+            "nodes": pa.array([nodes], pa.binary()), "radii": pa.array([radii], pa.binary()),
         })
 
     found = rows.mapInArrow(near, "id bigint, v binary, pivot bigint")
@@ -228,7 +296,7 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, id_column: str = "vec_id",
     exact = next((t for t, top in (("<f4", 2**24), ("<f8", 2**53)) if (most or 0) ** 2 * width < top), "<i8")
     drawn = _matrix(sample["v"].combine_chunks(), width)
     centres = drawn[net(drawn, pivots)]
-    data, asked = blocks(rows, centres, block, dtype), blocks(rows.filter(is_query(F.col("id"))), centres, query_block, dtype)
+    data, asked = blocks(rows, centres, block, dtype, exact), blocks(rows.filter(is_query(F.col("id"))), centres, query_block, dtype, exact)
     heads, heads_q = (x.select("pivot", "block", "centre", "radius", "reach", F.size("id").alias("n")) for x in (data, asked))
 
     reach, reach_q = ({r.pivot: (r.reach, r.n) for r in h.groupBy("pivot").agg(F.max("reach").alias("reach"), F.sum("n").alias("n")).collect()} for h in (heads, heads_q))
@@ -253,13 +321,13 @@ def top_k(vectors: DataFrame, is_query, k: int = 20, id_column: str = "vec_id",
 
 def _search(wanted: DataFrame, data: DataFrame, asked: DataFrame, width: int, dtype: str, exact: str, k: int, schema: str) -> DataFrame:
     """The pairs searched: each query block meets its data blocks in tasks of about SEARCHED of them, one after another, and the k best of all its parts remain."""
-    names = ["q", "part", "d", "top", "id", "v"]
+    names = ["q", "part", "d", "top", "id", "v", "nodes", "radii"]
     parts = wanted.groupBy("q").agg(F.ceil(F.count("*") / F.lit(SEARCHED)).alias("parts"))
-    sent = wanted.join(parts, "q").withColumn("part", F.pmod(F.xxhash64("d"), F.col("parts"))).join(data.select(F.col("block").alias("d"), "id", "v"), "d").select(names)
-    own = asked.withColumnRenamed("block", "q").join(parts, "q").select("q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("bigint").alias("d"), F.lit(float("inf")).alias("top"), "id", "v")
+    sent = wanted.join(parts, "q").withColumn("part", F.pmod(F.xxhash64("d"), F.col("parts"))).join(data.select(F.col("block").alias("d"), "id", "v", "nodes", "radii"), "d").select(names)
+    own = asked.withColumnRenamed("block", "q").join(parts, "q").select("q", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("part"), F.lit(None).cast("bigint").alias("d"), F.lit(float("inf")).alias("top"), "id", "v", "nodes", "radii")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state, trees = None, None, {}
+        now, state = None, None
 
         def close() -> pa.RecordBatch:
             _, ids, _, best = state
@@ -269,20 +337,17 @@ def _search(wanted: DataFrame, data: DataFrame, asked: DataFrame, width: int, dt
 
         for batch in batches:
             for i in range(batch.num_rows):
-                key, d, ids = (batch["q"][i].as_py(), batch["part"][i].as_py()), batch["d"][i].as_py(), batch["id"][i].values.to_numpy()
+                key, ids = (batch["q"][i].as_py(), batch["part"][i].as_py()), batch["id"][i].values.to_numpy()
                 if key == now and batch["top"][i].as_py() < state[3].worst.min():
                     continue
-                x = np.frombuffer(batch["v"][i].as_py(), dtype).reshape(-1, width).astype(exact)
-                if key != now:
-                    if state:
-                        yield close()
-                    now, state = key, (x, ids, build(x), Best(len(ids), k))
-                else:
-                    if d not in trees:
-                        if len(trees) >= 32:
-                            trees.clear()
-                        trees[d] = build(x)
-                    dual(state[0], state[1], state[2], x, ids, trees[d], state[3])
+                x = np.frombuffer(batch["v"][i].as_buffer(), dtype).reshape(-1, width).astype(exact)
+                root = Tree.unpack(batch["nodes"][i].as_buffer(), batch["radii"][i].as_buffer()).node(0)
+                if key == now:
+                    dual(state[0], state[1], state[2], x, ids, root, state[3])
+                    continue
+                if state:
+                    yield close()
+                now, state = key, (x, ids, root, Best(len(ids), k))
         if state:
             yield close()
 

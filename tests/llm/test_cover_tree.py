@@ -96,3 +96,50 @@ def test_parts_of_a_search_are_merged(spark, monkeypatch):
     rows = [(i, rng.normal(size=6).tolist()) for i in range(300)]
     got = sorted(tuple(r) for r in cover_tree.top_k(table(spark, rows), lambda c: c % 20 == 0, 9, pivots=2, block=20).collect())
     assert got == brute(rows, 9, 20)
+
+
+def test_leaves_are_searched_together():
+    rng = np.random.default_rng(3)
+    x = np.round(64 * (v := rng.normal(size=(1500, 64))) / np.linalg.norm(v, axis=1)[:, None])  # nearly orthogonal: children are single vectors
+    queries, calls = np.arange(0, 1500, 15), []
+
+    class Counted(cover_tree.Best):
+        def offer(self, *args):
+            calls.append(1)
+            return super().offer(*args)
+
+    best = Counted(len(queries), 20)
+    cover_tree.dual(x[queries], queries, cover_tree.build(x[queries]), x, np.arange(1500), cover_tree.build(x), best)
+    assert len(calls) < 10
+    scores = x[queries] @ x.T
+    scores[np.arange(len(queries)), queries] = -1e18
+    ids = np.lexsort((np.broadcast_to(np.arange(1500), scores.shape), -scores), axis=1)[:, :20]
+    assert (best.ids == ids).all() and (best.scores == np.take_along_axis(scores, ids, 1)).all()
+
+
+def test_blocks_hold_their_trees(spark):
+    rng = np.random.default_rng(6)
+    x = np.round(20 * rng.normal(size=(5, 4))[rng.integers(0, 5, 200)] + 3 * rng.normal(size=(200, 4)))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id bigint, v array<double>")
+    seen = []
+    for b in cover_tree.blocks(rows, x[:2], 60, "<i1", "<f4").collect():
+        here = np.frombuffer(b.v, "<i1").reshape(-1, 4)
+        assert (here == x[list(b.id)]).all()
+        seen += b.id
+        stack, leaves = [cover_tree.Tree.unpack(b.nodes, b.radii).node(0)], 0
+        assert sorted(stack[0].rows) == list(range(len(b.id)))
+        while stack:
+            n = stack.pop()
+            assert np.sqrt(((here[n.rows] - 1.0 * here[n.centre]) ** 2).sum(1)).max() <= n.radius + 1e-9
+            leaves += 0 if n.children else len(n.rows)
+            stack += [n.child(i) for i in range(len(n.children))]
+        assert leaves == len(b.id)
+    assert sorted(seen) == list(range(200))
+
+
+def test_bounds_hold_for_single_precision():
+    for m in range(1, 60):
+        a, b, t = np.array([m, 2 * m + 1], np.float32), np.array([-2 * m - 1, m], np.float32), 300
+        highest = int(t * (a @ a))  # a's product with b + t * a, as a and b are at right angles
+        assert cover_tree.bound(a[None], 0.0, b, t * math.sqrt(a @ a))[0] >= highest
+        assert cover_tree.bound(b[None], np.array([t * math.sqrt(a @ a)]), a, 0.0)[0] >= highest
