@@ -217,8 +217,7 @@ CASE WHEN contains(lower(s), 'em') THEN 'em' WHEN contains(lower(s), 'tion') THE
 def e4_e8_claims(t):
     """Claims with benchmark, metric, value, delta and unit of the best four sentences of each article; to every second article, a sentence of gains is added."""
     made = evidence.claims(evidence.snippets(_with_gains(t), benchmarks=tuple(MARKS)), MARKS, METRICS)
-    numbers = F.transform("numbers", lambda x: F.format_string("%.3f", x))
-    return made.select("id", "rank", "benchmark", "metric", "value", "delta", "unit", F.array_join(numbers, ",").alias("numbers"))
+    return made.select("id", "rank", "benchmark", "metric", "value", "delta", "unit", F.array_join(text.three_places("numbers"), ",").alias("numbers"))
 
 
 _SAID = with_tables("", "articles").replace("WITH articles AS", "WITH plain AS", 1) + f", articles AS (SELECT * REPLACE (CASE WHEN id % 2 = 0 THEN content || chr(10) || '. ' || ({_list(GAIN_SENTENCES)})[(id // 2) % {len(GAIN_SENTENCES)} + 1] ELSE content END AS content) FROM plain)"
