@@ -39,7 +39,7 @@ TABLE = {
     "secrecy_terms": f"""secrecy_terms(content STRING, terms ARRAY<STRING>) RETURNS TABLE (term STRING, severity STRING) RETURN SELECT t.col, CASE WHEN exists({_strings(lexicons.CRITICAL_TERMS)}, x -> contains(lower(t.col), x)) THEN 'critical'
         WHEN exists({_strings(lexicons.HIGH_TERMS)}, x -> contains(lower(t.col), x)) THEN 'high' ELSE 'medium' END FROM explode(filter(terms, x -> contains(lower(content), x))) AS t""",
 }
-_END, _SPACE = re.compile(r"(?<=[.!?。！？；])\s+"), re.compile(r"\s+", re.ASCII)
+_END, _SPACE = re.compile(r"(?<=[.!?。！？；])\s+", re.ASCII), re.compile(r"\s+", re.ASCII)
 _DELTAS = [(re.compile(rf"{g}\s+{NUMBER}\s*%", re.I | re.ASCII), "%") for g in (*GAINS, "up")] + [(re.compile(rf"{g}\s+{NUMBER}", re.I | re.ASCII), None) for g in (*GAINS, "delta")]
 _PERCENT, _NUMBER = re.compile(NUMBER + r"\s*%", re.ASCII), re.compile(NUMBER, re.ASCII)
 
@@ -55,9 +55,9 @@ def best_sentences(content: str | None, terms: list[str], most: int = 4) -> list
     return [s for _, s in sorted(found.values(), key=lambda x: -x[0])[:most]]
 
 
-@udtf(returnType="id: bigint, rank: int, claim: string, benchmark: string, value: double, delta: double, unit: string")
+@udtf(returnType="id: bigint, rank: int, claim: string, benchmark: string, value: double, delta: double, unit: string", useArrow=True)  # else a map comes in the order of its keys' hashes
 class ExtractClaims:
-    """extract_claims(terms, benchmarks, TABLE(id, content, ...) PARTITION BY id): the claims of each article.
+    """extract_claims(terms, benchmarks, TABLE(id, content, ...) PARTITION BY id): the claims of each article; of several benchmarks in a sentence the first in the map's order counts.
 
     A partition is one article's rows, so no key gathers more than a task can stream; of repeated rows of an id each gives its claims.
     """

@@ -25,3 +25,8 @@ def documents(*texts):
 def test_numbers_of_claims_are_exact(spark, tmp_path):
     got, want = both(spark, tmp_path, "e4_e8_claims", documents=documents("Numbers like 909955422195631400000 and 1.0005, 2.0625 or 12345678901234567 in a row."))
     assert got == want and got[0][-1] == "909955422195631390720.000,1.000,2.062,12345678901234568.000"
+
+
+def test_the_first_benchmark_of_the_list_counts(spark, tmp_path):
+    got, want = both(spark, tmp_path, "sql_extracted_claims", documents=documents("A berth in a month, an arc of 30 percent stands.", "The month in a berth was a novel one then.", "A novel one.\u3000Unbroken at odd spaces.\u00a0As 7% of all are."))
+    assert got == want and [r[3] for r in got] == ["ARC", "ERTH", None]
