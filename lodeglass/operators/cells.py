@@ -15,6 +15,7 @@ from lodeglass.operators.storage import cut
 from lodeglass.operators.vectors import unit
 
 _SLACK = 1e-6  #: of angles, as rounding moves them
+_GROUP = 32 << 20  #: bytes of vectors in a group, of which a task holds one
 _LINKS = "array<struct<a: bigint, b: bigint, cosine: double>>"
 
 
@@ -121,41 +122,205 @@ def _links(rows: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.Array:
     return pa.ListArray.from_arrays(np.append(0, np.cumsum([len(r[0]) for r in rows])).astype(np.int32), values)
 
 
+class _Met:
+    """What a task knows of one pair of groups: the left one's vectors, and the numbers (nodes) of all rows that have come."""
+
+    def __init__(self) -> None:
+        self.held: list[tuple] = []  # place, cells, ids, u and codes of blocks, in order of place
+        self.ids = None
+
+    def build(self, cells: int) -> None:
+        """Once all blocks of the left group are there."""
+        self.places = np.array([h[0] for h in self.held])
+        self.wants = np.zeros((len(self.held), cells), bool)
+        for row, h in zip(self.wants, self.held, strict=True):
+            row[h[1]] = True
+        self.ids, self.u, self.codes = (np.concatenate([h[k] for h in self.held]) for k in (2, 3, 4))
+        self.starts = np.append(0, np.cumsum([len(h[2]) for h in self.held]))
+        self.held = []
+
+    def ranges(self, cell: int, place: int) -> Iterator[tuple[int, int, bool]]:
+        """Rows of the left group, at most 4,096 at a time, that a block of this cell and place meets, and whether they are that block's own."""
+        asking = self.wants[:, cell] & (self.places < place)
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], asking.astype(np.int8), [0]])))
+        for first, last in zip(self.starts[edges[::2]], self.starts[edges[1::2]], strict=True):
+            for at in range(first, last, 4096):
+                yield at, min(at + 4096, last), False
+        for k in np.flatnonzero(self.places == place):
+            yield self.starts[k], self.starts[k + 1], True
+
+
+def _found(batches: Iterator[pa.RecordBatch], least: float, named: bool, cells: int) -> Iterator[tuple]:
+    """Of rows sorted by pair of groups, side and place: for each right block (state, its place, its ids, and chunks of left rows from `at` to `to` with the links found there as row numbers of both sides and cosines), and None after a pair's last."""
+    pair, met, known = None, None, {}
+    for batch in batches:
+        of, side, place, cell, wanted, members = (batch.column(c) for c in ("pair", "side", "place", "cell", "cells", "members"))
+        for k in range(batch.num_rows):
+            if of[k].as_py() != pair:
+                if pair is not None:
+                    yield met, None, None, None
+                pair, met = of[k].as_py(), _Met()
+            here, rows = place[k].as_py(), members[k].values
+            ids, u = rows.field("id").to_numpy(zero_copy_only=False), _matrix(rows.field("u"))
+            if named:  # -1 for rows of several origins, which may meet all
+                ends = zip(rows.field("lowest").to_pylist(), rows.field("highest").to_pylist(), strict=True)
+                codes = np.array([known.setdefault(x, len(known)) if x == y else -1 for x, y in ends], np.int64)
+            else:
+                codes = np.full(len(ids), -1, np.int64)
+            if side[k].as_py() == 0:
+                met.held.append((here, wanted[k].values.to_numpy(zero_copy_only=False), ids, u, codes))
+                continue
+            if met.ids is None:
+                met.build(cells)
+
+            def chunks(met=met, ids=ids, u=u, codes=codes, cell=cell[k].as_py(), here=here):
+                for at, to, own in met.ranges(cell, here):
+                    near = met.u[at:to] @ u.T
+                    flat = np.flatnonzero(near >= least)
+                    i, j = np.divmod(flat, len(ids))
+                    keep = (met.codes[at + i] < 0) | (met.codes[at + i] != codes[j])
+                    if own:
+                        keep &= met.ids[at + i] < ids[j]
+                    yield at, to, i[keep], j[keep], near.ravel()[flat[keep]]
+
+            yield met, here, ids, chunks()
+    if pair is not None:
+        yield met, None, None, None
+
+
+def _tied(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the trees of the ends of links, in place; every node points at its root, before and after."""
+    while len(a):
+        a, b = parent[a], parent[b]
+        apart = a != b
+        a, b = a[apart], b[apart]
+        np.minimum.at(parent, np.maximum(a, b), np.minimum(a, b))
+        while (parent != parent[parent]).any():
+            parent[:] = parent[parent]
+
+
+def _met_groups(vectors: DataFrame, least: float, lowest: str | None, highest: str | None, block: int) -> tuple[DataFrame, int] | None:
+    """Blocks dealt out to the pairs of groups in which they meet others (pair, side, place, cell, cells, members), sorted in each partition, and the number of cells; None for no vectors.
+
+    A group is a run of blocks in order of cells, of at most some 32 MB of vectors (and smaller where cores would idle). A
+    block goes to each group that it needs once, and not to each cell, so what is shuffled grows with the vectors times
+    the groups. A task holds the blocks of one side's group and streams the other's.
+    """
+    spark = vectors.sparkSession
+    named = [F.col(lowest).alias("lowest"), F.col(highest).alias("highest")] if lowest else []
+    rows = usable(vectors.filter(F.col(lowest).isNotNull()) if lowest else vectors)
+    rows = cut(rows.select("id", "u", *named))
+    n = rows.count()
+    if not n:
+        return None
+    cells = Cells(rows, pivots(rows, n), block)
+    width, shared, radius, reach = cells.pivots.shape[1], cells.shared, cells.radius, acos(max(-1.0, min(1.0, least)))
+
+    @arrow_udf("array<int>")
+    def wanted(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for members, cell in batches:
+            out = []
+            for k in range(len(cell)):
+                own, far = cell[k].as_py(), np.arccos(np.clip(_side(members, k)[1] @ shared.value.T, -1, 1))
+                hit = ((far <= radius + reach + _SLACK) & (far <= far[:, own : own + 1] + 2 * reach + _SLACK)).any(0) & (radius >= 0)
+                hit[:own], hit[own] = False, True
+                out.append(np.flatnonzero(hit).astype(np.int32))
+            yield pa.array(out, pa.list_(pa.int32()))
+
+    parts = -(-cells.counts // block)  # blocks of each cell
+    starts = np.cumsum(parts) - parts
+    total = int(parts.sum())
+    groups = max(-(-n * width * 8 // _GROUP), int((6 * spark.sparkContext.defaultParallelism) ** 0.5))
+    size = -(-total // min(groups, total))  # blocks of a group
+    groups = -(-total // size)
+    ints = lambda values: F.array(*(F.lit(int(x)) for x in values))
+    dealt = cells.blocks(cells.rows, *(["lowest", "highest"] if named else [])).withColumn("place", F.get(ints(starts), F.col("cell")) + F.col("block").cast("int"))
+    dealt = cut(dealt.select("cell", "place", F.floor(F.col("place") / size).cast("int").alias("home"), "members", wanted(F.struct("members"), "cell").alias("cells")))
+    first, last = ints(starts // size), ints(np.maximum(starts, starts + parts - 1) // size)
+    needs = F.array_distinct(F.flatten(F.transform("cells", lambda c: F.sequence(F.get(first, c), F.get(last, c)))))
+    left = dealt.select(F.col("home").alias("g"), F.explode(F.filter(needs, lambda h: h >= F.col("home"))).alias("h"), F.lit(0).alias("side"), "place", "cell", "cells", "members")
+    asked = dealt.select(F.col("home").alias("g"), F.explode("cells").alias("cell")).distinct()
+    right = dealt.join(F.broadcast(asked), "cell").filter(F.col("home") >= F.col("g")).select("g", F.col("home").alias("h"), F.lit(1).alias("side"), "place", "cell", F.lit(None).cast("array<int>").alias("cells"), "members")
+    pair = F.expr(f"cast((bigint(g) * ({2 * groups} - g + 1)) div 2 + h - g as bigint)")
+    tasks = min(groups * (groups + 1) // 2, 10_000)
+    met = left.unionByName(right).withColumn("pair", pair).drop("g", "h")
+    return met.repartitionById(tasks, (F.col("pair") % tasks).cast("int")).sortWithinPartitions("pair", "side", "place"), len(cells.pivots)
+
+
 def similar_pairs(vectors: DataFrame, least: float, lowest: str | None = None, highest: str | None = None, block: int = 256) -> DataFrame:
     """a < b and cosine of all pairs of vectors (id, embedding) whose cosine is `least` or more; exact.
 
     With the names of two columns, which hold a row's least and greatest origin, pairs that are all of one origin are left
     out, and rows without an origin too. Ids are distinct; copies of one vector should be one row, as each pair is a row
-    here. Vectors without a direction are in no pair. An empty table has none.
+    here. Vectors without a direction are in no pair. An empty table has none. Pairs leave a task as they are found.
     """
-    rows = usable(vectors)
-    n = rows.count()
-    if not n:
-        return vectors.sparkSession.createDataFrame([], "a bigint, b bigint, cosine double")
-    cells = Cells(rows, pivots(rows, n), block)
-    reach = acos(max(-1.0, min(1.0, least)))
-    more = (lowest, highest) if lowest else ()
-    blocks = cut(cells.blocks(cells.asked(cells.rows, F.lit(reach), True), *more))
+    kind = "a bigint, b bigint, cosine double"
+    dealt = _met_groups(vectors, least, lowest, highest, block)
+    if not dealt:
+        return vectors.sparkSession.createDataFrame([], kind)
+    rows, cells = dealt
 
-    @arrow_udf(_LINKS)
-    def close(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for left, right, same in batches:
-            out = []
-            for k in range(len(same)):
-                (ids_l, u_l, l), (ids_r, u_r, r) = _side(left, k), _side(right, k)
-                near = u_l @ u_r.T
-                keep = near >= least
-                if same[k].as_py():
-                    keep &= ids_l[:, None] < ids_r
-                if more:
-                    names = [np.array(x.field(c).to_pylist(), object) for x in (l, r) for c in more]
-                    keep &= ~((names[0] == names[1])[:, None] & (names[0][:, None] == names[2]) & (names[2] == names[3]))
-                    keep &= np.array([x is not None for x in names[0]])[:, None] & np.array([x is not None for x in names[2]])
-                i, j = np.nonzero(keep)
-                out.append((np.minimum(ids_l[i], ids_r[j]), np.maximum(ids_l[i], ids_r[j]), near[i, j]))
-            yield _links(out)
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for met, _, ids, chunks in _found(batches, least, lowest is not None, cells):
+            for at, _, i, j, near in chunks or ():
+                if len(i):
+                    a, b = met.ids[at + i], ids[j]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(near)], names=["a", "b", "cosine"])
 
-    return cells.tiles(blocks, blocks).select(F.inline(close("l", "r", "same")))
+    return rows.mapInArrow(pairs, kind)
+
+
+def link_sums(vectors: DataFrame, least: float, lowest: str | None = None, highest: str | None = None, block: int = 256) -> DataFrame:
+    """id, root, links and total: the same pairs as similar_pairs without a row for each, so that any number of them takes little room.
+
+    Links that tie (id, root) connect just the vectors that the pairs connect. The sums over ids of a connected part of
+    `links` and of `total` are the number of its pairs and the sum of their cosines; every pair counts at one of its ends. A task finds the
+    components of the pairs in its two groups, and leaves a row for each vector in them: an id has a row for each group it meets, at most.
+    """
+    kind = "id bigint, root bigint, links bigint, total double"
+    dealt = _met_groups(vectors, least, lowest, highest, block)
+    if not dealt:
+        return vectors.sparkSession.createDataFrame([], kind)
+    rows, cells = dealt
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met = None
+        for state, place, ids, chunks in _found(batches, least, lowest is not None, cells):
+            if chunks is None:
+                if met is None:
+                    continue
+                _tied(parent, np.concatenate(a), np.concatenate(b))
+                every = np.concatenate(nodes)
+                low = np.full(len(every), np.iinfo(np.int64).max)
+                np.minimum.at(low, parent, every)
+                root, n = low[parent], np.append(links, np.zeros(len(every) - len(links), np.int64))
+                keep = np.flatnonzero((root != every) | (n > 0))
+                sum_of = np.append(total, np.zeros(len(every) - len(total)))
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (every, root, n, sum_of)], names=["id", "root", "links", "total"])
+                met = None
+                continue
+            if met is not state:
+                met, nodes, parent = state, [state.ids], np.arange(len(state.ids))
+                links, total, a, b, waiting = np.zeros(len(parent), np.int64), np.zeros(len(parent)), [parent[:0]], [parent[:0]], 0
+            own = np.flatnonzero(met.places == place)
+            if len(own):
+                base = met.starts[own[0]]
+            else:
+                base = len(parent)
+                nodes.append(ids)
+                parent = np.append(parent, np.arange(base, base + len(ids)))
+            for at, to, i, j, near in chunks:
+                links[at:to] += np.bincount(i, minlength=to - at)
+                total[at:to] += np.bincount(i, near, to - at)
+                apart = np.flatnonzero(parent[at + i] != parent[base + j])
+                a.append(at + i[apart])
+                b.append(base + j[apart])
+                waiting += len(apart)
+            if waiting > 1 << 18:
+                _tied(parent, np.concatenate(a), np.concatenate(b))
+                a, b, waiting = [parent[:0]], [parent[:0]], 0
+
+    return rows.mapInArrow(sums, kind)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 256) -> DataFrame:

@@ -1,5 +1,6 @@
 """Vector joins and components against brute force."""
 
+import os
 import random
 
 import numpy as np
@@ -91,3 +92,42 @@ def test_components_equal_brute_force(spark):
     got = components.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()
     assert {r.id: r.component for r in got} == low and len(got) == len(low)
     assert components.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+@pytest.mark.parametrize("least, block, group", [(0.95, 16, 2048), (0.6, 8, 1), (0.6, 64, 1 << 20)])
+def test_pairs_and_sums_by_groups_of_any_size(spark, monkeypatch, least, block, group):
+    monkeypatch.setattr(cells, "_GROUP", group)
+    found = clustered(300)
+    rows = vectors_of(spark, found).selectExpr("id", "embedding", "if(id % 50 = 49, null, concat('s', id % 3)) as lowest", "if(id % 10 = 0, 'x', concat('s', id % 3)) as highest")
+    near, (low, high) = cosines(found), zip(*[(None if i % 50 == 49 else f"s{i % 3}", "x" if i % 10 == 0 else f"s{i % 3}") for i in range(300)], strict=True)
+    want = {(i, j) for i in range(300) for j in range(i + 1, 300) if near[i, j] >= least and None not in (low[i], low[j]) and len({low[i], high[i], low[j], high[j]}) > 1}
+    got = cells.similar_pairs(rows, least, "lowest", "highest", block).collect()
+    assert {(r.a, r.b) for r in got} == want and len(got) == len(want)
+    of = list(range(300))
+    for _ in range(300):
+        for i, j in want:
+            of[i] = of[j] = min(of[i], of[j])
+    sums = cells.link_sums(rows, least, "lowest", "highest", block).collect()
+    assert {r.id for r in sums} | {r.root for r in sums} == {i for pair in want for i in pair}
+    tied = {r.id: r.component for r in components.components(spark.createDataFrame([(r.id, r.root) for r in sums], "a bigint, b bigint")).collect()}
+    assert tied == {i: of[i] for pair in want for i in pair}
+    for part in set(tied.values()):
+        assert sum(r.links for r in sums if tied[r.id] == part) == sum(of[i] == part for i, _ in want)
+        assert abs(sum(r.total for r in sums if tied[r.id] == part) - sum(near[i, j] for i, j in want if of[i] == part)) < 1e-9
+
+
+def written(spark):
+    """Path -> bytes of the files of this session's shuffles and checkpoints."""
+    folders = [f.getPath() for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()] + [str(spark.sparkContext.getCheckpointDir() or "").removeprefix("file:")]
+    return {os.path.join(d, f): os.path.getsize(os.path.join(d, f)) for top in folders if top for d, _, files in os.walk(top) for f in files}
+
+
+def added(spark, before):
+    return sum(n for path, n in written(spark).items() if path not in before)
+
+
+def test_vectors_are_not_written_for_each_cell(spark):
+    rows = vectors_of(spark, np.random.default_rng(2).normal(size=(6000, 64)).astype(np.float32))
+    before = written(spark)
+    assert cells.similar_pairs(rows, 0.36).count() > 10_000
+    assert added(spark, before) < 12 * 6000 * 64 * 8
