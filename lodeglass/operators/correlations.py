@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodeglass.operators.aggregates import within
-from lodeglass.operators.cells import similar_pairs
+from lodeglass.operators.cells import link_sums, similar_pairs
 from lodeglass.operators.components import components
 from lodeglass.operators.storage import cut
 
@@ -39,13 +39,15 @@ def stories(rows: DataFrame, least: float = 0.8) -> tuple[DataFrame, DataFrame]:
     All articles take part; copies of a vector count as one in links and meet no other copy, yet each is a member. Articles
     without a source or a usable vector, or that nothing of another source is close to, are in no story.
     """
-    named = rows.filter("source is not null")
-    nodes, found = cut(copies(named)), cut(links(named, least))
+    named = cut(rows.filter("source is not null").select("id", "source", "embedding"))
+    nodes = cut(copies(named))
+    found = cut(link_sums(nodes, least, "lowest", "highest"))  # links may be many times as many as articles; a row each would fill the disks
     alone = nodes.filter("lowest <> highest").select(F.col("id").alias("a"), F.col("id").alias("b"))
-    of = cut(components(found.select("a", "b").unionByName(alone)))
+    of = cut(components(found.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(alone)))
     vector = nodes.join(of, "id").select("embedding", F.col("component").alias("cluster"))
     members = named.join(vector, "embedding").select("cluster", "id", "source")
-    by_link = found.join(of, found["a"] == of["id"]).groupBy(F.col("component").alias("cluster")).agg(F.count("*").alias("links"), F.avg("cosine").alias("similarity"))
+    counted = found.filter("links > 0").groupBy("id").agg(F.sum("links").alias("links"), F.sum("total").alias("total"))
+    by_link = counted.join(of, "id").groupBy(F.col("component").alias("cluster")).agg(F.sum("links").alias("links"), (F.sum("total") / F.sum("links")).alias("similarity"))
     sources = members.groupBy("cluster", "source").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.sum("n").alias("n"), F.count("*").alias("n_sources"))
     told = sources.join(by_link, "cluster", "left")
     return told.select("cluster", "n", "n_sources", F.coalesce("links", F.lit(0).cast("bigint")).alias("links"), F.coalesce("similarity", F.lit(1.0)).alias("similarity"), F.lit("thematic_cluster").alias("type")), members

@@ -131,3 +131,11 @@ def test_vectors_are_not_written_for_each_cell(spark):
     before = written(spark)
     assert cells.similar_pairs(rows, 0.36).count() > 10_000
     assert added(spark, before) < 12 * 6000 * 64 * 8
+
+
+def test_links_of_stories_are_not_written(spark):
+    rows = vectors_of(spark, 1 + 0.1 * np.random.default_rng(3).random((1500, 8))).selectExpr("id", "embedding", "concat('s', id) as source")
+    before = written(spark)
+    told = correlations.stories(rows, 0.9)[0].collect()
+    assert [(r.n, r.links) for r in told] == [(1500, 1500 * 1499 // 2)]
+    assert added(spark, before) < 8 * 1500 * 1499 // 2
