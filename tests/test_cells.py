@@ -139,3 +139,11 @@ def test_links_of_stories_are_not_written(spark):
     told = correlations.stories(rows, 0.9)[0].collect()
     assert [(r.n, r.links) for r in told] == [(1500, 1500 * 1499 // 2)]
     assert added(spark, before) < 8 * 1500 * 1499 // 2
+
+
+def test_members_of_stories_need_no_links_written(spark):
+    rows = vectors_of(spark, 1 + 0.1 * np.random.default_rng(4).random((1500, 8))).selectExpr("id", "embedding", "if(id = 7, null, concat('s', id % 2)) as source")
+    before = written(spark)
+    got = correlations.stories(rows, 0.9)[1].collect()
+    assert {(r.cluster, r.id, r.source) for r in got} == {(0, i, f"s{i % 2}") for i in range(1500) if i != 7} and len(got) == 1499
+    assert added(spark, before) < 8 * 1500 * 1499 // 4
